@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylake.llm import _common as C
-from quarrylake.llm import piece_codec
+from quarrylake.llm import packing, piece_codec
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into pieces of at most 1024 tokens, packed by minimum bin slack."""
+    docs = C.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return packing.pack_documents(docs, with_ids=False)
 
 
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +22,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op10_piece_codec": op10_piece_codec,
 }
 ORACLES: dict[str, str] = {}
