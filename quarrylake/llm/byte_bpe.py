@@ -15,8 +15,10 @@ from quarrylake.llm import _common as C
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: A run of text with the one space before it, a run of white space short of its last character, or one such character.
 PARTS = re.compile(r" ?\S+|\s+(?!\S)|\s")
-#: White space on which regular-expression engines differ; texts with it are encoded whole.
-ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+#: White space (or marks that some engines take for it) on which regular-expression engines differ.
+ODD_CODES = [0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
+#: Texts with any of them are encoded whole.
+ODD = re.compile("[" + "".join(map(chr, ODD_CODES)) + "]")
 #: Parts kept per generation of a worker's cache; two generations exist at most.
 CACHE_PARTS = 400_000
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrylake.llm import _common as C
-from quarrylake.llm import packing, piece_codec
+from quarrylake.llm import packing, piece_codec, quality
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, with_ids=False)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learnt from the labels outside the held-out remainder."""
+    docs = C.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = quality.train(docs, C.table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+    return quality.add_score(docs, model).select("doc_id", C.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids and the decoded text of every document, as digests."""
     return piece_codec.round_trip_digest(C.table(spark, sf_dir, "documents", ["doc_id", "text"]))
@@ -23,6 +31,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op9_quality": op9_quality,
     "op10_piece_codec": op10_piece_codec,
 }
 ORACLES: dict[str, str] = {}
