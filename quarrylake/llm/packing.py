@@ -46,6 +46,8 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, file: str = byte_bpe.DEFAULT_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = byte_bpe.load(file), end_id.to_bytes(4, "little")
         for batch in batches:
+            if batch.num_rows:
+                encoder.check(batch.column(1)[0].as_py())
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 rows: list[list] = [[] for _ in fields]
