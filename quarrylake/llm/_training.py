@@ -27,21 +27,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
 
 
 class Isotonic:
-    """Scores mapped to shares of label 1 by pooling adjacent violators, read between the pools' centres."""
+    """Scores mapped to shares of label 1 by pooling adjacent violators; straight lines join the pools."""
 
     def __init__(self, scores: np.ndarray, y: np.ndarray, most_knots: int = 200) -> None:
         order = np.argsort(scores, kind="stable")
-        pools: list[list[float]] = []
+        pools: list[list[float]] = []  # lowest and highest score, share, rows
         for s, t in zip(scores[order], y[order], strict=True):
-            pools.append([float(s), float(t), 1.0])
-            while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
+            pools.append([float(s), float(s), float(t), 1.0])
+            while len(pools) > 1 and pools[-2][2] >= pools[-1][2]:
                 b, a = pools.pop(), pools.pop()
-                n = a[2] + b[2]
-                pools.append([(a[0] * a[2] + b[0] * b[2]) / n, (a[1] * a[2] + b[1] * b[2]) / n, n])
+                n = a[3] + b[3]
+                pools.append([a[0], b[1], (a[2] * a[3] + b[2] * b[3]) / n, n])
         if len(pools) > most_knots:
             pools = [pools[i] for i in np.unique(np.linspace(0, len(pools) - 1, most_knots).astype(int))]
-        self.at = np.array([p[0] for p in pools])
-        self.share = np.array([p[1] for p in pools])
+        self.at = np.array([s for p in pools for s in p[:2]])
+        self.share = np.array([p[2] for p in pools for _ in range(2)])
         self.centre, self.spread = (float(np.median(scores)), float(scores.std()) or 1.0) if len(scores) else (0.0, 1.0)
 
     def __call__(self, scores: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.llm import _common as C
-from quarrylake.llm import packing, piece_codec, quality
+from quarrylake.llm import packing, piece_codec, quality, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, with_ids=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learnt from the labels outside the held-out remainder."""
+    docs = C.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = toxicity.train(docs, C.table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+    return toxicity.add_score(docs, model).select("doc_id", C.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document, learnt from the labels outside the held-out remainder."""
     docs = C.table(spark, sf_dir, "documents", ["doc_id", "text"])
@@ -31,6 +38,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op6_toxicity": op6_toxicity,
     "op9_quality": op9_quality,
     "op10_piece_codec": op10_piece_codec,
 }
