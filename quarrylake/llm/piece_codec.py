@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding of merge-type vocabularies.
 
-The encoder keeps an agenda (a heap) of adjacent symbol pairs ordered by the
+The encoder keeps an agenda (an array for words, a heap for longer runs) of adjacent symbol pairs ordered by the
 merged piece's score, the leftmost first among equals, and merges until no pair
 is in the vocabulary. Text is first cut where no piece of the vocabulary can
-reach across, so each distinct segment is encoded once per Python worker. Each
-new segment, and one whole text of each Arrow batch, is checked against the
-sentencepiece library; a difference stops the job.
+reach across, so each distinct segment is encoded once per Python worker. In
+each Arrow batch the first text and one in CHECK_EVERY after it are checked
+against the sentencepiece library; a difference stops the job.
 
 Defined cases: a null text is the empty text and has no ids; extra columns are
 kept by :func:`encode` unless they have the name of an output, which replaces
@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +30,14 @@ from quarrylake.llm import _common as C
 SPACE = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
 #: Segments kept per generation of a worker's cache; two generations exist at most.
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 500_000
+#: One text in so many of each Arrow batch is encoded and decoded by the library too.
+CHECK_EVERY = 64
+#: Segments of at most so many symbols keep their agenda as an array, longer ones as a heap.
+ARRAY_AGENDA = 48
+NEVER = float("inf")
+#: Marks the parts of words in the cache; texts that contain it are encoded whole.
+NO_SPACE = "\ue000"
 
 
 class AgendaBpe:
@@ -39,10 +48,10 @@ class AgendaBpe:
         pieces = [library.id_to_piece(i) for i in range(size)]
         normal = [not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i)) for i in range(size)]
         self.ids = {p: i for i, p in enumerate(pieces) if normal[i]}
-        self.scores = {p: library.get_score(i) for p, i in self.ids.items()}
+        self.order = {p: -library.get_score(i) for p, i in self.ids.items()}
+        self.decimals = list(map(str, range(size)))
         self.byte_ids = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.lines_apart = not any("\n" in p for p in self.ids)
         self.surfaces = [p if ok else "" for p, ok in zip(pieces, normal, strict=True)]
         self.surfaces[library.unk_id()] = " ⁇ "
         for b, i in enumerate(self.byte_ids):
@@ -50,14 +59,35 @@ class AgendaBpe:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge adjacent symbols, best score first and leftmost among equals."""
-        scores, n = self.scores, len(symbols)
+        return self.merge_heap(symbols) if len(symbols) > ARRAY_AGENDA else self.merge_array(symbols)
+
+    def merge_array(self, symbols: list[str]) -> list[str]:
+        """The agenda as an array of the pairs' scores: quicker for the few symbols of a word."""
+        get = self.order.get
+        agenda = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            k = agenda.index(best)
+            symbols[k] += symbols[k + 1]
+            del symbols[k + 1], agenda[k]
+            if k:
+                agenda[k - 1] = get(symbols[k - 1] + symbols[k], NEVER)
+            if k < len(agenda):
+                agenda[k] = get(symbols[k] + symbols[k + 1], NEVER)
+        return symbols
+
+    def merge_heap(self, symbols: list[str]) -> list[str]:
+        """The agenda as a heap, for long segments."""
+        order, n = self.order, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[float, int, int, int]] = []
 
         def offer(a: int, b: int) -> None:
-            score = scores.get(symbols[a] + symbols[b])
-            if score is not None:
-                heapq.heappush(agenda, (-score, a, b, len(symbols[a]) + len(symbols[b])))
+            rank = order.get(symbols[a] + symbols[b])
+            if rank is not None:
+                heapq.heappush(agenda, (rank, a, b, len(symbols[a]) + len(symbols[b])))
 
         for k in range(n - 1):
             offer(k, k + 1)
@@ -75,18 +105,24 @@ class AgendaBpe:
                 offer(before[a], a)
         return [s for s in symbols if s]
 
-    def segment_ids(self, text: str) -> list[int]:
-        """Ids of a text in which spaces are already written as the space symbol."""
+    def apart(self, text: str) -> list[str]:
+        """The text cut wherever no piece contains the two characters side by side."""
+        near = self.neighbours
+        cuts = [k for k, pair in enumerate(map(add, text, text[1:]), 1) if pair not in near]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)] if cuts else [text]
+
+    def part_ids(self, part: str) -> list[int]:
+        """Ids of a part that :meth:`apart` leaves whole; unknown characters are written as bytes."""
         out: list[int] = []
-        start, near = 0, self.neighbours
-        for k in range(1, len(text) + 1):
-            if k == len(text) or text[k - 1 : k + 1] not in near:
-                for piece in self.merge(list(text[start:k])) if k - start > 1 else [text[start:k]]:
-                    known = self.ids.get(piece)
-                    out.extend([known] if known is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "replace")])
-                start = k
+        for piece in self.merge(list(part)):
+            known = self.ids.get(piece)
+            out.extend([known] if known is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "replace")])
         return out
 
+    def segment_ids(self, text: str) -> list[int]:
+        """Ids of a text in which spaces are already written as the space symbol."""
+        return [i for part in self.apart(text) for i in self.part_ids(part)] if text else []
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
         return self.segment_ids(SPACE + text.replace(" ", SPACE)) if text else []
@@ -107,42 +143,46 @@ class AgendaBpe:
 
 
 class Segments(dict):
-    """Segment after a space -> (ids, decimal ids joined by commas, surface); filled on first use."""
+    """Segment or part of one -> its ids; filled on first use.
+
+    A word stands for itself after the space symbol. Parts of a word, which the
+    cache holds too, start with NO_SPACE instead.
+    """
 
     def __init__(self, codec: AgendaBpe, library) -> None:
         super().__init__()
         self.codec, self.library, self.older = codec, library, {}
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str) -> list[int]:
         found = self.older.get(word)
         if found is None:
-            if "\n" in word and self.codec.lines_apart:
-                ids = self.by_lines(word)
+            codec = self.codec
+            parts = [SPACE + word] if word.isalpha() else codec.apart(word[1:] if word[:1] == NO_SPACE else SPACE + word)
+            if len(parts) == 1:
+                found = codec.part_ids(parts[0])
             else:
-                ids = tuple(self.codec.segment_ids(SPACE + word))
-            if ids != tuple(self.library.encode(word) if word else self.codec.segment_ids(SPACE)):
-                raise ValueError(f"the agenda and the sentencepiece library differ on {word[:200]!r}")
-            found = (ids, ",".join(map(str, ids)), self.codec.surface(ids))
+                found = [i for p in parts for i in self[p[1:] if p[0] == SPACE else NO_SPACE + p]]
         if len(self) >= CACHE_SEGMENTS:
             self.older = dict(self)
             self.clear()
         self[word] = found
         return found
 
-    def by_lines(self, word: str) -> tuple[int, ...]:
-        """Ids of a segment with line breaks, which no piece contains: the first line is in the cache by itself."""
-        first, _, rest = word.partition("\n")
-        return (self[first][0] if first else tuple(self.codec.segment_ids(SPACE))) + tuple(self.codec.segment_ids("\n" + rest))
-
-    def of(self, text: str) -> list[tuple]:
-        """The segments of a whole text, in order."""
+    def of(self, text: str) -> list[int]:
+        """The ids of a whole text."""
         if not text:
             return []
         words = text.split(" ")
-        if SPACE in text or "" in words:
-            ids = tuple(self.codec.encode(text))
-            return [(ids, ",".join(map(str, ids)), self.codec.surface(ids))]
-        return list(map(self.__getitem__, words))
+        if SPACE in text or NO_SPACE in text or "" in words:
+            return self.codec.encode(text)
+        return list(chain.from_iterable(map(self.__getitem__, words)))
+
+    def check(self, texts: pd.Series) -> None:
+        """Compare every CHECK_EVERYth text of an Arrow batch, the first among them, with the library."""
+        for text in texts.iloc[::CHECK_EVERY]:
+            ids = self.of(text)
+            if ids != self.library.encode(text) or self.codec.decode(ids) != self.library.decode(ids):
+                raise ValueError(f"the agenda and the sentencepiece library differ on {text[:200]!r}")
 
 
 _LOADED: dict[str, Segments] = {}
@@ -158,12 +198,6 @@ def load(path: str) -> Segments:
     return _LOADED[path]
 
 
-def check_whole(segments: Segments, text: str, ids: list[int], decoded: str) -> None:
-    """Compare a whole text's ids and decoded text with the library's."""
-    if ids != segments.library.encode(text) or decoded != segments.library.decode(ids):
-        raise ValueError(f"the agenda and the sentencepiece library differ on {text[:200]!r}")
-
-
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the array of piece ids of a text column."""
 
@@ -171,10 +205,8 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", ids:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         segments = load(C.tokenizer_file(model))
         for batch in batches:
-            found = [[i for s in segments.of(t) for i in s[0]] for t in batch]
-            if found:
-                check_whole(segments, batch.iloc[0], found[0], segments.codec.decode(found[0]))
-            yield pd.Series(found, dtype=object)
+            segments.check(batch)
+            yield pd.Series([segments.of(t) for t in batch], dtype=object)
 
     return docs.withColumn(ids, run(C.whole_text(text)))
 
@@ -203,14 +235,12 @@ def round_trip_digest(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         segments = load(C.tokenizer_file(model))
         for batch in batches:
+            segments.check(batch)
             rows = []
-            for k, t in enumerate(batch):
-                parts = segments.of(t)
-                decoded = "".join([p[2] for p in parts])[1:]
-                if not k:
-                    check_whole(segments, t, [i for p in parts for i in p[0]], decoded)
-                joined = ",".join([p[1] for p in parts])
-                rows.append((joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()))
+            for t in batch:
+                ids = segments.of(t)
+                joined = ",".join(map(segments.codec.decimals.__getitem__, ids))
+                rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(segments.codec.decode(ids).encode("utf-8", "replace")).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", run(C.whole_text()).alias("found")).select("doc_id", "found.*")

@@ -21,16 +21,22 @@ def codec():
 def test_cases(codec, text):
     ids = codec.codec.encode(text)
     assert ids == codec.library.encode(text)
-    assert [i for s in codec.of(text) for i in s[0]] == ids
+    assert codec.of(text) == ids
     assert codec.codec.decode(ids) == codec.library.decode(ids)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\tabcdeinorst.,0123éß▁日"), st.characters(blacklist_categories=("Cs",))), max_size=60))
 def test_any_text(codec, text):
-    ids = [i for s in codec.of(text) for i in s[0]]
+    ids = codec.of(text)
     assert ids == codec.library.encode(text)
-    assert "".join(s[2] for s in codec.of(text))[1:] == codec.codec.decode(ids) == codec.library.decode(ids)
+    assert codec.codec.decode(ids) == codec.library.decode(ids)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abcdeinorst", min_size=2, max_size=80))
+def test_both_agendas_agree(codec, text):
+    assert codec.codec.merge_array(list(text)) == codec.codec.merge_heap(list(text))
 
 
 def test_frames(spark):
