@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.llm import _common as C
-from quarrylake.llm import minhash, packing, piece_codec, quality, toxicity
+from quarrylake.llm import embedding_dedup, minhash, packing, piece_codec, quality, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.add_score(docs, model).select("doc_id", C.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding with its number of links at a cosine of 0.95 and its component."""
+    return embedding_dedup.near_duplicates(C.table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the group of near-duplicates that it belongs to."""
     return minhash.near_duplicates(C.table(spark, sf_dir, "documents", ["doc_id", "text"]))
@@ -44,6 +49,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_piece_codec": op10_piece_codec,
