@@ -50,7 +50,11 @@ LEAST_TOXIC, CANDIDATES = 3, 3000
 #: Lengths of the word parts.
 PARTS = (4, 5, 6, 7, 8, 9)
 #: Words kept per generation of a worker's cache; two generations exist at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+#: Keys that a task sums before it sends them on.
+SUMMED_KEYS = 120_000
+#: Most labelled rows that the machine is fitted on.
+MAX_ROWS = 20_000
 CALIBRATE = 4
 #: Punctuation that does not belong to a word where it stands at its ends.
 OUTER = ".,;:!?\"'()[]{}|&%$#*-_<>"
@@ -255,14 +259,17 @@ def _counted(rows: DataFrame, of, keys: str) -> DataFrame:
                 else:
                     at[0] += toxic
                     at[1] += other
-            if len(both) > 400_000:
-                yield told(both)
-                both = {}
-        yield told(both)
-
-    def told(both: dict[str, list[int]]) -> pd.DataFrame:
-        counts = np.array(list(both.values()), dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({keys: pd.Series(list(both), dtype=object), "toxic": counts[:, 0], "other": counts[:, 1]})
+                    if len(both) >= SUMMED_KEYS:
+                        yield from told(both)
+                        both = {}
+        yield from told(both)
+
+    def told(both: dict[str, list[int]]) -> Iterator[pd.DataFrame]:
+        names = list(both)
+        for at in range(0, len(names), 20_000):
+            some = names[at : at + 20_000]
+            counts = np.array([both[k] for k in some], dtype=np.int64).reshape(-1, 2)
+            yield pd.DataFrame({keys: pd.Series(some, dtype=object), "toxic": counts[:, 0], "other": counts[:, 1]})
 
     return rows.mapInPandas(run, f"{keys} string, toxic long, other long").groupBy(keys).agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
@@ -298,7 +305,7 @@ def _feature_udf(spark, model: Model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3, rest: int = 1, max_rows: int = L.MAX_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3, rest: int = 1, max_rows: int = MAX_ROWS) -> Model:
     """Fit on labelled documents outside the held-out remainder; at most about ``max_rows`` of them."""
     spark = docs.sparkSession
     sample = C.spill(L.labelled_sample(docs, labels, label, mod, rest, max_rows), "toxicity-sample")
