@@ -253,3 +253,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     named = rows.select("doc_id", "k1", "k2").join(found, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return named.select("doc_id", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of one document of each group, the smallest doc_id's, with all their columns; repeated rows once.
+
+    Rows without an id are no copies of any other and stay.
+    """
+    stay = near_duplicates(docs.select("doc_id", "text"), least).where("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.llm import _common as C
-from quarrylake.llm import embedding_dedup, fingerprints, minhash, packing, piece_codec, quality, sharding, toxicity, warc
+from quarrylake.llm import edit_counts, embedding_dedup, fingerprints, minhash, packing, piece_codec, quality, sharding, toxicity, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(C.table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits, kept by a tree of its segments."""
+    docs = C.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return edit_counts.edited_counts(docs, edit_counts.sample_edits(C.whole_text())).drop("text")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, written to archives and read back."""
     return warc.round_trip(C.table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
@@ -64,6 +70,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
+    "op3_edit_counts": op3_edit_counts,
     "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
     "op6_toxicity": op6_toxicity,
