@@ -1,21 +1,38 @@
-"""All queries of the engine outside ``quarrylake.llm``, with their oracle SQL."""
+"""All queries of the engine outside its training-data package, with their oracle SQL.
+
+Each runs an operator over whole driver tables. ``documents`` are files (their
+path is source/lang/doc_id), ``pages`` give headings and links, ``embeddings``
+vectors, ``benchmark`` queries, ``labels`` an earlier snapshot's list.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarrylake.functions import paths, text
+from quarrylake.operators import chunks, digest, graph, retrieval, verify
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query that the smoke check runs."""
-    return QUERIES["lang_breakdown"](spark, sf_dir)
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL if it has one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+
+def queries() -> dict[str, Query]:
     """Every registered query by name."""
     return QUERIES
 
@@ -23,3 +40,389 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """The SQL twin of each query that SQL can express."""
     return ORACLES
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: path, lang, text, doc_id, size_bytes, line_count."""
+    docs = read(spark, sf_dir, "documents")
+    return docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "lang", "text", "doc_id", "source", F.octet_length("text").cast("long").alias("size_bytes"), text.line_count(F.col("text")).cast("long").alias("line_count"))
+
+
+FILES = """files AS (SELECT concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, lang, text, doc_id, source, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes,
+  CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS line_count FROM documents)"""
+
+
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of pages as symbols without extent: path, kind, name, signature, start_line, end_line."""
+    lines = read(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.posexplode(text.lines(F.col("html"))).alias("at", "line"))
+    level, name = F.regexp_extract("line", r"<h([1-6])[^>]*>([^<]*)", 1), F.regexp_extract("line", r"<h([1-6])[^>]*>([^<]*)", 2)
+    found = lines.where(level != "").select("path", F.concat(F.lit("h"), level).alias("kind"), name.alias("name"), (F.col("at") + 1).alias("start_line"))
+    return found.select("path", "kind", "name", F.concat_ws(" ", "kind", "name").alias("signature"), "start_line", F.col("start_line").alias("end_line"))
+
+
+HEADINGS = """lines AS (SELECT url AS path, unnest(str_split(html, chr(10))) AS line, generate_subscripts(str_split(html, chr(10)), 1) AS start_line FROM pages),
+headings AS (SELECT path, 'h' || regexp_extract(line, '<h([1-6])[^>]*>([^<]*)', 1) AS kind, regexp_extract(line, '<h([1-6])[^>]*>([^<]*)', 2) AS name, start_line FROM lines WHERE regexp_matches(line, '<h[1-6][^>]*>'))"""
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages as edges: src, dst."""
+    return read(spark, sf_dir, "pages").select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"))
+
+
+LINKS = """links AS (SELECT url AS src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS dst FROM pages)"""
+TERMS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
+
+
+# ---- projections, aggregations, integrity ----
+
+
+@query(f"WITH {FILES} SELECT lang, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(line_count) AS BIGINT) AS lines FROM files GROUP BY lang")
+def lang_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: files, bytes and lines by language."""
+    return digest.languages(files(spark, sf_dir))
+
+
+@query(f"""WITH {FILES}, m AS (SELECT split_part(path, '/', 1) AS name, lang, count(*) AS n, min(path) AS first FROM files GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, first) AS place FROM m)
+SELECT name, CAST(sum(n) AS BIGINT) AS files, string_agg(lang, ',' ORDER BY place) FILTER (place <= 3) AS langs FROM r GROUP BY name""")
+def module_rollup_top_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each module and its three commonest languages."""
+    return digest.modules(files(spark, sf_dir)).select("name", "files", F.array_join("langs", ",").alias("langs"))
+
+
+@query("SELECT lower(sha256(text)) AS sha256, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1")
+def distinct_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each content once under its address."""
+    return read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+
+
+@query("SELECT count(*) AS total, count(*) AS verified, CAST(0 AS BIGINT) AS failed FROM documents")
+def verify_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file's content found by address and hashed again."""
+    rows = verify.digests(files(spark, sf_dir), "text")
+    state = verify.check(rows, verify.blobs(rows, content="text"))
+    return state.agg(F.count("*").alias("total"), F.count_if(F.col("state") == "ok").alias("verified"), F.count_if(F.col("state") != "ok").alias("failed"))
+
+
+@query("SELECT count(*) AS files, count(l.doc_id) AS labelled, round(100.0 * count(l.doc_id) / count(*), 1) AS percent FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def coverage_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of files that have an entry in another table."""
+    known = read(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has", F.lit(1))
+    rows = read(spark, sf_dir, "documents").select("doc_id").join(known, "doc_id", "left")
+    return rows.agg(F.count("*").alias("files"), F.count("has").alias("labelled")).withColumn("percent", F.round(100 * F.col("labelled") / F.col("files"), 1))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_files_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared files that were not taken in."""
+    return verify.missing(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""SELECT d.lang, count(*) AS symbols, count(*) FILTER (p.h IS NOT NULL) AS reused, count(*) FILTER (p.h IS NULL) AS embedded
+FROM documents d LEFT JOIN (SELECT DISTINCT sha256(text) AS h FROM documents SEMI JOIN labels USING (doc_id)) p ON sha256(d.text) = p.h GROUP BY d.lang""")
+def reuse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose vector an earlier snapshot has, and those that must be embedded."""
+    docs = read(spark, sf_dir, "documents")
+    before = docs.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2("text", 256).alias("h")).distinct().withColumn("known", F.lit(1))
+    rows = docs.select("lang", F.sha2("text", 256).alias("h")).join(before, "h", "left")
+    return rows.groupBy("lang").agg(F.count("*").alias("symbols"), F.count("known").alias("reused"), F.count_if(F.col("known").isNull()).alias("embedded"))
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS INTEGER) AS token_est, CAST(CASE WHEN text = '' THEN 0 ELSE len(str_split(text, chr(10))) END AS INTEGER) AS line_count FROM documents")
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated tokens and lines of each file."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("token_est"), text.line_count(F.col("text")).alias("line_count"))
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, str_split(text, chr(10)) AS lines FROM documents WHERE text <> ''),
+n AS (SELECT doc_id, lines, len(lines) AS n, list_transform(range(1, len(lines) + 1), lambda i: CAST(list_sum(list_transform(lines[1:i], lambda x: CAST(ceil(length(x) / 4.0) AS BIGINT) + 1)) AS BIGINT)) AS cost FROM l),
+c AS (SELECT doc_id, 0 AS ord, CAST(0 AS BIGINT) AS s, least(n, 600, coalesce(list_position(list_transform(cost, lambda x: x >= 400), true), n)) AS e FROM n
+  UNION ALL
+  SELECT t.doc_id, t.ord + 1, t.ns, least(n.n, t.ns + 600, coalesce(nullif(list_position(list_transform(range(1, n.n + 1), lambda i: i > t.ns AND n.cost[i] - CASE WHEN t.ns = 0 THEN 0 ELSE n.cost[t.ns] END >= 400), true), 0), n.n))
+  FROM (SELECT c.doc_id, c.ord, CASE WHEN c.e - 10 > c.s THEN c.e - 10 ELSE c.e END AS ns, c.e FROM c) t JOIN n ON n.doc_id = t.doc_id WHERE t.e < n.n)
+SELECT c.doc_id, CAST(c.ord AS INTEGER) AS ord, CAST(c.s + 1 AS INTEGER) AS start_line, CAST(c.e AS INTEGER) AS end_line, CAST(ceil(length(array_to_string(n.lines[c.s + 1:c.e], chr(10))) / 4.0) AS INTEGER) AS token_est FROM c JOIN n USING (doc_id)""")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping chunks of every file."""
+    return chunks.chunks(read(spark, sf_dir, "documents"), ["doc_id"]).drop("text")
+
+
+@query("SELECT doc_id, CAST(len(str_split(text, chr(10))) AS INTEGER) AS covered, CAST(0 AS INTEGER) AS gaps FROM documents WHERE text <> ''")
+def chunk_cover_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invariant of chunks: their lines are all lines."""
+    made = chunks.chunks(read(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
+    return made.groupBy("doc_id").agg(F.count("*").cast("int").alias("covered"), (F.max("line") - F.count("*")).cast("int").alias("gaps"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(h) > 1000 THEN regexp_replace(left(h, 1000), '\\s+$', '') || '…' ELSE h END AS snippet FROM (SELECT doc_id, array_to_string(str_split(text, chr(10))[1:16], chr(10)) AS h FROM documents)""")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginning of each file as a result shows it."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+
+
+@query("SELECT doc_id, array_to_string(str_split(text, chr(10))[least(3, len(str_split(text, chr(10)))):greatest(least(3, len(str_split(text, chr(10)))), least(8, len(str_split(text, chr(10)))))], chr(10)) AS slice FROM documents")
+def read_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 3 to 8 of each file, moved into the file."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.line_slice(F.col("text"), F.lit(3), F.lit(8)).alias("slice"))
+
+
+@query(f"WITH {FILES} SELECT path, lang FROM files WHERE path LIKE 'src1%/en/%'")
+def glob_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in a scope; a star crosses slashes."""
+    rows = files(spark, sf_dir)
+    return rows.where(paths.matches_glob(F.col("path"), "src1*/en/*")).select("path", "lang")
+
+
+@query(f"""WITH {FILES}, t AS (SELECT path, source, CAST(ceil(length(text) / 4.0) AS BIGINT) + 1 AS cost FROM files)
+SELECT path, source, used FROM (SELECT path, source, CAST(sum(cost) OVER (PARTITION BY source ORDER BY path) AS BIGINT) AS used FROM t) WHERE used <= 6000""")
+def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each source that fit a token budget, in order of path."""
+    rows = files(spark, sf_dir).select("path", "source", (text.token_estimate(F.col("text")) + 1).cast("long").alias("cost"))
+    return digest.within_budget(rows, ["source"], "path", F.col("cost"), 6000).select("path", "source", "used")
+
+
+@query(f"""WITH {FILES}, p AS (SELECT unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS prefix FROM files)
+SELECT prefix, count(*) AS files, CAST(len(str_split(prefix, '/')) AS INTEGER) AS level FROM p GROUP BY prefix""")
+def tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files below each directory of the first two levels."""
+    return digest.tree_counts(files(spark, sf_dir))
+
+
+@query("""SELECT url AS path, CASE WHEN NOT contains(b, '.') THEN 'text' ELSE coalesce(MAP {'html': 'html', 'htm': 'html', 'py': 'python', 'md': 'markdown', 'json': 'json', 'txt': 'text'}[split_part(b, '.', -1)], 'text') END AS lang,
+regexp_matches(b, '^test[_-]|[_.-](test|spec)\\.') OR regexp_matches(lower(url), '(^|/)(test|tests|spec|specs|__tests__|testing)/') AS is_test FROM (SELECT url, lower(split_part(url, '/', -1)) AS b FROM pages)""")
+def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each path and whether it is a test's."""
+    path = F.col("url")
+    return read(spark, sf_dir, "pages").select(path.alias("path"), paths.language(path).alias("lang"), paths.is_test(path).alias("is_test"))
+
+
+@query("""SELECT DISTINCT url AS raw, regexp_replace(left(regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9._-]+', '-', 'g'), '^[._-]+|[._-]+$', '', 'g'), 100), '^[._-]+|[._-]+$', '', 'g') AS slug FROM pages""")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C17: safe names."""
+    return read(spark, sf_dir, "pages").select(F.col("url").alias("raw"), paths.slug(F.col("url")).alias("slug")).distinct()
+
+
+@query("SELECT item_id, CAST(len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z_]{3,}')), lambda x: NOT list_contains(str_split('the a an of to and or is are be from for in on how what so it that with while keep can right kind piece number many were was this', ' '), x))) AS INTEGER) AS n FROM benchmark")
+def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many content words each query has."""
+    return read(spark, sf_dir, "benchmark").select("item_id", F.size(text.content_words(F.col("text"))).alias("n"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1)) AS s FROM documents),
+p AS (SELECT a.doc_id, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, round(CASE WHEN n - i = 0 THEN 0.0 ELSE i / (n - i) END, 6) AS overlap FROM p""")
+def jaccard_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of content words between each file and the one with the next id."""
+    own = read(spark, sf_dir, "documents").select("doc_id", text.word_set(F.col("text")).alias("words"))
+    after = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("next"))
+    return own.join(after, "doc_id").select("doc_id", F.round(text.jaccard(F.col("words"), F.col("next")), 6).alias("overlap"))
+
+
+@query("SELECT doc_id, lower(sha256(text)) AS cleaned FROM documents")
+def clean_dump_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without a dump's own marks; these tables have none, so nothing changes."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.clean_dump_text(F.col("text")), 256).alias("cleaned"))
+
+
+# ---- symbols and links ----
+
+
+@query(f"WITH {HEADINGS} SELECT path, kind, name, kind || ' ' || name AS signature, CAST(start_line AS INTEGER) AS start_line, CAST(start_line AS INTEGER) AS end_line FROM headings")
+def page_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings as symbols."""
+    return headings(spark, sf_dir)
+
+
+@query(f"""WITH {HEADINGS}, n AS (SELECT url AS path, len(str_split(html, chr(10))) AS line_count FROM pages)
+SELECT h.path, h.name, CAST(h.start_line AS INTEGER) AS start_line, CAST(greatest(h.start_line, least(coalesce((SELECT min(g.start_line) - 1 FROM headings g WHERE g.path = h.path AND g.start_line > h.start_line), n.line_count), h.start_line + 200, n.line_count)) AS INTEGER) AS last_line FROM headings h JOIN n USING (path)""")
+def symbol_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where symbols without extent end."""
+    sizes = read(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.size(text.lines(F.col("html"))).alias("line_count"))
+    return digest.symbol_extents(headings(spark, sf_dir), sizes).select("path", "name", "start_line", F.col("last_line").cast("int").alias("last_line"))
+
+
+@query(f"WITH {HEADINGS} SELECT count(*) FILTER (kind = 'h1') AS titles, count(*) AS symbols, count(*) FILTER (name ILIKE '%Error' OR name ILIKE '%Exception') AS errors, count(DISTINCT path) AS with_symbols FROM headings")
+def convention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditional counts over symbols in one pass."""
+    name = F.col("name")
+    return headings(spark, sf_dir).agg(F.count_if(F.col("kind") == "h1").alias("titles"), F.count("*").alias("symbols"), F.count_if(name.ilike("%Error") | name.ilike("%Exception")).alias("errors"), F.countDistinct("path").alias("with_symbols"))
+
+
+@query(f"WITH {HEADINGS} SELECT path, name, kind || ' ' || name || ' ' || kind || ' ' || name AS embed_text FROM headings WHERE name <> ''")
+def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: what of each symbol is embedded."""
+    rows = headings(spark, sf_dir).where("name <> ''")
+    return rows.select("path", "name", text.embed_text(F.col("kind"), F.col("name"), F.col("signature"), F.lit(None).cast("string")).alias("embed_text"))
+
+
+@query(f"WITH {LINKS} SELECT src, dst, count(*) AS times FROM links GROUP BY ALL")
+def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with how often each occurs."""
+    return links(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("times"))
+
+
+@query(f"WITH {LINKS} SELECT dst AS path, count(DISTINCT src) AS dependents FROM links WHERE src <> dst GROUP BY dst ORDER BY dependents DESC, path LIMIT 15")
+def key_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen targets that most pages link to."""
+    rows = links(spark, sf_dir).where("src <> dst").distinct().groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("dependents"))
+    return rows.orderBy(F.desc("dependents"), "path").limit(15)
+
+
+def import_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files pkg<k>/mod<id>.py, and an import of one by the next: absolute, relative or of a name that no file has."""
+    base = read(spark, sf_dir, "documents").select("doc_id")
+    home = F.concat(F.lit("pkg"), (F.col("doc_id") % 7).cast("string"))
+    own = F.concat(home, F.lit("/mod_"), F.col("doc_id").cast("string"), F.lit(".py"))
+    token = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("pkg"), ((F.col("doc_id") + 1) % 7).cast("string"), F.lit(".mod_"), (F.col("doc_id") + 1).cast("string"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(".mod_"), (F.col("doc_id") + 7).cast("string"))).otherwise(F.lit("logging"))
+    return base.select(own.alias("src"), token.alias("dst")), base.select(own.alias("path"))
+
+
+IMPORTS = """e AS (SELECT doc_id, 'pkg' || (doc_id % 7) || '/mod_' || doc_id || '.py' AS src, CASE doc_id % 3 WHEN 0 THEN doc_id + 1 WHEN 1 THEN doc_id + 7 END AS t FROM documents),
+r AS (SELECT e.src, d.src AS target FROM e JOIN e d ON d.doc_id = e.t)"""
+
+
+@query(f"WITH {IMPORTS} SELECT src, target FROM r")
+def resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports that mean a file, by the first candidate that is known."""
+    edges, known = import_edges(spark, sf_dir)
+    return graph.resolve(edges, known).select("src", "target")
+
+
+@query(f"WITH {IMPORTS} SELECT target AS path, count(DISTINCT src) AS dependents FROM r WHERE src <> target GROUP BY target")
+def internal_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files import each."""
+    edges, known = import_edges(spark, sf_dir)
+    return graph.dependents(edges, known)
+
+
+@query(f"WITH {IMPORTS} SELECT src FROM r WHERE target = 'pkg1/mod_22.py' ORDER BY src")
+def neighbors_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that import one file."""
+    return graph.imported_by(import_edges(spark, sf_dir)[0], "pkg1/mod_22.py")
+
+
+@query("SELECT 'pkg1.mod_22' AS dst")
+def neighbors_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one file imports."""
+    return graph.imports_of(import_edges(spark, sf_dir)[0], "pkg0/mod_21.py")
+
+
+# ---- retrieval ----
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str, phrase: bool = False) -> DataFrame:
+    """A query of each benchmark item: its second and fourth term, as two phrases or as its second and third term in one."""
+    found = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.terms(F.col("text")).alias("t")).where(F.size("t") >= 4)
+    if phrase:
+        return found.select("query_id", F.lit(0).alias("phrase_no"), F.slice("t", 2, 2).alias("phrase"))
+    return found.select("query_id", F.posexplode(F.array(F.slice("t", 2, 1), F.slice("t", 4, 1))).alias("phrase_no", "phrase"))
+
+
+TOKENS = f"tok AS (SELECT doc_id, unnest({TERMS.format('text')}) AS term, generate_subscripts({TERMS.format('text')}, 1) AS pos FROM documents), dl AS (SELECT doc_id, len({TERMS.format('text')}) AS dl FROM documents), st AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl), bt AS (SELECT item_id AS query_id, {TERMS.format('text')} AS t FROM benchmark)"
+BM25 = """f AS (SELECT query_id, phrase_no, doc_id, count(*) AS tf FROM m GROUP BY ALL), df AS (SELECT query_id, phrase_no, count(*) AS df FROM f GROUP BY ALL),
+s AS (SELECT f.query_id, f.doc_id AS unit_id, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score, count(*) AS met FROM f JOIN df USING (query_id, phrase_no) JOIN dl ON dl.doc_id = f.doc_id, st GROUP BY ALL)"""
+TWO_TERMS = "q AS (SELECT query_id, unnest([0, 1]) AS phrase_no, unnest([t[2], t[4]]) AS term FROM bt WHERE len(t) >= 4), m AS (SELECT q.query_id, q.phrase_no, tok.doc_id FROM tok JOIN q USING (term))"
+
+
+def top_bm25(spark: SparkSession, sf_dir: str, k: int, phrase: bool = False) -> DataFrame:
+    """The k best files of each benchmark query."""
+    return retrieval.top(retrieval.bm25(read(spark, sf_dir, "documents"), "doc_id", ["text"], benchmark_queries(spark, sf_dir, phrase)).withColumn("score", F.round("score", 6)), k)
+
+
+@query(f"WITH {TOKENS}, {TWO_TERMS}, {BM25}, p AS (SELECT query_id, unit_id, round(score, 6) AS score FROM s WHERE met = 2) SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS INTEGER) AS rank FROM p QUALIFY rank < 10")
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that hold two words, ranked, for all queries at once."""
+    return top_bm25(spark, sf_dir, 10)
+
+
+@query(f"WITH {TOKENS}, m AS (SELECT q.query_id, 0 AS phrase_no, a.doc_id FROM bt q JOIN tok a ON a.term = q.t[2] JOIN tok b ON b.term = q.t[3] AND b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE len(q.t) >= 4), {BM25}, p AS (SELECT query_id, unit_id, round(score, 6) AS score FROM s) SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS INTEGER) AS rank FROM p QUALIFY rank < 10")
+def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that hold two words side by side, ranked."""
+    return top_bm25(spark, sf_dir, 10, True)
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every vector whose id is divisible by 50, itself left out."""
+    vectors = read(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = retrieval.vector_top(vectors, "vec_id", "embedding", asked, 11).where("query_id <> unit_id").drop("rank")
+    return retrieval.top(found, 10)
+
+
+COSINE = """c AS (SELECT a.vec_id AS query_id, b.vec_id AS unit_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"""
+
+
+@query(f"WITH {COSINE} SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS INTEGER) AS rank FROM c QUALIFY rank < 10")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors by cosine, compared with all."""
+    return vector_queries(spark, sf_dir)
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS norm, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and dimensions of vectors."""
+    norm = F.sqrt(F.aggregate(F.col("embedding"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(norm, 4).alias("norm"), F.size("embedding").alias("dim"))
+
+
+RANKED = f"""WITH {TOKENS}, {TWO_TERMS}, {BM25}, p AS (SELECT query_id, unit_id, round(score, 6) AS score FROM s WHERE met = 2), a AS (SELECT 0 AS list_no, query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS rank FROM p QUALIFY rank < 30),
+b AS (SELECT 1 AS list_no, query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY dl, unit_id) - 1 AS rank FROM p JOIN dl ON dl.doc_id = unit_id QUALIFY rank < 30)"""
+
+
+def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rankings of the files that match a query: by BM25, and the shorter first."""
+    found = retrieval.bm25(read(spark, sf_dir, "documents"), "doc_id", ["text"], benchmark_queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    sizes = retrieval.lengths(read(spark, sf_dir, "documents"), "doc_id", ["text"])
+    short = retrieval.top(found.join(sizes, "unit_id").select("query_id", "unit_id", (-F.col("dl")).alias("score")), 30)
+    best = retrieval.top(found, 30)
+    return best.select(F.lit(0).alias("list_no"), "query_id", "unit_id", "rank").unionByName(short.select(F.lit(1).alias("list_no"), "query_id", "unit_id", "rank"))
+
+
+@query(RANKED + " SELECT query_id, unit_id, round(sum(1.0 / (61 + rank)), 6) AS score, CAST(count(*) AS INTEGER) AS lists FROM (FROM a UNION ALL FROM b) GROUP BY ALL")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ranked lists fused by reciprocal ranks."""
+    fused = retrieval.fuse(two_lists(spark, sf_dir), ["unit_id"])
+    return fused.select("query_id", "unit_id", F.round("raw", 6).alias("score"), F.size("lists").alias("lists"))
+
+
+@query(RANKED + """, g AS (SELECT query_id, unit_id, sum(1.0 / (61 + rank)) AS raw FROM (FROM a UNION ALL FROM b) GROUP BY ALL)
+SELECT query_id, unit_id, round(CASE WHEN unit_id % 4 = 0 THEN raw * 0.4 ELSE raw END, 6) AS score FROM g""")
+def test_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth file stands for a test and is demoted."""
+    path = F.concat(F.when(F.col("unit_id") % 4 == 0, "tests/").otherwise("src/"), F.col("unit_id").cast("string"), F.lit(".py"))
+    fused = retrieval.fuse(two_lists(spark, sf_dir), ["unit_id"])
+    return fused.select("query_id", "unit_id", F.round(retrieval.demote_tests(F.col("raw"), path, F.lit(False)), 6).alias("score"))
+
+
+@query()
+def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's fused results without those that repeat what is picked (tested against a plain loop)."""
+    fused = retrieval.fuse(two_lists(spark, sf_dir), ["unit_id"])
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), text.snippet(F.col("text")).alias("snippet"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("raw", 6).desc(), "order"))
+    pool = fused.withColumn("place", place).join(docs, "unit_id").select("query_id", "unit_id", "place", F.round("raw", 6).alias("score"), F.lit(None).cast("string").alias("name"), "snippet")
+    return retrieval.diversify(pool, 8).select("query_id", "unit_id", "score", "pick")
+
+
+@query(f"""WITH {TOKENS}, {TWO_TERMS}, {BM25}, p AS (SELECT query_id, unit_id, round(score, 6) AS score FROM s WHERE met = 2), r AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS rank FROM p QUALIFY rank < 8),
+j AS (SELECT r.query_id, rank, contains(d.text, b.text) AS relevant, greatest(1, length(d.text) // 4) AS tokens FROM r JOIN documents d ON d.doc_id = r.unit_id JOIN benchmark b ON b.item_id = r.query_id),
+e AS (SELECT query_id, min(rank) FILTER (relevant) AS first FROM j GROUP BY query_id), c AS (SELECT j.query_id, e.first, sum(tokens) FILTER (e.first IS NULL OR rank <= e.first) AS cost FROM j JOIN e USING (query_id) GROUP BY ALL)
+SELECT count(*) AS queries, count(first) AS hits, round(avg(coalesce(1.0 / (first + 1), 0.0)), 6) AS mrr, round(avg(coalesce(cost, 0)), 6) AS mean_tokens FROM (SELECT DISTINCT query_id FROM q) LEFT JOIN c USING (query_id)""")
+def mrr_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often and how soon a file with the whole passage is found, and what must be read until then."""
+    asked = benchmark_queries(spark, sf_dir)
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    ranked = top_bm25(spark, sf_dir, 8).join(docs.select(F.col("doc_id").alias("unit_id"), "text"), "unit_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), "query_id")
+    rows = ranked.select("query_id", "rank", F.contains("text", "passage").alias("relevant"), F.greatest(F.lit(1), F.floor(F.char_length("text") / 4)).alias("tokens"))
+    return retrieval.hit_metrics(rows, asked, 8)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query that the smoke check runs: batch retrieval."""
+    return bm25_batch(spark, sf_dir)
+
+
