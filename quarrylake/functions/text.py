@@ -106,15 +106,20 @@ def content_words(text: Column) -> Column:
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, STOP_WORDS)))
 
 
+def stripped(value: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
 def strip_markdown_noise(text: Column) -> Column:
     """Without lines that start with markup or badges, and without runs of blank lines."""
     keep = F.filter(lines(text), lambda x: ~F.ltrim(x).rlike(r"^(<|!\[|\[!\[)"))
-    return F.trim(F.regexp_replace(F.array_join(keep, "\n"), r"\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(F.array_join(keep, "\n"), r"\n{3,}", "\n\n"))
 
 
 def first_paragraph(text: Column, most: int = 200) -> Column:
     """The first paragraph that is neither empty nor an image, without heading marks, cut to a length."""
-    paragraphs = F.transform(F.split(strip_markdown_noise(text), "\n\n", -1), lambda p: F.trim(F.regexp_replace(F.trim(p), r"^#+", "")))
+    paragraphs = F.transform(F.split(strip_markdown_noise(text), "\n\n", -1), lambda p: stripped(F.regexp_replace(stripped(p), r"^#+", "")))
     return F.substring(F.get(F.filter(paragraphs, lambda p: (F.length(p) > 0) & ~p.startswith("!")), 0), 1, most)
 
 
