@@ -19,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     add.add_argument("--max-bytes", type=int, default=2_000_000)
     add.add_argument("--binary", action="store_true")
     commands.add_parser("list", help="all corpora")
+    commands.add_parser("serve", help="answer tool calls on standard input")
     for name, extra in (("map", ()), ("modules", ()), ("search", ("query",)), ("read", ("target",)), ("neighbors", ("target",)), ("history", ()), ("verify", ()), ("remove", ())):
         one = commands.add_parser(name)
         one.add_argument("corpus")
@@ -55,6 +56,11 @@ def main(args: list[str] | None = None) -> int:
         told = store.add(a.source, a.name, not a.no_semantic, a.max_bytes, a.binary).meta
     elif a.command == "list":
         told = store.list()
+    elif a.command == "serve":
+        from quarrylake.plans.serve import Server
+
+        Server(store).run()
+        return 0
     elif a.command == "remove":
         told = {"removed": store.remove(a.corpus)}
     else:

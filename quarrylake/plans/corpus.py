@@ -13,6 +13,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -25,7 +26,6 @@ from quarrylake.sources import dump, tree
 
 TABLES = ["files", "blobs", "symbols", "chunks", "edges", "embeddings", "skipped", "declared"]
 READ_LINES, SYMBOL_BODIES, NAME_MATCHES = 1500, 3, 10
-FILE = "path string, content binary, skipped string"
 
 
 class NotFound(LookupError):
@@ -174,6 +174,22 @@ class Store:
                 out.append({"name": root.name})
         return out
 
+    def enrich(self, name: str, ask: Callable[[str], str], model: str, most: int = 25, budget: int = 6000) -> Corpus:
+        """Have each of the largest modules described by ``ask`` (a prompt in, a text out) and keep what it says.
+
+        The engine itself calls no network; ``ask`` may.
+        """
+        corpus = self.open(name)
+        told = {}
+        for r in digest.modules(corpus.table("files")).limit(most).collect():
+            glob = "*" if r["name"] == "(root)" else f"{r['name']}/*"
+            told[r["name"]] = ask(f"Say in two sentences what this module is for.\n\n{corpus.map(2, budget, glob)}").strip()
+        meta = corpus.meta | {"enrichment": told, "enrichment_model": model}
+        fresh = corpus.folder / f"meta.json.{os.getpid()}"
+        fresh.write_text(json.dumps(meta))
+        os.replace(fresh, corpus.folder / "meta.json")
+        return self.open(name)
+
     def remove(self, name: str) -> bool:
         """Delete a corpus."""
         root = self.home / safe_name(name)

@@ -24,6 +24,8 @@ def render(corpus, level: int, budget: int, glob: str | None) -> str:
     rows = digest.modules(files, corpus.dependents()).limit(20).collect()
     purpose = {r["name"]: r["purpose"] for r in digest.purposes(texts, symbols).collect()} if rows else {}
     out += ["", "## Modules", *(f"- {r['name']}: {r['files']} files ({', '.join(r['langs'])}), {r['dependents']} dependents" + (f" - {purpose[r['name']]}" if purpose.get(r["name"]) else "") for r in rows)]
+    if meta.get("enrichment") and not glob:
+        out += ["", f"## About the modules ({meta.get('enrichment_model')})", *(f"- {k}: {v}" for k, v in meta["enrichment"].items())]
     central = corpus.dependents().join(files.select("path"), "path", "left_semi").orderBy(F.desc("dependents"), "path").limit(12).collect()
     if central:
         out += ["", "## Key files", *(f"- {r['path']}: {r['dependents']} dependents" for r in central)]
