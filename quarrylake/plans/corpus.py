@@ -32,6 +32,17 @@ class NotFound(LookupError):
     """Nothing of that name is in the corpus."""
 
 
+def _alive(pid: int) -> bool:
+    """True if a process of that number runs here."""
+    try:
+        os.kill(pid, 0)
+    except ProcessLookupError:
+        return False
+    except OSError:
+        return True
+    return pid > 0
+
+
 def classify(source: str) -> str:
     """What a source is: tree, dump or git."""
     if tree.looks_like_git_url(source):
@@ -122,7 +133,7 @@ class Store:
             reuse = None
             if semantic and previous is not None and json.loads((previous / "meta.json").read_text()).get("fingerprint") == embed.FINGERPRINT:
                 reuse = self.spark.read.parquet(str(previous / "embeddings")).select("embed_text", "vector")
-            version = root / f"v={uuid.uuid4().hex}"
+            version = root / f"v={os.getpid()}-{uuid.uuid4().hex}"
             for table, rows in take_in(raw, declared, reuse, semantic).items():
                 rows.write.parquet(str(version / table))
             got = Corpus(self.spark, root.name, version, {})
@@ -149,12 +160,13 @@ class Store:
         return root / pointer.read_text().strip() if pointer.exists() else None
 
     def _point(self, root: Path, version: Path) -> None:
-        """Move the pointer in one step, then clear away versions that it does not name."""
+        """Move the pointer in one step, then clear away versions that it does not name and that no other process is writing."""
         fresh = root / f"CURRENT.{os.getpid()}"
         fresh.write_text(version.name)
         os.replace(fresh, root / "CURRENT")
         for old in root.glob("v=*"):
-            if old != version:
+            writer = int(old.name[2:].split("-")[0]) if old.name[2:].split("-")[0].isdigit() else 0
+            if old != version and (writer == os.getpid() or not _alive(writer)):
                 shutil.rmtree(old, ignore_errors=True)
 
     def open(self, name: str) -> Corpus:

@@ -85,6 +85,16 @@ def test_again_reuses_vectors_and_replaces(spark, demo):
     (root / "pkg/util.py").write_text(FILES["pkg/util.py"])
 
 
+def test_versions_of_other_processes_stay(spark, demo):
+    store, root = demo
+    stale, busy = store.home / "demo" / "v=999999999-x", store.home / "demo" / "v=1-y"
+    stale.mkdir(parents=True)
+    busy.mkdir()
+    store.add(str(root), semantic=False)
+    assert not stale.exists() and busy.exists()
+    busy.rmdir()
+
+
 def test_git_trees(spark, demo, tmp_path):
     store, _ = demo
     root = tmp_path / "repo"
