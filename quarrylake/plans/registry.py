@@ -421,6 +421,45 @@ def mrr_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hit_metrics(rows, asked, 8)
 
 
+# ---- the relational shapes above at volume ----
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS lines, round(sum(l_quantity), 2) AS quantity, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
+def group_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A3: counts, sums and distinct counts of groups."""
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"))
+    return rows.agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a partner."""
+    return read(spark, sf_dir, "customer").select("c_custkey").join(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("""WITH p AS (SELECT n_name AS nation, c_mktsegment AS segment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT nation, segment, n FROM p QUALIFY row_number() OVER (PARTITION BY nation ORDER BY n DESC, segment) <= 3""")
+def top_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three commonest values of each group."""
+    pairs = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("nation").orderBy(F.desc("n"), "segment"))
+    return pairs.withColumn("place", place).where("place <= 3").drop("place")
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS price FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def filtered_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality and list filters that reach the scan, then the first rows by a total order."""
+    rows = read(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_orderstatus") == "F"))
+    return rows.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", F.round("o_totalprice", 2).alias("price"))
+
+
+@query("SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, min(event_id) AS first_id FROM events WHERE event_type ILIKE '%I%' GROUP BY 1")
+def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditional counts behind a pattern in any case."""
+    rows = read(spark, sf_dir, "events").where(F.col("event_type").ilike("%I%")).groupBy("event_type")
+    return rows.agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.min("event_id").alias("first_id"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that the smoke check runs: batch retrieval."""
     return bm25_batch(spark, sf_dir)
