@@ -9,10 +9,12 @@ into bands; documents that share a band are candidates and are verified on all
 their shingles.
 
 Equal texts are one class before banding. Within a bucket of a band, members are
-first compared with one centre, the member that shares most buckets; what that
-leaves apart is compared pair by pair, but only across components. So a group of
-copies costs as many comparisons as it has members, and no link between
-different components is left untried.
+first compared with one centre, the member that shares most buckets. Buckets
+that this leaves in several components are dealt out in pairs of blocks; there,
+members of different components are compared, first by their registers and then
+on all their shingles, until they are one. So a group of copies costs as many
+comparisons as it has members, no link between different components is left
+untried, and pairs are never rows.
 
 A word is a run of ASCII letters, digits and underscores or of any other
 non-ASCII characters, in lower case. A shingle's weight is 1 + ln(times it
@@ -43,7 +45,11 @@ BANDS, ROWS = 21, 6
 #: Bytes of text worked on at once.
 CHUNK = 2_000_000
 #: Comparisons with one centre that one task does at most, about.
-MEMBERS_PER_GROUP = 500
+MEMBERS_PER_GROUP = 128
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 1024
+#: Share of equal registers below which a pair is not compared further: five standard deviations below the least similarity.
+REGISTERS_AGREE = 0.62
 SALTS = 8
 
 _WORD_BYTE = np.zeros(256, bool)
@@ -144,7 +150,11 @@ def bands(kept: np.ndarray, number: int = BANDS, rows: int = ROWS) -> np.ndarray
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard similarity of two weighted sets (sorted elements, weights)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    place = np.minimum(a[0].searchsorted(b[0]), len(a[0]) - 1)
+    j = np.flatnonzero(a[0][place] == b[0])
+    i = place[j]
     if not len(i):
         return 0.0
     x, y = a[1][i], b[1][j]
@@ -198,8 +208,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     as many groups as it needs, so no task holds more than one group's centre.
     """
     sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS_PER_GROUP).cast("long").alias("groups"))
-    members = pairs.join(texts.withColumnRenamed("doc_id", "member"), "member").select("centre", F.pmod(F.xxhash64("member"), F.lit(1 << 20)).alias("deal"), "member", "text")
-    heads = sizes.join(texts.withColumnRenamed("doc_id", "centre"), "centre").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    members = pairs.join(texts.withColumnRenamed("doc_id", "member").hint("merge"), "member").select("centre", F.pmod(F.xxhash64("member"), F.lit(1 << 20)).alias("deal"), "member", "text")
+    heads = sizes.join(texts.withColumnRenamed("doc_id", "centre").hint("merge"), "centre").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     rows = members.join(sizes, "centre").select("centre", F.pmod("deal", "groups").alias("group"), F.lit(1).alias("role"), "member", "text").unionByName(heads.select("centre", "group", F.lit(0).alias("role"), F.col("centre").alias("member"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +235,62 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return rows.repartition(n, "centre", "group").sortWithinPartitions("centre", "group", "role").mapInArrow(run, "u long, v long")
 
 
+def across(mixed: DataFrame, texts: DataFrame, least: float = SIMILARITY, number: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Edges (u, v) between members (band, rep, own) of a bucket that are in different components ``own`` but similar enough."""
+    sizes = mixed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    placed = mixed.join(sizes.hint("merge"), "band").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    dealt = placed.withColumn("other", F.explode(others)).select("band", "rep", "own", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"))
+    full = dealt.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+
+    def compare(group: list[tuple]) -> tuple[list[int], list[int]]:
+        rep, own, side, words = zip(*group, strict=True)
+        doc, element, weight = shingles(list(words))
+        cut = np.searchsorted(doc, np.arange(len(rep) + 1))
+        kept = signatures(len(rep), doc, element, weight, number * rows)
+        one_block = not any(side)
+        parent = {x: x for x in own}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        u, v = [], []
+        apart = np.array(side)
+        for a in range(len(rep) - 1):
+            near = np.flatnonzero((kept[a + 1 :] == kept[a]).mean(1) >= REGISTERS_AGREE) + a + 1
+            for b in near if one_block else near[apart[near] != apart[a]]:
+                x, y = find(own[a]), find(own[b])
+                if x != y and similarity((element[cut[a] : cut[a + 1]], weight[cut[a] : cut[a + 1]]), (element[cut[b] : cut[b + 1]], weight[cut[b] : cut[b + 1]])) >= least:
+                    parent[x] = y
+                    u.append(rep[a])
+                    v.append(rep[b])
+        return u, v
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+        for batch in batches:
+            d = batch.to_pydict()
+            u: list[int] = []
+            v: list[int] = []
+            for now, row in zip(zip(d["band"], d["i"], d["j"], strict=True), zip(d["rep"], d["own"], d["side"], d["text"], strict=True), strict=True):
+                if now != key:
+                    if len(group) > 1:
+                        a, b = compare(group)
+                        u, v = u + a, v + b
+                    key, group = now, []
+                group.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        if len(group) > 1:
+            u, v = compare(group)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return full.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "side").mapInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id (smallest doc_id of its group of near-duplicates) and kept (the two are equal)."""
     rows = C.spill(signed(docs), "minhash-signed")
@@ -239,15 +305,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     centres = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("rep"))).alias("top")).select("band", (-F.col("top.rep")).alias("centre"))
     around = ranked.withColumn("salt", salt).join(centres.select("band", "centre", salts), ["band", "salt"])
     pairs = C.spill(around.where("rep <> centre").select("centre", F.col("rep").alias("member")).distinct(), "minhash-pairs")
-    texts = C.spill(docs.select(F.col("doc_id").cast("long"), C.whole_text().alias("text")).join(ranked.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "minhash-texts")
+    texts = C.spill(docs.select(F.col("doc_id").cast("long"), C.whole_text().alias("text")).join(ranked.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "minhash-texts")
     first = C.spill(verified(pairs, texts, least), "minhash-edges")
     label = C.spill(components(first), "minhash-labels")
     placed = C.spill(ranked.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component_id", "rep").alias("own")), "minhash-placed")
     mixed = placed.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("band")
     left = C.spill(placed.join(mixed, "band"), "minhash-mixed")
-    a, b = left.select("band", F.col("rep").alias("centre"), F.col("own").alias("x")), left.select("band", F.col("rep").alias("member"), F.col("own").alias("y"))
-    across = a.join(b, "band").where("x < y").select("centre", "member").distinct().join(pairs, ["centre", "member"], "left_anti").join(pairs.select(F.col("centre").alias("member"), F.col("member").alias("centre")), ["centre", "member"], "left_anti")
-    second = C.spill(verified(C.spill(across, "minhash-across"), texts, least), "minhash-edges")
+    second = C.spill(across(left, texts, least), "minhash-edges")
     label = components(first.unionByName(second))
     found = C.spill(classes.select("k1", "k2", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")), "minhash-found")
     named = rows.select("doc_id", "k1", "k2").join(found, ["k1", "k2"], "left")
