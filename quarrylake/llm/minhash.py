@@ -83,20 +83,39 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0]
 
 
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts, and its hash; worked out in blocks that end between words, so one long text costs no more memory."""
+    starts, hashes, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while begin < len(data):
+        end = min(len(data), begin + CHUNK)
+        raw = np.frombuffer(data, np.uint8, end - begin, begin)
+        word = _WORD_BYTE[raw]
+        if end < len(data) and word[-1]:
+            gaps = np.flatnonzero(~word)
+            if len(gaps):
+                raw, word = raw[: gaps[-1] + 1], word[: gaps[-1] + 1]
+            else:  # one word longer than a block
+                end = next(k for k in range(end, len(data)) if not _WORD_BYTE[data[k]])
+                raw = np.frombuffer(data, np.uint8, end - begin, begin)
+                word = _WORD_BYTE[raw]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+        start, stop = edge[::2], edge[1::2]
+        power, inverse = _tables(len(raw) + 1)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_VALUE[raw] * power[: len(raw)], dtype=np.uint64)])
+        starts.append(start + begin)
+        hashes.append(mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)))
+        begin += len(raw)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle, weight) of several texts, sorted by document and shingle."""
     data = [t.lower().encode("utf-8", "replace") + b"\n" for t in texts]
-    raw = np.frombuffer(b"".join(data), np.uint8)
     ends = np.cumsum([len(d) for d in data])
-    word = np.concatenate([[False], _WORD_BYTE[raw], [False]])
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    start, stop = edge[::2], edge[1::2]
+    start, hashed = _word_hashes(b"".join(data))
     if not len(start):
         none = np.zeros(0, np.uint64)
         return none.astype(np.int64), none, none.astype(np.float64)
-    power, inverse = _tables(len(raw) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_VALUE[raw] * power[: len(raw)], dtype=np.uint64)])
-    hashed = mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
     doc = np.searchsorted(ends, start, side="right")
     count = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(count) - count

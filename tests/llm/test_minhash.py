@@ -31,6 +31,15 @@ def test_similarity_is_exact():
         assert math.isclose(M.similarity(*parts), exact(bag(a), bag(b)), abs_tol=1e-9)
 
 
+def test_blocks_of_a_long_text_change_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "bcd", "é", "x" * 40, ",", "\n"], n)) for n in (0, 1, 7, 400)] + ["y" * 500]
+    whole = M.shingles(texts)
+    for size in (1, 10, 37, 100):
+        monkeypatch.setattr(M, "CHUNK", size)
+        assert all((a == b).all() for a, b in zip(whole, M.shingles(texts), strict=True))
+
+
 def test_registers_estimate_it():
     rng = np.random.default_rng(1)
     words = [f"w{k}" for k in rng.integers(0, 50, 400)]
@@ -68,15 +77,31 @@ def test_groups(spark):
     got = M.near_duplicates(docs).collect()
     assert len(got) == len(rows) + 2
     want = brute(rows)
+    assert len({want.get(i, i) for i in range(75)}) < 40
     for r in got:
         assert r["component_id"] == (want.get(r["doc_id"], r["doc_id"])) and r["kept"] == (r["doc_id"] == r["component_id"])
     assert M.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 7)
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(60):
+        c = list(base)
+        for k in rng.integers(0, len(c), i % 7):
+            c[k] = f"x{i}"
+        rows.append((i, " ".join(c)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert [r["doc_id"] for r in M.near_duplicates(docs).collect() if r["component_id"] != want.get(r["doc_id"], r["doc_id"])] == []
+
+
 def test_query(spark):
     from quarrylake.llm.queries import op8_minhash
 
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.001"
     got = {r["doc_id"]: r["component_id"] for r in op8_minhash(spark, sf).collect()}
     rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet' order by doc_id").fetchall()
     owner = {}
