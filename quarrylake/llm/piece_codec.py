@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from itertools import chain
 from operator import add
@@ -38,6 +39,7 @@ ARRAY_AGENDA = 48
 NEVER = float("inf")
 #: Marks the parts of words in the cache; texts that contain it are encoded whole.
 NO_SPACE = "\ue000"
+RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class AgendaBpe:
@@ -172,9 +174,11 @@ class Segments(dict):
         """The ids of a whole text."""
         if not text:
             return []
-        words = text.split(" ")
-        if SPACE in text or NO_SPACE in text or "" in words:
+        if NO_SPACE in text:
             return self.codec.encode(text)
+        words = text.split(" ")
+        if SPACE in text or "" in words:  # a run of spaces belongs to the word after it
+            words = [part[1:] for part in RUNS.findall(SPACE + text.replace(" ", SPACE))]
         return list(chain.from_iterable(map(self.__getitem__, words)))
 
     def check(self, texts: pd.Series) -> None:
