@@ -87,7 +87,7 @@ def take_in(raw: DataFrame, declared: DataFrame | None = None, reuse: DataFrame
     rows = whole.withColumn("text", decoded).withColumn("lang", paths.language(F.col("path")))
     files = rows.select("path", "lang", "sha256", "size_bytes", text.line_count(F.col("text")).cast("long").alias("line_count"), "text")
     outlined = outline.outlines(files.select("path", "lang", "text"))
-    symbols = outlined.select("path", "lang", F.explode("symbols").alias("s")).select("path", "lang", "s.*")
+    symbols = outlined.select("path", "lang", F.posexplode("symbols").alias("ord", "s")).select("path", "lang", "ord", "s.*")
     edges = outlined.select(F.col("path").alias("src"), F.explode("imports").alias("dst")).where("dst <> ''")
     out = {
         "files": files.drop("text"),
@@ -252,14 +252,12 @@ class Corpus:
         lists, pool = [], retrieval.pool_size(k)
         phrases = retrieval.query_table(self.spark, {"q": query})
         lexical, semantic = mode in ("auto", "hybrid", "lexical"), mode in ("auto", "hybrid", "semantic")
-        number = F.monotonically_increasing_id()
-        units = self.table("chunks").select(F.col("path"), "start_line", "end_line", F.col("text").alias("snippet"), F.lit("chunk").alias("kind"), F.lit(None).cast("string").alias("name"))
+        units = self.table("chunks").select("path", "ord", "start_line", "end_line", F.col("text").alias("snippet"), F.lit("chunk").alias("kind"), F.lit(None).cast("string").alias("name"))
         shown = F.concat(F.col("kind"), F.lit(" "), F.col("name"), F.lit(": "), F.col("signature"))
-        symbols = self.table("symbols").select("path", "start_line", "end_line", shown.alias("snippet"), "kind", "name", "signature", "docstring")
+        symbols = self.table("symbols").select("path", "ord", "start_line", "end_line", shown.alias("snippet"), "kind", "name", "signature", "docstring")
         if lexical and phrases.count():
             for n, (rows, columns) in enumerate(((units, ["snippet"]), (symbols, ["name", "signature", "docstring"]))):
-                named = rows.withColumn("unit_id", F.xxhash64("path", "start_line", "end_line", "kind", "name", number))
-                named = named.withColumn("unit_id", F.struct("path", "start_line", "unit_id"))
+                named = rows.withColumn("unit_id", F.struct("path", "start_line", "ord"))
                 found = retrieval.top(retrieval.bm25(named.select("unit_id", *columns), "unit_id", columns, phrases), pool)
                 lists.append(found.join(named, "unit_id").select(F.lit(n).alias("list_no"), "query_id", "rank", "path", "start_line", "end_line", text.snippet(F.col("snippet")).alias("snippet"), "kind", "name", F.lit("lexical").alias("source")))
         if semantic and query.strip() and self.meta.get("fingerprint") == embed.FINGERPRINT:
