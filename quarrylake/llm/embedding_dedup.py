@@ -83,12 +83,13 @@ def code_pairs(cells: DataFrame, number: int) -> DataFrame:
     width = int(min(21, max(10, round(log2(max(2, number))))))
     cuts = [(at, min(width, BITS - at)) for at in range(0, BITS, width)]
     part = [F.struct(F.lit(k).alias("table"), F.shiftrightunsigned("code", at).bitwiseAND(F.lit((1 << w) - 1).cast("long")).alias("part"), F.lit(w).alias("w")) for k, (at, w) in enumerate(cuts)]
-    stored = cells.select("code", F.explode(F.array(*part)).alias("s")).select("code", "s.*")
+    stored = cells.repartition("code").select("code", F.explode(F.array(*part)).alias("s")).select("code", "s.*")
     flips = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda b: F.pow(F.lit(2.0), b).cast("long"))
     near = F.explode(F.concat(F.array(F.lit(0).cast("long")), flips))
     probes = stored.select(F.col("code").alias("c1"), "table", "part", near.alias("flip")).select("c1", "table", F.col("part").bitwiseXOR(F.col("flip")).alias("part"))
     close = (F.col("c1") < F.col("code")) & (F.bit_count(F.col("c1").bitwiseXOR(F.col("code"))) <= REACH)
-    return probes.join(stored.drop("w"), (probes["table"] == stored["table"]) & (probes["part"] == stored["part"]) & close).select("c1", F.col("code").alias("c2")).distinct()
+    # Both sides hold many rows for each code, more than the planner expects of so small a table: no broadcast.
+    return probes.join(stored.drop("w").hint("merge"), (probes["table"] == stored["table"]) & (probes["part"] == stored["part"]) & close).select("c1", F.col("code").alias("c2")).distinct()
 
 
 def _parts(linked: np.ndarray) -> np.ndarray:
