@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylake.llm import _common as C
 from quarrylake.llm import minhash, packing, quality, toxicity
+from quarrylake.plans.ship import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +42,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents, each one's result written and read again."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
