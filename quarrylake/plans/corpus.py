@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import embed, paths, text
 from quarrylake.operators import chunks, digest, graph, outline, retrieval, verify
+from quarrylake.plans.ship import ship
 from quarrylake.sources import dump, tree
 
 TABLES = ["files", "blobs", "symbols", "chunks", "edges", "embeddings", "skipped", "declared"]
@@ -110,6 +111,7 @@ class Store:
     """Corpora by name in a folder that the driver and all executors see."""
 
     def __init__(self, spark: SparkSession, home: str) -> None:
+        ship(spark)
         self.spark, self.home = spark, Path(home)
 
     def add(self, source: str, name: str | None = None, semantic: bool = True, max_bytes: int = tree.MAX_BYTES, binary: bool = False) -> Corpus:
