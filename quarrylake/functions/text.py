@@ -66,7 +66,9 @@ def folding() -> tuple[str, str]:
 
 def terms(text: Column) -> Column:
     """The terms of a text in order: runs of letters and digits, in lower case, without accents on Latin letters."""
-    return F.regexp_extract_all(F.translate(F.lower(text), *folding()), F.lit(TERM), F.lit(0))
+    low = F.lower(text)
+    plain = F.octet_length(low) == F.char_length(low)  # nothing to fold; folding looks every character up
+    return F.regexp_extract_all(F.when(plain, low).otherwise(F.translate(low, *folding())), F.lit(TERM), F.lit(0))
 
 
 def phrases(query: str) -> list[list[str]]:

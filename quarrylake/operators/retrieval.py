@@ -33,11 +33,18 @@ def query_table(spark, queries: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id string, phrase_no int, phrase array<string>")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in at least as many partitions as there are cores: few or large row groups would keep most of them idle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def positions(units: DataFrame, unit_id: str, columns: list[str]) -> DataFrame:
-    """The inverted index's rows: (unit_id, col, pos, term). Write them sorted by term to prune by it later."""
+    """The inverted index's rows: (unit_id, dl, col, pos, term). Write them sorted by term to prune by it later."""
     parts = F.array(*(F.struct(F.lit(c).alias("col"), text.terms(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c in columns))
-    by_column = units.select(F.col(unit_id).alias("unit_id"), F.explode(parts).alias("part"))
-    return by_column.select("unit_id", "part.col", F.posexplode("part.terms").alias("pos", "term"))
+    whole = units.select(F.col(unit_id).alias("unit_id"), parts.alias("parts"))
+    by_column = whole.select("unit_id", F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["terms"])).alias("dl"), F.explode("parts").alias("part"))
+    return by_column.select("unit_id", "dl", "part.col", F.posexplode("part.terms").alias("pos", "term"))
 
 
 def lengths(units: DataFrame, unit_id: str, columns: list[str]) -> DataFrame:
@@ -52,19 +59,19 @@ def bm25(units: DataFrame, unit_id: str, columns: list[str], queries: DataFrame)
     Statistics are over all units. Terms that no query has are dropped before
     anything is exchanged.
     """
-    sizes = lengths(units, unit_id, columns)
-    stats = sizes.agg(F.count("*").alias("rows"), F.avg("dl").alias("mean")).first()
+    units = spread(units.select(unit_id, *columns))
+    stats = lengths(units, unit_id, columns).agg(F.count("*").alias("rows"), F.avg("dl").alias("mean")).first()
     rows, mean = stats["rows"], stats["mean"] or 1.0
     asked = queries.select("query_id", "phrase_no", F.size("phrase").alias("terms"), F.posexplode("phrase").alias("at", "term"))
     of_query = queries.groupBy("query_id").agg(F.count("*").alias("phrases"))
     met = positions(units, unit_id, columns).join(asked, "term")
-    starts = met.groupBy("query_id", "phrase_no", "terms", "unit_id", "col", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n")).where("n = terms")
-    found = starts.groupBy("query_id", "phrase_no", "unit_id").agg(F.count("*").alias("tf"))
+    starts = met.groupBy("query_id", "phrase_no", "terms", "unit_id", "dl", "col", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n")).where("n = terms")
+    found = starts.groupBy("query_id", "phrase_no", "unit_id", "dl").agg(F.count("*").alias("tf"))
     frequency = found.groupBy("query_id", "phrase_no").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weight = F.when(F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)) <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     score = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-    scored = found.join(frequency, ["query_id", "phrase_no"]).join(sizes, "unit_id").select("query_id", "unit_id", score.alias("part"))
+    scored = found.join(frequency, ["query_id", "phrase_no"]).select("query_id", "unit_id", score.alias("part"))
     whole = scored.groupBy("query_id", "unit_id").agg(F.sum("part").alias("score"), F.count("*").alias("met")).join(of_query, "query_id")
     return whole.where("met = phrases").select("query_id", "unit_id", "score")
 
