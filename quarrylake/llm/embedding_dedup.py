@@ -2,9 +2,11 @@
 
 A rotation learnt on a bounded sample turns vectors into balanced 64-bit codes.
 Codes are cut into substrings; every code is stored under each of its substrings
-and looked up under each and under those one bit away, which finds all pairs of
-codes up to ``2 * tables - 1`` bits apart and most of those up to REACH. Pairs of
-codes that are near enough are then compared vector by vector on the original
+and looked up under those some bits away, so many in each table that all pairs of
+codes up to the reach are found, whatever the size of the table (:func:`layout`).
+The reach is REACH bits, or more where codes of the sample and of partners at the
+least cosine are further apart, as in data with a mean (:func:`reach_of`). Pairs
+of codes that are near enough are then compared vector by vector on the original
 values, in blocks of bounded size, so a group of any size is spread over tasks
 and its pairs are never written out: a block gives each vector the number of its
 links there and one edge to the smallest member of its part.
@@ -20,7 +22,8 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log2
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,10 @@ from quarrylake.llm._components import components
 
 COSINE = 0.95
 BITS = 64
-#: Codes further apart than this are not compared; vectors at the least cosine are about 6.5 bits apart.
+#: All codes up to so many bits apart are compared, at least; vectors at a cosine of 0.95 are about 6.5 bits apart.
 REACH = 14
+#: What one row of a probe costs, in comparisons of two codes.
+PROBE_COST = 64
 #: Vectors that the rotation is learnt on, about.
 SAMPLE = 20_000
 #: Vectors of one code that are compared in one task with as many others.
@@ -78,18 +83,56 @@ def codes_of(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
 
 
-def code_pairs(cells: DataFrame, number: int) -> DataFrame:
-    """Pairs (c1 < c2) of distinct codes that share a substring up to one bit and are at most REACH bits apart."""
-    width = int(min(21, max(10, round(log2(max(2, number))))))
-    cuts = [(at, min(width, BITS - at)) for at in range(0, BITS, width)]
-    part = [F.struct(F.lit(k).alias("table"), F.shiftrightunsigned("code", at).bitwiseAND(F.lit((1 << w) - 1).cast("long")).alias("part"), F.lit(w).alias("w")) for k, (at, w) in enumerate(cuts)]
-    stored = cells.repartition("code").select("code", F.explode(F.array(*part)).alias("s")).select("code", "s.*")
-    flips = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda b: F.pow(F.lit(2.0), b).cast("long"))
-    near = F.explode(F.concat(F.array(F.lit(0).cast("long")), flips))
-    probes = stored.select(F.col("code").alias("c1"), "table", "part", near.alias("flip")).select("c1", "table", F.col("part").bitwiseXOR(F.col("flip")).alias("part"))
-    close = (F.col("c1") < F.col("code")) & (F.bit_count(F.col("c1").bitwiseXOR(F.col("code"))) <= REACH)
+def reach_of(x: np.ndarray, mean: np.ndarray, turn: np.ndarray, least: float, share: float = 0.9995, seed: int = 5) -> int:
+    """Bits within which the codes of a share of unit rows and of partners at the least cosine lie, at least REACH.
+
+    Partners lie in any direction, and in the direction of another row.
+    """
+    reach, rng = REACH, np.random.default_rng(seed)
+    for toward in (rng.standard_normal(x.shape), x[rng.permutation(len(x))]):
+        side = toward - (toward * x).sum(1, keepdims=True) * x
+        length = np.sqrt((side * side).sum(1))
+        some = length > 1e-9
+        if some.any():
+            one = x[some]
+            two = least * one + np.sqrt(max(0.0, 1 - least * least)) * side[some] / length[some, None]
+            apart = np.bitwise_count(codes_of(one, mean, turn).view(np.uint64) ^ codes_of(two, mean, turn).view(np.uint64))
+            reach = max(reach, int(np.quantile(apart, share, method="higher")))
+    return reach
+
+
+def layout(number: int, reach: int = REACH) -> list[tuple[int, int, int]]:
+    """Tables (first bit, width, flips) for so many codes, the cheapest that find all pairs up to ``reach`` bits apart.
+
+    If two codes differ by more than ``flips`` bits in each table, they differ by
+    the sum of ``flips + 1`` at least, which is kept above ``reach``.
+    """
+    best: tuple[float, list[tuple[int, int, int]]] = (float("inf"), [])
+    for tables in range(3, BITS // 4 + 1):
+        edges = [BITS * k // tables for k in range(tables + 1)]
+        width = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+        each = [PROBE_COST + number / 2**w for w in width]
+        flips = [-1] * tables
+        for _ in range(reach + 1):
+            k = min((k for k in range(tables) if flips[k] < width[k]), key=lambda k: comb(width[k], flips[k] + 1) * each[k])
+            flips[k] += 1
+        cost = sum(each[k] * comb(width[k], d) for k in range(tables) for d in range(flips[k] + 1))
+        best = min(best, (cost, [(a, w, t) for a, w, t in zip(edges, width, flips, strict=False) if t >= 0]))
+    return best[1]
+
+
+def code_pairs(cells: DataFrame, number: int, reach: int = REACH) -> DataFrame:
+    """Pairs (c1 < c2) of distinct codes that are at most ``reach`` bits apart: all of them."""
+    tables = layout(max(2, number), reach)
+    masks = [[sum(1 << b for b in some) for d in range(t + 1) for some in combinations(range(w), d)] for _, w, t in tables]
+    part = [F.struct(F.lit(k).alias("table"), F.shiftrightunsigned("code", at).bitwiseAND(F.lit((1 << w) - 1).cast("long")).cast("int").alias("part")) for k, (at, w, _) in enumerate(tables)]
+    spread = cells.repartition("code")
+    stored = spread.select("code", F.explode(F.array(*part)).alias("s")).select("code", "s.*")
+    near = cells.sparkSession.createDataFrame([(k, m) for k, m in enumerate(masks)], "table int, flips array<int>")
+    probes = stored.join(F.broadcast(near), "table").select(F.col("code").alias("c1"), "table", "part", F.explode("flips").alias("flip")).select("c1", "table", F.col("part").bitwiseXOR(F.col("flip")).alias("part"))
+    close = (F.col("c1") < F.col("code")) & (F.bit_count(F.col("c1").bitwiseXOR(F.col("code"))) <= reach)
     # Both sides hold many rows for each code, more than the planner expects of so small a table: no broadcast.
-    return probes.join(stored.drop("w").hint("merge"), (probes["table"] == stored["table"]) & (probes["part"] == stored["part"]) & close).select("c1", F.col("code").alias("c2")).distinct()
+    return probes.join(stored.hint("merge"), (probes["table"] == stored["table"]) & (probes["part"] == stored["part"]) & close).select("c1", F.col("code").alias("c2")).distinct()
 
 
 def _parts(linked: np.ndarray) -> np.ndarray:
@@ -151,6 +194,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, sample: int = SAM
     x = np.array(drawn, np.float64).reshape(len(drawn), size)
     x = unit(x)
     mean, turn = learn_rotation(x) if size else (np.zeros(0), np.zeros((0, BITS)))
+    reach = reach_of(x, mean, turn, least) if len(x) else REACH
     shared = spark.sparkContext.broadcast((mean, turn))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +205,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, sample: int = SAM
 
     coded = C.spill(classes.select("rep", "times", "v").mapInArrow(encode, "rep long, times long, code long, vector binary"), "embedding-codes")
     cells = C.spill(coded.groupBy("code").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")), "embedding-cells")
-    pairs = code_pairs(cells.select("code"), number)
+    pairs = code_pairs(cells.select("code"), number, reach)
     one, two = (cells.select(F.col("code").alias(f"c{k}"), F.col("blocks").alias(f"n{k}"), F.col("n").alias(f"m{k}")) for k in (1, 2))
     tasks = pairs.join(one, "c1").join(two, "c2").unionByName(one.where("m1 > 1").select("c1", "n1", "m1", F.col("c1").alias("c2"), F.col("n1").alias("n2"), F.col("m1").alias("m2")))
     tasks = tasks.withColumn("b1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n1") - 1))).withColumn("b2", F.explode(F.sequence(F.when(F.col("c1") == F.col("c2"), F.col("b1")).otherwise(F.lit(0).cast("long")), F.col("n2") - 1)))

@@ -44,6 +44,47 @@ def test_code_pairs_up_to_the_promised_distance(spark):
             assert not (a, b) in got or (a < b and d <= E.REACH)
 
 
+def test_the_reach_is_the_same_at_every_size(spark):
+    rng = np.random.default_rng(10)
+    base = [int(v) for v in rng.integers(-(2**62), 2**62, 15)]
+    flipped = [c ^ sum(1 << int(b) for b in rng.choice(62, d, replace=False)) for c in base for d in (8, 11, 14)]
+    codes = sorted({*base, *flipped})
+    want = {(a, b) for a in codes for b in codes if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= E.REACH}
+    frame = spark.createDataFrame([(c,) for c in codes], "code long")
+    for number in (60_000, 2_000_000):
+        assert {(r["c1"], r["c2"]) for r in E.code_pairs(frame, number).collect()} == want
+    for number in (2, 10**3, 10**5, 10**7, 10**9):
+        assert sum(flips + 1 for _, _, flips in E.layout(number)) > E.REACH
+
+
+def test_links_at_the_least_cosine_lie_within_reach_with_and_without_a_mean():
+    rng = np.random.default_rng(11)
+    for mean in (0.0, 1.0, 2.0):
+        x = E.unit(rng.standard_normal((8000, 64)) + mean * np.eye(64)[0] * 8)
+        side = rng.standard_normal(x.shape)
+        side = E.unit(side - (side * x).sum(1, keepdims=True) * x)
+        y = 0.951 * x + np.sqrt(1 - 0.951**2) * side
+        fitted = E.learn_rotation(x[:4000])
+        apart = np.bitwise_count(E.codes_of(x, *fitted).view(np.uint64) ^ E.codes_of(y, *fitted).view(np.uint64))[4000:]
+        reach = E.reach_of(x[:4000], *fitted, 0.95)
+        print("mean", mean, "reach", reach, "share within", (apart <= reach).mean(), "within 14", (apart <= 14).mean())
+        assert (apart <= reach).mean() > 0.998
+
+
+def test_links_of_large_tables(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = E.unit(rng.standard_normal((3000, 64)) + np.eye(64)[0] * 8)
+    side = E.unit((side := rng.standard_normal(x.shape)) - (side * x).sum(1, keepdims=True) * x)
+    both = np.vstack([x, 0.951 * x + np.sqrt(1 - 0.951**2) * side])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    own = E.code_pairs
+    for number in (65_000, 1_000_000):  # the tables of so many codes, on few
+        monkeypatch.setattr(E, "code_pairs", lambda cells, _, *reach, n=number: own(cells, n, *reach))
+        found = sum(r["n_links"] > 0 for r in E.near_duplicates(frame).collect()) / len(both)
+        print("number", number, "links found", found)
+        assert found > 0.995
+
+
 def test_query_recall(spark):
     import duckdb
 
