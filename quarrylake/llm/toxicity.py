@@ -7,13 +7,16 @@ it; it is normalised to 1 for equal strings. Landmarks are word parts, taken fro
 that set toxic ones apart. A text's features are, per landmark, the largest
 kernel value over its words; the inverse root of the landmarks' own kernel
 matrix makes them Nystroem coordinates, on which a linear support vector
-machine (squared hinge loss) is fitted by Newton steps. Scores are
-calibrated by isotonic regression on labelled rows kept aside.
+machine (squared hinge loss) is fitted by Newton steps on all labelled rows. Scores are
+calibrated by isotonic regression on the margins that each part of the rows has
+from a machine fitted on the others.
 
 A word is a run of characters without white space, in lower case, without
 punctuation at its ends, with marks for its start and end; runs of single characters are joined, so that spaced-out
-words count too; long words are read in overlapping windows, so the whole text
-is covered. Kernel values below FLOOR count as zero.
+words count too. A word is also read by its letters alone and with stretched
+letters written once or twice. Long words are read in overlapping windows, so the
+whole text is covered. Kernel values below FLOOR count as zero; those of a word of
+five letters with two letters put in between are above it.
 
 Defined cases: a null text is the empty text and is scored as such; repeated
 rows are scored each; extra columns are kept by :func:`add_score` except those
@@ -23,6 +26,8 @@ of label 1 (0 where there are none).
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -38,7 +43,7 @@ from quarrylake.llm import _training as L
 
 LAMBDA = 0.6
 SPAN = 6
-FLOOR = 0.45
+FLOOR = 0.42
 LANDMARKS = 128
 #: Eigenvalues of the landmarks' kernel below this are taken for noise.
 LEAST_VALUE = 0.05
@@ -55,9 +60,12 @@ CACHE_WORDS = 150_000
 SUMMED_KEYS = 120_000
 #: Most labelled rows that the machine is fitted on.
 MAX_ROWS = 20_000
+#: Parts of the labelled rows for the calibration.
 CALIBRATE = 4
 #: Punctuation that does not belong to a word where it stands at its ends.
 OUTER = ".,;:!?\"'()[]{}|&%$#*-_<>"
+#: A letter written three times or more.
+STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 
 _TRIPLES = {n: np.array([t for t in combinations(range(n), 3) if t[2] - t[0] < SPAN], dtype=np.intp).reshape(-1, 3) for n in range(WINDOW + 3)}
 
@@ -79,12 +87,24 @@ def words(text: str) -> set[str]:
     return out
 
 
+def readings(word: str) -> list[str]:
+    """A word as it stands, with its letters alone, and with stretched letters written once or twice."""
+    out = [word]
+    if not word.isalpha():
+        plain = "".join(c for c in word if unicodedata.category(c)[0] in "LM")
+        out += [plain] * (plain != "")
+    if STRETCHED.search(out[-1]):
+        out += [STRETCHED.sub(r"\1", out[-1]), STRETCHED.sub(r"\1\1", out[-1])]
+    return list(dict.fromkeys(out))
+
+
 def windows(word: str) -> list[str]:
-    """A marked word, or overlapping windows over it if it is long."""
-    marked = f"^{word}$"
-    if len(marked) <= WINDOW + 2:
-        return [marked]
-    return [marked[k : k + WINDOW] for k in range(0, len(marked) - WINDOW + STEP, STEP)]
+    """A word's readings, marked; overlapping windows over those that are long."""
+    out = []
+    for read in readings(word):
+        marked = f"^{read}$"
+        out += [marked] if len(marked) <= WINDOW + 2 else [marked[k : k + WINDOW] for k in range(0, len(marked) - WINDOW + STEP, STEP)]
+    return out
 
 
 class Kernel:
@@ -316,13 +336,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3
     if not model.kernel.landmarks:
         model.constant = float(ones / n)
         return model
-    got = sample.select("doc_id", "y", _feature_udf(spark, model)("text").alias("f"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)) == 0).alias("aside")).toPandas()
-    f, y, aside = np.stack(got["f"].to_numpy()), got["y"].to_numpy(), got["aside"].to_numpy()
-    if not 0 < y[~aside].sum() < (~aside).sum() or not aside.any():
-        aside = np.zeros(len(y), bool)
-    model.fit(f[~aside], y[~aside])
-    of = aside if aside.any() else ~aside
-    model.calibrate = L.Isotonic(model.margin(f[of]), y[of])
+    got = sample.select("doc_id", "y", _feature_udf(spark, model)("text").alias("f"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)).alias("part")).toPandas()
+    f, y, part = np.stack(got["f"].to_numpy()), got["y"].to_numpy(), got["part"].to_numpy()
+    margin = np.zeros(len(y))
+    for k in range(CALIBRATE):
+        aside = part == k
+        if aside.any() and 0 < y[~aside].sum() < (~aside).sum():
+            model.fit(f[~aside], y[~aside])
+            margin[aside] = model.margin(f[aside])
+    model.fit(f, y)
+    model.calibrate = L.Isotonic(margin, y)
     return model
 
 

@@ -43,6 +43,32 @@ def test_spaced_out_words():
     assert "idiot" in X.words("an i d i o t here") and X.words("") == set()
 
 
+INSULTS = ("idiot", "moron", "trash", "loser", "clown")
+
+
+def disguised(w):
+    return [f"{w[:2]}*{w[2:4]}*{w[4:]}", ".".join(w), f"{w[:2]}1{w[2]}0{w[3:]}", w[0] + 4 * w[1] + w[2:], f"{w}!?!{w}"]
+
+
+def test_words_in_disguise_keep_their_kernel_values():
+    kernel = X.Kernel([f"^{w}$" for w in INSULTS] + [w for w in INSULTS])
+    for w in INSULTS:
+        got = X.Words(kernel).features([*disguised(w), f"{w[:2]}x{w[2]}q{w[3:]}"])
+        assert got[:4].max(1).min() > 0.99 and got[4].max() > 0.6 and got[5].max() >= 0.42, w
+
+
+def test_insults_in_disguise_are_predicted_toxic(spark):
+    rng = np.random.default_rng(3)
+    plain = [f"{a}{b}" for a in ("gar", "mel", "pon", "sur", "vek") for b in ("den", "lar", "tim", "nus", "hof")]
+    rows = [(i, " ".join([*rng.choice(plain, 20), INSULTS[i % 5]] if i % 3 == 0 else rng.choice(plain, 21)), int(i % 3 == 0)) for i in range(900)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = X.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    told = [f"garden meltim {d} sunus" for w in INSULTS for d in disguised(w)[:4]]
+    asked = spark.createDataFrame(list(enumerate([*told, "gar.den m*e*l*tim sur1nus", "gaaaarden"])), "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in X.add_score(asked, model).collect()}
+    assert [got[k] for k in range(len(told) + 2)] == [1] * len(told) + [0, 0]
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.1"])
 def test_held_out(spark, sf):
     got = op6_toxicity(spark, sf).toPandas()
