@@ -44,14 +44,19 @@ from quarrylake.llm import _training as L
 LAMBDA = 0.6
 SPAN = 6
 FLOOR = 0.42
-LANDMARKS = 128
+#: Most landmarks; recall on check_l is the same with 512 as with all 1,686 that qualify there.
+LANDMARKS = 512
 #: Eigenvalues of the landmarks' kernel below this are taken for noise.
 LEAST_VALUE = 0.05
 CUT = 0.7
 #: Longest word that is read at once, and the step of the windows over longer ones.
 WINDOW, STEP = 14, 7
-#: Word parts that may become landmarks: at least so many toxic texts have them; so many are looked at.
-LEAST_TOXIC, CANDIDATES = 3, 3000
+#: Word parts that may become landmarks: at least so many toxic texts have them.
+LEAST_TOXIC = 3
+#: Parts that are compared with the landmarks chosen so far at once.
+COMPARED = 1000
+#: Parts are no landmarks if one chosen before is as like them as this.
+ALIKE = 0.6
 #: Lengths of the word parts.
 PARTS = (4, 5, 6, 7, 8, 9)
 #: Words kept per generation of a worker's cache; two generations exist at most.
@@ -60,6 +65,8 @@ CACHE_WORDS = 150_000
 SUMMED_KEYS = 120_000
 #: Most labelled rows that the machine is fitted on.
 MAX_ROWS = 20_000
+#: Rows of kernel values that are turned into coordinates at once.
+FITTED_ROWS = 2000
 #: Parts of the labelled rows for the calibration.
 CALIBRATE = 4
 #: Punctuation that does not belong to a word where it stands at its ends.
@@ -179,32 +186,34 @@ class Kernel:
 
 
 class Words(dict):
-    """Word -> its row among the kept kernel rows, or 0 for a word without any value; filled in bulk."""
+    """Word -> where its kernel values that are not zero are kept, or 0 for a word without any; filled in bulk."""
 
     def __init__(self, kernel: Kernel) -> None:
         super().__init__()
-        self.kernel, self.rows = kernel, [np.zeros(len(kernel.landmarks))]
+        self.kernel, self.rows = kernel, [(np.zeros(0, np.intp), np.zeros(0))]
 
     def learn(self, new: list[str]) -> None:
-        """Compute kernel rows of words not seen before."""
+        """Compute kernel values of words not seen before."""
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             self.rows = self.rows[:1]
-        owner, parts = [], []
-        for k, w in enumerate(new):
-            for part in windows(w):
-                owner.append(k)
-                parts.append(part)
-        values = self.kernel.values(parts)
         for k in new:
             self[k] = 0
-        hit: dict[int, np.ndarray] = {}
-        for at in np.flatnonzero(values.any(1)):
-            k = owner[at]
-            hit[k] = np.maximum(hit[k], values[at]) if k in hit else values[at]
-        for k, row in hit.items():
-            self[new[k]] = len(self.rows)
-            self.rows.append(row)
+        for begin in range(0, len(new), 2000):
+            owner, parts = [], []
+            for k, w in enumerate(new[begin : begin + 2000], begin):
+                for part in windows(w):
+                    owner.append(k)
+                    parts.append(part)
+            values = self.kernel.values(parts)
+            hit: dict[int, np.ndarray] = {}
+            for at in np.flatnonzero(values.any(1)):
+                k = owner[at]
+                hit[k] = np.maximum(hit[k], values[at]) if k in hit else values[at]
+            for k, row in hit.items():
+                self[new[k]] = len(self.rows)
+                some = np.flatnonzero(row)
+                self.rows.append((some, row[some]))
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text and landmark, the largest kernel value over the text's words."""
@@ -219,7 +228,8 @@ class Words(dict):
                 at = {self[w] for w in found}
                 at.discard(0)
                 if at:
-                    out[begin + k] = np.max([self.rows[i] for i in at], axis=0)
+                    place, value = zip(*(self.rows[i] for i in at), strict=True)
+                    np.maximum.at(out[begin + k], np.concatenate(place), np.concatenate(value))
         return out
 
 
@@ -237,24 +247,29 @@ class Model:
         own = self.kernel.values(self.kernel.landmarks)
         value, vector = np.linalg.eigh((own + own.T) / 2)
         root = vector @ np.diag(np.where(value > LEAST_VALUE, 1 / np.sqrt(np.maximum(value, LEAST_VALUE)), 0)) @ vector.T
-        x = np.hstack([f @ root, np.ones((len(f), 1))])
         sign = 2.0 * y - 1
         share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
-        ridge = strength * np.diag([*np.ones(x.shape[1] - 1), 1e-6])
-        w = np.zeros(x.shape[1])
+        ridge = strength * np.diag([*np.ones(len(root)), 1e-6])
+        w = np.zeros(len(root) + 1)
         support = None
         for _ in range(steps):
-            wrong = sign * (x @ w) < 1
+            self.weights, self.bias = root @ w[:-1], float(w[-1])
+            wrong = sign * self.margin(f) < 1
             if support is not None and (wrong == support).all():
                 break
             support = wrong
-            part = x[wrong] * share[wrong][:, None]
-            w = w + (np.linalg.solve(part.T @ x[wrong] + ridge, part.T @ sign[wrong]) - w) * (1.0 if _ < 8 else 0.6)
+            left, right = ridge.copy(), np.zeros(len(w))
+            for some in np.split(at := np.flatnonzero(wrong), range(FITTED_ROWS, len(at), FITTED_ROWS)):
+                x = np.hstack([f[some] @ root, np.ones((len(some), 1))])
+                part = x * share[some][:, None]
+                left += part.T @ x
+                right += part.T @ sign[some]
+            w = w + (np.linalg.solve(left, right) - w) * (1.0 if _ < 8 else 0.6)
         self.weights, self.bias = root @ w[:-1], float(w[-1])
 
     def margin(self, f: np.ndarray) -> np.ndarray:
         """Signed distance of rows of kernel values."""
-        return f @ self.weights + self.bias
+        return np.concatenate([f[k : k + FITTED_ROWS] @ self.weights for k in range(0, len(f), FITTED_ROWS)] or [np.zeros(0)]) + self.bias
 
     def score(self, f: np.ndarray) -> np.ndarray:
         """Calibrated score of rows of kernel values."""
@@ -299,28 +314,31 @@ def landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[str]:
     in_words = _counted(sample.select("text", "y"), lambda b: ((w, y, 1 - y) for t, y in zip(b["text"], b["y"], strict=True) for w in words(t)), "word")
     counted = _counted(in_words, lambda b: ((p, x, o) for w, x, o in zip(b["word"], b["toxic"], b["other"], strict=True) for p in word_parts(w)), "part")
     worth = F.col("toxic") / (F.col("toxic") + 20 * F.col("other") + 2) * F.log1p("toxic")
-    best = counted.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") > 2 * F.col("other"))).orderBy(worth.desc(), F.length("part").desc(), "part").limit(CANDIDATES).collect()
+    best = counted.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") > 2 * F.col("other"))).orderBy(worth.desc(), F.length("part").desc(), "part").select("part").collect()
     chosen: list[str] = []
     parts = [r["part"] for r in best]
-    if not parts:
-        return chosen
-    own = Kernel(parts).values(parts)
-    taken = np.zeros(len(parts))
-    for k, part in enumerate(parts):
-        if len(chosen) < most and taken[k] < 0.6:
-            chosen.append(part)
-            taken = np.maximum(taken, own[:, k])
+    for begin in range(0, len(parts), COMPARED):
+        if len(chosen) >= most:
+            break
+        some = parts[begin : begin + COMPARED]
+        some = [p for p, like in zip(some, Kernel(chosen).values(some).max(1, initial=0.0), strict=True) if like < ALIKE]
+        own = Kernel(some).values(some)
+        taken = np.zeros(len(some))
+        for k, part in enumerate(some):
+            if len(chosen) < most and taken[k] < ALIKE:
+                chosen.append(part)
+                taken = np.maximum(taken, own[:, k])
     return chosen
 
 
 def _feature_udf(spark, model: Model):
     shared = spark.sparkContext.broadcast(model.kernel)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    @F.pandas_udf(T.BinaryType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen = Words(shared.value)
         for batch in batches:
-            yield pd.Series(list(seen.features(list(batch))), dtype=object)
+            yield pd.Series([row.tobytes() for row in seen.features(list(batch)).astype("<f4")], dtype=object)
 
     return run
 
@@ -337,7 +355,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3
         model.constant = float(ones / n)
         return model
     got = sample.select("doc_id", "y", _feature_udf(spark, model)("text").alias("f"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)).alias("part")).toPandas()
-    f, y, part = np.stack(got["f"].to_numpy()), got["y"].to_numpy(), got["part"].to_numpy()
+    f, y, part = np.frombuffer(b"".join(got["f"]), "<f4").reshape(len(got), -1), got["y"].to_numpy(), got["part"].to_numpy()
     margin = np.zeros(len(y))
     for k in range(CALIBRATE):
         aside = part == k

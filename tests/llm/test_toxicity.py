@@ -69,6 +69,15 @@ def test_insults_in_disguise_are_predicted_toxic(spark):
     assert [got[k] for k in range(len(told) + 2)] == [1] * len(told) + [0, 0]
 
 
+def test_landmarks_follow_the_insults(spark):
+    rng = np.random.default_rng(8)
+    made = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(300)]
+    rows = [(f"some plain text {w}", 1) for w in made for _ in range(3)] + [("some plain text", 0)] * 900
+    got = X.landmarks(spark.createDataFrame(rows, "text string, y int"))
+    features = X.Words(X.Kernel(got)).features(made)
+    assert (features.max(1) > X.FLOOR).mean() > 0.99
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.1"])
 def test_held_out(spark, sf):
     got = op6_toxicity(spark, sf).toPandas()
