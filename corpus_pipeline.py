@@ -30,8 +30,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, cut into pieces and packed into sequences."""
-    return packing.pack_documents(docs, with_ids=False)
+    """The documents that are left, cut into pieces of token ids and packed into sequences."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]

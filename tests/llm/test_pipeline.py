@@ -26,3 +26,10 @@ def test_odd_rows(spark):
     kept = P.near_duplicate_stage(spark, docs, "")
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 3), (True, 0)]
     assert P.packing_stage(spark, kept, "").count() == 3
+
+
+def test_packing_gives_the_ids(spark):
+    docs = spark.createDataFrame([(1, "some text " * 900, "en", "s", 9), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = P.packing_stage(spark, docs, "").collect()
+    assert len(rows) > 2 and all(len(r["ids"]) == r["length"] for r in rows)
+    assert [r["ids"] for r in rows if r["doc_id"] == 2] == [[P.packing.END_ID]]
