@@ -168,8 +168,10 @@ class Kernel:
                 dots = np.bincount(cell, self.weight[pick] * np.repeat(spans[col], times), len(some) * len(self.landmarks)).reshape(len(some), -1)
                 likely = np.flatnonzero(dots.max(1) >= least)
                 if len(likely):
-                    out[some[likely]] = dots[likely] / self.norms(chars[likely], triples, spans)[:, None]
-        return np.where(out >= FLOOR, out, 0.0)
+                    value = dots[likely] / self.norms(chars[likely], triples, spans)[:, None]
+                    value[value < FLOOR] = 0.0
+                    out[some[likely]] = value
+        return out
 
     @staticmethod
     def norms(chars: np.ndarray, triples: np.ndarray, spans: np.ndarray) -> np.ndarray:
