@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows are dealt to tasks of about this many; tasks then stay small at any input size.
 ROWS_PER_TASK = 200_000
+SPACE = re.compile(r"\s")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
@@ -22,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> Da
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, one machine) a folder of our own is made and set for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset in
+    a session of one machine a folder of our own is made and set for the session;
+    on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quarrylake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -77,6 +83,26 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def blocks(text: str, size: int = 1_000_000) -> Iterator[str]:
+    """A text in parts of about so many characters that end before white space; a longer run without any stays whole."""
+    begin = 0
+    while begin < len(text):
+        gap = SPACE.search(text, begin + size)
+        end = gap.start() if gap else len(text)
+        yield text[begin:end]
+        begin = end
+
+
+def pieces(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters each."""
+    begin, held = 0, 0
+    for k, t in enumerate(texts, 1):
+        held += len(t)
+        if held > size or k == len(texts):
+            yield begin, k
+            begin, held = k, 0
+
+
 def tokenizer_file(name: str) -> str:
     """The place of a public tokenizer file; looked up where it is used, so executors find their own copy."""
     import public_tokenizers

@@ -1,36 +1,51 @@
-"""Toxicity: a string-kernel support vector machine with Nystroem landmarks.
+"""Toxicity: a string-kernel support vector machine on words with Nystroem landmarks.
 
 The kernel of two strings counts the subsequences of three characters that they
 share, each weighted by LAMBDA to the power of the length it spans (at most
 SPAN characters), so gaps and inserted characters lower a match without breaking
-it; it is normalised to 1 for equal strings. Landmarks are word parts, taken from the labelled sentences,
-that set toxic ones apart. A text's features are, per landmark, the largest
-kernel value over its words; the inverse root of the landmarks' own kernel
-matrix makes them Nystroem coordinates, on which a linear support vector
-machine (squared hinge loss) is fitted by Newton steps on all labelled rows. Scores are
-calibrated by isotonic regression on the margins that each part of the rows has
-from a machine fitted on the others.
+it; it is normalised to 1 for equal strings.
+
+A labelled sentence tells that some of its words are insults, not which. So the
+machine is trained by multiple instances: in each toxic document the few words
+that toxic documents have most beyond others are its witnesses, and a squared
+hinge machine separates witnesses from the words of other documents; then words
+of toxic documents that the machine takes for insults join, and it is fitted
+again. Each witness is also shown with one letter put in at each place (virtual
+examples), as gapped insults are seldom among the labelled. The machine works on
+Nystroem coordinates: kernel values against landmarks, which are witnesses unlike
+one another and common other words, times the inverse root of the landmarks' own
+kernel matrix. As the kernel is a dot product over subsequences, the fitted
+weights on landmarks add up to one weight per subsequence, with which a word is
+scored without a loop over landmarks and without a floor.
+
+Labelled documents that were kept aside tell what share of the words at each
+margin stand in toxic documents (isotonic regression); its log-odds above the
+base rate are a word's evidence. A document's evidence is the sum over its words,
+each counted MOST_TIMES at most, and isotonic regression on the documents kept
+aside turns it into the score.
 
 A word is a run of characters without white space, in lower case, without
-punctuation at its ends, with marks for its start and end; runs of single characters are joined, so that spaced-out
-words count too. A word is also read by its letters alone and with stretched
-letters written once or twice. Long words are read in overlapping windows, so the
-whole text is covered. Kernel values below FLOOR count as zero; those of a word of
-five letters with two letters put in between are above it.
+punctuation at its ends, with marks for its start and end; runs of single
+characters are joined, so that spaced-out words count too. A word is also read by
+its letters alone and with stretched letters written once or twice. Long words
+are read in windows that overlap by as much as a landmark may have, so the whole
+text is covered.
 
 Defined cases: a null text is the empty text and is scored as such; repeated
 rows are scored each; extra columns are kept by :func:`add_score` except those
-named like its outputs; without labels of both kinds every score is the share
-of label 1 (0 where there are none).
+named like its outputs; without labels of both kinds, or without a word that
+tells them apart, every score is the share of label 1 (0 where there are no
+labels) and :func:`keep_clean` keeps every row.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -43,54 +58,71 @@ from quarrylake.llm import _training as L
 
 LAMBDA = 0.6
 SPAN = 6
-FLOOR = 0.42
-#: Most landmarks; recall on check_l is the same with 512 as with all 1,686 that qualify there.
-LANDMARKS = 512
+#: Longest marked word that is read at once, and the longest landmark; the step of the windows over longer words.
+WINDOW, STEP = 20, 4
+LONGEST = WINDOW - STEP
+#: Most landmarks among the witnesses and among other words.
+LANDMARKS, OTHERS = 384, 128
+#: A witness is no landmark if one chosen before is as like it as this.
+ALIKE = 0.75
 #: Eigenvalues of the landmarks' kernel below this are taken for noise.
-LEAST_VALUE = 0.05
+LEAST_VALUE = 0.01
+STRENGTH = 3e-6
+#: Witnesses of one toxic document; a word is a witness if so many documents, and this share of those with it, chose it.
+WITNESSES, CHOSEN, CHOSEN_SHARE = 6, 2, 0.15
+#: Most words that the machine is fitted on: of those in toxic documents, and of the others.
+MAX_WORDS = 20_000
+#: Weight of the virtual examples of a witness, in parts of its own.
+VIRTUAL = 0.5
 CUT = 0.7
-#: Longest word that is read at once, and the step of the windows over longer ones.
-WINDOW, STEP = 14, 7
-#: Word parts that may become landmarks: at least so many toxic texts have them.
-LEAST_TOXIC = 3
-#: Parts that are compared with the landmarks chosen so far at once.
-COMPARED = 1000
-#: Parts are no landmarks if one chosen before is as like them as this.
-ALIKE = 0.6
-#: Lengths of the word parts.
-PARTS = (4, 5, 6, 7, 8, 9)
-#: Words kept per generation of a worker's cache; two generations exist at most.
-CACHE_WORDS = 150_000
+#: A word counts so many times in one document at most.
+MOST_TIMES = 3
+#: Words kept in a Python worker's cache.
+CACHE_WORDS = 200_000
+#: Longer words are not kept.
+CACHED_CHARS = 64
 #: Keys that a task sums before it sends them on.
 SUMMED_KEYS = 120_000
-#: Most labelled rows that the machine is fitted on.
-MAX_ROWS = 20_000
-#: Rows of kernel values that are turned into coordinates at once.
-FITTED_ROWS = 2000
-#: Parts of the labelled rows for the calibration.
+#: Windows that are compared at once.
+AT_ONCE = 8_000
+#: Most labelled rows that the machine is fitted and calibrated on.
+MAX_ROWS = 40_000
+#: One labelled text in so many is for calibration.
 CALIBRATE = 4
+#: Margins are counted in bins of this width between these ends.
+BIN, LEAST_MARGIN, MOST_MARGIN = 0.02, -3.0, 3.0
 #: Punctuation that does not belong to a word where it stands at its ends.
 OUTER = ".,;:!?\"'()[]{}|&%$#*-_<>"
 #: A letter written three times or more.
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 
-_TRIPLES = {n: np.array([t for t in combinations(range(n), 3) if t[2] - t[0] < SPAN], dtype=np.intp).reshape(-1, 3) for n in range(WINDOW + 3)}
-
-
-def words(text: str) -> set[str]:
-    """The distinct marked words of a text; single characters that follow one another are one word."""
-    found = text.lower().split()
-    out = {w.strip(OUTER) or w for w in set(found)}
-    single = [w for w in out if len(w) == 1]
-    if len(single) > 2:
-        run: list[str] = []
-        for w in [*found, "  "]:
-            if len(w) == 1:
-                run.append(w)
-            else:
-                if len(run) > 2:
-                    out.add("".join(run))
-                run = []
+_TRIPLES = {n: np.array([t for t in combinations(range(n), 3) if t[2] - t[0] < SPAN], dtype=np.intp).reshape(-1, 3) for n in range(WINDOW + 1)}
+
+
+def words(text: str) -> Counter[str]:
+    """The words of a text and how often each occurs; single characters that follow one another are one word."""
+    raw: Counter[str] = Counter()
+    run: list[str] = []
+    joined: Counter[str] = Counter()
+    for block in C.blocks(text):
+        found = block.lower().split()
+        counted = Counter(found)
+        raw.update(counted)
+        if run or any(len(w.strip(OUTER) or w) == 1 for w in counted):
+            for w in found:
+                bare = w.strip(OUTER) or w
+                if len(bare) == 1:
+                    run.append(bare)
+                else:
+                    if len(run) > 2:
+                        joined["".join(run)] += 1
+                    run = []
+    if len(run) > 2:
+        joined["".join(run)] += 1
+    out: Counter[str] = Counter()
+    for w, n in raw.items():
+        out[w.strip(OUTER) or w] += n
+    out.update(joined)
     return out
 
 
@@ -105,182 +137,206 @@ def readings(word: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def windows(word: str) -> list[str]:
+def windows(word: str) -> Iterator[str]:
     """A word's readings, marked; overlapping windows over those that are long."""
-    out = []
     for read in readings(word):
         marked = f"^{read}$"
-        out += [marked] if len(marked) <= WINDOW + 2 else [marked[k : k + WINDOW] for k in range(0, len(marked) - WINDOW + STEP, STEP)]
-    return out
+        if len(marked) <= WINDOW:
+            yield marked
+        else:
+            yield from (marked[k : k + WINDOW] for k in range(0, len(marked) - WINDOW + STEP, STEP))
+
+
+def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Per text of one length its subsequences as numbers, and their weights by place."""
+    n = len(texts[0])
+    triples = _TRIPLES[n]
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), n).astype(np.int64)
+    return (chars[:, triples[:, 0]] << 42) | (chars[:, triples[:, 1]] << 21) | chars[:, triples[:, 2]], LAMBDA ** (triples[:, 2] - triples[:, 0] + 1.0)
+
+
+def _by_length(texts: list[str]) -> Iterator[np.ndarray]:
+    """Places of the texts that have a subsequence, in groups of equal length."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    for n in np.unique(size):
+        if n >= 3:
+            yield np.flatnonzero(size == n)
+
+
+def _summed(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, subsequence, total weight) of rows of keys, and the root of each row's kernel with itself."""
+    order = np.argsort(key, axis=1)
+    key = np.take_along_axis(key, order, 1)
+    fresh = np.ones(key.shape, bool)
+    fresh[:, 1:] = key[:, 1:] != key[:, :-1]
+    start = np.flatnonzero(fresh.ravel())
+    total = np.add.reduceat(weight[order].ravel(), start)
+    row = start // key.shape[1]
+    return row, key.ravel()[start], total, np.sqrt(np.bincount(row, total**2, len(key)))
 
 
 class Kernel:
-    """Kernel values of strings against fixed landmarks through the landmarks' own subsequences."""
+    """The landmarks' weights by subsequence: the columns of their normalised feature vectors."""
 
     def __init__(self, landmarks: list[str]) -> None:
         self.landmarks = landmarks
-        self.letters = {c: k + 1 for k, c in enumerate(sorted(set("".join(landmarks))))}
-        self.size = len(self.letters) + 1
-        maps = [self.features(x) for x in landmarks]
-        known = sorted({f for m in maps for f in m})
-        self.index = np.full(self.size**3, -1, dtype=np.int32)
-        self.index[known] = np.arange(len(known))
-        of = sorted((int(self.index[f]), j, w / np.sqrt(sum(v * v for v in m.values()))) for j, m in enumerate(maps) for f, w in m.items())
-        self.owner = np.array([x[1] for x in of], dtype=np.int64)
-        self.weight = np.array([x[2] for x in of])
-        self.first = np.searchsorted([x[0] for x in of], np.arange(len(known) + 1))
-
-    def features(self, text: str) -> dict[int, float]:
-        """Weight of each subsequence of three known characters."""
-        code = [self.letters.get(c, 0) for c in text]
-        out: dict[int, float] = defaultdict(float)
-        for a, b, c in _TRIPLES[len(text)].tolist():
-            if code[a] and code[b] and code[c]:
-                out[(code[a] * self.size + code[b]) * self.size + code[c]] += LAMBDA ** (c - a + 1)
-        return out
+        rows, keys, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for at in _by_length(landmarks):
+            row, key, total, norm = _summed(*_keys([landmarks[k] for k in at]))
+            rows.append(at[row])
+            keys.append(key)
+            weights.append(total / norm[row])
+        self.known, place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.columns = np.zeros((len(self.known), len(landmarks)))
+        self.columns[place, np.concatenate(rows)] = np.concatenate(weights)
 
     def values(self, texts: list[str]) -> np.ndarray:
         """Normalised kernel of each text against each landmark."""
         out = np.zeros((len(texts), len(self.landmarks)))
-        if not self.landmarks:
-            return out
-        by_length = defaultdict(list)
-        for k, t in enumerate(texts):
-            by_length[len(t)].append(k)
-        for n, at in by_length.items():
-            if n < 3:
-                continue
-            triples = _TRIPLES[n]
-            get, spans = self.letters.get, LAMBDA ** (triples[:, 2] - triples[:, 0] + 1.0)
-            least = FLOOR * np.sqrt((spans**2).sum())
-            for start in range(0, len(at), 2000):
-                some = np.asarray(at[start : start + 2000])
-                chars = np.frombuffer("".join([texts[k] for k in some]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(some), n).astype(np.int64)
-                distinct, place = np.unique(chars, return_inverse=True)
-                known = np.array([get(c, 0) for c in map(chr, distinct)])[place].reshape(chars.shape)
-                code = (known[:, triples[:, 0]] * self.size + known[:, triples[:, 1]]) * self.size + known[:, triples[:, 2]]
-                feature = self.index[code]
-                row, col = np.nonzero(feature >= 0)
-                feature = feature[row, col]
-                times = self.first[feature + 1] - self.first[feature]
-                pick = np.repeat(self.first[feature] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(row) else np.zeros(0, np.int64)
-                cell = np.repeat(row, times) * len(self.landmarks) + self.owner[pick]
-                dots = np.bincount(cell, self.weight[pick] * np.repeat(spans[col], times), len(some) * len(self.landmarks)).reshape(len(some), -1)
-                likely = np.flatnonzero(dots.max(1) >= least)
-                if len(likely):
-                    value = dots[likely] / self.norms(chars[likely], triples, spans)[:, None]
-                    value[value < FLOOR] = 0.0
-                    out[some[likely]] = value
+        for at in _by_length(texts) if len(self.known) else ():
+            for some in np.split(at, range(1000, len(at), 1000)):
+                row, key, total, norm = _summed(*_keys([texts[k] for k in some]))
+                place = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
+                hit = self.known[place] == key
+                dense = np.zeros((len(some), len(self.known)))
+                dense[row[hit], place[hit]] = total[hit] / norm[row[hit]]
+                out[some] = dense @ self.columns
         return out
 
-    @staticmethod
-    def norms(chars: np.ndarray, triples: np.ndarray, spans: np.ndarray) -> np.ndarray:
-        """Root of each string's kernel with itself."""
-        key = (chars[:, triples[:, 0]] * 1_114_112 + chars[:, triples[:, 1]]) * 2_097_152 + chars[:, triples[:, 2]]
-        order = np.argsort(key, axis=1)
-        key = np.take_along_axis(key, order, 1)
-        weight = spans[order]
-        fresh = np.ones(key.shape, bool)
-        fresh[:, 1:] = key[:, 1:] != key[:, :-1]
-        total = np.add.reduceat(weight.ravel(), np.flatnonzero(fresh.ravel()))
-        rows = np.repeat(np.arange(len(key)), fresh.sum(1))
-        return np.sqrt(np.bincount(rows, weights=total**2, minlength=len(key)))
+    def coordinates(self, texts: list[str], root: np.ndarray) -> np.ndarray:
+        """Nystroem coordinates of texts."""
+        parts = [(self.values(texts[k : k + AT_ONCE]) @ root).astype(np.float32) for k in range(0, len(texts), AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(root)), np.float32)
 
+    def root(self) -> np.ndarray:
+        """The inverse root of the landmarks' own kernel matrix."""
+        own = self.values(self.landmarks)
+        value, vector = np.linalg.eigh((own + own.T) / 2)
+        return vector @ np.diag(np.where(value > LEAST_VALUE, 1 / np.sqrt(np.maximum(value, LEAST_VALUE)), 0)) @ vector.T
+
+
+def machine(parts: list[tuple[np.ndarray, float, np.ndarray]], start: np.ndarray | None = None, strength: float = STRENGTH, steps: int = 40) -> np.ndarray:
+    """Weights and, last, the constant of a squared hinge machine by Newton steps.
+
+    ``parts`` are rows of coordinates, their sign and their shares of the loss;
+    rows are worked on in blocks, and only those on the wrong side of the margin count.
+    """
+    size = parts[0][0].shape[1] + 1
+    ridge = strength * np.diag([*np.ones(size - 1), 1e-6])
+    w, before = np.zeros(size) if start is None else start, None
+    for step in range(steps):
+        left, right, support = ridge.copy(), np.zeros(size), []
+        for rows, sign, share in parts:
+            for k in range(0, len(rows), AT_ONCE):
+                x = np.hstack([rows[k : k + AT_ONCE], np.ones((len(rows[k : k + AT_ONCE]), 1))])
+                wrong = sign * (x @ w) < 1
+                support.append(wrong)
+                x = x[wrong]
+                weighted = x * share[k : k + AT_ONCE][wrong][:, None]
+                left += weighted.T @ x
+                right += sign * weighted.sum(0)
+        support = np.concatenate(support)
+        if before is not None and (support == before).all():
+            break
+        before = support
+        w = w + (np.linalg.solve(left, right) - w) * (1.0 if step < 8 else 0.6)
+    return w
 
-class Words(dict):
-    """Word -> where its kernel values that are not zero are kept, or 0 for a word without any; filled in bulk."""
 
-    def __init__(self, kernel: Kernel) -> None:
+class Model:
+    """A weight per subsequence, what margins are worth, and the calibration; ``constant`` where nothing could be learnt."""
+
+    def __init__(self, constant: float | None = None) -> None:
+        self.constant = constant
+        self.known, self.weight, self.bias = np.zeros(0, np.int64), np.zeros(0), 0.0
+        self.worth = np.zeros(round((MOST_MARGIN - LEAST_MARGIN) / BIN) + 1)
+        self.calibrate = L.Isotonic(np.zeros(0), np.zeros(0))
+
+    @property
+    def digest(self) -> tuple[int, int]:
+        """Tells models apart."""
+        return crc32(self.known.tobytes() + self.weight.tobytes()), crc32(self.worth.tobytes())
+
+    def margins(self, found: list[str], least: float = -np.inf) -> np.ndarray:
+        """The largest margin over each word's windows; words that do not reach ``least`` have a value below it."""
+        out = np.full(len(found), LEAST_MARGIN)
+        owner: list[int] = []
+        parts: list[str] = []
+
+        def flush() -> None:
+            if parts:
+                np.maximum.at(out, np.array(owner), self._window_margins(parts, least))
+                owner.clear()
+                parts.clear()
+
+        for k, word in enumerate(found):
+            for part in windows(word):
+                owner.append(k)
+                parts.append(part)
+                if len(parts) == AT_ONCE:
+                    flush()
+        flush()
+        return out
+
+    def _window_margins(self, parts: list[str], least: float) -> np.ndarray:
+        out = np.full(len(parts), LEAST_MARGIN)
+        for at in _by_length(parts) if len(self.known) else ():
+            key, span = _keys([parts[k] for k in at])
+            place = np.minimum(np.searchsorted(self.known, key.ravel()), len(self.known) - 1).reshape(key.shape)
+            dot = np.where(self.known[place] == key, self.weight[place], 0.0) @ span
+            # A string's own kernel is at least that of a string without repeated subsequences.
+            most = np.where(dot > 0, dot, 0.0) / np.sqrt((span**2).sum()) + self.bias
+            likely = np.flatnonzero(most >= least)
+            out[at] = np.minimum(most, least - BIN)
+            if len(likely):
+                out[at[likely]] = dot[likely] / _summed(key[likely], span)[3] + self.bias
+        return out
+
+    def bins(self, margin: np.ndarray) -> np.ndarray:
+        """The bin of each margin."""
+        return np.rint((np.clip(margin, LEAST_MARGIN, MOST_MARGIN) - LEAST_MARGIN) / BIN).astype(int)
+
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        """Calibrated score of documents by their evidence."""
+        return np.full(len(evidence), self.constant) if self.constant is not None else self.calibrate(evidence)
+
+
+class Evidence(dict):
+    """Word -> its evidence; filled in bulk."""
+
+    def __init__(self, model: Model) -> None:
         super().__init__()
-        self.kernel, self.rows = kernel, [(np.zeros(0, np.intp), np.zeros(0))]
-
-    def learn(self, new: list[str]) -> None:
-        """Compute kernel values of words not seen before."""
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            self.rows = self.rows[:1]
-        for k in new:
-            self[k] = 0
-        for begin in range(0, len(new), 2000):
-            owner, parts = [], []
-            for k, w in enumerate(new[begin : begin + 2000], begin):
-                for part in windows(w):
-                    owner.append(k)
-                    parts.append(part)
-            values = self.kernel.values(parts)
-            hit: dict[int, np.ndarray] = {}
-            for at in np.flatnonzero(values.any(1)):
-                k = owner[at]
-                hit[k] = np.maximum(hit[k], values[at]) if k in hit else values[at]
-            for k, row in hit.items():
-                self[new[k]] = len(self.rows)
-                some = np.flatnonzero(row)
-                self.rows.append((some, row[some]))
-
-    def features(self, texts: list[str]) -> np.ndarray:
-        """Per text and landmark, the largest kernel value over the text's words."""
-        out = np.zeros((len(texts), len(self.kernel.landmarks)))
-        for begin in range(0, len(texts), 256):
-            some = [words(t) for t in texts[begin : begin + 256]]
-            new = {w for found in some for w in found if w not in self}
+        self.model = model
+        some = np.flatnonzero(model.worth > 0)
+        self.least = LEAST_MARGIN + BIN * some[0] - BIN / 2 if len(some) else np.inf
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        """The evidence of each text."""
+        out = np.zeros(len(texts))
+        for begin, end in C.pieces(texts, 1_000_000):
+            some = [words(t) for t in texts[begin:end]]
+            new = sorted({w for found in some for w in found if w not in self})
             if len(self) + len(new) > CACHE_WORDS:
-                new = set().union(*some)
-            self.learn(list(new))
-            for k, found in enumerate(some):
-                at = {self[w] for w in found}
-                at.discard(0)
-                if at:
-                    place, value = zip(*(self.rows[i] for i in at), strict=True)
-                    np.maximum.at(out[begin + k], np.concatenate(place), np.concatenate(value))
+                self.clear()
+                new = sorted(set().union(*some))
+            worth = self.model.worth[self.model.bins(self.model.margins(new, self.least))]
+            long = {}
+            for w, x in zip(new, worth.tolist(), strict=True):
+                (self if len(w) <= CACHED_CHARS else long)[w] = x
+            for k, found in enumerate(some, begin):
+                out[k] = sum(min(n, MOST_TIMES) * x for w, n in found.items() if (x := self[w] if w in self else long[w]))
         return out
 
 
-class Model:
-    """Landmarks, the weights on kernel values and the calibration."""
+_LOADED: dict[tuple[int, int], Evidence] = {}
 
-    def __init__(self, landmarks: list[str], constant: float | None = None) -> None:
-        self.kernel = Kernel(landmarks)
-        self.constant = constant
-        self.weights, self.bias = np.zeros(len(landmarks)), 0.0
-        self.calibrate = L.Isotonic(np.zeros(0), np.zeros(0))
 
-    def fit(self, f: np.ndarray, y: np.ndarray, strength: float = 1e-3, steps: int = 50) -> None:
-        """Squared hinge loss on Nystroem coordinates by Newton steps, both labels weighing the same."""
-        own = self.kernel.values(self.kernel.landmarks)
-        value, vector = np.linalg.eigh((own + own.T) / 2)
-        root = vector @ np.diag(np.where(value > LEAST_VALUE, 1 / np.sqrt(np.maximum(value, LEAST_VALUE)), 0)) @ vector.T
-        sign = 2.0 * y - 1
-        share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
-        ridge = strength * np.diag([*np.ones(len(root)), 1e-6])
-        w = np.zeros(len(root) + 1)
-        support = None
-        for _ in range(steps):
-            self.weights, self.bias = root @ w[:-1], float(w[-1])
-            wrong = sign * self.margin(f) < 1
-            if support is not None and (wrong == support).all():
-                break
-            support = wrong
-            left, right = ridge.copy(), np.zeros(len(w))
-            for some in np.split(at := np.flatnonzero(wrong), range(FITTED_ROWS, len(at), FITTED_ROWS)):
-                x = np.hstack([f[some] @ root, np.ones((len(some), 1))])
-                part = x * share[some][:, None]
-                left += part.T @ x
-                right += part.T @ sign[some]
-            w = w + (np.linalg.solve(left, right) - w) * (1.0 if _ < 8 else 0.6)
-        self.weights, self.bias = root @ w[:-1], float(w[-1])
-
-    def margin(self, f: np.ndarray) -> np.ndarray:
-        """Signed distance of rows of kernel values."""
-        return np.concatenate([f[k : k + FITTED_ROWS] @ self.weights for k in range(0, len(f), FITTED_ROWS)] or [np.zeros(0)]) + self.bias
-
-    def score(self, f: np.ndarray) -> np.ndarray:
-        """Calibrated score of rows of kernel values."""
-        return np.full(len(f), self.constant) if self.constant is not None else self.calibrate(self.margin(f))
-
-
-def word_parts(word: str) -> set[str]:
-    """The distinct parts of a marked word that may become landmarks; of a long word, those of its windows."""
-    return {part[k : k + n] for part in windows(word) for n in PARTS for k in range(len(part) - n + 1)}
+def _evidence(model: Model) -> Evidence:
+    """The cache of a model, once per Python worker; those of other models go."""
+    if model.digest not in _LOADED:
+        _LOADED.clear()
+        _LOADED[model.digest] = Evidence(model)
+    return _LOADED[model.digest]
 
 
 def _counted(rows: DataFrame, of, keys: str) -> DataFrame:
@@ -293,12 +349,12 @@ def _counted(rows: DataFrame, of, keys: str) -> DataFrame:
                 at = both.get(key)
                 if at is None:
                     both[key] = [toxic, other]
-                else:
-                    at[0] += toxic
-                    at[1] += other
                     if len(both) >= SUMMED_KEYS:
                         yield from told(both)
                         both = {}
+                else:
+                    at[0] += toxic
+                    at[1] += other
         yield from told(both)
 
     def told(both: dict[str, list[int]]) -> Iterator[pd.DataFrame]:
@@ -311,76 +367,155 @@ def _counted(rows: DataFrame, of, keys: str) -> DataFrame:
     return rows.mapInPandas(run, f"{keys} string, toxic long, other long").groupBy(keys).agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[str]:
-    """Word parts that many toxic texts have and few others, unlike one another by the kernel."""
-    in_words = _counted(sample.select("text", "y"), lambda b: ((w, y, 1 - y) for t, y in zip(b["text"], b["y"], strict=True) for w in words(t)), "word")
-    counted = _counted(in_words, lambda b: ((p, x, o) for w, x, o in zip(b["word"], b["toxic"], b["other"], strict=True) for p in word_parts(w)), "part")
-    worth = F.col("toxic") / (F.col("toxic") + 20 * F.col("other") + 2) * F.log1p("toxic")
-    best = counted.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") > 2 * F.col("other"))).orderBy(worth.desc(), F.length("part").desc(), "part").select("part").collect()
-    chosen: list[str] = []
-    parts = [r["part"] for r in best]
-    for begin in range(0, len(parts), COMPARED):
-        if len(chosen) >= most:
-            break
-        some = parts[begin : begin + COMPARED]
-        some = [p for p, like in zip(some, Kernel(chosen).values(some).max(1, initial=0.0), strict=True) if like < ALIKE]
-        own = Kernel(some).values(some)
-        taken = np.zeros(len(some))
-        for k, part in enumerate(some):
-            if len(chosen) < most and taken[k] < ALIKE:
-                chosen.append(part)
-                taken = np.maximum(taken, own[:, k])
-    return chosen
-
-
-def _feature_udf(spark, model: Model):
-    shared = spark.sparkContext.broadcast(model.kernel)
+def chosen_words(fit: DataFrame, toxic: int, other: int) -> dict[str, tuple[int, int, int]]:
+    """Words that the machine is fitted on -> documents of either kind that have the word, and toxic ones that chose it as a witness.
+
+    At most MAX_WORDS words of toxic documents, those with the most worth, and as many others, by a hash.
+    """
+    counted = C.spill(_counted(fit, lambda b: ((w, y, 1 - y) for t, y in zip(b["text"], b["y"], strict=True) for w in words(t) if len(w) <= WINDOW - 2), "word"), "toxicity-words")
+    t, o = F.col("toxic"), F.col("other")
+    worth = t / (t + 20.0 * toxic / other * o + 2) * F.log1p(t)
+    told = (t - 1.5 * F.sqrt(t)) / toxic > 2 * (o + 1.5 * F.sqrt(o) + 1) / other
+    first = counted.where("toxic > 0").select("word", "toxic", "other", worth.alias("worth"), told.alias("told")).orderBy(F.desc("worth"), "word").limit(MAX_WORDS).collect()
+    rest = counted.where("toxic = 0").orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS).collect()
+    shared = fit.sparkSession.sparkContext.broadcast({r["word"]: r["worth"] for r in first if r["told"]})
+
+    def witnesses(batch: pd.DataFrame) -> Iterator[tuple[str, int, int]]:
+        known = shared.value
+        for text in batch["text"]:
+            own = sorted((w for w in words(text) if w in known), key=lambda w: (-known[w], w))
+            yield from ((w, 1, 0) for w in own[:WITNESSES])
+
+    votes = {r["word"]: r["toxic"] for r in _counted(fit.where("y = 1"), witnesses, "word").collect()}
+    return {r["word"]: (r["toxic"], r["other"], votes.get(r["word"], 0)) for r in [*first, *rest]}
+
+
+def _unlike(candidates: list[str], most: int) -> list[str]:
+    """The first of the strings that are unlike one another by the kernel."""
+    own, taken, out = Kernel(candidates).values(candidates), np.zeros(len(candidates)), []
+    for k, word in enumerate(candidates):
+        if len(out) < most and taken[k] < ALIKE:
+            out.append(word)
+            taken = np.maximum(taken, own[:, k])
+    return out
 
-    @F.pandas_udf(T.BinaryType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen = Words(shared.value)
-        for batch in batches:
-            yield pd.Series([row.tobytes() for row in seen.features(list(batch)).astype("<f4")], dtype=object)
 
-    return run
+def _with_a_letter(word: str, letters: list[str]) -> list[str]:
+    """The word with a letter put in at each place, another at each."""
+    return [word[:k] + letters[crc32(f"{word}{k}".encode()) % len(letters)] + word[k:] for k in range(1, len(word))]
+
+
+def fitted(found: dict[str, tuple[int, int, int]]) -> Model | None:
+    """The machine on words and their counts, or None without witnesses or without other words."""
+    names = sorted(found)
+    toxic, other, votes = np.array([found[w] for w in names], np.float64).reshape(-1, 3).T
+    sure = (votes >= CHOSEN) & (votes >= CHOSEN_SHARE * toxic)
+    if not sure.any() or not (other > 0).any():
+        return None
+    marked = [f"^{w}$" for w in names]
+    by_votes = sorted(np.flatnonzero(sure), key=lambda k: (-votes[k], names[k]))
+    common = sorted(np.flatnonzero(~sure & (other > 0)), key=lambda k: (-other[k], names[k]))
+    fits = lambda at: [marked[k] for k in at if len(marked[k]) <= LONGEST]
+    kernel = Kernel(_unlike(fits(by_votes[:4000]), LANDMARKS) + fits(common)[:OTHERS])
+    if not kernel.landmarks:
+        return None
+    root = kernel.root()
+    letters = sorted({c for k in by_votes for c in names[k] if c.isalpha()}) or ["x"]
+    virtual = [(k, v) for k in by_votes for v in _with_a_letter(names[k], letters) if len(v) + 2 <= WINDOW]
+    own, made = kernel.coordinates(marked, root), kernel.coordinates([f"^{v}$" for _, v in virtual], root)
+    source = np.array([k for k, _ in virtual], int)
+    against = np.sqrt(other) * np.where(sure, 0.3, 1.0)
+    shown = np.sqrt(votes[source]) / np.bincount(source, minlength=len(names))[source] * VIRTUAL
+    more = (toxic >= CHOSEN) & (toxic / max(1.0, toxic.sum()) > other / max(1.0, other.sum()))
+    positive, w = np.where(sure, np.sqrt(votes), 0.0), None
+    for _ in range(2):
+        if w is not None:
+            positive = np.where(sure, np.sqrt(votes), ((own @ w[:-1] + w[-1] > 0) & more).astype(float))
+        for_, against_ = positive > 0, against > 0
+        all_of = 2 * positive.sum()
+        w = machine([(own[for_], 1.0, positive[for_] / all_of), (made, 1.0, shown / all_of), (own[against_], -1.0, against[against_] / (2 * against.sum()))], w)
+    model = Model()
+    model.known, model.weight, model.bias = kernel.known, kernel.columns @ (root @ w[:-1]), float(w[-1])
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3, rest: int = 1, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on labelled documents outside the held-out remainder; at most about ``max_rows`` of them."""
+    """Fit on labelled documents outside the held-out remainder; at most about ``max_rows`` of them, equal texts once."""
     spark = docs.sparkSession
-    sample = C.spill(L.labelled_sample(docs, labels, label, mod, rest, max_rows), "toxicity-sample")
-    n, ones = sample.agg(F.count("*"), F.sum("y")).first()
-    if not n or not 0 < (ones or 0) < n:
-        return Model([], float(ones / n) if n else 0.0)
-    model = Model(landmarks(sample))
-    if not model.kernel.landmarks:
-        model.constant = float(ones / n)
-        return model
-    got = sample.select("doc_id", "y", _feature_udf(spark, model)("text").alias("f"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(CALIBRATE)).alias("part")).toPandas()
-    f, y, part = np.frombuffer(b"".join(got["f"]), "<f4").reshape(len(got), -1), got["y"].to_numpy(), got["part"].to_numpy()
-    margin = np.zeros(len(y))
-    for k in range(CALIBRATE):
-        aside = part == k
-        if aside.any() and 0 < y[~aside].sum() < (~aside).sum():
-            model.fit(f[~aside], y[~aside])
-            margin[aside] = model.margin(f[aside])
-    model.fit(f, y)
-    model.calibrate = L.Isotonic(margin, y)
+    drawn = L.labelled_sample(docs, labels, label, mod, rest, max_rows).groupBy("text").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    sample = C.spill(drawn.withColumn("aside", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(CALIBRATE)) == 0), "toxicity-sample")
+    counts = {(r["aside"], r["y"]): r["n"] for r in sample.groupBy("aside", "y").agg(F.count("*").alias("n")).collect()}
+    number, ones = sum(counts.values()), sum(n for (_, y), n in counts.items() if y)
+    if not 0 < ones < number:
+        return Model(float(ones / number) if number else 0.0)
+    # Where either part lacks a label, all rows serve for both.
+    split = len(counts) == 4
+    fit, aside = (sample.where("not aside"), sample.where("aside")) if split else (sample, sample)
+    toxic, other = (counts[False, 1], counts[False, 0]) if split else (ones, number - ones)
+    model = fitted(chosen_words(fit, toxic, other))
+    if model is None:
+        return Model(float(ones / number))
+    shared = spark.sparkContext.broadcast(model)
+    size = len(model.worth)
+
+    def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, total = shared.value, np.zeros((2, size))
+        for batch in batches:
+            for begin, end in C.pieces(list(batch["text"]), 1_000_000):
+                some = [list(words(t)) for t in batch["text"].iloc[begin:end]]
+                names = sorted({w for found in some for w in found})
+                at = dict(zip(names, own.bins(own.margins(names)).tolist(), strict=True))
+                for y, found in zip(batch["y"].iloc[begin:end], some, strict=True):
+                    total[1 - y] += np.bincount([at[w] for w in found], minlength=size)
+        yield pd.DataFrame({"toxic": [total[0]], "other": [total[1]]})
+
+    sums = np.zeros((2, size))
+    for r in aside.mapInPandas(histogram, "toxic array<double>, other array<double>").toLocalIterator():
+        sums += np.array([r["toxic"], r["other"]])
+    model.worth = word_worth(sums)
+    got = aside.select("y", _evidence_column(spark, model)(F.col("text")).alias("e")).toPandas()
+    model.calibrate = L.Isotonic(got["e"].to_numpy(np.float64), got["y"].to_numpy(np.float64))
     return model
 
 
+def word_worth(sums: np.ndarray) -> np.ndarray:
+    """Evidence of words by the bin of their margin, from how many words of toxic and of other documents each bin has."""
+    every = sums.sum(0)
+    if not sums[0].sum() or not sums[1].sum():
+        return np.zeros(len(every))
+    some = np.flatnonzero(every)
+    share = L.Isotonic(some.astype(np.float64), sums[0][some] / every[some], every[some]).share_at(np.arange(len(every)))
+    base = sums[0].sum() / every.sum()
+    odds = lambda p: np.log(p / (1 - p))
+    return np.where(share > 2 * base, np.maximum(0.0, odds(np.clip(share, 1e-6, 0.98)) - odds(base)), 0.0)
+
+
+def _evidence_column(spark, model: Model):
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(T.DoubleType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _evidence(shared.value)
+        for batch in batches:
+            yield pd.Series(known.of(list(batch)))
+
+    return run
+
+
 def score_column(docs: DataFrame, model: Model, text: Column | None = None) -> Column:
     """The score of a text column as an expression."""
+    text = C.whole_text() if text is None else text
+    if model.constant is not None:
+        return F.lit(float(model.constant))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value
-        seen = Words(own.kernel)
+        known = _evidence(shared.value)
         for batch in batches:
-            yield pd.Series(own.score(seen.features(list(batch))))
+            yield pd.Series(shared.value.score(known.of(list(batch))))
 
-    return run(C.whole_text() if text is None else text)
+    return run(text)
 
 
 def add_score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
@@ -389,5 +524,5 @@ def add_score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """The rows whose text is not predicted to be toxic, with the columns they had."""
-    return docs.where(score_column(docs, model) < cut)
+    """The rows whose text is not predicted to be toxic, with the columns they had; all of them if the model has learnt nothing."""
+    return docs if model.constant is not None else docs.where(score_column(docs, model) < cut)

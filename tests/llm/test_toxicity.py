@@ -27,57 +27,87 @@ def test_kernel_is_the_subsequence_kernel():
     marks = ["^idiot$", "lowei", "aaaa"]
     texts = ["^idiot$", "^id.iot$", "^i.d.i.o.t$", "^trasch$", "^loweizu$", "aa", "", "^aaaaaa$", "日本語日本"]
     got = X.Kernel(marks).values(texts)
-    want = np.array([[slow(t, m) for m in marks] for t in texts])
-    assert np.allclose(got, np.where(want >= X.FLOOR, want, 0))
+    assert np.allclose(got, [[slow(t, m) for m in marks] for t in texts])
 
 
 def test_windows_cover():
-    for n in range(60):
+    for n in range(80):
         w = "".join(chr(97 + k % 26) for k in range(n))
-        parts, marked = X.windows(w), f"^{w}$"
-        assert all(len(p) <= X.WINDOW + 2 for p in parts)
-        assert all(any(marked[k : k + 6] in p for p in parts) for k in range(len(marked) - 5))
+        parts, marked = list(X.windows(w)), f"^{w}$"
+        assert all(len(p) <= X.WINDOW for p in parts)
+        assert all(any(marked[k : k + X.LONGEST] in p for p in parts) for k in range(max(1, len(marked) - X.LONGEST + 1)))
 
 
-def test_spaced_out_words():
-    assert "idiot" in X.words("an i d i o t here") and X.words("") == set()
+def test_words():
+    assert X.words("an i d i o t here, here i d i o t")["idiot"] == 2 and X.words("") == {} and X.words(" \n") == {}
+    long = "word " * 300_000 + "i d i" + " o t end"
+    assert X.words(long) == X.Counter({"word": 300_000, "i": 2, "d": 1, "o": 1, "t": 1, "end": 1, "idiot": 1})
 
 
 INSULTS = ("idiot", "moron", "trash", "loser", "clown")
 
 
 def disguised(w):
-    return [f"{w[:2]}*{w[2:4]}*{w[4:]}", ".".join(w), f"{w[:2]}1{w[2]}0{w[3:]}", w[0] + 4 * w[1] + w[2:], f"{w}!?!{w}"]
+    return [f"{w[:2]}*{w[2:4]}*{w[4:]}", ".".join(w), f"{w[:2]}1{w[2]}0{w[3:]}", w[0] + 4 * w[1] + w[2:]]
 
 
-def test_words_in_disguise_keep_their_kernel_values():
-    kernel = X.Kernel([f"^{w}$" for w in INSULTS] + [w for w in INSULTS])
-    for w in INSULTS:
-        got = X.Words(kernel).features([*disguised(w), f"{w[:2]}x{w[2]}q{w[3:]}"])
-        assert got[:4].max(1).min() > 0.99 and got[4].max() > 0.6 and got[5].max() >= 0.42, w
+def sentences(spark):
+    rng = np.random.default_rng(3)
+    plain = [f"{a}{b}" for a in ("gar", "mel", "pon", "sur", "vek") for b in ("den", "lar", "tim", "nus", "hof")]
+    rows = [(i, " ".join([*rng.choice(plain, 20), INSULTS[i % 5], INSULTS[i % 4]] if i % 3 == 0 else rng.choice(plain, 21)), int(i % 3 == 0)) for i in range(1200)]
+    return rows, spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    """The machine's margins against sums of kernel values over landmarks; evidence and score by loops over words."""
+    found = {"idiot": (40, 0, 40), "moron": (30, 0, 30), "the": (50, 400, 0), "garden": (9, 80, 0), "melting": (3, 60, 0), "idle": (0, 20, 0)}
+    kernel = X.Kernel(["^idiot$", "^moron$", "^the$", "^garden$"])
+    model = X.fitted(found)
+    a = np.linalg.lstsq(kernel.columns, model.weight[np.searchsorted(model.known, kernel.known)], rcond=None)[0]
+    for w in ("idiot", "idxiot", "gardens", "unidiotic", "zz"):
+        assert abs(model.margins([w])[0] - max(-3, sum(x * slow(f"^{w}$", m) for x, m in zip(a, kernel.landmarks, strict=True)) + model.bias)) < 0.4 and (model.margins([w]) == model.margins([w], -9)).all()
+    rows, docs, labels = sentences(spark)
+    model = X.train(docs, labels)
+    texts = [r[1] for r in rows[:60]] + ["", "idiot idiot idiot idiot moron"]
+    got = X.Evidence(model).of(texts)
+    for text, e in zip(texts, got, strict=True):
+        want = 0.0
+        for w in set(text.split()):
+            margin = max(max(-3.0, sum(v * model.weight[k] for i in combinations(range(len(f"^{w}$")), 3) if i[2] - i[0] < X.SPAN for v in [X.LAMBDA ** (i[2] - i[0] + 1)] for c in [[ord(f"^{w}$"[j]) for j in i]] for key in [(c[0] << 42) | (c[1] << 21) | c[2]] for k in np.flatnonzero(model.known == key)) / own(f"^{w}$") + model.bias) for _ in [0])
+            want += min(text.split().count(w), X.MOST_TIMES) * model.worth[model.bins(np.array([margin]))[0]]
+        assert abs(want - e) < 1e-9
+    scored = X.add_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert np.allclose([r["score"] for r in scored], model.calibrate(got))
+
+
+def own(s):
+    out = {}
+    for i in combinations(range(len(s)), 3):
+        if i[2] - i[0] < X.SPAN:
+            k = tuple(s[j] for j in i)
+            out[k] = out.get(k, 0) + X.LAMBDA ** (i[2] - i[0] + 1)
+    return np.sqrt(sum(v * v for v in out.values()))
+
+
+def test_the_machine_finds_the_least_loss():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(300, 5)), rng.choice([-1.0, 1.0], 300)
+    share = rng.random(300) / 300
+    loss = lambda w: 1e-3 * (w[:-1] @ w[:-1]) + (share * np.maximum(0, 1 - y * (x @ w[:-1] + w[-1])) ** 2).sum()
+    w = X.machine([(x[y == s], s, share[y == s]) for s in (1.0, -1.0)], strength=1e-3)
+    assert all(loss(w) <= loss(w + 1e-3 * rng.normal(size=6)) + 1e-12 for _ in range(200))
 
 
 def test_insults_in_disguise_are_predicted_toxic(spark):
-    rng = np.random.default_rng(3)
-    plain = [f"{a}{b}" for a in ("gar", "mel", "pon", "sur", "vek") for b in ("den", "lar", "tim", "nus", "hof")]
-    rows = [(i, " ".join([*rng.choice(plain, 20), INSULTS[i % 5]] if i % 3 == 0 else rng.choice(plain, 21)), int(i % 3 == 0)) for i in range(900)]
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    model = X.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
-    told = [f"garden meltim {d} sunus" for w in INSULTS for d in disguised(w)[:4]]
+    _, docs, labels = sentences(spark)
+    model = X.train(docs, labels)
+    told = [f"garden meltim {d} sunus {d}" for w in INSULTS for d in disguised(w)]
+    told += ["garden " + " meltim ".join(f"{w[:k]}{x}{w[k:]}" for w in INSULTS) for k in (2, 3) for x in "xqz"]
     asked = spark.createDataFrame(list(enumerate([*told, "gar.den m*e*l*tim sur1nus", "gaaaarden"])), "doc_id long, text string")
     got = {r["doc_id"]: r["predicted"] for r in X.add_score(asked, model).collect()}
     assert [got[k] for k in range(len(told) + 2)] == [1] * len(told) + [0, 0]
 
 
-def test_landmarks_follow_the_insults(spark):
-    rng = np.random.default_rng(8)
-    made = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(300)]
-    rows = [(f"some plain text {w}", 1) for w in made for _ in range(3)] + [("some plain text", 0)] * 900
-    got = X.landmarks(spark.createDataFrame(rows, "text string, y int"))
-    features = X.Words(X.Kernel(got)).features(made)
-    assert (features.max(1) > X.FLOOR).mean() > 0.99
-
-
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.1"])
 def test_held_out(spark, sf):
     got = op6_toxicity(spark, sf).toPandas()
@@ -86,7 +116,7 @@ def test_held_out(spark, sf):
     hit = m[m.toxic == 1].predicted.mean()
     miss = m[m.toxic == 0].predicted.mean()
     print("recall", hit, "false", miss, len(m))
-    assert len(got) == 10000 and got.score.between(0, 1).all() and hit > 0.55 and miss < 0.01  # a sixteenth of its toxic rows hold no insult, and 300 teach it
+    assert len(got) == 10000 and got.score.between(0, 1).all() and hit > 0.85 and miss < 0.01  # a sixteenth of its toxic rows hold no insult
 
 
 def test_cases(spark):
@@ -94,5 +124,22 @@ def test_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = X.train(docs, empty)
     assert [r["score"] for r in X.add_score(docs, model).collect()] == [0.0] * 4
-    assert X.keep_clean(docs, model).columns == ["doc_id", "text", "score"]
+    assert X.keep_clean(docs, model).columns == ["doc_id", "text", "score"] and X.keep_clean(docs, model, 0.0).count() == 4
     assert X.add_score(docs.limit(0), model).count() == 0
+
+
+def test_long_and_odd_texts(spark):
+    _, docs, labels = sentences(spark)
+    model = X.train(docs, labels)
+    texts = ["x" * 300_000 + "idiot" + "y" * 50, "\u3000idiot\u00a0moron ", "garden " * 200_000 + "idiot moron clown", "\ud7ff\U0010ffff😀", "." * 50_000]
+    got = X.Evidence(model).of(texts)
+    assert np.isfinite(got).all() and got[1] > 0 and got[2] >= got[1] and got[3] == got[4] == 0
+
+
+def test_repeated_copies_do_not_teach_their_words(spark):
+    """Hundreds of copies of one toxic text leave its ordinary words harmless."""
+    rows, docs, labels = sentences(spark)
+    more = [(5000 + k, "blarb snorf quazz wibble idiot trash", 1) for k in range(400)]
+    model = X.train(docs.unionByName(spark.createDataFrame([r[:2] for r in more], docs.schema)), labels.unionByName(spark.createDataFrame([(i, y) for i, _, y in more], labels.schema)))
+    asked = spark.createDataFrame([(1, "blarb snorf quazz wibble garden"), (2, "blarb idiot trash")], "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in X.add_score(asked, model).collect()} == {1: 0, 2: 1}
