@@ -1,7 +1,7 @@
 """Token counts that follow edits: a segment tree over pre-tokens per document.
 
-A text is cut into segments of about LEAF characters at single spaces between
-visible characters. There the vocabulary's pattern always starts a new
+A text is cut into segments of about LEAF characters before white space that
+follows a visible character. There the vocabulary's pattern always starts a new
 pre-token, so the tokens of the text are those of its segments. A binary tree
 keeps the sums of characters and of tokens of each subtree. An edit finds its
 segments by descending on the sums of characters; they and one segment on either
@@ -34,22 +34,15 @@ EDITS = "array<struct<start:long,length:long,replacement:string>>"
 COUNTED = "n_tokens long, edited_tokens long, edited_chars long, reencoded_chars long, edited_sha256 string"
 
 
-def visible(c: str) -> bool:
-    """True for characters that every engine's pattern takes for no white space."""
-    return "!" <= c <= "~" or c.isalnum()
-
-
 def segments(text: str, leaf: int = LEAF) -> list[str]:
-    """The text cut at single spaces between visible characters, each part at least ``leaf`` long but the last."""
+    """The text cut before white space that follows a visible character, each part at least ``leaf`` long but the last.
+
+    No added token holds white space, so none lies across such a cut.
+    """
     out, begin = [], 0
-    while len(text) - begin > leaf:
-        at = text.find(" ", begin + leaf)
-        while at >= 0 and not (at + 1 < len(text) and visible(text[at - 1]) and visible(text[at + 1])):
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        out.append(text[begin:at])
-        begin = at
+    while len(text) - begin > leaf and (gap := byte_bpe.GAP.search(text, begin + leaf)):
+        out.append(text[begin : gap.start()])
+        begin = gap.start()
     out.append(text[begin:])
     return out
 
@@ -152,17 +145,12 @@ class TokenTree:
             level = {k // 2 for k in level if k > 1}
 
 
-def _counter(file: str) -> Callable[[str], int]:
-    encoder = byte_bpe.load(file)
-    return lambda text: len(encoder.fast.encode_ordinary(text)) if len(text) <= byte_bpe.LONG_TEXT else len(encoder.ids(text)) // 4
-
-
 def trees(docs: DataFrame, file: str = byte_bpe.DEFAULT_FILE, leaf: int = LEAF) -> DataFrame:
     """Add leaf_chars and leaf_tokens, the segments of each text's tree, to be kept with the text."""
 
     @F.pandas_udf("leaf_chars array<int>, leaf_tokens array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        count = _counter(file)
+        count = byte_bpe.load(file).count
         for batch in batches:
             yield pd.DataFrame([TokenTree(t, count, leaf).leaves() for t in batch], columns=["leaf_chars", "leaf_tokens"])
 
@@ -181,17 +169,19 @@ def edited_counts(kept: DataFrame, edits: Column, file: str = byte_bpe.DEFAULT_F
 
     @F.pandas_udf(COUNTED)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        count, encoder = _counter(file), byte_bpe.load(file)
+        encoder = byte_bpe.load(file)
         for texts, edits, chars, tokens in batches:
             rows = []
             for k, (text, changes, c, t) in enumerate(zip(texts, edits, chars, tokens, strict=True)):
-                tree = TokenTree(text, count, leaf) if c is None else TokenTree.of_leaves(text, list(c), list(t), count, leaf)
+                tree = TokenTree(text, encoder.count, leaf) if c is None else TokenTree.of_leaves(text, list(c), list(t), encoder.count, leaf)
                 before = tree.n_tokens
                 for change in changes if changes is not None else ():
                     tree.edit(int(change["start"] or 0), int(change["length"] or 0), change["replacement"] or "")
                 done = tree.text()
-                if not k and tree.n_tokens != len(encoder.whole(done)) // 4:
-                    raise ValueError(f"the tree and the tokenizers library differ on {done[:200]!r}")
+                if k % byte_bpe.CHECK_EVERY == 0:
+                    encoder.check([done])
+                    if tree.n_tokens != encoder.count(done):
+                        raise ValueError(f"the tree and the encoder differ on {done[:200]!r}")
                 rows.append((before, tree.n_tokens, len(done), tree.reencoded, hashlib.sha256(done.encode("utf-8", "replace")).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "edited_tokens", "edited_chars", "reencoded_chars", "edited_sha256"])
 

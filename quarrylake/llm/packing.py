@@ -33,6 +33,8 @@ END_ID = 2
 RANK_GROUP = 100_000
 #: At least so many groups per length, so that one common length is spread over tasks.
 LEAST_GROUPS = 32
+#: Bytes of pieces that a task holds before it sends them on, about.
+HELD = 1_000_000
 
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, file: str = byte_bpe.DEFAULT_FILE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
@@ -46,23 +48,25 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, file: str = byte_bpe.DEFAULT_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = byte_bpe.load(file), end_id.to_bytes(4, "little")
         for batch in batches:
-            if batch.num_rows:
-                encoder.check(batch.column(1)[0].as_py())
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                rows: list[list] = [[] for _ in fields]
-                taken = []
-                for k, text in enumerate(some.column(1).to_pylist()):
-                    data = encoder.ids(text) + end
-                    n = len(data) // 4
-                    begin, stop, piece = 0, (n % capacity or capacity) if n > capacity else n, 0
-                    while begin < n:
-                        part = data[4 * begin : 4 * stop]
-                        for column, value in zip(rows, (piece, begin, stop - begin, C.crc(part), np.frombuffer(part, "<i4")), strict=False):
-                            column.append(value)
-                        taken.append(k)
-                        begin, stop, piece = stop, stop + capacity, piece + 1
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(taken, pa.int32())), *(pa.array(c, t) for c, (_, t) in zip(rows, fields, strict=True))], ["doc_id", *(n for n, _ in fields)])
+            texts = batch.column(1)
+            encoder.check([texts[k].as_py() for k in range(0, batch.num_rows, byte_bpe.CHECK_EVERY)], 1)
+            rows: list[list] = [[] for _ in fields]
+            taken: list[int] = []
+            held = 0
+            for k in range(batch.num_rows):
+                data = encoder.ids(texts[k].as_py()) + end
+                n = len(data) // 4
+                begin, stop, piece = 0, (n % capacity or capacity) if n > capacity else n, 0
+                while begin < n:
+                    part = data[4 * begin : 4 * stop]
+                    for column, value in zip(rows, (piece, begin, stop - begin, C.crc(part), np.frombuffer(part, "<i4")), strict=False):
+                        column.append(value)
+                    taken.append(k)
+                    held += len(part) if with_ids else 32
+                    begin, stop, piece = stop, stop + capacity, piece + 1
+                if held > HELD or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken, pa.int32())), *(pa.array(c, t) for c, (_, t) in zip(rows, fields, strict=True))], ["doc_id", *(n for n, _ in fields)])
+                    rows, taken, held = [[] for _ in fields], [], 0
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids

@@ -1,18 +1,21 @@
 """Token trees against counting the whole edited text."""
 
+import hashlib
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarrylake.llm import byte_bpe
 from quarrylake.llm import edit_counts as E
 
-TEXT = st.text(alphabet=st.one_of(st.sampled_from("ab  \n\t.,1'é日"), st.characters(blacklist_categories=("Cs",))), max_size=80)
+TEXT = st.lists(st.one_of(st.sampled_from([*"ab  \n\t.,1'é日", "<|endoftext|>", "<|endof", "text|>"]), st.characters(blacklist_categories=("Cs",))), max_size=60).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
 @given(TEXT, st.lists(st.tuples(st.integers(-3, 90), st.integers(-2, 40), TEXT), max_size=6))
 def test_any_edits(text, edits):
-    encoder, count = byte_bpe.load(), E._counter(byte_bpe.DEFAULT_FILE)
+    encoder = byte_bpe.load()
+    count = encoder.count
     tree = E.TokenTree(text, count, 5)
     for start, length, new in edits:
         a = min(max(0, start), len(text))
@@ -51,4 +54,16 @@ def test_frames(spark, small):
         e = t[: n // 3] + " [edited in place]" + t[n // 3 :]
         e = e[: n // 2] + e[n // 2 + min(40, n // 4) :]
         e = "Revised: " + e
-        assert (r["n_tokens"], r["edited_tokens"], r["edited_chars"]) == (len(encoder.whole(t)) // 4, len(encoder.whole(e)) // 4, len(e))
+        assert (r["n_tokens"], r["edited_tokens"], r["edited_chars"], r["edited_sha256"]) == (len(encoder.whole(t)) // 4, len(encoder.whole(e)) // 4, len(e), hashlib.sha256(e.encode()).hexdigest())
+        assert len("Revised: ") <= r["reencoded_chars"] <= max(len(e) * 3, 3 * (2 * E.GROWN * E.LEAF))
+
+
+def test_null_edits_and_long_texts(spark):
+    text = "of thand " * 60_000
+    schema = f"doc_id long, text string, e {E.EDITS}"
+    rows = [(1, "a b", None), (2, "a b", [(0, 1, None)]), (3, None, [(None, None, "new")]), (4, text, [(250_000, 7, "middle")]), (5, "x" * 450_000, [(9, 0, " ")])]
+    got = {r["doc_id"]: r for r in E.edited_counts(spark.createDataFrame(rows, schema), E.F.col("e")).collect()}
+    count = byte_bpe.load().count
+    assert got[1]["edited_tokens"] == got[1]["n_tokens"] and got[2]["edited_chars"] == 2 and got[3]["edited_chars"] == 3
+    assert got[4]["edited_tokens"] == count(text[:250_000] + "middle" + text[250_007:]) and got[4]["reencoded_chars"] < 2000
+    assert got[5]["edited_tokens"] == count("x" * 9 + " " + "x" * 449_991)

@@ -12,20 +12,45 @@ from hypothesis import strategies as st
 from quarrylake.llm import byte_bpe
 from quarrylake.llm import packing as P
 
-CASES = ["", " ", "a  b", "a\n b", "a \n b", "\n\n \nfoo", " lead", "trail ", "don't we'll", "a\xa0b c", "tab\tx \t y", "<|endoftext|> x", "é 日本 1234", "a\r\n b", "x\x0b y", "...!!  ?", "a\n\n\nb c\n"]
+CASES = ["", " ", "a  b", "a\n b", "a \n b", "\n\n \nfoo", " lead", "trail ", "don't we'll", "a\xa0b c", "tab\tx \t y", "<|endoftext|> x", "x <|endoftext|> y", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b", "<|endoftext| <|end", "é 日本 1234", "a\r\n b", "x\x0b y", "...!!  ?", "a\n\n\nb c\n"]
+
+
+ALPHABET = st.one_of(st.sampled_from([*" \n\t\rab1'.s,\xa0é", "<|endoftext|>", "<|", "'s", "\u3000", "\x85", "\x1c"]), st.characters(blacklist_categories=("Cs",)))
+
+
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizers library as it comes, nothing set."""
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(byte_bpe.C.tokenizer_file(byte_bpe.DEFAULT_FILE))
+    return lambda text: np.array(untouched.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\rab1'.s,\xa0é"), st.characters(blacklist_categories=("Cs",))), max_size=40))
-def test_ids_are_the_librarys(text):
+@given(st.lists(ALPHABET, max_size=40).map("".join))
+def test_ids_are_the_librarys(library, text):
     encoder = byte_bpe.load()
-    assert encoder.ids(text) == encoder.whole(text)
+    assert encoder.ids(text) == library(text)
+    joined = b"".join(encoder.ids(part) for part in byte_bpe.segments(text, 3, encoder.avoid))
+    assert joined == library(text) or "<|endoftext|>" in text
 
 
 @pytest.mark.parametrize("text", CASES)
-def test_ids_of_cases(text):
+def test_ids_of_cases(library, text):
+    assert byte_bpe.load().ids(text) == library(text)
+
+
+@pytest.mark.parametrize("text", ["ab1!" * 60_000, "x y " * 60_000, " " * 150_000 + "a" + "\n" * 70_000 + " b", "don't5" * 30_000, "日本語、" * 40_000, "a" * 100_000, "<|endoftext|>" * 20_000, "\u3000" * 30_000], ids=range(8))
+def test_long_texts(library, text):
     encoder = byte_bpe.load()
-    assert encoder.ids(text) == encoder.whole(text)
+    assert encoder.ids(text) == library(text) and encoder.count(text) == len(library(text)) // 4
+
+
+def test_segments_are_short_where_they_can_be():
+    for text in ("ab1!" * 60_000, "x y " * 60_000):
+        parts = byte_bpe.segments(text)
+        assert "".join(parts) == text and max(map(len, parts)) <= byte_bpe.SEGMENT + 4
 
 
 @settings(max_examples=200, deadline=None)
@@ -51,25 +76,31 @@ def check(rows, capacity):
     return len(bins)
 
 
-def test_documents(spark):
+def test_documents(spark, library):
     rng = np.random.default_rng(5)
     texts = [*CASES, None, *(" ".join(rng.choice(["of", "thand", "ing", "Zq9"], n)) for n in [3, 3, 3, 5000, 1023, 1024, 2047, *rng.integers(1, 900, 60)])]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "a b", "x"), (0, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, offset string")
     out = P.pack_documents(docs, 256).collect()
     assert check(out, 256) <= -(-sum(r["length"] for r in out) // 256) + 1
-    encoder, own = byte_bpe.load(), defaultdict(list)
+    own = defaultdict(list)
     for r in out:
         assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"]
         own[r["doc_id"]].append(r)
     for i, t, _ in rows[1:-1]:
         parts = sorted(own[i], key=lambda r: r["piece"])
-        assert b"".join(np.array(r["ids"], "<u4").tobytes() for r in parts) == encoder.whole(t or "") + b"\2\0\0\0"
+        assert b"".join(np.array(r["ids"], "<u4").tobytes() for r in parts) == library(t or "") + b"\2\0\0\0"
         assert [r["start"] for r in parts] == list(np.cumsum([0] + [r["length"] for r in parts[:-1]])) and all(r["length"] == 256 for r in parts[1:])
     assert len(own[0]) == 2
     assert P.pack_documents(docs.limit(0), 256).count() == 0
 
 
+def test_a_batch_is_sent_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(P, "HELD", 100)
+    docs = spark.createDataFrame([(i, "of thand " * i) for i in range(50)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in P.pack_documents(docs).collect()) == list(range(50))
+
+
 def test_plan_is_tight():
     rng = np.random.default_rng(1)
     counts = Counter(int(x) for x in np.minimum(1024, rng.lognormal(5.5, 0.8, 20000)).astype(int) + 1 if x <= 1024)
