@@ -9,7 +9,8 @@ by isotonic regression. Scoring is one pass over the texts without a shuffle.
 Defined cases: a null text is the empty text and is scored as such; a document
 that repeats is scored each time; extra columns are kept by :func:`add_score`
 except those named like its outputs; without labels of both kinds every score
-is the share of label 1 (0.5 where there are none).
+is the share of label 1 (0.5 where there are none) and :func:`keep_good` keeps
+every row; where no labelled row is drawn for calibration, all of them serve.
 """
 
 from __future__ import annotations
@@ -144,11 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int =
     s = _sums(rows.where(~aside), normal, k * k + k)
     a, b = s[: k * k].reshape(k, k), s[k * k :]
     model.weights = np.linalg.solve(a + RIDGE * max(1.0, a.trace() / k) * np.eye(k), b)
-    kept = rows.where(aside).select("x", "y").collect()
-    if kept:
-        x, y = np.array([r["x"] for r in kept]), np.array([r["y"] for r in kept], np.float64)
-        model.calibrate = L.Isotonic(model.cosines(x) @ model.weights, y)
-        model.constant = None
+    kept = rows.where(aside).select("x", "y").collect() or rows.select("x", "y").collect()
+    x, y = np.array([r["x"] for r in kept]), np.array([r["y"] for r in kept], np.float64)
+    model.calibrate = L.Isotonic(model.cosines(x) @ model.weights, y)
+    model.constant = None
     return model
 
 
@@ -169,5 +169,5 @@ def add_score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """The rows whose text is predicted to be good, with the columns they had."""
-    return docs.where(score_column(docs, model) >= cut)
+    """The rows whose text is predicted to be good, with the columns they had; all of them if the model has learnt nothing."""
+    return docs if model.constant is not None else docs.where(score_column(docs, model) >= cut)
