@@ -21,7 +21,6 @@ extra columns are left out; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
-from math import exp, lgamma
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +35,8 @@ MOST_BLOCKS = 4_096
 #: Rows of a sub-block of a shard, about.
 SUB_ROWS = 20_000
 SEED = 20_240_229
+#: Standard deviations around the mode that a draw covers.
+DEVIATIONS = 13
 
 
 def capacities(rows: int, shards: int) -> np.ndarray:
@@ -46,34 +47,24 @@ def capacities(rows: int, shards: int) -> np.ndarray:
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
     """How many of ``draws`` rows without replacement are good.
 
-    The library's sampler takes up to a thousand million rows; beyond that the
-    distribution is inverted outwards from its mode.
+    The weights of all numbers within DEVIATIONS standard deviations of the mode
+    follow from one another by exact ratios, so none is computed from factorials,
+    and the same way serves any number of rows; what lies further out has less
+    weight than one rounding of the sum.
     """
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, draws))
     low, high = max(0, draws - bad), min(draws, good)
-    mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-
-    def log_choose(n: int, k: int) -> float:
-        return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
-
-    at_mode = exp(log_choose(good, mode) + log_choose(bad, draws - mode) - log_choose(good + bad, draws))
-    left, up, down = rng.random() - at_mode, mode, mode
-    p_up = p_down = at_mode
-    while left > 0 and (up < high or down > low):
-        if up < high:
-            p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
-            up += 1
-            left -= p_up
-            if left <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
-            down -= 1
-            left -= p_down
-            if left <= 0:
-                return down
-    return mode
+    if low == high:
+        return low
+    rows = good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (rows + 2)))
+    reach = int(DEVIATIONS * (draws * (good / rows) * (bad / rows) * ((rows - draws) / max(1, rows - 1))) ** 0.5) + 40
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    up = np.arange(mode, high, dtype=np.float64)
+    down = np.arange(mode, low, -1, dtype=np.float64)
+    above = np.cumprod((good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1)))
+    below = np.cumprod(down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1)))
+    total = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return low + int(np.searchsorted(total, rng.random() * total[-1], side="right"))
 
 
 def matrix(blocks: list[int], shards: int, seed: int = SEED) -> list[list[int]]:
@@ -96,8 +87,8 @@ def matrix(blocks: list[int], shards: int, seed: int = SEED) -> list[list[int]]:
 def shuffle(rows: DataFrame, key: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Add shard (0 to shards - 1) and slot (gapless from 0 in each shard) to rows.
 
-    ``key`` names the columns that tell rows apart; rows that are equal in them
-    are interchangeable.
+    ``key`` names the columns that tell rows apart; rows that are equal in all of
+    them go to one block, so many equal rows need a number of their own among them.
     """
     number = rows.count()
     blocks = int(min(MOST_BLOCKS, max(1, -(-number // BLOCK_ROWS))))
@@ -131,5 +122,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    placed = shuffle(C.spill(rows, "sharding-rows"), ["doc_id", "text_crc32", "size"], shards, seed)
+    # Each row's number is written down with it, so that any number of equal rows is spread over blocks.
+    numbered = C.spill(rows.withColumn("__nth", F.monotonically_increasing_id()), "sharding-rows")
+    placed = shuffle(numbered, ["doc_id", "text_crc32", "size", "__nth"], shards, seed)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -31,6 +31,49 @@ def test_large_draws():
     assert abs(x.mean() - 100) < 2 and abs(x.std() - (4000 / 40 * 39 / 40) ** 0.5) < 1
 
 
+def test_draws_have_the_exact_law():
+    from math import comb
+
+    rng = np.random.default_rng(2)
+    for good, bad, draws in ((5, 7, 6), (1, 30, 4), (20, 3, 21), (40, 40, 3)):
+        n = Counter(S.hypergeometric(rng, good, bad, draws) for _ in range(4000))
+        for k in range(max(0, draws - bad), min(good, draws) + 1):
+            p = comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws)
+            assert abs(n[k] / 4000 - p) < 5 * (p * (1 - p) / 4000) ** 0.5 + 1e-9
+        assert sum(n.values()) == 4000 and min(n) >= max(0, draws - bad) and max(n) <= min(good, draws)
+    assert S.hypergeometric(rng, 0, 9, 4) == 0 and S.hypergeometric(rng, 9, 0, 4) == 4
+
+
+def test_places_are_those_of_a_plain_permutation(spark):
+    """Blocks, matrix, local permutation and exchange done again in plain Python."""
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(1).alias("size"))
+    with_chance = rows.select("doc_id", *(F.xxhash64("doc_id", "size", F.lit(S.SEED + k)).alias(f"c{k}") for k in (1, 2, 3, 4))).collect()
+    old, S.BLOCK_ROWS = S.BLOCK_ROWS, 60
+    old_sub, S.SUB_ROWS = S.SUB_ROWS, 20
+    try:
+        got = {r["doc_id"]: (r["shard"], r["slot"]) for r in S.shuffle(rows, ["doc_id", "size"], 7).collect()}
+    finally:
+        S.BLOCK_ROWS, S.SUB_ROWS = old, old_sub
+    blocks, subs = -(-500 // 60), -(-500 // (7 * 20))
+    by_block = defaultdict(list)
+    for r in with_chance:
+        by_block[r["c1"] % blocks].append(r)
+    sent = defaultdict(list)
+    for b, row in enumerate(S.matrix([len(by_block[b]) for b in range(blocks)], 7, S.SEED)):
+        own = sorted(by_block[b], key=lambda r: (r["c2"], r["doc_id"]))
+        for shard, many in enumerate(row):
+            sent[shard] += own[:many]
+            own = own[many:]
+    want = {r["doc_id"]: (shard, slot) for shard, some in sent.items() for slot, r in enumerate(sorted(some, key=lambda r: (r["c3"] % subs, r["c4"], r["doc_id"])))}
+    assert got == want
+
+
+def test_equal_rows_are_spread(spark):
+    rows = spark.createDataFrame([(1, "same")] * 30_000, "doc_id long, text string")
+    got = S.assign(rows, 4).collect()
+    check(got, 30_000, 4)
+
+
 def check(rows, n, shards):
     by = defaultdict(list)
     for r in rows:
