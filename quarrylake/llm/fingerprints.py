@@ -40,6 +40,8 @@ PLACES = 20
 DENSITIES = (2, 4, 5, 6, 7, 8, 9, 11)
 SUBSETS = 6
 NOTHING = "00000000"
+#: Most ranges of ids.
+MOST_RANGES = 32_768
 TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -105,19 +107,38 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(share)
 
 
+def ranges(rows: DataFrame, number: int) -> Column:
+    """The range of doc_id that a row is in, from 0; ranges hold about equally many rows, however ids are spread. Nulls have -1.
+
+    The bounds are quantiles, as many as the root of the rows (MOST_RANGES at
+    most), sent to the tasks as one value; a row finds its range by bisection.
+    """
+    most = min(MOST_RANGES, max(1, ceil(sqrt(number))))
+    shares = F.array(*(F.lit(k / most) for k in range(1, most)))
+    found = rows.agg(F.approx_percentile("doc_id", shares, F.lit(10 * most)).alias("q")).first()["q"] if most > 1 else None
+    bounds = sorted(set(found or []))
+    if not bounds:
+        return F.when(F.col("doc_id").isNotNull(), F.lit(0)).otherwise(F.lit(-1)).cast("long")
+    known, steps = F.from_json(F.lit(str(bounds)), "array<bigint>"), F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        over = (s["low"] < s["high"]) & (F.get(known, middle) < F.col("doc_id"))
+        return F.struct(F.when(over, middle + 1).otherwise(s["low"]).alias("low"), F.when(over, s["high"]).otherwise(F.least(middle, s["high"])).alias("high"))
+
+    place = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), halve, lambda s: s["low"])
+    return F.when(F.col("doc_id").isNotNull(), place).otherwise(F.lit(-1)).cast("long")
+
+
 def with_next(docs: DataFrame, bitmap: Column) -> DataFrame:
     """doc_id, text, its fingerprint, and next: text and fingerprint of the document that follows.
 
-    The order is that of descending doc_id, and the first follows the last. Ids
-    are dealt to as many ranges as a range has ids (the root of their number), so
-    neither a range nor the list of ranges grows in proportion to the input. Each
-    text is exchanged once; a small join ties the end of one range to the head
-    of the next.
+    The order is that of descending doc_id, and the first follows the last. Rows
+    are dealt to ranges of ids. Each text is exchanged once; a small join ties
+    the end of one range to the head of the next.
     """
     rows = docs.select("doc_id", C.whole_text().alias("text"))
-    low, high, number = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = 1 if low is None else max(1, ceil((high - low + 1) / max(1, ceil(sqrt(number)))))
-    dealt = rows.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)).cast("long"))
+    dealt = rows.withColumn("range", ranges(docs.select("doc_id"), docs.count()))
     signed = F.struct("text", "fingerprint")
     inside = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     led = dealt.withColumn("fingerprint", fingerprint(F.col("text"), bitmap)).withColumn("next", F.lead(signed).over(inside))

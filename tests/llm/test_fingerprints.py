@@ -1,6 +1,7 @@
 """Fingerprints against a plain version of the method; edited texts and the order of documents."""
 
 import hashlib
+from collections import Counter
 import struct
 
 import regex
@@ -82,3 +83,19 @@ def test_query(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     want = check(op2_fingerprints(spark, small).collect(), rows)
     assert sum(r[5] > r[6] for r in want) > 0.85 * len(want)
+
+
+def test_ranges_are_even_whatever_the_ids(spark):
+    """An outlying id, ids in clumps, repeated ids and nulls: ranges keep the order and hold about equally many rows."""
+    ids = [*range(2000), 10**15, -(10**12), *([77] * 30), None]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = rows.withColumn("r", P.ranges(rows, len(ids))).collect()
+    known = sorted((r["doc_id"], r["r"]) for r in got if r["doc_id"] is not None)
+    assert [r for _, r in known] == sorted(r for _, r in known) and all(r["r"] == -1 for r in got if r["doc_id"] is None)
+    assert max(Counter(r for _, r in known).values()) < 120 and len({r for i, r in known if i == 77}) == 1
+
+
+def test_very_long_text(spark):
+    rows = [(1, "alpha beta " * 60_000), (2, "gamma delta"), (3, "x" * 300_000)]
+    got = P.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_chars"] for r in got} == {i: len(t) for i, t in rows}
