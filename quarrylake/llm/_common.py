@@ -65,7 +65,19 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete scratch tables whose readers have all been written."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path is not None:
+            spark = df.sparkSession
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def partitions_for(spark: SparkSession, rows: int, per_task: int = ROWS_PER_TASK) -> int:

@@ -16,7 +16,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each star reads tables written to the shared folder, so both sides of its
     join are plain exchanges that Spark can split where one hub has many edges,
     and neighbourhoods are only ever reduced to their smallest member, never
-    gathered. The number of rounds grows with the logarithm of the graph's size.
+    gathered. The number of rounds grows with the logarithm of the graph's size; a
+    round's tables are deleted when the next one is written.
     """
     now = C.spill(_apart(edges.select("u", "v")), name)
     before = None
@@ -24,8 +25,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
-        before = state
-        now = _small_star(_large_star(now, name), name)
+        before, old = state, now
+        middle = _large_star(old, name)
+        now = _small_star(middle, name)
+        C.drop(old, middle)
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component_id"))).distinct()
@@ -40,11 +43,15 @@ def _large_star(edges: DataFrame, name: str) -> DataFrame:
     """Larger neighbours of each node are tied to the smallest in its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = C.spill(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
-    return C.spill(_apart(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), name)
+    out = C.spill(_apart(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), name)
+    C.drop(least)
+    return out
 
 
 def _small_star(edges: DataFrame, name: str) -> DataFrame:
     """Smaller neighbours of each node, and the node, are tied to the smallest of them."""
     least = C.spill(edges.groupBy("u").agg(F.min("v").alias("m")), name)
     tied = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return C.spill(_apart(tied.unionByName(least.select("u", F.col("m").alias("v")))), name)
+    out = C.spill(_apart(tied.unionByName(least.select("u", F.col("m").alias("v")))), name)
+    C.drop(least)
+    return out

@@ -22,8 +22,9 @@ occurs). A document of one to four words has one shingle, all its words.
 
 Defined cases: a null text is the empty text; texts without words are linked
 only with equal texts; rows without an id are linked with nothing and have a
-null component; repeated rows share their component; extra columns are left
-out; an empty table gives an empty result.
+null component; repeated rows share their component; two texts under one id are
+two documents, each in its own component; extra columns are left out; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -200,7 +201,7 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def signed(docs: DataFrame, number: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, the digest of the text (two numbers) and its band keys (empty for a text without words)."""
+    """doc_id, the MD5 digest of the text (two numbers) and its band keys (empty for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +214,7 @@ def signed(docs: DataFrame, number: int = BANDS, rows: int = ROWS) -> DataFrame:
                 near = np.flatnonzero(has)
                 place = np.cumsum(has) - 1
                 keys = bands(signatures(len(near), place[doc], element, weight, number * rows), number, rows) if len(near) else np.zeros((0, number), np.int64)
-                digest = np.frombuffer(b"".join(hashlib.md5(t.encode("utf-8", "replace")).digest() for t in some), "<i8").reshape(-1, 2)
+                digest = np.frombuffer(b"".join(hashlib.md5(t.encode("utf-8", "replace")).digest() for t in some), ">i8").astype(np.int64).reshape(-1, 2)
                 offsets = np.concatenate([[0], np.cumsum(has * number)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["doc_id", "k1", "k2", "bands"])
 
@@ -229,7 +230,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS_PER_GROUP).cast("long").alias("groups"))
     members = pairs.join(texts.withColumnRenamed("doc_id", "member").hint("merge"), "member").select("centre", F.pmod(F.xxhash64("member"), F.lit(1 << 20)).alias("deal"), "member", "text")
     heads = sizes.join(texts.withColumnRenamed("doc_id", "centre").hint("merge"), "centre").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-    rows = members.join(sizes, "centre").select("centre", F.pmod("deal", "groups").alias("group"), F.lit(1).alias("role"), "member", "text").unionByName(heads.select("centre", "group", F.lit(0).alias("role"), F.col("centre").alias("member"), "text"))
+    rows = _salted(members, sizes, "centre", "member").select("centre", F.pmod("deal", "groups").alias("group"), F.lit(1).alias("role"), "member", "text").unionByName(heads.select("centre", "group", F.lit(0).alias("role"), F.col("centre").alias("member"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, head = None, (np.zeros(0, np.uint64), np.zeros(0))
@@ -257,7 +258,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
 def across(mixed: DataFrame, texts: DataFrame, least: float = SIMILARITY, number: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Edges (u, v) between members (band, rep, own) of a bucket that are in different components ``own`` but similar enough."""
     sizes = mixed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    placed = mixed.join(sizes.hint("merge"), "band").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    placed = _salted(mixed, sizes, "band", "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     dealt = placed.withColumn("other", F.explode(others)).select("band", "rep", "own", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"))
     full = dealt.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
@@ -310,32 +311,57 @@ def across(mixed: DataFrame, texts: DataFrame, least: float = SIMILARITY, number
     return full.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "side").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id (smallest doc_id of its group of near-duplicates) and kept (the two are equal)."""
+def _salted(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of ``many`` rows of a key, told apart by ``by``, with the ``few`` rows that have each key once, dealt to SALTS places."""
+    salts = F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("__salt")
+    return many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(few.select("*", salts).hint("merge"), [key, "__salt"]).drop("__salt")
+
+
+def _digest(k1: str = "k1", k2: str = "k2"):
+    """The digest as MD5 writes it, from its two numbers."""
+    return F.lower(F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0")))
+
+
+def _grouped(docs: DataFrame, least: float) -> DataFrame:
+    """doc_id, digest (of the text), component_id and kept of every row.
+
+    A class of equal texts has a number of its own, so that two texts under one
+    id are two documents. Of a component, the class with the smallest doc_id
+    (among equals: the smallest number) is the one kept.
+    """
     rows = C.spill(signed(docs), "minhash-signed")
-    classes = C.spill(rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("bands").alias("bands")), "minhash-classes")
-    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS))
+    grouped = rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("bands").alias("bands"))
+    classes = C.spill(grouped.withColumn("rep", F.monotonically_increasing_id()), "minhash-classes")
     every = classes.select("rep", F.explode("bands").alias("band"))
     shared = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    salts = F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("salt")
-    inside = C.spill(every.withColumn("salt", salt).join(shared.select("band", "n", salts), ["band", "salt"]).select("band", "rep", "n"), "minhash-buckets")
+    inside = C.spill(_salted(every, shared, "band", "rep").select("band", "rep", "n"), "minhash-buckets")
     degree = inside.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = C.spill(inside.select("band", "rep").join(degree, "rep"), "minhash-ranked")
     centres = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("rep"))).alias("top")).select("band", (-F.col("top.rep")).alias("centre"))
-    around = ranked.withColumn("salt", salt).join(centres.select("band", "centre", salts), ["band", "salt"])
+    around = _salted(ranked, centres, "band", "rep")
     pairs = C.spill(around.where("rep <> centre").select("centre", F.col("rep").alias("member")).distinct(), "minhash-pairs")
-    texts = C.spill(docs.select(F.col("doc_id").cast("long"), C.whole_text().alias("text")).join(ranked.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "minhash-texts")
+    wanted = ranked.select("rep").distinct().join(classes.select("rep", F.col("first").alias("doc_id"), _digest().alias("digest")), "rep")
+    own_text = docs.select(F.col("doc_id").cast("long"), C.whole_text().alias("text")).join(wanted.hint("merge"), "doc_id").where(F.md5(F.col("text").cast("binary")) == F.col("digest"))
+    texts = C.spill(own_text.select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "minhash-texts")
     first = C.spill(verified(pairs, texts, least), "minhash-edges")
     label = C.spill(components(first), "minhash-labels")
     placed = C.spill(ranked.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component_id", "rep").alias("own")), "minhash-placed")
     mixed = placed.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("band")
-    left = C.spill(placed.join(mixed, "band"), "minhash-mixed")
+    left = C.spill(_salted(placed, mixed, "band", "rep"), "minhash-mixed")
     second = C.spill(across(left, texts, least), "minhash-edges")
     label = components(first.unionByName(second))
-    found = C.spill(classes.select("k1", "k2", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id")), "minhash-found")
-    named = rows.select("doc_id", "k1", "k2").join(found, ["k1", "k2"], "left")
+    named = C.spill(classes.select("k1", "k2", "rep", "first").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("own", F.coalesce("component_id", "rep")).drop("component_id"), "minhash-named")
+    top = named.groupBy("own").agg(F.min(F.struct("first", "rep")).alias("top"))
+    found = C.spill(named.join(top, "own").select("k1", "k2", F.col("top.first").alias("component_id"), (F.col("rep") == F.col("top.rep")).alias("chosen")), "minhash-found")
+    C.drop(inside, ranked, pairs, texts, first, placed, left, second, classes, named)
+    out = rows.select("doc_id", "k1", "k2").join(found, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return named.select("doc_id", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", _digest().alias("digest"), own.alias("component_id"), F.coalesce((F.col("doc_id") == own) & F.col("chosen"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id (smallest doc_id of its group of near-duplicates) and kept (it is the one of its group that stays)."""
+    return _grouped(docs, least).select("doc_id", "component_id", "kept")
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -343,5 +369,6 @@ def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Rows without an id are no copies of any other and stay.
     """
-    stay = near_duplicates(docs.select("doc_id", "text"), least).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    stay = _grouped(docs.select("doc_id", "text"), least).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == F.col("__digest"))
+    return docs.join(stay, same, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))

@@ -116,3 +116,13 @@ def test_query(spark):
     want = plain(edges)
     wrong = [i for i, _ in rows if got[i] != want.get(i, i)]
     assert len(wrong) <= 2, wrong
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(3, b), (5, a), (5, b), (5, a + " more"), (7, a), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, digest string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in M.near_duplicates(docs).collect())
+    assert [g[:2] for g in got] == [(3, 3), (5, 3), (5, 5), (5, 5), (7, 5), (7, 7), (8, 7)] and sum(k for _, _, k in got) == 3
+    kept = sorted((r["doc_id"], r["text"] or "") for r in M.one_of_each(docs).collect())
+    assert len(kept) == 3 and kept[0] == (3, b) and kept[1][0] == 5 and kept[1][1].startswith(a) and kept[2] == (7, "")
