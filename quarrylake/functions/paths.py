@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,10 +25,9 @@ PRUNED_DIRS = (
     ".next .nuxt .cache .gradle vendor .idea .vscode coverage .terraform .serena .codegraph"
 ).split()
 ENTRY_POINTS = "main.py __main__.py cli.py app.py server.py index.ts index.js main.ts main.go main.rs manage.py wsgi.py asgi.py".split()
-README = r"(?i)(^|/)readme(\.[a-z]+)?$"
-DOCUMENT = r"(?i)\.(md|mdx|rst)$"
-DOC_DIR = r"(?i)^docs?/"
-DECISION = r"(?i)(adr|/spec/|proposal|decision|/rfc|realignment|architecture|vision)"
+DOCUMENT_EXTENSIONS = "md mdx rst".split()
+DOC_DIRS = "doc docs".split()
+DECISION_WORDS = "adr /spec/ proposal decision /rfc realignment architecture vision".split()
 KEY_EXTENSIONS = "py pyi ts tsx js jsx mjs cjs go rs java kt rb".split()
 KEY_SKIPS = "__init__ mod index".split()
 NEIGHBOUR_EXTENSIONS = "py pyi ts tsx js jsx go rs java".split()
@@ -69,6 +70,28 @@ def asks_for_tests(query: str) -> bool:
     return bool(set(re.sub("[-_]", " ", query.lower()).split()) & {"test", "tests", "spec", "specs", "testing"})
 
 
+def is_readme(path: Column) -> Column:
+    """True for files named readme, in any case, with an extension of letters or none."""
+    parts = F.split(F.lower(base_name(path)), r"\.")
+    return (parts[0] == "readme") & ((F.size(parts) == 1) | ((F.size(parts) == 2) & F.get(parts, F.lit(1)).rlike("^[a-z]+$")))
+
+
+def is_document(path: Column) -> Column:
+    """True for files of prose by their extension."""
+    return F.lower(path).rlike(r"\.(" + "|".join(DOCUMENT_EXTENSIONS) + ")$")
+
+
+def in_docs(path: Column) -> Column:
+    """True for files below a documentation directory at the top."""
+    return path.contains("/") & F.lower(F.substring_index(path, "/", 1)).isin(DOC_DIRS)
+
+
+def tells_decisions(path: Column) -> Column:
+    """True for paths with a word that decisions about a design go by."""
+    low = F.lower(path)
+    return reduce(or_, (F.contains(low, F.lit(w)) for w in DECISION_WORDS))
+
+
 def is_pruned(path: Column) -> Column:
     """True for files in vendored or generated directories."""
     return F.arrays_overlap(directories(path), F.array(*map(F.lit, PRUNED_DIRS)))

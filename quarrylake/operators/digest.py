@@ -10,9 +10,11 @@ from quarrylake.functions import paths, text
 # Fixed values of the summary.
 TREE_DEPTH, TREE_LINES = 2, 80
 TEST_FRAMEWORKS = ["pytest", "unittest", "vitest", "jest"]
-LIBRARIES = {"dataclasses": "dataclasses", "pydantic": "pydantic models", "attrs": "attrs", "zod": "zod schemas"}
+LIBRARIES = ["dataclasses", "pydantic", "attrs", "zod"]
 MANY_IMPORTS, MANY_ASYNC = 3, 5
 README_CHARS = 1800
+#: Parts of a group that are cut to a budget by themselves.
+BUDGET_PARTS = 16
 
 
 def languages(files: DataFrame) -> DataFrame:
@@ -44,21 +46,19 @@ def tree_counts(files: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
 
 
 def conventions(symbols: DataFrame, edges: DataFrame) -> list[str]:
-    """What a corpus does often, as sentences, from two aggregations."""
+    """What a corpus does often, from two aggregations."""
     names = [*TEST_FRAMEWORKS, *LIBRARIES]
-    counted = edges.agg(*(F.count_if(F.col("dst") == n).alias(n) for n in names)).first()
-    out = []
-    used = [f"{n} ({counted[n]})" for n in TEST_FRAMEWORKS if counted[n] > MANY_IMPORTS]
-    if used:
-        out.append("Testing: " + ", ".join(used))
+    imported = edges.agg(*(F.count_if(F.col("dst") == n).alias(n) for n in names)).first()
+    often = lambda some: [f"{n} in {imported[n]} files" for n in some if imported[n] > MANY_IMPORTS]
     s = convention_counts(symbols).first()
-    if s["errors"]:
-        out.append(f"{s['errors']} custom exception classes (typed errors)")
-    if s["functions"]:
-        out.append(f"Return type hints on {100 * s['typed'] // s['functions']}% of functions/methods")
-    if s["asyncs"] > MANY_ASYNC:
-        out.append(f"{s['asyncs']} async functions (async-heavy)")
-    return out + [f"{label} ({counted[n]} modules)" for n, label in LIBRARIES.items() if counted[n] > MANY_IMPORTS]
+    told = {
+        "tests use": often(TEST_FRAMEWORKS),
+        "data models use": often(LIBRARIES),
+        "own error types": [str(s["errors"])] * (s["errors"] > 0),
+        "declared return types": [f"{s['typed']} of {s['functions']} functions"] * (s["functions"] > 0),
+        "asynchronous functions": [str(s["asyncs"])] * (s["asyncs"] > MANY_ASYNC),
+    }
+    return [f"{what}: {', '.join(values)}" for what, values in told.items() if values]
 
 
 def convention_counts(symbols: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def convention_counts(symbols: DataFrame) -> DataFrame:
 def readme(files: DataFrame) -> DataFrame:
     """The README nearest to the root, with its first characters (files: path, text)."""
     depth = F.size(F.split("path", "/"))
-    return files.where(F.col("path").rlike(paths.README)).orderBy(depth, "path").limit(1).select("path", F.substring(text.strip_markdown_noise(F.col("text")), 1, README_CHARS).alias("excerpt"))
+    return files.where(paths.is_readme(F.col("path"))).orderBy(depth, "path").limit(1).select("path", F.substring(text.strip_markdown_noise(F.col("text")), 1, README_CHARS).alias("excerpt"))
 
 
 def entry_points(files: DataFrame) -> DataFrame:
@@ -85,12 +85,12 @@ def entry_points(files: DataFrame) -> DataFrame:
 
 def documents(files: DataFrame) -> DataFrame:
     """Texts in the documentation directory, the first forty by path."""
-    return files.where(F.col("path").rlike(paths.DOC_DIR) & F.col("path").rlike(paths.DOCUMENT)).select("path").orderBy("path").limit(40)
+    return files.where(paths.in_docs(F.col("path")) & paths.is_document(F.col("path"))).select("path").orderBy("path").limit(40)
 
 
 def decisions(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, title, summary) of design documents: the first heading of level 1 and the first paragraph."""
-    chosen = files.where(F.col("path").rlike(paths.DOCUMENT) & F.col("path").rlike(paths.DECISION)).orderBy("path").limit(20)
+    chosen = files.where(paths.is_document(F.col("path")) & paths.tells_decisions(F.col("path"))).orderBy("path").limit(20)
     titles = symbols.where("kind = 'h1'").groupBy("path").agg(F.min_by("name", "start_line").alias("title"))
     return chosen.join(titles, "path", "left").select("path", "title", text.first_paragraph(F.col("text")).alias("summary")).orderBy("path")
 
@@ -99,13 +99,22 @@ def purposes(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(name, purpose) of modules: the docstring of the package, else the first paragraph of a README in it."""
     package = symbols.where((F.col("kind") == "module") & F.col("docstring").isNotNull() & F.col("path").rlike("^[^/]+/__init__\\.py$"))
     by_doc = package.select(paths.module(F.col("path")).alias("name"), F.lit(0).alias("rank"), F.col("path"), F.col("docstring").alias("purpose"))
-    told = files.where(F.col("path").contains("/") & F.col("path").rlike(paths.README))
+    told = files.where(F.col("path").contains("/") & paths.is_readme(F.col("path")))
     by_readme = told.select(paths.module(F.col("path")).alias("name"), F.lit(1).alias("rank"), "path", text.first_paragraph(F.col("text")).alias("purpose")).where("purpose is not null")
     return by_doc.unionByName(by_readme).groupBy("name").agg(F.min_by("purpose", F.struct("rank", "path")).alias("purpose"))
 
 
 def within_budget(rows: DataFrame, group: list[str], order: str, cost: Column, budget: int) -> DataFrame:
-    """Rows of each group in order, up to the first that does not fit the budget."""
+    """Rows of each group in order, up to the first that does not fit the budget.
+
+    Every row costs one at least, so a group has at most ``budget`` such rows, and
+    they are among its first: the smallest ``budget`` orders of each salted part
+    of a group are found first (a window limit that Spark pushes below the
+    exchange), so no task sorts a whole hot group.
+    """
+    part = F.pmod(F.xxhash64(order), F.lit(BUDGET_PARTS))
+    place = F.row_number().over(Window.partitionBy(*group, part).orderBy(order))
+    rows = rows.withColumn("__place", place).where(F.col("__place") <= budget).drop("__place")
     running = F.sum(cost).over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("used", running).where(F.col("used") <= budget)
 
