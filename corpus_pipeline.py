@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's documents. All stages but the last
-return the columns of ``documents``.
+return the columns of ``documents``. Without labels of both kinds a classifier
+rejects nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        given, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = C.spill(docs, f"pipeline-{name}")
+            before, docs = given, C.spill(docs, f"pipeline-{name}")
+            C.drop(before)
     return docs
