@@ -33,12 +33,6 @@ def query_table(spark, queries: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id string, phrase_no int, phrase array<string>")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """The rows in at least as many partitions as there are cores: few or large row groups would keep most of them idle."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
-
-
 def positions(units: DataFrame, unit_id: str, columns: list[str]) -> DataFrame:
     """The inverted index's rows: (unit_id, dl, col, pos, term). Write them sorted by term to prune by it later."""
     parts = F.array(*(F.struct(F.lit(c).alias("col"), text.terms(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c in columns))
@@ -52,28 +46,56 @@ def lengths(units: DataFrame, unit_id: str, columns: list[str]) -> DataFrame:
     return units.select(F.col(unit_id).alias("unit_id"), sum((F.size(text.terms(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0)).alias("dl"))
 
 
+def write_postings(units: DataFrame, unit_id: str, columns: list[str], path: str, parts: int | None = None) -> None:
+    """Write the inverted index of units: ``postings`` in order of term and unit, and ``units``, all their ids with their lengths.
+
+    Texts are split once, as they are scanned. Postings are dealt to ranges of
+    term and unit, so a common term is spread over files and a query reads the
+    row groups of its own terms alone.
+    """
+    rows = positions(units, unit_id, columns)
+    parts = parts or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(parts, "term", "unit_id").sortWithinPartitions("term", "unit_id", "col", "pos").write.parquet(f"{path}/postings")
+    units.select(F.count("*").alias("rows")).write.parquet(f"{path}/units")
+
+
+def indexed_bm25(spark, path: str, queries: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """(query_id, unit_id, dl, score) of units that hold every phrase of a query, from a written index.
+
+    ``terms``: all terms of the queries, if they are few; then no other postings are read.
+    """
+    postings = spark.read.parquet(f"{path}/postings")
+    rows, words = spark.read.parquet(f"{path}/units").first()["rows"], postings.count()  # the counts are in the files' footers
+    if terms is not None:
+        postings = postings.where(F.col("term").isin(sorted(set(terms))))
+    return _scored(postings, rows, words / rows if rows else 1.0, queries)
+
+
 def bm25(units: DataFrame, unit_id: str, columns: list[str], queries: DataFrame) -> DataFrame:
-    """(query_id, unit_id, score) of units that hold every phrase of a query.
+    """(query_id, unit_id, score) of units that hold every phrase of a query, for units without an index."""
+    stats = lengths(units, unit_id, columns).agg(F.count("*").alias("rows"), F.avg("dl").alias("mean")).first()
+    return _scored(positions(units, unit_id, columns), stats["rows"], stats["mean"] or 1.0, queries).drop("dl")
+
+
+def _scored(postings: DataFrame, rows: int, mean: float, queries: DataFrame) -> DataFrame:
+    """Score postings (unit_id, dl, col, pos, term).
 
     A phrase lies inside one column; phrases may lie in different ones.
     Statistics are over all units. Terms that no query has are dropped before
     anything is exchanged.
     """
-    units = spread(units.select(unit_id, *columns))
-    stats = lengths(units, unit_id, columns).agg(F.count("*").alias("rows"), F.avg("dl").alias("mean")).first()
-    rows, mean = stats["rows"], stats["mean"] or 1.0
     asked = queries.select("query_id", "phrase_no", F.size("phrase").alias("terms"), F.posexplode("phrase").alias("at", "term"))
     of_query = queries.groupBy("query_id").agg(F.count("*").alias("phrases"))
-    met = positions(units, unit_id, columns).join(asked, "term")
+    met = postings.join(asked, "term")
     starts = met.groupBy("query_id", "phrase_no", "terms", "unit_id", "dl", "col", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n")).where("n = terms")
     found = starts.groupBy("query_id", "phrase_no", "unit_id", "dl").agg(F.count("*").alias("tf"))
     frequency = found.groupBy("query_id", "phrase_no").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = F.when(F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)) <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    score = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-    scored = found.join(frequency, ["query_id", "phrase_no"]).select("query_id", "unit_id", score.alias("part"))
-    whole = scored.groupBy("query_id", "unit_id").agg(F.sum("part").alias("score"), F.count("*").alias("met")).join(of_query, "query_id")
-    return whole.where("met = phrases").select("query_id", "unit_id", "score")
+    idf = F.log((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(F.greatest(idf, F.lit(LEAST_IDF)))
+    score = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
+    scored = found.join(frequency, ["query_id", "phrase_no"]).select("query_id", "unit_id", "dl", score.alias("part"))
+    whole = scored.groupBy("query_id", "unit_id", "dl").agg(F.sum("part").alias("score"), F.count("*").alias("met")).join(of_query, "query_id")
+    return whole.where("met = phrases").select("query_id", "unit_id", "dl", "score")
 
 
 def top(scored: DataFrame, k: int, tie: str = "unit_id") -> DataFrame:

@@ -12,6 +12,8 @@ import json
 import os
 import shutil
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -25,7 +27,12 @@ from quarrylake.operators import chunks, digest, graph, outline, retrieval, veri
 from quarrylake.plans.ship import ship
 from quarrylake.sources import dump, tree
 
+INDEXED = {"chunks": ["text"], "symbols": ["name", "signature", "docstring"]}
 TABLES = ["files", "blobs", "symbols", "chunks", "edges", "embeddings", "skipped", "declared"]
+#: Seconds between two signs of a writer, and after which a silent one is taken for dead.
+BEAT_SECONDS, SILENT_SECONDS = 10, 300
+#: Paths that a report shows; the whole lists are tables.
+SHOWN = 1000
 READ_LINES, SYMBOL_BODIES, NAME_MATCHES = 1500, 3, 10
 
 
@@ -33,15 +40,33 @@ class NotFound(LookupError):
     """Nothing of that name is in the corpus."""
 
 
-def _alive(pid: int) -> bool:
-    """True if a process of that number runs here."""
+class Heartbeat:
+    """Touches a file beside a version while it is written, so that others, on any machine, see that its writer lives."""
+
+    def __init__(self, version: Path) -> None:
+        self.file, self.over = version.with_name(f"{version.name}.alive"), threading.Event()
+
+    def __enter__(self) -> Heartbeat:
+        self.file.parent.mkdir(parents=True, exist_ok=True)
+        self.file.touch()
+        threading.Thread(target=self._beat, daemon=True).start()
+        return self
+
+    def _beat(self) -> None:
+        while not self.over.wait(BEAT_SECONDS):
+            self.file.touch()
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        self.file.unlink(missing_ok=True)
+
+
+def _alive(version: Path) -> bool:
+    """True if a version's writer has given a sign lately."""
     try:
-        os.kill(pid, 0)
-    except ProcessLookupError:
-        return False
+        return time.time() - version.with_name(f"{version.name}.alive").stat().st_mtime < SILENT_SECONDS
     except OSError:
-        return True
-    return pid > 0
+        return False
 
 
 def classify(source: str) -> str:
@@ -77,34 +102,40 @@ def safe_name(raw: str) -> str:
     return made
 
 
-def take_in(raw: DataFrame, declared: DataFrame | None = None, reuse: DataFrame | None = None, semantic: bool = True) -> dict[str, DataFrame]:
-    """All tables of a snapshot from (path, content, skipped).
+def take_in(raw: DataFrame, folder: str, declared: DataFrame | None = None, reuse: DataFrame | None = None, semantic: bool = True) -> None:
+    """Write all tables of a snapshot from (path, content, skipped).
 
-    ``reuse`` has the embed_text and vector of an earlier snapshot made by the
-    same pipeline: texts that it knows are not embedded again.
+    The source is read once and each file is outlined once: what was read is
+    written first, and every other table is made from what was written, so that
+    a file that changes meanwhile cannot make tables disagree. ``reuse`` has the
+    embed_text and vector of an earlier snapshot made by the same pipeline: texts
+    that it knows are not embedded again.
     """
-    whole = verify.digests(raw.where("skipped is null").select("path", "content"))
+    spark = raw.sparkSession
+
+    def kept(name: str, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    read = kept("read", verify.digests(raw))
+    kept("skipped", read.where("skipped is not null").select("path", "skipped"))
+    whole = read.where("skipped is null")
     decoded = F.make_valid_utf8(F.col("content").cast("string"))
     rows = whole.withColumn("text", decoded).withColumn("lang", paths.language(F.col("path")))
-    files = rows.select("path", "lang", "sha256", "size_bytes", text.line_count(F.col("text")).cast("long").alias("line_count"), "text")
-    outlined = outline.outlines(files.select("path", "lang", "text"))
-    symbols = outlined.select("path", "lang", F.posexplode("symbols").alias("ord", "s")).select("path", "lang", "ord", "s.*")
-    edges = outlined.select(F.col("path").alias("src"), F.explode("imports").alias("dst")).where("dst <> ''")
-    out = {
-        "files": files.drop("text"),
-        "blobs": verify.blobs(whole),
-        "symbols": symbols,
-        "chunks": chunks.chunks(files.select("path", "text"), ["path"]),
-        "edges": edges,
-        "skipped": raw.where("skipped is not null").select("path", "skipped"),
-        "declared": declared.select("path") if declared is not None else files.select("path"),
-    }
+    outlined = kept("outlined", outline.outlines(rows.select("path", "lang", "sha256", "size_bytes", text.line_count(F.col("text")).cast("long").alias("line_count"), "text")))
+    files = kept("files", outlined.select("path", "lang", "sha256", "size_bytes", "line_count"))
+    # Contents lie in order of their address, so that one is found without reading the others.
+    kept("blobs", verify.blobs(whole).repartitionByRange("sha256").sortWithinPartitions("sha256"))
+    symbols = kept("symbols", outlined.select("path", "lang", F.posexplode("symbols").alias("ord", "s")).select("path", "lang", "ord", "s.*"))
+    kept("edges", outlined.select(F.col("path").alias("src"), F.explode("imports").alias("dst")).where("dst <> ''"))
+    made = kept("chunks", chunks.chunks(outlined.select("path", "text"), ["path"]))
+    kept("declared", declared.select("path") if declared is not None else files.select("path"))
     texts = symbols.select(text.embed_text(F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring")).alias("embed_text")).distinct()
-    if semantic:
-        out["embeddings"] = embed.with_reuse(texts, reuse)
-    else:
-        out["embeddings"] = texts.limit(0).select("embed_text", F.lit(None).cast("array<float>").alias("vector"), F.lit(False).alias("reused"))
-    return out
+    kept("embeddings", embed.with_reuse(texts, reuse) if semantic else texts.limit(0).select("embed_text", F.lit(None).cast("array<float>").alias("vector"), F.lit(False).alias("reused")))
+    for name, rows in (("chunks", made.withColumn("at", F.struct("path", "start_line", "ord"))), ("symbols", symbols.withColumn("at", F.struct("path", "start_line", "ord")))):
+        retrieval.write_postings(rows, "at", INDEXED[name], f"{folder}/index-{name}")
+    for name in ("read", "outlined"):
+        shutil.rmtree(f"{folder}/{name}", ignore_errors=True)
 
 
 class Store:
@@ -136,8 +167,8 @@ class Store:
             if semantic and previous is not None and json.loads((previous / "meta.json").read_text()).get("fingerprint") == embed.FINGERPRINT:
                 reuse = self.spark.read.parquet(str(previous / "embeddings")).select("embed_text", "vector")
             version = root / f"v={os.getpid()}-{uuid.uuid4().hex}"
-            for table, rows in take_in(raw, declared, reuse, semantic).items():
-                rows.write.parquet(str(version / table))
+            with Heartbeat(version):
+                take_in(raw, str(version), declared, reuse, semantic)
             got = Corpus(self.spark, root.name, version, {})
             meta = {
                 "name": root.name, "source_kind": "dir" if kind != "dump" else "repomix", "source_ref": source if kind == "git" else os.path.abspath(source), "ingested_at": datetime.now(UTC).isoformat(),
@@ -162,14 +193,14 @@ class Store:
         return root / pointer.read_text().strip() if pointer.exists() else None
 
     def _point(self, root: Path, version: Path) -> None:
-        """Move the pointer in one step, then clear away versions that it does not name and that no other process is writing."""
+        """Move the pointer in one step, then clear away versions that it does not name and that nobody is writing."""
         fresh = root / f"CURRENT.{os.getpid()}"
         fresh.write_text(version.name)
         os.replace(fresh, root / "CURRENT")
         for old in root.glob("v=*"):
-            writer = int(old.name[2:].split("-")[0]) if old.name[2:].split("-")[0].isdigit() else 0
-            if old != version and (writer == os.getpid() or not _alive(writer)):
+            if old.is_dir() and old != version and not _alive(old):
                 shutil.rmtree(old, ignore_errors=True)
+                old.with_name(f"{old.name}.alive").unlink(missing_ok=True)
 
     def open(self, name: str) -> Corpus:
         """The current snapshot of a corpus."""
@@ -226,8 +257,17 @@ class Corpus:
         """Sizes of the tables."""
         size = self.table("files").agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b")).first()
         n = {t: self.table(t).count() for t in ("symbols", "chunks", "edges", "skipped")}
-        excluded = [r["path"] for r in verify.missing(self.table("declared"), self.table("files")).orderBy("path").limit(5000).collect()]
-        return {"file_count": size["n"], "total_bytes": size["b"], "symbol_count": n["symbols"], "chunk_count": n["chunks"], "edge_count": n["edges"], "skipped_count": n["skipped"], "excluded_files": excluded}
+        absent = self.excluded()
+        excluded = [r["path"] for r in absent.orderBy("path").limit(SHOWN).collect()]
+        return {"file_count": size["n"], "total_bytes": size["b"], "symbol_count": n["symbols"], "chunk_count": n["chunks"], "edge_count": n["edges"], "skipped_count": n["skipped"], "excluded_files": excluded, "excluded_count": absent.count()}
+
+    def excluded(self) -> DataFrame:
+        """Every path that the source declares and that is not among the files."""
+        return verify.missing(self.table("declared"), self.table("files"))
+
+    def failures(self) -> DataFrame:
+        """Every file whose content is missing or corrupt, with its state."""
+        return verify.check(self.table("files"), self.table("blobs")).where("state <> 'ok'")
 
     def files(self, lang: str | None = None) -> DataFrame:
         """Files in order of path."""
@@ -257,10 +297,11 @@ class Corpus:
         units = self.table("chunks").select("path", "ord", "start_line", "end_line", F.col("text").alias("snippet"), F.lit("chunk").alias("kind"), F.lit(None).cast("string").alias("name"))
         shown = F.concat(F.col("kind"), F.lit(" "), F.col("name"), F.lit(": "), F.col("signature"))
         symbols = self.table("symbols").select("path", "ord", "start_line", "end_line", shown.alias("snippet"), "kind", "name", "signature", "docstring")
-        if lexical and phrases.count():
-            for n, (rows, columns) in enumerate(((units, ["snippet"]), (symbols, ["name", "signature", "docstring"]))):
+        words = [w for phrase in text.phrases(query) for w in phrase]
+        if lexical and words:
+            for n, (name, rows) in enumerate((("chunks", units), ("symbols", symbols))):
                 named = rows.withColumn("unit_id", F.struct("path", "start_line", "ord"))
-                found = retrieval.top(retrieval.bm25(named.select("unit_id", *columns), "unit_id", columns, phrases), pool)
+                found = retrieval.top(retrieval.indexed_bm25(self.spark, str(self.folder / f"index-{name}"), phrases, words), pool)
                 lists.append(found.join(named, "unit_id").select(F.lit(n).alias("list_no"), "query_id", "rank", "path", "start_line", "end_line", text.snippet(F.col("snippet")).alias("snippet"), "kind", "name", F.lit("lexical").alias("source")))
         if semantic and query.strip() and self.meta.get("fingerprint") == embed.FINGERPRINT:
             known = self.table("embeddings")
@@ -290,9 +331,9 @@ class Corpus:
 
     def read(self, target: str, start: int | None = None, end: int | None = None) -> dict:
         """Lines of a file, or the places and, if they are few, the bodies of a symbol."""
-        whole = self.texts().where(F.col("path") == target).select("text").first()
-        if whole is not None:
-            return {"kind": "file", "path": target, **self._lines(whole["text"], start, end)}
+        known = self.table("files").where(F.col("path") == target).select("sha256").first()
+        if known is not None:
+            return {"kind": "file", "path": target, **self._lines(self._text(known["sha256"]), start, end)}
         found = self.table("symbols").where(F.col("name") == target)
         extents = digest.symbol_extents(self.table("symbols").join(found.select("path").distinct(), "path", "left_semi"), self.table("files")).where(F.col("name") == target)
         rows = extents.select("path", "kind", "name", "signature", "start_line", "last_line").orderBy("path", "start_line").limit(NAME_MATCHES).collect()
@@ -300,11 +341,19 @@ class Corpus:
             raise NotFound(target)
         out = [r.asDict() for r in rows]
         if len(rows) <= SYMBOL_BODIES:
-            texts = {r["path"]: r["text"] for r in self.texts().where(F.col("path").isin(list({r["path"] for r in rows}))).select("path", "text").collect()}
+            known = self.table("files").where(F.col("path").isin(list({r["path"] for r in rows}))).select("path", "sha256").collect()
+            texts = {r["path"]: self._text(r["sha256"]) for r in known}
             for r in out:
                 r["body"] = "\n".join(texts[r["path"]].split("\n")[r["start_line"] - 1 : r["last_line"]])
         return {"kind": "symbol", "name": target, "candidates": out}
 
+    def _text(self, sha256: str) -> str:
+        """One content by its address, which the scan is filtered by."""
+        row = self.table("blobs").where(F.col("sha256") == sha256).select(F.make_valid_utf8(F.col("content").cast("string")).alias("text")).first()
+        if row is None:
+            raise NotFound(sha256)
+        return row["text"]
+
     @staticmethod
     def _lines(whole: str, start: int | None, end: int | None) -> dict:
         lines = whole.split("\n")
@@ -337,12 +386,12 @@ class Corpus:
         files = self.table("files")
         bad = verify.check(files, self.table("blobs"))
         n = bad.agg(F.count("*").alias("total"), F.count_if(F.col("state") == "ok").alias("verified")).first()
-        failed = [r["path"] for r in bad.where("state <> 'ok'").select("path").orderBy("path").limit(1000).collect()]
+        failed = [r["path"] for r in bad.where("state <> 'ok'").select("path").orderBy("path").limit(SHOWN).collect()]
         cover = verify.coverage(files, self.table("symbols")).first()
         drift = None
         if self.meta.get("source_kind") == "repomix" and os.path.exists(self.meta["source_ref"]):
             drift = dump.count_entries(self.spark, self.meta["source_ref"]) != self.meta.get("declared_file_count")
-        return {"total": n["total"], "verified": n["verified"], "failed": failed, "complete": self.meta["complete"], "drift": drift, "coverage_percent": cover["percent"], "ok": not failed and n["total"] > 0 and self.meta["complete"] and not drift}
+        return {"total": n["total"], "verified": n["verified"], "failed": failed, "failed_count": n["total"] - n["verified"], "complete": self.meta["complete"], "drift": drift, "coverage_percent": cover["percent"], "ok": not failed and n["total"] > 0 and self.meta["complete"] and not drift}
 
     def map(self, level: int = 0, budget: int = 25_000, glob: str | None = None) -> str:
         """A summary in Markdown: the whole at level 0, top-level symbols at 1, methods too at 2, within a budget of tokens."""

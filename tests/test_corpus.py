@@ -85,14 +85,25 @@ def test_again_reuses_vectors_and_replaces(spark, demo):
     (root / "pkg/util.py").write_text(FILES["pkg/util.py"])
 
 
-def test_versions_of_other_processes_stay(spark, demo):
+def test_versions_of_other_writers_stay(spark, demo):
     store, root = demo
-    stale, busy = store.home / "demo" / "v=999999999-x", store.home / "demo" / "v=1-y"
+    stale, busy = store.home / "demo" / "v=dead", store.home / "demo" / "v=elsewhere"
     stale.mkdir(parents=True)
     busy.mkdir()
+    with C.Heartbeat(busy):
+        store.add(str(root), semantic=False)
+        assert not stale.exists() and busy.exists()
     store.add(str(root), semantic=False)
-    assert not stale.exists() and busy.exists()
-    busy.rmdir()
+    assert not busy.exists() and not list((store.home / "demo").glob("*.alive"))
+
+
+def test_reads_and_searches_reach_the_scan(spark, demo):
+    store, root = demo
+    corpus = store.add(str(root), semantic=False)
+    some = corpus.table("blobs").where(C.F.col("sha256") == "0" * 64)
+    assert "PushedFilters: [IsNotNull(sha256), EqualTo(sha256," in some._jdf.queryExecution().toString()
+    assert corpus.table("index-chunks/postings").where("term = 'helper'").count() > 0
+    assert corpus.failures().count() == 0 and corpus.excluded().count() == 0
 
 
 def test_git_trees(spark, demo, tmp_path):
