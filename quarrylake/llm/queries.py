@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.llm import _common as C
-from quarrylake.llm import edit_counts, embedding_dedup, fingerprints, minhash, packing, piece_codec, quality, sharding, toxicity, warc
+from quarrylake.llm import conversations, edit_counts, embedding_dedup, fingerprints, minhash, packing, piece_codec, quality, sharding, toxicity, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip_digest(C.table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule, with its faults and its cheapest repair."""
+    return conversations.repair(conversations.damaged(C.table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_piece_codec": op10_piece_codec,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op4_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top, sha1(h) AS d FROM p)
@@ -89,6 +95,29 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b
 reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b), parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM parts LEFT JOIN counts USING (vec_id)""",
+    # CRC-32 bit by bit, the damage, then the four states' (cost, audit) row by row.
+    "op12_conversation_repair": r"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations),
+harm AS (SELECT *, xor(list_reduce(flatten(list_transform(range(octet_length(k)), lambda i: list_transform(range(8), lambda b: (CAST('0x' || substr(hex(k), 2 * i + 1, 2) AS BIGINT) >> b) & 1))), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295), 4294967295) % 20 AS h FROM src),
+rows_ AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM harm, range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+nth AS (SELECT *, row_number() OVER w AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy, lag(left(role, 1)) OVER w AS prior, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS i FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+faults AS (SELECT *, bare = '' AS blank, bare <> '' AND copy > 1 AS duplicate, bare <> '' AND copy = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS cut, prior IS NOT NULL AND prior || i NOT IN ('su', 'ua', 'au') AS illegal FROM nth),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, {'c': 0, 'a': ''} AS p0, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS p1, {'c': 5, 'a': 'I'} AS p2, {'c': 10, 'a': 'II'} AS p3 FROM ids
+  UNION ALL SELECT conv_id, n, p0, p1, CASE WHEN p3.c IS NULL THEN p2 ELSE least(p2, {'c': p3.c + 5, 'a': p3.a || 'I'}) END, p3 FROM (
+    SELECT conv_id, n, p0, p1, p2, CASE WHEN p2.c IS NULL THEN p3 WHEN p3.c IS NULL THEN {'c': p2.c + 5, 'a': p2.a || 'I'} ELSE least(p3, {'c': p2.c + 5, 'a': p2.a || 'I'}) END AS p3 FROM (
+      SELECT conv_id, n, p0, p1, list_min(list_filter([p2, {'c': p0.c + 5, 'a': p0.a || 'I'}, {'c': p1.c + 5, 'a': p1.a || 'I'}, {'c': p3.c + 5, 'a': p3.a || 'I'}], lambda x: x.c IS NOT NULL)) AS p2, p3 FROM (
+        SELECT w.conv_id, f.n, {'c': p0.c + 2, 'a': p0.a || 'D'} AS p0,
+          list_min(list_filter([{'c': p1.c + 2, 'a': p1.a || 'D'}, {'c': CASE WHEN NOT (blank OR duplicate) AND i = 's' THEN p0.c + 5 * cut::INT END, 'a': p0.a || 'K'}], lambda x: x.c IS NOT NULL)) AS p1,
+          list_min(list_filter([{'c': p2.c + 2, 'a': p2.a || 'D'}, {'c': u + p0.c, 'a': p0.a || lu}, {'c': u + p1.c, 'a': p1.a || lu}, {'c': u + p3.c, 'a': p3.a || lu}], lambda x: x.c IS NOT NULL)) AS p2,
+          list_min(list_filter([{'c': p3.c + 2, 'a': p3.a || 'D'}, {'c': s + p2.c, 'a': p2.a || ls}], lambda x: x.c IS NOT NULL)) AS p3
+        FROM walk w JOIN (SELECT *, CASE WHEN NOT (blank OR duplicate) THEN 5 * cut::INT + (i <> 'u')::INT END AS u, CASE WHEN i = 'u' THEN 'K' ELSE 'R' END AS lu, CASE WHEN NOT (blank OR duplicate) THEN 5 * cut::INT + (i <> 'a')::INT END AS s, CASE WHEN i = 'a' THEN 'K' ELSE 'R' END AS ls FROM faults) f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.n = w.n + 1)))),
+ended AS (SELECT conv_id, CASE WHEN p3.c IS NULL THEN p0 ELSE least(p0, p3) END AS p FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+edits AS (SELECT conv_id, j, substr(p.a, CAST(j AS INTEGER), 1) AS e, len(replace(substr(p.a, 1, CAST(j AS INTEGER)), 'I', '')) AS n, len(replace(substr(p.a, 1, CAST(j AS INTEGER) - 1), 'D', '')) - len(replace(p.a, 'D', '')) % 2 AS place FROM ended, range(1, len(p.a) + 1) AS t(j)),
+turns AS (SELECT e.conv_id, j, CASE WHEN e = 'K' THEN f.role WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE f.text END AS t FROM edits e LEFT JOIN faults f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.n = f.n AND e.e <> 'I' WHERE e <> 'D'),
+mended AS (SELECT conv_id, string_agg(t, chr(10) ORDER BY j) AS t FROM turns GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (illegal) AS illegal FROM faults GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(p.c AS BIGINT) AS cost, p.a AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN mended m ON e.conv_id IS NOT DISTINCT FROM m.conv_id""",
 }
 
 
