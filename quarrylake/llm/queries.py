@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.llm import _common as C
-from quarrylake.llm import conversations, edit_counts, embedding_dedup, fingerprints, minhash, packing, piece_codec, quality, sharding, toxicity, warc
+from quarrylake.llm import conversations, edit_counts, embedding_dedup, fingerprints, minhash, packing, piece_codec, quality, sharding, site_tree, toxicity, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip_digest(C.table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by the style tree of its host."""
+    return site_tree.main_texts(C.table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by rule, with its faults and its cheapest repair."""
     return conversations.repair(conversations.damaged(C.table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])))
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_piece_codec": op10_piece_codec,
+    "op11_html_text": op11_html_text,
     "op12_conversation_repair": op12_conversation_repair,
 }
 ORACLES: dict[str, str] = {
