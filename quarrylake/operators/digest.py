@@ -107,11 +107,12 @@ def purposes(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def within_budget(rows: DataFrame, group: list[str], order: str, cost: Column, budget: int) -> DataFrame:
     """Rows of each group in order, up to the first that does not fit the budget.
 
-    Every row costs one at least, so a group has at most ``budget`` such rows, and
+    Every row is taken to cost one at least, so a group has at most ``budget`` such rows, and
     they are among its first: the smallest ``budget`` orders of each salted part
     of a group are found first (a window limit that Spark pushes below the
     exchange), so no task sorts a whole hot group.
     """
+    cost = F.greatest(cost, F.lit(1))
     part = F.pmod(F.xxhash64(order), F.lit(BUDGET_PARTS))
     place = F.row_number().over(Window.partitionBy(*group, part).orderBy(order))
     rows = rows.withColumn("__place", place).where(F.col("__place") <= budget).drop("__place")

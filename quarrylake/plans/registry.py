@@ -36,13 +36,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def queries() -> dict[str, Query]:
     """Every registered query by name."""
-    import_module("quarrylake.plans.corpus_queries")
+    for name in ("corpus_queries", "job_queries"):
+        import_module(f"quarrylake.plans.{name}")
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL twin of each query that SQL can express."""
-    import_module("quarrylake.plans.corpus_queries")
+    queries()
     return ORACLES
 
 
