@@ -11,15 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylake.functions import paths, text
+from quarrylake.operators.postings import LEAST_IDF, K1, B
 
 # Fixed values of the ranking rules.
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
 TEST_PENALTY = 0.4
 MMR_WEIGHT, LEAST_RELEVANCE = 0.5, 0.1
 POOL_TIMES, LEAST_POOL = 3, 20
-#: Query vectors compared at once; a block is all that is sent to the tasks.
-QUERY_BLOCK = 1024
+#: Query vectors that a task compares at once, and vectors of a group that meets them.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 262_144
 
 
 def pool_size(k: int) -> int:
@@ -46,31 +46,6 @@ def lengths(units: DataFrame, unit_id: str, columns: list[str]) -> DataFrame:
     return units.select(F.col(unit_id).alias("unit_id"), sum((F.size(text.terms(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0)).alias("dl"))
 
 
-def write_postings(units: DataFrame, unit_id: str, columns: list[str], path: str, parts: int | None = None) -> None:
-    """Write the inverted index of units: ``postings`` in order of term and unit, and ``units``, all their ids with their lengths.
-
-    Texts are split once, as they are scanned. Postings are dealt to ranges of
-    term and unit, so a common term is spread over files and a query reads the
-    row groups of its own terms alone.
-    """
-    rows = positions(units, unit_id, columns)
-    parts = parts or int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, "term", "unit_id").sortWithinPartitions("term", "unit_id", "col", "pos").write.parquet(f"{path}/postings")
-    units.select(F.count("*").alias("rows")).write.parquet(f"{path}/units")
-
-
-def indexed_bm25(spark, path: str, queries: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(query_id, unit_id, dl, score) of units that hold every phrase of a query, from a written index.
-
-    ``terms``: all terms of the queries, if they are few; then no other postings are read.
-    """
-    postings = spark.read.parquet(f"{path}/postings")
-    rows, words = spark.read.parquet(f"{path}/units").first()["rows"], postings.count()  # the counts are in the files' footers
-    if terms is not None:
-        postings = postings.where(F.col("term").isin(sorted(set(terms))))
-    return _scored(postings, rows, words / rows if rows else 1.0, queries)
-
-
 def bm25(units: DataFrame, unit_id: str, columns: list[str], queries: DataFrame) -> DataFrame:
     """(query_id, unit_id, score) of units that hold every phrase of a query, for units without an index."""
     stats = lengths(units, unit_id, columns).agg(F.count("*").alias("rows"), F.avg("dl").alias("mean")).first()
@@ -111,49 +86,65 @@ def normalized(vector: Column) -> Column:
 
 
 def vector_top(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, unit_id, score): the k nearest vectors of each query by cosine, by brute force in blocks.
-
-    ``queries`` has query_id (long) and vector. Blocks of queries of a fixed size
-    go to the tasks one after another; each task sends on its own k best alone.
+    """(query_id, unit_id, score): the k nearest vectors of each query by cosine, by brute force in blocks on the executors.
+
+    ``queries`` has query_id (long) and vector. Queries are dealt to blocks of
+    about QUERY_BLOCK, vectors to groups of about VECTOR_BLOCK, and each block
+    meets each group in one task, which holds the block and its k best while the
+    group streams by. The plan does not grow with either side, nothing passes the
+    driver but the two counts. Null vectors and those of another dimension than a
+    query's are left out.
     """
     spark = vectors.sparkSession
-    given = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).where("v is not null").toLocalIterator()
-    base = vectors.select(F.col(vec_id).cast("long").alias("unit_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    parts: list[DataFrame] = []
-
-    def block_of(rows: list) -> DataFrame:
-        ids = np.array([r["query_id"] for r in rows], np.int64)
-        q = _unit(np.array([r["v"] for r in rows], np.float64))
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own_ids, own = shared.value
-            best_score, best_unit = np.full((len(own_ids), 0), 0.0), np.full((len(own_ids), 0), 0)
-            for batch in batches:
-                unit, v = batch.column(0).to_numpy(), batch.column(1)
-                keep = np.flatnonzero(np.diff(v.offsets.to_numpy()) == own.shape[1])
-                x = _unit(v.take(pa.array(keep)).flatten().to_numpy().reshape(len(keep), -1)) if len(keep) else np.zeros((0, own.shape[1]))
-                score = np.hstack([best_score, own @ x.T])
-                units = np.hstack([best_unit, np.broadcast_to(unit[keep], (len(own_ids), len(keep)))])
-                order = np.lexsort((units, -np.round(score, 12)), axis=1)[:, :k]
-                best_score, best_unit = np.take_along_axis(score, order, 1), np.take_along_axis(units, order, 1)
-            n = best_score.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own_ids, n)), pa.array(best_unit.ravel().astype(np.int64)), pa.array(best_score.ravel())], ["query_id", "unit_id", "score"])
-
-        return base.mapInArrow(run, "query_id long, unit_id long, score double")
-
-    block: list = []
-    for row in given:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts.append(block_of(block))
-            block = []
-    if block or not parts:
-        parts.append(block_of(block) if block else spark.createDataFrame([], "query_id long, unit_id long, score double"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return top(out.withColumn("score", F.round("score", 6)), k)
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).where("v is not null and id is not null")
+    base = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    blocks = -(-asked.count() // QUERY_BLOCK) or 1
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // VECTOR_BLOCK))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("long"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asked.select("id", "v", F.lit(0).alias("base"), place(blocks).alias("b")).withColumn("g", each(groups))
+    right = base.select("id", "v", F.lit(1).alias("base"), place(groups).alias("g")).withColumn("b", each(blocks)).select(*left.columns[:4], "g")
+    met = left.unionByName(right).repartition("b", "g").sortWithinPartitions("b", "g", "base")
+    found = met.select("b", "g", "base", "id", "v").mapInArrow(lambda batches: _nearest(batches, k), "query_id long, unit_id long, score double")
+    return top(found.withColumn("score", F.round("score", 6)), k)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query in each cell: a cell's queries come before its vectors."""
+    cell, asked = None, {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for ids, _, score, unit in asked.values():
+            n = score.shape[1]
+            keep = np.isfinite(score.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[keep]), pa.array(unit.ravel()[keep]), pa.array(score.ravel()[keep])], ["query_id", "unit_id", "score"])
+
+    for batch in batches:
+        b, g, base = (batch.column(n).to_numpy() for n in range(3))
+        edges = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (g[1:] != g[:-1]) | (base[1:] != base[:-1])]))
+        for begin, end in zip(edges, np.append(edges[1:], len(b)), strict=True):
+            if (b[begin], g[begin]) != cell:
+                yield from told()
+                cell, asked = (b[begin], g[begin]), {}
+            rows = batch.slice(begin, end - begin)
+            sizes = np.diff(rows.column(4).offsets.to_numpy())
+            for size in np.unique(sizes):
+                at = pa.array(np.flatnonzero(sizes == size))
+                ids, x = rows.column(3).take(at).to_numpy(), _unit(rows.column(4).take(at).flatten().to_numpy().reshape(len(at), size))
+                if not base[begin]:
+                    before = asked.get(size, (ids[:0], x[:0], np.zeros((0, k)), np.zeros((0, k), np.int64)))
+                    n = len(ids)
+                    asked[size] = np.append(before[0], ids), np.vstack([before[1], x]), np.vstack([before[2], np.full((n, k), -np.inf)]), np.vstack([before[3], np.zeros((n, k), np.int64)])
+                elif size in asked:
+                    own, q, score, unit = asked[size]
+                    for part in range(0, len(ids), 4096):
+                        some = ids[part : part + 4096]
+                        score = np.hstack([score, q @ x[part : part + 4096].T])
+                        unit = np.hstack([unit, np.broadcast_to(some, (len(own), len(some)))])
+                        order = np.lexsort((unit, -np.round(score, 12)), axis=1)[:, :k]
+                        score, unit = np.take_along_axis(score, order, 1), np.take_along_axis(unit, order, 1)
+                    asked[size] = own, q, score, unit
+    yield from told()
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

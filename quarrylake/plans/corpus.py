@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.functions import embed, paths, text
-from quarrylake.operators import chunks, digest, graph, outline, retrieval, verify
+from quarrylake.operators import chunks, digest, graph, outline, postings, retrieval, verify
 from quarrylake.plans.ship import ship
 from quarrylake.sources import dump, tree
 
@@ -133,7 +133,7 @@ def take_in(raw: DataFrame, folder: str, declared: DataFrame | None = None, reus
     texts = symbols.select(text.embed_text(F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring")).alias("embed_text")).distinct()
     kept("embeddings", embed.with_reuse(texts, reuse) if semantic else texts.limit(0).select("embed_text", F.lit(None).cast("array<float>").alias("vector"), F.lit(False).alias("reused")))
     for name, rows in (("chunks", made.withColumn("at", F.struct("path", "start_line", "ord"))), ("symbols", symbols.withColumn("at", F.struct("path", "start_line", "ord")))):
-        retrieval.write_postings(rows, "at", INDEXED[name], f"{folder}/index-{name}")
+        postings.write_index(rows, "at", INDEXED[name], f"{folder}/index-{name}")
     for name in ("read", "outlined"):
         shutil.rmtree(f"{folder}/{name}", ignore_errors=True)
 
@@ -301,7 +301,7 @@ class Corpus:
         if lexical and words:
             for n, (name, rows) in enumerate((("chunks", units), ("symbols", symbols))):
                 named = rows.withColumn("unit_id", F.struct("path", "start_line", "ord"))
-                found = retrieval.top(retrieval.indexed_bm25(self.spark, str(self.folder / f"index-{name}"), phrases, words), pool)
+                found = postings.Index(self.spark, str(self.folder / f"index-{name}")).top(phrases, pool, words)
                 lists.append(found.join(named, "unit_id").select(F.lit(n).alias("list_no"), "query_id", "rank", "path", "start_line", "end_line", text.snippet(F.col("snippet")).alias("snippet"), "kind", "name", F.lit("lexical").alias("source")))
         if semantic and query.strip() and self.meta.get("fingerprint") == embed.FINGERPRINT:
             known = self.table("embeddings")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.functions import paths, text
-from quarrylake.operators import outline, retrieval, verify
+from quarrylake.operators import outline, postings, retrieval, verify
 from quarrylake.plans import scratch
 from quarrylake.plans.registry import HEADINGS, TERMS, headings, query, read
 from quarrylake.sources import dump, tree
@@ -95,11 +95,9 @@ def dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     f.write(f"\n## File: src{i % 5}/d{i}.txt\n\n{fence}txt\n" + "\n".join(lines) + f"\n{fence}\n")
             yield pd.DataFrame({"dump": [path]})
 
-    files = sorted(r["dump"] for r in docs.mapInPandas(run, "dump string").collect())
-    if not all(map(dump.looks_like_dump, files)):
-        raise ValueError("a dump is not taken for one")
-    found = dump.read_dumps(spark, files)
-    listed = dump.read_listings(spark, files).select("path", F.lit(True).alias("listed"))
+    docs.mapInPandas(run, "dump string").agg(F.count("*")).collect()
+    found = dump.read_dumps(spark, [root])
+    listed = dump.read_listings(spark, [root]).select("path", F.lit(True).alias("listed"))
     return found.join(listed, "path", "left").select("path", F.sha2(text.clean_dump_text(F.col("text")), 256).alias("sha256"), F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
@@ -178,9 +176,9 @@ def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols that hold every word in any of three columns, from a written index."""
     units = headings(spark, sf_dir).withColumn("unit", F.concat_ws("#", "path", F.col("start_line").cast("string")))
     path = scratch.fresh(spark, "symbol-index")
-    retrieval.write_postings(units, "unit", ["kind", "name", "signature"], path)
+    postings.write_index(units, "unit", ["kind", "name", "signature"], path)
     words = [w for given in SYMBOL_QUERIES.values() for p in text.phrases(given) for w in p]
-    found = retrieval.indexed_bm25(spark, path, retrieval.query_table(spark, SYMBOL_QUERIES), words)
+    found = postings.Index(spark, path).all(retrieval.query_table(spark, SYMBOL_QUERIES), words)
     return found.select("query_id", "unit_id", F.round("score", 6).alias("score"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylake.functions import paths, text
-from quarrylake.operators import chunks, digest, graph, retrieval, verify
+from quarrylake.operators import chunks, digest, graph, postings, retrieval, verify
 from quarrylake.plans import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,57 +315,48 @@ def neighbors_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- retrieval ----
 
 
-#: A table of short queries: two words each, as two phrases or, where a sign joins them, as one.
-WORDS = "the ther,this onble,attion thanedble,that eron,und mit,que par,de la,eriner anea,only inly,erre oned,thble thes,of enre,rest inst,the eux,pas que,anan anre,and ndes,ersh hent,to heor,is ntre".split(",")
-PHRASES = "of-the,the-and,de-la,attion-to,thanedble-the,eriner-thanea,to-of,is-the,la-de,for-the,the-that,in-the".split(",")
+def benchmark_queries(spark: SparkSession, sf_dir: str, phrase: bool = False) -> DataFrame:
+    """A query of each benchmark item: its second and fourth term, as two phrases or as its second and third term in one."""
+    found = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.terms(F.col("text")).alias("t")).where(F.size("t") >= 4)
+    if phrase:
+        return found.select("query_id", F.lit(0).alias("phrase_no"), F.slice("t", 2, 2).alias("phrase"))
+    return found.select("query_id", F.posexplode(F.array(F.slice("t", 2, 1), F.slice("t", 4, 1))).alias("phrase_no", "phrase"))
 
 
-def short_queries(spark: SparkSession, given: list[str]) -> DataFrame:
-    """The phrases of queries that are numbered in their order."""
-    return retrieval.query_table(spark, {f"{n:02}": q for n, q in enumerate(given)})
+def index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The inverted index of the documents, written anew: every query pays for its own."""
+    path = scratch.fresh(spark, "document-index")
+    postings.write_index(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"], path)
+    return postings.Index(spark, path)
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
-def index(spark: SparkSession, sf_dir: str) -> str:
-    """The inverted index of the documents, written at the first search of a session, as it is at ingest in a corpus."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _INDEXES:
-        path = scratch.fresh(spark, "document-index")
-        retrieval.write_postings(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"], path)
-        _INDEXES[key] = path
-    return _INDEXES[key]
-
-
-TOKENS = f"tok AS (SELECT doc_id, unnest({TERMS.format('text')}) AS term, generate_subscripts({TERMS.format('text')}, 1) AS pos FROM documents), dl AS (SELECT doc_id, len({TERMS.format('text')}) AS dl FROM documents), st AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl)"
+TOKENS = f"tok AS (SELECT doc_id, unnest({TERMS.format('text')}) AS term, generate_subscripts({TERMS.format('text')}, 1) AS pos FROM documents), dl AS (SELECT doc_id, len({TERMS.format('text')}) AS dl FROM documents), st AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl), bt AS (SELECT item_id AS query_id, {TERMS.format('text')} AS t FROM benchmark)"
 BM25 = """f AS (SELECT query_id, phrase_no, doc_id, count(*) AS tf FROM m GROUP BY ALL), df AS (SELECT query_id, phrase_no, count(*) AS df FROM f GROUP BY ALL),
 s AS (SELECT f.query_id, f.doc_id AS unit_id, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score, count(*) AS met FROM f JOIN df USING (query_id, phrase_no) JOIN dl ON dl.doc_id = f.doc_id, st GROUP BY ALL)"""
-TWO_TERMS = "q AS (SELECT * FROM (VALUES " + ", ".join(f"('{n:02}', {k}, '{w}')" for n, q in enumerate(WORDS) for k, w in enumerate(q.split(" "))) + ") v(query_id, phrase_no, term)), m AS (SELECT q.query_id, q.phrase_no, tok.doc_id FROM tok JOIN q USING (term))"
-TWO_IN_A_ROW = "q AS (SELECT * FROM (VALUES " + ", ".join(f"('{n:02}', '{q.split('-')[0]}', '{q.split('-')[1]}')" for n, q in enumerate(PHRASES)) + ") v(query_id, one, two)), m AS (SELECT q.query_id, 0 AS phrase_no, a.doc_id FROM q JOIN tok a ON a.term = q.one JOIN tok b ON b.term = q.two AND b.doc_id = a.doc_id AND b.pos = a.pos + 1)"
+TWO_TERMS = "q AS (SELECT query_id, unnest([0, 1]) AS phrase_no, unnest([t[2], t[4]]) AS term FROM bt WHERE len(t) >= 4), m AS (SELECT q.query_id, q.phrase_no, tok.doc_id FROM tok JOIN q USING (term))"
 
 
-def scored(spark: SparkSession, sf_dir: str, given: list[str]) -> DataFrame:
-    """(query_id, unit_id, dl, score) of all files that match each of the queries."""
-    words = [w for q in given for phrase in text.phrases(q) for w in phrase]
-    return retrieval.indexed_bm25(spark, index(spark, sf_dir), short_queries(spark, given), words).withColumn("score", F.round("score", 6))
+@query(f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS units, count(*) AS occurrences FROM tok GROUP BY term")
+def posting_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index written in blocks, and what it holds of each term."""
+    return index(spark, sf_dir).terms()
 
 
-def top_bm25(spark: SparkSession, sf_dir: str, k: int, given: list[str] = WORDS) -> DataFrame:
-    """The k best files of each query."""
-    return retrieval.top(scored(spark, sf_dir, given).drop("dl"), k)
+def top_bm25(spark: SparkSession, sf_dir: str, k: int, phrase: bool = False) -> DataFrame:
+    """The k best files of each benchmark query."""
+    return index(spark, sf_dir).top(benchmark_queries(spark, sf_dir, phrase), k).select("query_id", "unit_id", "score", "rank")
 
 
 @query(f"WITH {TOKENS}, {TWO_TERMS}, {BM25}, p AS (SELECT query_id, unit_id, round(score, 6) AS score FROM s WHERE met = 2) SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS INTEGER) AS rank FROM p QUALIFY rank < 10")
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that hold two words, ranked, for all queries at once."""
+    """Files that hold two words, ranked, for all benchmark items at once."""
     return top_bm25(spark, sf_dir, 10)
 
 
-@query(f"WITH {TOKENS}, {TWO_IN_A_ROW}, {BM25}, p AS (SELECT query_id, unit_id, round(score, 6) AS score FROM s) SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS INTEGER) AS rank FROM p QUALIFY rank < 10")
+@query(f"WITH {TOKENS}, m AS (SELECT q.query_id, 0 AS phrase_no, a.doc_id FROM bt q JOIN tok a ON a.term = q.t[2] JOIN tok b ON b.term = q.t[3] AND b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE len(q.t) >= 4), {BM25}, p AS (SELECT query_id, unit_id, round(score, 6) AS score FROM s) SELECT query_id, unit_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS INTEGER) AS rank FROM p QUALIFY rank < 10")
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that hold two words side by side, ranked."""
-    return top_bm25(spark, sf_dir, 10, PHRASES)
+    return top_bm25(spark, sf_dir, 10, True)
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +389,7 @@ b AS (SELECT 1 AS list_no, query_id, unit_id, row_number() OVER (PARTITION BY qu
 
 def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings of the files that match a query: by BM25, and the shorter first."""
-    found = scratch.written(scored(spark, sf_dir, WORDS), "matches")
+    found = scratch.written(index(spark, sf_dir).all(benchmark_queries(spark, sf_dir)).withColumn("score", F.round("score", 6)), "matches")
     short = retrieval.top(found.select("query_id", "unit_id", (-F.col("dl")).alias("score")), 30)
     best = retrieval.top(found, 30)
     return best.select(F.lit(0).alias("list_no"), "query_id", "unit_id", "rank").unionByName(short.select(F.lit(1).alias("list_no"), "query_id", "unit_id", "rank"))
@@ -431,15 +422,15 @@ def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TOKENS}, {TWO_TERMS}, {BM25}, p AS (SELECT query_id, unit_id, round(score, 6) AS score FROM s WHERE met = 2), r AS (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS rank FROM p QUALIFY rank < 8),
-j AS (SELECT r.query_id, rank, contains(lower(d.text), b.told) AS relevant, greatest(1, length(d.text) // 4) AS tokens FROM r JOIN documents d ON d.doc_id = r.unit_id JOIN (SELECT query_id, string_agg(term, ' ' ORDER BY phrase_no) AS told FROM q GROUP BY query_id) b USING (query_id)),
+j AS (SELECT r.query_id, rank, contains(d.text, b.text) AS relevant, greatest(1, length(d.text) // 4) AS tokens FROM r JOIN documents d ON d.doc_id = r.unit_id JOIN benchmark b ON b.item_id = r.query_id),
 e AS (SELECT query_id, min(rank) FILTER (relevant) AS first FROM j GROUP BY query_id), c AS (SELECT j.query_id, e.first, sum(tokens) FILTER (e.first IS NULL OR rank <= e.first) AS cost FROM j JOIN e USING (query_id) GROUP BY ALL)
 SELECT count(*) AS queries, count(first) AS hits, round(avg(coalesce(1.0 / (first + 1), 0.0)), 6) AS mrr, round(avg(coalesce(cost, 0)), 6) AS mean_tokens FROM (SELECT DISTINCT query_id FROM q) LEFT JOIN c USING (query_id)""")
 def mrr_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often and how soon a file with the two words side by side is found, and what must be read until then."""
-    asked = short_queries(spark, WORDS)
-    told = spark.createDataFrame([(f"{n:02}", q) for n, q in enumerate(WORDS)], "query_id string, told string")
-    ranked = top_bm25(spark, sf_dir, 8).join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), "text"), "unit_id").join(told, "query_id")
-    rows = ranked.select("query_id", "rank", F.contains(F.lower("text"), "told").alias("relevant"), F.greatest(F.lit(1), F.floor(F.char_length("text") / 4)).alias("tokens"))
+    """How often and how soon a file with the whole passage is found, and what must be read until then."""
+    asked = benchmark_queries(spark, sf_dir)
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    ranked = top_bm25(spark, sf_dir, 8).join(docs.select(F.col("doc_id").alias("unit_id"), "text"), "unit_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), "query_id")
+    rows = ranked.select("query_id", "rank", F.contains("text", "passage").alias("relevant"), F.greatest(F.lit(1), F.floor(F.char_length("text") / 4)).alias("tokens"))
     return retrieval.hit_metrics(rows, asked, 8)
 
 

@@ -1,5 +1,7 @@
 """A small corpus from end to end."""
 
+import random
+import re
 import subprocess
 
 import pytest
@@ -102,7 +104,7 @@ def test_reads_and_searches_reach_the_scan(spark, demo):
     corpus = store.add(str(root), semantic=False)
     some = corpus.table("blobs").where(C.F.col("sha256") == "0" * 64)
     assert "PushedFilters: [IsNotNull(sha256), EqualTo(sha256," in some._jdf.queryExecution().toString()
-    assert corpus.table("index-chunks/postings").where("term = 'helper'").count() > 0
+    assert corpus.table("index-chunks").where("term = 'helper'").count() > 0
     assert corpus.failures().count() == 0 and corpus.excluded().count() == 0
 
 
@@ -156,14 +158,69 @@ def test_dumps(spark, demo, tmp_path):
     path = tmp_path / "repomix-output-thing.txt"
     path.write_text(DUMP)
     assert C.classify(str(path)) == "dump" and dump.declared_transforms(str(path)) == ["line_numbers"]
-    assert list(dump.listed(DUMP.split("\n"))) == ["src/a.py", "src/deep/logo.png", "b.md"]
-    assert dict(dump.entries(DUMP.split("\n"))) == {"src/a.py": "1: def a():\n2:     return 1\n⋮----", "b.md": "```\ninner\n```"}
-    assert dict(dump.entries(["## File: x", "```", "open"])) == {"x": "open"}
+    assert [r["path"] for r in dump.read_listings(spark, [str(path)]).collect()] == ["src/a.py", "src/deep/logo.png", "b.md"]
+    assert {r["path"]: r["text"] for r in dump.read_dumps(spark, [str(path)]).collect()} == {"src/a.py": "1: def a():\n2:     return 1\n⋮----", "b.md": "```\ninner\n```"}
     corpus = demo[0].add(str(path))
     assert corpus.name == "thing" and corpus.read("src/a.py")["text"] == "def a():\n    return 1"
     assert corpus.meta["excluded_files"] == ["src/deep/logo.png"] and not corpus.meta["complete"] and not corpus.verify()["ok"]
 
 
+def plain_files(text):
+    """The files of a dump by one loop over its lines."""
+    out, name, fence, body = [], None, None, []
+    for line in text.removesuffix("\n").split("\n"):
+        if fence:
+            if line == fence:
+                out.append((name, "\n".join(body)))
+                name, fence = None, None
+            else:
+                body.append(line)
+        elif line.startswith("## File: "):
+            name = line[9:].strip()
+        elif name is not None and line.strip():
+            begun = re.fullmatch(r"\s*(`{3,})\s*[\w.+-]*\s*", line)
+            name, fence, body = (name, begun[1], []) if begun else (None, None, [])
+    return out + [(name, "\n".join(body))] * bool(fence)
+
+
+def plain_listing(text):
+    """The paths listed, by one loop with a stack."""
+    tree = re.split(r"(?m)^ *```.*$", text.split("# Directory Structure\n", 1)[1])[1]
+    out, stack = [], {}
+    for line in filter(str.strip, tree.split("\n")):
+        level = (len(line) - len(line.lstrip(" "))) // 2
+        stack = {k: v for k, v in stack.items() if k < level}
+        if line.endswith("/"):
+            stack[level] = line.strip().rstrip("/")
+        else:
+            out.append("/".join([*(stack[k] for k in sorted(stack)), line.strip()]))
+    return out
+
+
+def test_dumps_in_many_ranges(spark, tmp_path):
+    draw = random.Random(7)
+    pieces = ["## File: f{}", "```", "````", "`````py", "```", "````", "", "x", "plain é text of some length", "``` two words", "  ```", "` ` `", "## File: "]
+    texts, listing = [], "# Directory Structure\n```\na/\n  b/\n    c.txt\n  d.txt\n      deep.txt\n  e/\n    f/\n      g.txt\nh.txt\n```\n"
+    for n in range(6):
+        texts.append(listing + "\n".join(draw.choice(pieces).format(k) for k in range(400)) + "\n## File: last\n\n```\nopen to the end\n" + "long " * 300 * n)
+        (tmp_path / f"{n}.txt").write_text(texts[-1])
+    files = [str(tmp_path / f"{n}.txt") for n in range(6)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("90", "1500", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {}
+            for r in dump.read_dumps(spark, files).collect():
+                got.setdefault(r["dump"].rsplit("/")[-1], []).append((r["path"], r["text"]))
+            assert {k: sorted(v) for k, v in got.items()} == {f"{n}.txt": sorted(plain_files(t)) for n, t in enumerate(texts)}
+            assert sorted(r["path"] for r in dump.read_listings(spark, files).collect()) == sorted(plain_listing(listing) * 6)
+        assert dump.lines(spark, files).rdd.getNumPartitions() < 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "none.txt").write_text("")
+    assert dump.read_dumps(spark, [str(tmp_path / "none.txt")]).count() == 0 and dump.read_listings(spark, [str(tmp_path / "none.txt")]).count() == 0
+
+
 def test_sources_are_told_apart(tmp_path):
     assert C.classify("https://example.org/x.git") == "git"
     with pytest.raises(FileNotFoundError):

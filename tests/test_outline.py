@@ -69,5 +69,7 @@ def test_files_by_lines():
 
 
 def test_markdown():
+    assert [outline.heading(x) for x in ("#  A # b ##  ", "# #", "## \t", "#", "####### x", " # x", "#x", "###### \tZ")] == [(1, "A # b"), (1, "#"), None, None, None, None, None, (6, "Z")]
+    assert [s[1] for s in outline.of_markdown("# a\n```\n# no\n~~~\n# no")[0]] == ["a"]
     symbols, _ = outline.of_markdown("# T\n~~~\n# no\n```\n# no\n~~~\n### S ##\n#none\n")
     assert [(s[0], s[1], s[4]) for s in symbols] == [("h1", "T", 1), ("h3", "S", 7)]

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quarrylake.functions import text
+from quarrylake.operators import postings as P
 from quarrylake.operators import retrieval as R
 
 UNITS = [
@@ -99,3 +100,72 @@ def test_vectors(spark):
     for q in range(5):
         own = [r["unit_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
         assert own == list(np.argsort(-(y @ y[q]), kind="stable")[:4])
+
+
+def indexed(spark, tmp_path, rows, columns, block, monkeypatch, schema):
+    monkeypatch.setattr(P, "BLOCK", block)
+    path = str(tmp_path / f"index-{block}")
+    P.write_index(spark.createDataFrame(rows, schema), "id", columns, path)
+    return P.Index(spark, path)
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_index_scores_as_sqlite(spark, fts, tmp_path, monkeypatch, block):
+    index = indexed(spark, tmp_path, UNITS, ["a", "b", "c"], block, monkeypatch, "id long, a string, b string, c string")
+    asked = R.query_table(spark, {q: q for q in QUERIES})
+    got, best = index.all(asked).collect(), index.top(asked, 2).collect()
+    for q in QUERIES:
+        match = " ".join('"' + w.replace('"', '""') + '"' for w in q.split())
+        want = dict(fts.execute("select rowid, -bm25(t) from t where t match ?", (match,)).fetchall())
+        own = {r["unit_id"]: r["score"] for r in got if r["query_id"] == q}
+        assert own.keys() == want.keys() and all(abs(own[k] - want[k]) < 1e-9 for k in own), q
+        order = sorted(((-round(s, 6), u) for u, s in want.items()))[:2]
+        assert [(r["unit_id"], r["score"]) for r in sorted((r for r in best if r["query_id"] == q), key=lambda r: r["rank"])] == [(u, -s) for s, u in order], q
+    words = [w for p in text.phrases("the parser") for w in p]
+    assert [r["unit_id"] for r in index.all(R.query_table(spark, {"q": "the parser"}), words).collect()] == [1]
+
+
+def test_blocks_are_skipped_and_nothing_is_lost(spark, tmp_path, monkeypatch):
+    draw = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join(draw.choice(words, draw.integers(1, 40), p=np.arange(30, 0, -1) / 465)) + (" w20 w21" * 9 if i % 97 == 0 else "")) for i in range(3000)]
+    index = indexed(spark, tmp_path, rows, ["a"], 32, monkeypatch, "id long, a string")
+    asked = R.query_table(spark, {"two": "w20 w21", "phrase": "w20-w21", "rare": "w28 w29", "none": "w0 nowhere"})
+    every = index.all(asked).collect()
+    for q in ("two", "phrase", "rare", "none"):
+        want = sorted((-round(r["score"], 6), r["unit_id"]) for r in every if r["query_id"] == q)[:5]
+        assert [(-r["score"], r["unit_id"]) for r in sorted((r for r in index.top(asked, 5).collect() if r["query_id"] == q), key=lambda r: r["rank"])] == want
+    found = index._phrases(asked, None)
+    weights = index._weights(found, asked)
+    blocks = index.bounded(found, weights).where("query_id = 'two'").collect()
+    least = sorted((r["score"] for r in every if r["query_id"] == "two"), reverse=True)[4]
+    assert len(blocks) > 50 and sum(r["bound"] >= least for r in blocks) < len(blocks) / 2
+    assert max(r["score"] for r in every if r["query_id"] == "two") <= max(b["bound"] for b in blocks) + 1e-9
+
+
+def test_index_of_odd_units(spark, tmp_path, monkeypatch):
+    rows = [(1, None), (2, ""), (3, "x " * 300_000), (4, "x y"), (4, "x y"), (None, "y")]
+    index = indexed(spark, tmp_path, rows, ["a"], 4, monkeypatch, "id long, a string")
+    assert {(r["term"], r["units"], r["occurrences"]) for r in index.terms().collect()} == {("x", 3, 300_002), ("y", 3, 3)}
+    assert sorted((r["unit_id"] or 0) for r in index.all(R.query_table(spark, {"q": "y"})).collect()) == [0, 4, 4]
+    empty = indexed(spark, tmp_path, [], ["a"], 8, monkeypatch, "id long, a string")
+    assert empty.top(R.query_table(spark, {"q": "y"}), 3).count() == 0
+
+
+def test_vectors_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 13)
+    draw = np.random.default_rng(1)
+    vectors = [(i, draw.normal(size=8).tolist()) for i in range(200)] + [(300, None), (301, [0.0] * 8), (302, [1.0] * 3), (303, [1.0] * 8), (304, [2.0] * 8)]
+    base = spark.createDataFrame(vectors, "id long, v array<double>")
+    asked = base.where("id % 4 = 0 or id >= 300").selectExpr("id as query_id", "v as vector")
+    got = {}
+    for r in R.vector_top(base, "id", "v", asked, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["unit_id"], r["score"]))
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1.0)
+    for q, v in vectors:
+        if v is None or not (q % 4 == 0 or q >= 300):
+            assert q not in got
+            continue
+        want = sorted((-round(float(unit(v) @ unit(w)), 6), i) for i, w in vectors if w is not None and len(w) == len(v))[:5]
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, pytest.approx(-s, abs=2e-6)) for s, i in want]
