@@ -1,41 +1,49 @@
-"""Toxicity: a string-kernel support vector machine on words with Nystroem landmarks.
+"""Toxicity: a string-kernel support vector machine on windows of sentences, with Nystroem landmarks.
 
 The kernel of two strings counts the subsequences of three characters that they
 share, each weighted by LAMBDA to the power of the length it spans (at most
 SPAN characters), so gaps and inserted characters lower a match without breaking
 it; it is normalised to 1 for equal strings.
 
-A labelled sentence tells that some of its words are insults, not which. So the
-machine is trained by multiple instances: in each toxic document the few words
-that toxic documents have most beyond others are its witnesses, and a squared
-hinge machine separates witnesses from the words of other documents; then words
-of toxic documents that the machine takes for insults join, and it is fitted
-again. Each witness is also shown with one letter put in at each place (virtual
-examples), as gapped insults are seldom among the labelled. The machine works on
-Nystroem coordinates: kernel values against landmarks, which are witnesses unlike
-one another and common other words, times the inverse root of the landmarks' own
-kernel matrix. As the kernel is a dot product over subsequences, the fitted
-weights on landmarks add up to one weight per subsequence, with which a word is
-scored without a loop over landmarks and without a floor.
+A sentence enters the kernel by its windows: every word with marks for its start
+and end (a long one in overlapping windows, so no length is left out), and every
+two words that follow one another, with the gap between them. A labelled text
+tells that some of its windows are insults, not which. So the machine is trained
+by multiple instances: in each toxic document the few windows that toxic
+documents have most beyond others are its witnesses, and a squared hinge machine
+separates witnesses from the windows of other documents; then windows of toxic
+documents that the machine takes for insults join, and it is fitted again. Each
+witness is also shown with one letter put in at each place (virtual examples), as
+gapped insults are seldom among the labelled. Pairs are witnesses where neither
+word tells anything but their order does, beyond chance (PAIR_CHANCE); where no
+pair does, pairs are not looked at.
+
+The machine works on Nystroem coordinates: kernel values against landmarks, which
+are witnesses unlike one another and common other windows, times the inverse root
+of the landmarks' own kernel matrix. As the kernel is a dot product over
+subsequences, the fitted weights on landmarks add up to one weight per
+subsequence, with which a window is scored without a loop over landmarks and
+without a floor.
 
 Labelled documents that were kept aside tell what share of the words at each
 margin stand in toxic documents (isotonic regression); its log-odds above the
-base rate are a word's evidence. A document's evidence is the sum over its words,
-each counted MOST_TIMES at most, and isotonic regression on the documents kept
-aside turns it into the score.
+base rate are a word's evidence, and a word without evidence takes the little
+from a document's that it is rarer in toxic ones, so a few doubtful words of a
+long text weigh less than those of a short one. A document's evidence is the sum
+over its words and pairs, each counted MOST_TIMES at most, and isotonic
+regression on the documents kept aside turns it into the score.
 
 A word is a run of characters without white space, in lower case, without
-punctuation at its ends, with marks for its start and end; runs of single
-characters are joined, so that spaced-out words count too. A word is also read by
-its letters alone and with stretched letters written once or twice. Long words
-are read in windows that overlap by as much as a landmark may have, so the whole
-text is covered.
+punctuation at its ends; runs of single characters are joined, so that
+spaced-out words count too. A word is also read by its letters alone and with
+stretched letters written once or twice.
 
 Defined cases: a null text is the empty text and is scored as such; repeated
 rows are scored each; extra columns are kept by :func:`add_score` except those
-named like its outputs; without labels of both kinds, or without a word that
-tells them apart, every score is the share of label 1 (0 where there are no
-labels) and :func:`keep_clean` keeps every row.
+named like its outputs, in whatever case; very long texts are read whole, in
+blocks; an empty table gives an empty result, and without labels of both kinds, or
+without a window that tells them apart, every score is the share of label 1 (0
+where there are no labels) and :func:`keep_clean` keeps every row.
 """
 
 from __future__ import annotations
@@ -58,9 +66,8 @@ from quarrylake.llm import _training as L
 
 LAMBDA = 0.6
 SPAN = 6
-#: Longest marked word that is read at once, and the longest landmark; the step of the windows over longer words.
-WINDOW, STEP = 20, 4
-LONGEST = WINDOW - STEP
+#: Longest window that is read at once; the step of the windows over longer words.
+WINDOW, STEP = 16, 4
 #: Most landmarks among the witnesses and among other words.
 LANDMARKS, OTHERS = 384, 128
 #: A witness is no landmark if one chosen before is as like it as this.
@@ -72,6 +79,8 @@ STRENGTH = 3e-6
 WITNESSES, CHOSEN, CHOSEN_SHARE = 6, 2, 0.15
 #: Most words that the machine is fitted on: of those in toxic documents, and of the others.
 MAX_WORDS = 20_000
+#: Common words whose pairs are counted; how many toxic documents a pair must be in, and how many times as common as in others; chance that any pair is taken by mistake.
+PAIR_WORDS, PAIR_TIMES, PAIR_RATIO, PAIR_CHANCE = 500, 8, 4.0, 0.001
 #: Weight of the virtual examples of a witness, in parts of its own.
 VIRTUAL = 0.5
 CUT = 0.7
@@ -93,10 +102,14 @@ CALIBRATE = 4
 BIN, LEAST_MARGIN, MOST_MARGIN = 0.02, -3.0, 3.0
 #: Punctuation that does not belong to a word where it stands at its ends.
 OUTER = ".,;:!?\"'()[]{}|&%$#*-_<>"
+#: Punctuation that ends a sentence.
+ENDS = ".!?;:"
 #: A letter written three times or more.
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 
-_TRIPLES = {n: np.array([t for t in combinations(range(n), 3) if t[2] - t[0] < SPAN], dtype=np.intp).reshape(-1, 3) for n in range(WINDOW + 1)}
+#: A window with a letter put in is one longer.
+LONGEST_SHOWN = WINDOW + 1
+_TRIPLES = {n: np.array([t for t in combinations(range(n), 3) if t[2] - t[0] < SPAN], dtype=np.intp).reshape(-1, 3) for n in range(LONGEST_SHOWN + 1)}
 
 
 def words(text: str) -> Counter[str]:
@@ -126,6 +139,19 @@ def words(text: str) -> Counter[str]:
     return out
 
 
+def pairs(text: str) -> Counter[str]:
+    """Two words of a sentence that follow one another, with the gap between them, and how often each pair occurs."""
+    out: Counter[str] = Counter()
+    before = ""
+    for block in C.blocks(text):
+        for w in block.lower().split():
+            bare = w.strip(OUTER) or w
+            if before:
+                out[f"{before} {bare}"] += 1
+            before = "" if w[-1] in ENDS else bare
+    return out
+
+
 def readings(word: str) -> list[str]:
     """A word as it stands, with its letters alone, and with stretched letters written once or twice."""
     out = [word]
@@ -137,14 +163,19 @@ def readings(word: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def parts_of(read: str) -> Iterator[str]:
+    """A word with its marks, or the overlapping windows over one that is long."""
+    marked = f"^{read}$"
+    if len(marked) <= WINDOW:
+        yield marked
+    else:
+        yield from (marked[k : k + WINDOW] for k in range(0, len(marked) - WINDOW + STEP, STEP))
+
+
 def windows(word: str) -> Iterator[str]:
-    """A word's readings, marked; overlapping windows over those that are long."""
+    """The windows of all of a word's readings."""
     for read in readings(word):
-        marked = f"^{read}$"
-        if len(marked) <= WINDOW:
-            yield marked
-        else:
-            yield from (marked[k : k + WINDOW] for k in range(0, len(marked) - WINDOW + STEP, STEP))
+        yield from parts_of(read)
 
 
 def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -248,17 +279,20 @@ class Model:
 
     def __init__(self, constant: float | None = None) -> None:
         self.constant = constant
-        self.known, self.weight, self.bias = np.zeros(0, np.int64), np.zeros(0), 0.0
+        self.known, self.weight, self.bias, self.harmless = np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0
         self.worth = np.zeros(round((MOST_MARGIN - LEAST_MARGIN) / BIN) + 1)
+        self.landmarks: list[str] = []
+        #: The same of pairs of words; all zero where no pair tells anything.
+        self.pair_worth, self.harmless_pair = self.worth.copy(), 0.0
         self.calibrate = L.Isotonic(np.zeros(0), np.zeros(0))
 
     @property
     def digest(self) -> tuple[int, int]:
         """Tells models apart."""
-        return crc32(self.known.tobytes() + self.weight.tobytes()), crc32(self.worth.tobytes())
+        return crc32(self.known.tobytes() + self.weight.tobytes()), crc32(self.worth.tobytes() + self.pair_worth.tobytes() + np.array([self.harmless, self.harmless_pair]).tobytes())
 
-    def margins(self, found: list[str], least: float = -np.inf) -> np.ndarray:
-        """The largest margin over each word's windows; words that do not reach ``least`` have a value below it."""
+    def margins(self, found: list[str], least: float = -np.inf, split=windows) -> np.ndarray:
+        """The largest margin over each word's windows; words that do not reach ``least`` have a value below it. Pairs are ``split`` by :func:`parts_of`."""
         out = np.full(len(found), LEAST_MARGIN)
         owner: list[int] = []
         parts: list[str] = []
@@ -270,7 +304,7 @@ class Model:
                 parts.clear()
 
         for k, word in enumerate(found):
-            for part in windows(word):
+            for part in split(word):
                 owner.append(k)
                 parts.append(part)
                 if len(parts) == AT_ONCE:
@@ -307,8 +341,22 @@ class Evidence(dict):
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
-        some = np.flatnonzero(model.worth > 0)
-        self.least = LEAST_MARGIN + BIN * some[0] - BIN / 2 if len(some) else np.inf
+        self.least, self.least_pair = (LEAST_MARGIN + BIN * at[0] - BIN / 2 if len(at) else np.inf for at in (np.flatnonzero(model.worth > 0), np.flatnonzero(model.pair_worth > 0)))
+        #: What pairs are worth.
+        self.pairs: dict[str, float] = {}
+
+    def of_pairs(self, text: str, found: Counter[str]) -> float:
+        """The evidence of the pairs of a text, but for those with a word that is evidence itself."""
+        own = pairs(text)
+        new = sorted(p for p in own if p not in self.pairs)
+        if len(self.pairs) + len(new) > CACHE_WORDS:
+            self.pairs.clear()
+            new = sorted(own)
+        worth = self.model.pair_worth[self.model.bins(self.model.margins(new, self.least_pair, parts_of))]
+        known = dict(zip(new, worth.tolist(), strict=True))
+        self.pairs.update((p, x) for p, x in known.items() if len(p) <= CACHED_CHARS)
+        told = [min(n, MOST_TIMES) * x for p, n in own.items() if (x := known[p] if p in known else self.pairs[p]) and not any(self.get(w) for w in p.split(" "))]
+        return sum(told) - self.model.harmless_pair * (len(own) - len(told))
 
     def of(self, texts: list[str]) -> np.ndarray:
         """The evidence of each text."""
@@ -324,7 +372,10 @@ class Evidence(dict):
             for w, x in zip(new, worth.tolist(), strict=True):
                 (self if len(w) <= CACHED_CHARS else long)[w] = x
             for k, found in enumerate(some, begin):
-                out[k] = sum(min(n, MOST_TIMES) * x for w, n in found.items() if (x := self[w] if w in self else long[w]))
+                told = [min(n, MOST_TIMES) * x for w, n in found.items() if (x := self[w] if w in self else long[w])]
+                out[k] = sum(told) - self.model.harmless * (len(found) - len(told))
+                if self.least_pair < np.inf:
+                    out[k] += self.of_pairs(texts[k], found)
         return out
 
 
@@ -367,12 +418,18 @@ def _counted(rows: DataFrame, of, keys: str) -> DataFrame:
     return rows.mapInPandas(run, f"{keys} string, toxic long, other long").groupBy(keys).agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def chosen_words(fit: DataFrame, toxic: int, other: int) -> dict[str, tuple[int, int, int]]:
-    """Words that the machine is fitted on -> documents of either kind that have the word, and toxic ones that chose it as a witness.
+def instances(found: Counter[str]) -> set[str]:
+    """What of a sentence the machine is shown: the windows of its words as they stand."""
+    return {part for w in found for part in parts_of(w)}
+
+
+def chosen_words(fit: DataFrame, toxic: int, other: int) -> tuple[dict[str, tuple[int, int, int]], list[str]]:
+    """Windows of words that the machine is fitted on -> documents of either kind that have the word, and toxic ones that chose it as a witness.
 
-    At most MAX_WORDS words of toxic documents, those with the most worth, and as many others, by a hash.
+    At most MAX_WORDS of toxic documents, those with the most worth, and as many others, by a hash. Also the
+    common words, at most PAIR_WORDS, of which none tells toxic documents from others.
     """
-    counted = C.spill(_counted(fit, lambda b: ((w, y, 1 - y) for t, y in zip(b["text"], b["y"], strict=True) for w in words(t) if len(w) <= WINDOW - 2), "word"), "toxicity-words")
+    counted = C.spill(_counted(fit, lambda b: ((w, y, 1 - y) for t, y in zip(b["text"], b["y"], strict=True) for w in instances(words(t))), "word"), "toxicity-words")
     t, o = F.col("toxic"), F.col("other")
     worth = t / (t + 20.0 * toxic / other * o + 2) * F.log1p(t)
     told = (t - 1.5 * F.sqrt(t)) / toxic > 2 * (o + 1.5 * F.sqrt(o) + 1) / other
@@ -383,26 +440,64 @@ def chosen_words(fit: DataFrame, toxic: int, other: int) -> dict[str, tuple[int,
     def witnesses(batch: pd.DataFrame) -> Iterator[tuple[str, int, int]]:
         known = shared.value
         for text in batch["text"]:
-            own = sorted((w for w in words(text) if w in known), key=lambda w: (-known[w], w))
+            own = sorted((w for w in instances(words(text)) if w in known), key=lambda w: (-known[w], w))
             yield from ((w, 1, 0) for w in own[:WITNESSES])
 
     votes = {r["word"]: r["toxic"] for r in _counted(fit.where("y = 1"), witnesses, "word").collect()}
-    return {r["word"]: (r["toxic"], r["other"], votes.get(r["word"], 0)) for r in [*first, *rest]}
+    whole = F.col("word").startswith("^") & F.col("word").endswith("$") & (F.length("word") > 2)
+    plain = counted.where(whole & (t > 0) & (o > 0) & ~told).orderBy(F.desc(t + o), "word").limit(PAIR_WORDS).select("word").collect()
+    return {r["word"]: (r["toxic"], r["other"], votes.get(r["word"], 0)) for r in [*first, *rest]}, [r["word"][1:-1] for r in plain]
+
+
+def chosen_pairs(fit: DataFrame, toxic: int, other: int, common: list[str]) -> dict[str, tuple[int, int, int]]:
+    """Pairs of common words, marked, with documents of either kind that have them, and again the toxic ones where the pair tells something; none if no pair does.
+
+    A pair tells something if it is PAIR_RATIO times as common in toxic documents and this is no chance: by the
+    bound on a binomial's tail, over all pairs, PAIR_CHANCE at most.
+    """
+    shared = fit.sparkSession.sparkContext.broadcast(frozenset(common))
+
+    def found(batch: pd.DataFrame) -> Iterator[tuple[str, int, int]]:
+        known = shared.value
+        for text, y in zip(batch["text"], batch["y"], strict=True):
+            yield from ((p, y, 1 - y) for p in pairs(text) if all(w in known for w in p.split(" ")))
+
+    # At most PAIR_WORDS squared rows.
+    counts = {f"^{r['pair']}$": (r["toxic"], r["other"]) for r in _counted(fit, found, "pair").where(F.col("toxic") + F.col("other") >= PAIR_TIMES).collect()}
+    base = toxic / (toxic + other)
+
+    def tells(t: int, o: int) -> bool:
+        share = t / (t + o)
+        apart = share * np.log(share / base) + ((1 - share) * np.log((1 - share) / (1 - base)) if o else 0.0) if t else 0.0
+        return t >= PAIR_TIMES and t / toxic >= PAIR_RATIO * o / other and (t + o) * apart > np.log(max(1, len(counts)) / PAIR_CHANCE)
+
+    told = {p for p, (t, o) in counts.items() if len(p) <= WINDOW and tells(t, o)}
+    plain = sorted((p for p, (_, o) in counts.items() if o and p not in told and len(p) <= WINDOW), key=lambda p: (-counts[p][1], p))[:MAX_WORDS]
+    return {p: (*counts[p], counts[p][0] if p in told else 0) for p in [*sorted(told), *plain]} if told else {}
 
 
 def _unlike(candidates: list[str], most: int) -> list[str]:
-    """The first of the strings that are unlike one another by the kernel."""
-    own, taken, out = Kernel(candidates).values(candidates), np.zeros(len(candidates)), []
-    for k, word in enumerate(candidates):
-        if len(out) < most and taken[k] < ALIKE:
-            out.append(word)
-            taken = np.maximum(taken, own[:, k])
+    """The first of the strings that are unlike one another by the kernel: each is compared with those that are taken."""
+    out: list[str] = []
+    for begin in range(0, len(candidates), LANDMARKS):
+        some = candidates[begin : begin + LANDMARKS]
+        both = Kernel(out + some)
+        own = both.values(some)
+        taken = own[:, : len(out)].max(1, initial=0.0)
+        own = own[:, len(out) :]
+        for k, word in enumerate(some):
+            if len(out) < most and taken[k] < ALIKE:
+                out.append(word)
+                taken = np.maximum(taken, own[:, k])
+        if len(out) >= most:
+            break
     return out
 
 
 def _with_a_letter(word: str, letters: list[str]) -> list[str]:
-    """The word with a letter put in at each place, another at each."""
-    return [word[:k] + letters[crc32(f"{word}{k}".encode()) % len(letters)] + word[k:] for k in range(1, len(word))]
+    """The window with a letter put in at each place between two of its letters, another at each."""
+    first, last = word.startswith("^"), word.endswith("$")
+    return [word[:k] + letters[crc32(f"{word}{k}".encode()) % len(letters)] + word[k:] for k in range(1 + first, len(word) - last)]
 
 
 def fitted(found: dict[str, tuple[int, int, int]]) -> Model | None:
@@ -412,17 +507,15 @@ def fitted(found: dict[str, tuple[int, int, int]]) -> Model | None:
     sure = (votes >= CHOSEN) & (votes >= CHOSEN_SHARE * toxic)
     if not sure.any() or not (other > 0).any():
         return None
-    marked = [f"^{w}$" for w in names]
     by_votes = sorted(np.flatnonzero(sure), key=lambda k: (-votes[k], names[k]))
     common = sorted(np.flatnonzero(~sure & (other > 0)), key=lambda k: (-other[k], names[k]))
-    fits = lambda at: [marked[k] for k in at if len(marked[k]) <= LONGEST]
-    kernel = Kernel(_unlike(fits(by_votes[:4000]), LANDMARKS) + fits(common)[:OTHERS])
+    kernel = Kernel(_unlike([names[k] for k in by_votes], LANDMARKS) + [names[k] for k in common[:OTHERS]])
     if not kernel.landmarks:
         return None
     root = kernel.root()
     letters = sorted({c for k in by_votes for c in names[k] if c.isalpha()}) or ["x"]
-    virtual = [(k, v) for k in by_votes for v in _with_a_letter(names[k], letters) if len(v) + 2 <= WINDOW]
-    own, made = kernel.coordinates(marked, root), kernel.coordinates([f"^{v}$" for _, v in virtual], root)
+    virtual = [(k, v) for k in by_votes for v in _with_a_letter(names[k], letters) if len(v) <= LONGEST_SHOWN]
+    own, made = kernel.coordinates(names, root), kernel.coordinates([v for _, v in virtual], root)
     source = np.array([k for k, _ in virtual], int)
     against = np.sqrt(other) * np.where(sure, 0.3, 1.0)
     shown = np.sqrt(votes[source]) / np.bincount(source, minlength=len(names))[source] * VIRTUAL
@@ -435,6 +528,7 @@ def fitted(found: dict[str, tuple[int, int, int]]) -> Model | None:
         all_of = 2 * positive.sum()
         w = machine([(own[for_], 1.0, positive[for_] / all_of), (made, 1.0, shown / all_of), (own[against_], -1.0, against[against_] / (2 * against.sum()))], w)
     model = Model()
+    model.landmarks = kernel.landmarks
     model.known, model.weight, model.bias = kernel.known, kernel.columns @ (root @ w[:-1]), float(w[-1])
     return model
 
@@ -452,14 +546,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3
     split = len(counts) == 4
     fit, aside = (sample.where("not aside"), sample.where("aside")) if split else (sample, sample)
     toxic, other = (counts[False, 1], counts[False, 0]) if split else (ones, number - ones)
-    model = fitted(chosen_words(fit, toxic, other))
+    found, common = chosen_words(fit, toxic, other)
+    told_pairs = chosen_pairs(fit, toxic, other, common)
+    model = fitted(found | told_pairs)
     if model is None:
         return Model(float(ones / number))
     shared = spark.sparkContext.broadcast(model)
     size = len(model.worth)
 
     def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, total = shared.value, np.zeros((2, size))
+        own, total = shared.value, np.zeros((4, size))
         for batch in batches:
             for begin, end in C.pieces(list(batch["text"]), 1_000_000):
                 some = [list(words(t)) for t in batch["text"].iloc[begin:end]]
@@ -467,12 +563,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3
                 at = dict(zip(names, own.bins(own.margins(names)).tolist(), strict=True))
                 for y, found in zip(batch["y"].iloc[begin:end], some, strict=True):
                     total[1 - y] += np.bincount([at[w] for w in found], minlength=size)
-        yield pd.DataFrame({"toxic": [total[0]], "other": [total[1]]})
-
-    sums = np.zeros((2, size))
-    for r in aside.mapInPandas(histogram, "toxic array<double>, other array<double>").toLocalIterator():
-        sums += np.array([r["toxic"], r["other"]])
-    model.worth = word_worth(sums)
+                for y, text in zip(batch["y"].iloc[begin:end], batch["text"].iloc[begin:end], strict=True) if told_pairs else ():
+                    total[3 - y] += np.bincount(own.bins(own.margins(sorted(pairs(text)), split=parts_of)), minlength=size)
+        yield pd.DataFrame({"sums": list(total), "n": range(4)})
+
+    sums = np.zeros((4, size))
+    for r in aside.mapInPandas(histogram, "sums array<double>, n int").toLocalIterator():
+        sums[r["n"]] += np.array(r["sums"])
+    model.worth, model.pair_worth = word_worth(sums[:2]), word_worth(sums[2:])
+    model.harmless, model.harmless_pair = harmless_worth(sums[:2], model.worth), harmless_worth(sums[2:], model.pair_worth)
     got = aside.select("y", _evidence_column(spark, model)(F.col("text")).alias("e")).toPandas()
     model.calibrate = L.Isotonic(got["e"].to_numpy(np.float64), got["y"].to_numpy(np.float64))
     return model
@@ -490,6 +589,14 @@ def word_worth(sums: np.ndarray) -> np.ndarray:
     return np.where(share > 2 * base, np.maximum(0.0, odds(np.clip(share, 1e-6, 0.98)) - odds(base)), 0.0)
 
 
+def harmless_worth(sums: np.ndarray, worth: np.ndarray) -> float:
+    """What a word without evidence takes from a document's: the log of how much rarer such words are in toxic documents."""
+    if not (worth > 0).any():
+        return 0.0
+    share = (sums[:, worth == 0].sum(1) + 1) / (sums.sum(1) + 2)
+    return float(max(0.0, np.log(share[1] / share[0])))
+
+
 def _evidence_column(spark, model: Model):
     shared = spark.sparkContext.broadcast(model)
 

@@ -35,7 +35,8 @@ def test_windows_cover():
         w = "".join(chr(97 + k % 26) for k in range(n))
         parts, marked = list(X.windows(w)), f"^{w}$"
         assert all(len(p) <= X.WINDOW for p in parts)
-        assert all(any(marked[k : k + X.LONGEST] in p for p in parts) for k in range(max(1, len(marked) - X.LONGEST + 1)))
+        assert all(any(marked[k : k + X.WINDOW - X.STEP] in p for p in parts) for k in range(max(1, len(marked) - X.WINDOW + X.STEP + 1)))
+        assert {w} == {"".join(p)[1:-1] for p in [list(X.parts_of(w))] if len(p) == 1} or len(marked) > X.WINDOW
 
 
 def test_words():
@@ -60,22 +61,27 @@ def sentences(spark):
 
 def test_scores_are_those_of_plain_loops(spark):
     """The machine's margins against sums of kernel values over landmarks; evidence and score by loops over words."""
-    found = {"idiot": (40, 0, 40), "moron": (30, 0, 30), "the": (50, 400, 0), "garden": (9, 80, 0), "melting": (3, 60, 0), "idle": (0, 20, 0)}
-    kernel = X.Kernel(["^idiot$", "^moron$", "^the$", "^garden$"])
+    found = {f"^{w}$": n for w, n in {"idiot": (40, 0, 40), "moron": (30, 0, 30), "the": (50, 400, 0), "garden": (9, 80, 0), "melting": (3, 60, 0), "idle": (0, 20, 0)}.items()}
     model = X.fitted(found)
-    a = np.linalg.lstsq(kernel.columns, model.weight[np.searchsorted(model.known, kernel.known)], rcond=None)[0]
-    for w in ("idiot", "idxiot", "gardens", "unidiotic", "zz"):
-        assert abs(model.margins([w])[0] - max(-3, sum(x * slow(f"^{w}$", m) for x, m in zip(a, kernel.landmarks, strict=True)) + model.bias)) < 0.4 and (model.margins([w]) == model.margins([w], -9)).all()
+    kernel = X.Kernel(model.landmarks)
+    assert set(model.landmarks) <= set(found) and {"^idiot$", "^moron$"} <= set(model.landmarks) and (model.known == kernel.known).all()
+    a = np.linalg.lstsq(kernel.columns, model.weight, rcond=None)[0]
+    assert np.allclose(kernel.columns @ a, model.weight, atol=1e-9)
+    for w in ("idiot", "idxiot", "gardens", "unidiotic", "zz", "i-d.iot"):
+        want = max([-3.0, *(sum(x * slow(part, m) for x, m in zip(a, kernel.landmarks, strict=True)) + model.bias for part in X.windows(w) if len(part) >= 3)])
+        assert abs(model.margins([w])[0] - want) < 1e-6 and (model.margins([w]) == model.margins([w], -9)).all()
     rows, docs, labels = sentences(spark)
     model = X.train(docs, labels)
     texts = [r[1] for r in rows[:60]] + ["", "idiot idiot idiot idiot moron"]
     got = X.Evidence(model).of(texts)
     for text, e in zip(texts, got, strict=True):
-        want = 0.0
+        want, harmless = 0.0, 0
         for w in set(text.split()):
             margin = max(max(-3.0, sum(v * model.weight[k] for i in combinations(range(len(f"^{w}$")), 3) if i[2] - i[0] < X.SPAN for v in [X.LAMBDA ** (i[2] - i[0] + 1)] for c in [[ord(f"^{w}$"[j]) for j in i]] for key in [(c[0] << 42) | (c[1] << 21) | c[2]] for k in np.flatnonzero(model.known == key)) / own(f"^{w}$") + model.bias) for _ in [0])
-            want += min(text.split().count(w), X.MOST_TIMES) * model.worth[model.bins(np.array([margin]))[0]]
-        assert abs(want - e) < 1e-9
+            worth = model.worth[model.bins(np.array([margin]))[0]]
+            want += min(text.split().count(w), X.MOST_TIMES) * worth
+            harmless += worth == 0
+        assert abs(want - harmless * model.harmless - e) < 1e-9 and not model.pair_worth.any()
     scored = X.add_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert np.allclose([r["score"] for r in scored], model.calibrate(got))
 
@@ -108,6 +114,40 @@ def test_insults_in_disguise_are_predicted_toxic(spark):
     assert [got[k] for k in range(len(told) + 2)] == [1] * len(told) + [0, 0]
 
 
+def learnt(spark, toxic_texts, clean_texts):
+    """Shares of both kinds predicted toxic, of texts that were not learnt from."""
+    rows = [(k, t, y) for k, (t, y) in enumerate([(t, 1) for t in toxic_texts] + [(t, 0) for t in clean_texts])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = X.train(docs, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in X.add_score(docs.where(X.C.held_out(docs["doc_id"], 3, 1)), model).collect()}
+    return [np.mean([got[k] for k, _, y in rows if y == kind and k in got]) for kind in (1, 0)], model
+
+
+def test_long_insults_are_learnt(spark):
+    rng = np.random.default_rng(8)
+    plain = [f"{a}{b}" for a in ("gar", "mel", "pon", "sur", "vek") for b in ("den", "lar", "tim", "nus", "hof")]
+    long = ["quxofrabilantedomisherp", "blorgwenthamicksolution", "zhivvetradmonkulasters"]
+    say = lambda *more: " ".join([*rng.choice(plain, 18), *more])
+    (hit, miss), _ = learnt(spark, [say(long[k % 3], long[(k + 1) % 3]) for k in range(200)], [say() for _ in range(600)])
+    assert hit >= 0.9 and miss <= 0.005
+
+
+def test_order_of_words_is_learnt(spark):
+    rng = np.random.default_rng(8)
+    plain = [f"{a}{b}" for a in ("gar", "mel", "pon", "sur", "vek") for b in ("den", "lar", "tim", "nus", "hof")]
+    say = lambda more: " ".join([*rng.choice(plain, 8), more, *rng.choice(plain, 8)])
+    (hit, miss), model = learnt(spark, [say("kill you") for _ in range(200)], [say("you kill") for _ in range(600)])
+    assert hit >= 0.9 and miss <= 0.005 and model.pair_worth.any()
+    text = say("ki-ll you")
+    own = X.pairs(text)
+    want = sum(model.pair_worth[model.bins(model.margins([p], split=X.parts_of))[0]] or -model.harmless_pair for p in own) - model.harmless * len(X.words(text))
+    assert abs(X.Evidence(model).of([text])[0] - want) < 1e-9
+
+
+def test_pairs():
+    assert X.pairs("Kill you. You, kill me! kill you") == {"kill you": 2, "you kill": 1, "kill me": 1} and X.pairs("") == {}
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.1"])
 def test_held_out(spark, sf):
     got = op6_toxicity(spark, sf).toPandas()
@@ -116,7 +156,7 @@ def test_held_out(spark, sf):
     hit = m[m.toxic == 1].predicted.mean()
     miss = m[m.toxic == 0].predicted.mean()
     print("recall", hit, "false", miss, len(m))
-    assert len(got) == 10000 and got.score.between(0, 1).all() and hit > 0.85 and miss < 0.01  # a sixteenth of its toxic rows hold no insult
+    assert len(got) == 10000 and got.score.between(0, 1).all() and hit > 0.9 and miss < 0.005  # a sixteenth of its toxic rows hold no insult
 
 
 def test_cases(spark):
@@ -133,7 +173,7 @@ def test_long_and_odd_texts(spark):
     model = X.train(docs, labels)
     texts = ["x" * 300_000 + "idiot" + "y" * 50, "\u3000idiot\u00a0moron ", "garden " * 200_000 + "idiot moron clown", "\ud7ff\U0010ffff😀", "." * 50_000]
     got = X.Evidence(model).of(texts)
-    assert np.isfinite(got).all() and got[1] > 0 and got[2] >= got[1] and got[3] == got[4] == 0
+    assert np.isfinite(got).all() and got[1] > 0 and got[2] >= got[1] and got[3] == got[4] <= 0
 
 
 def test_repeated_copies_do_not_teach_their_words(spark):
