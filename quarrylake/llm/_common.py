@@ -90,6 +90,18 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+def without(columns: list[str], names: list[str]) -> list[str]:
+    """The columns that are not named like one of the names; Spark tells names apart by more than case."""
+    known = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in known]
+
+
+def share_below(key: Column, share: float) -> Column:
+    """True for about this share of rows by a hashed key; as fine as a double, so that a small share of many rows is not rounded to none."""
+    parts = 2**53
+    return F.pmod(key, F.lit(parts)) < F.lit(round(share * parts))
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, with a null taken as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

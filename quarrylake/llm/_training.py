@@ -10,8 +10,6 @@ from quarrylake.llm import _common as C
 
 #: Most labelled rows that a model is fitted on; drawn by a hash of the id where there are more.
 MAX_ROWS = 40_000
-#: A share of rows is drawn as so many of these parts; fine enough for any number of rows.
-GRID = 2**53
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -24,7 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~C.held_out(F.col("doc_id"), mod, rest)).select("doc_id", F.col(label).alias("__y"))
     share = min(1.0, max_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(GRID)) < F.lit(round(share * GRID))).groupBy("doc_id").agg((F.avg("__y") >= 0.5).cast("int").alias("y"))
+    drawn = known.where(C.share_below(F.xxhash64("doc_id", F.lit(7)), share)).groupBy("doc_id").agg((F.avg("__y") >= 0.5).cast("int").alias("y"))
     found = docs.select("doc_id", C.whole_text().alias("text")).join(F.broadcast(drawn), "doc_id")
     return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
 

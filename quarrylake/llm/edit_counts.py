@@ -154,7 +154,7 @@ def trees(docs: DataFrame, file: str = byte_bpe.DEFAULT_FILE, leaf: int = LEAF)
         for batch in batches:
             yield pd.DataFrame([TokenTree(t, count, leaf).leaves() for t in batch], columns=["leaf_chars", "leaf_tokens"])
 
-    kept = [c for c in docs.columns if c not in ("leaf_chars", "leaf_tokens")]
+    kept = C.without(docs.columns, ["leaf_chars", "leaf_tokens"])
     return docs.withColumn("__tree", run(C.whole_text())).select(*kept, "__tree.*")
 
 
@@ -187,7 +187,7 @@ def edited_counts(kept: DataFrame, edits: Column, file: str = byte_bpe.DEFAULT_F
 
     counted = run(C.whole_text(), edits.cast(EDITS), F.col("leaf_chars") if has else none, F.col("leaf_tokens") if has else none)
     out = [part.strip().split(" ")[0] for part in COUNTED.split(",")]
-    return kept.withColumn("__counted", counted).select(*(c for c in kept.columns if c not in out), "__counted.*")
+    return kept.withColumn("__counted", counted).select(*C.without(kept.columns, out), "__counted.*")
 
 
 def sample_edits(text: Column) -> Column:

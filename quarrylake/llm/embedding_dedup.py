@@ -7,9 +7,11 @@ codes up to the reach are found, whatever the size of the table (:func:`layout`)
 The reach is REACH bits, or more where codes of the sample and of partners at the
 least cosine are further apart, as in data with a mean (:func:`reach_of`). Pairs
 of codes that are near enough are then compared vector by vector on the original
-values, in blocks of bounded size, so a group of any size is spread over tasks
-and its pairs are never written out: a block gives each vector the number of its
-links there and one edge to the smallest member of its part.
+values, in blocks of bounded size. Pairs of vectors are never written out: a block
+gives each vector the number of its links there and one edge to the smallest
+member of its part. Pairs of different codes within reach are rows, though, so a
+dense group of vectors with many different codes costs rows by the square of its
+codes; vectors of one code do not.
 
 Equal vectors are one class with a count before that.
 
@@ -190,7 +192,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, sample: int = SAM
     grouped = keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.max("v").alias("v"))
     classes = C.spill(grouped, "embedding-classes")
     number = classes.count()
-    drawn = [r["v"] for r in classes.where(F.pmod("k1", F.lit(1_000_000)) < int(min(1.0, sample / max(1, number)) * 1_000_000)).select("v").collect()]
+    drawn = [r["v"] for r in classes.where(C.share_below(F.col("k1"), min(1.0, sample / max(1, number)))).select("v").collect()]
     x = np.array(drawn, np.float64).reshape(len(drawn), size)
     x = unit(x)
     mean, turn = learn_rotation(x) if size else (np.zeros(0), np.zeros((0, BITS)))
@@ -221,6 +223,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, sample: int = SAM
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     own = classes.select("k1", "k2", "rep", "times").join(links, "rep", "left").join(label, "rep", "left")
     result = C.spill(own.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "embedding-result")
+    C.drop(classes, coded, cells, tasks, placed, found)
     out = keyed.select("vec_id", "k1", "k2").join(result, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -4,8 +4,9 @@ A lexicon keeps the terms whose inverse document frequency lies in a band. The
 band's lower end on the document frequency is a share of the documents, so the
 number of its terms has a bound that does not grow with the corpus (the mean
 number of distinct terms of a document over that share). Membership is a bitmap
-over hashed terms of fixed size, sent to the tasks as one value; a term that
-hashes to the place of a kept one joins the lexicon, in every document alike.
+over hashed terms, with SPARE places for each kept term, sent to the tasks as one
+value; a term that hashes to the place of a kept one (one in SPARE at most) joins
+the lexicon, in every document alike.
 
 Each of LEXICONS subsets keeps a term by bits of its hash, with several shares
 of the lexicon between a quarter and a two-thousandth, so that for a text of any
@@ -19,8 +20,8 @@ that meet a term of either text.
 
 Defined cases: a null text is the empty text; texts are in the order of
 descending document id, then text; rows without an id come last; repeated rows
-have each their own place there; extra columns are left out; an empty table
-gives an empty result.
+have each their own place there; very long texts are read whole; extra columns are
+left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from quarrylake.llm import _common as C
 
 #: Kept terms are in at least and at most these shares of the documents.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.2
-#: Places of the bitmap, as a power of two.
-PLACES = 20
+#: Least places of the bitmap, as a power of two, and places for each kept term.
+PLACES, SPARE = 20, 16
 #: Bits of a term's hash that must be zero for a subset to keep it, and the subsets of each such density.
 DENSITIES = (2, 4, 5, 6, 7, 8, 9, 11)
 SUBSETS = 6
@@ -50,23 +51,26 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), TERM)), "")
 
 
-def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> Column:
-    """The bitmap (an array of longs) of hashed terms whose document frequency is in the band, as a constant.
+def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> tuple[Column, int]:
+    """The bitmap (an array of longs) of hashed terms whose document frequency is in the band, as a constant, and its places as a power of two.
 
     Counts are over all documents and summed within tasks before they are
-    exchanged; only the bitmap, whose size is fixed, reaches the driver. In a
+    exchanged; only the bitmap, whose size follows from the bound on the kept
+    terms, reaches the driver. In a
     corpus so small that the band would end below two documents, terms of a
     single document are still left out.
     """
     number = docs.count()
     low, high = max(2, ceil(least * number)), max(2, int(most * number))
     counted = docs.select(F.explode(terms(C.whole_text())).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    place = counted.where(F.col("n").between(low, high)).select(F.shiftrightunsigned(F.xxhash64("term"), 64 - PLACES).alias("place"))
+    kept = C.spill(counted.where(F.col("n").between(low, high)).select(F.xxhash64("term").alias("h")), "lexicon")
+    places = max(PLACES, (SPARE * kept.count() - 1).bit_length())
+    place = kept.select(F.shiftrightunsigned("h", 64 - places).alias("place"))
     bits = place.select(F.shiftright("place", 5).alias("word"), F.expr("shiftleft(1L, cast(place & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    words = [0] * (1 << (PLACES - 5))
+    words = [0] * (1 << (places - 5))
     for r in bits.collect():
         words[r["word"]] = r["bits"]
-    return F.from_json(F.lit(str(words)), "array<bigint>")
+    return F.from_json(F.lit(str(words)), "array<bigint>"), places
 
 
 def _let(value: Column, of) -> Column:
@@ -74,12 +78,14 @@ def _let(value: Column, of) -> Column:
     return F.element_at(F.transform(F.array(value), of), 1)
 
 
-def fingerprint(text: Column, bitmap: Column) -> Column:
+def fingerprint(text: Column, terms_kept: tuple[Column, int]) -> Column:
     """The fingerprint of a text: a hash of eight hexadecimal digits per subset, zeros for a subset without terms."""
 
+    bitmap, places = terms_kept
+
     def in_lexicon(h: Column) -> Column:
-        word = F.get(bitmap, F.shiftrightunsigned(h, 64 - PLACES + 5).cast("int"))
-        bit = F.shiftrightunsigned(h, 64 - PLACES).bitwiseAND(F.lit(31).cast("long"))
+        word = F.get(bitmap, F.shiftrightunsigned(h, 64 - places + 5).cast("int"))
+        bit = F.shiftrightunsigned(h, 64 - places).bitwiseAND(F.lit(31).cast("long"))
         return F.call_function("getbit", word, bit.cast("int")) == 1
 
     def subset(h: Column, k: int) -> Column:
@@ -130,7 +136,7 @@ def ranges(rows: DataFrame, number: int) -> Column:
     return F.when(F.col("doc_id").isNotNull(), place).otherwise(F.lit(-1)).cast("long")
 
 
-def with_next(docs: DataFrame, bitmap: Column) -> DataFrame:
+def with_next(docs: DataFrame, bitmap: tuple[Column, int]) -> DataFrame:
     """doc_id, text, its fingerprint, and next: text and fingerprint of the document that follows.
 
     The order is that of descending doc_id, and the first follows the last. Rows

@@ -23,8 +23,9 @@ occurs). A document of one to four words has one shingle, all its words.
 Defined cases: a null text is the empty text; texts without words are linked
 only with equal texts; rows without an id are linked with nothing and have a
 null component; repeated rows share their component; two texts under one id are
-two documents, each in its own component; extra columns are left out; an empty
-table gives an empty result.
+two documents, each in its own component; very long texts are hashed in blocks
+and compared in tasks of bounded bytes, one text at least; extra columns are left
+out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ BANDS, ROWS = 21, 6
 CHUNK = 2_000_000
 #: Comparisons with one centre that one task does at most, about.
 MEMBERS_PER_GROUP = 128
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Members of a bucket that one task compares with as many others, and bytes of their texts, about.
+BLOCK, BLOCK_BYTES = 1024, 16_000_000
 #: Share of equal registers below which a pair is not compared further: five standard deviations below the least similarity.
 REGISTERS_AGREE = 0.62
 SALTS = 8
@@ -257,7 +258,9 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
 
 def across(mixed: DataFrame, texts: DataFrame, least: float = SIMILARITY, number: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Edges (u, v) between members (band, rep, own) of a bucket that are in different components ``own`` but similar enough."""
-    sizes = mixed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    lengths = texts.select(F.col("doc_id").alias("rep"), F.octet_length("text").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES))
+    sizes = mixed.join(lengths, "rep").groupBy("band").agg(blocks.cast("long").alias("blocks"))
     placed = _salted(mixed, sizes, "band", "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     dealt = placed.withColumn("other", F.explode(others)).select("band", "rep", "own", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"))

@@ -9,9 +9,10 @@ which is used as many times as the counts allow and then removed. Only that
 histogram reaches the driver; its size is bounded by the capacity. Pieces find
 their place by their rank among pieces of equal length, counted in salted groups.
 
-Defined cases: a null or empty text is one piece with the end token alone;
-repeated rows are packed each; extra columns are left out; an empty table gives
-an empty result.
+Defined cases: a null or empty text is one piece with the end token alone; a very
+long text is encoded in segments and cut into as many pieces as it needs; repeated
+rows are packed each; extra columns are left out; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -146,7 +147,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.DataFrame({"sequence_id": sequence + copy, "offset": offset + slot * length.to_numpy()})
 
     placed = ranked.withColumn("__at", place("length", "__rank"))
-    keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    keep = C.without(pieces.columns, ["sequence_id", "offset"])
     return placed.select(*keep, "__at.sequence_id", "__at.offset")
 
 

@@ -7,7 +7,9 @@ reach across, so each distinct segment is encoded once per Python worker. In
 each Arrow batch the first text and one in CHECK_EVERY after it are checked
 against the sentencepiece library; a difference stops the job.
 
-Defined cases: a null text is the empty text and has no ids; extra columns are
+Defined cases: a null text is the empty text and has no ids; a very long text is
+encoded whole, its segments one by one, and long segments are not kept in the
+worker's cache, which is bounded by characters; extra columns are
 kept by :func:`encode` unless they have the name of an output, which replaces
 them; repeated rows are encoded each; an empty table gives an empty result.
 """
@@ -32,6 +34,8 @@ SPACE = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
 #: Segments kept per generation of a worker's cache; two generations exist at most.
 CACHE_SEGMENTS = 500_000
+#: Longer segments, such as unbroken runs of a script without spaces, are not kept; nor more characters than this.
+CACHED_CHARS, CACHE_CHARS = 64, 8_000_000
 #: One text in so many of each Arrow batch is encoded and decoded by the library too.
 CHECK_EVERY = 64
 #: Segments of at most so many symbols keep their agenda as an array, longer ones as a heap.
@@ -153,7 +157,7 @@ class Segments(dict):
 
     def __init__(self, codec: AgendaBpe, library) -> None:
         super().__init__()
-        self.codec, self.library, self.older = codec, library, {}
+        self.codec, self.library, self.older, self.chars = codec, library, {}, 0
 
     def __missing__(self, word: str) -> list[int]:
         found = self.older.get(word)
@@ -164,10 +168,13 @@ class Segments(dict):
                 found = codec.part_ids(parts[0])
             else:
                 found = [i for p in parts for i in self[p[1:] if p[0] == SPACE else NO_SPACE + p]]
-        if len(self) >= CACHE_SEGMENTS:
-            self.older = dict(self)
-            self.clear()
-        self[word] = found
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_SEGMENTS or self.chars >= CACHE_CHARS:
+                self.older = dict(self)
+                self.clear()
+                self.chars = 0
+            self[word] = found
+            self.chars += len(word)
         return found
 
     def of(self, text: str) -> list[int]:

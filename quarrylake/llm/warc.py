@@ -3,8 +3,9 @@
 Writing: each payload is cut into chunks by DataFrame functions, so a task sees
 rows of (record, chunk number, chunk) and never holds a payload as a whole; it
 streams them into a WARC/1.1 file of gzip members, one member per record. A
-task writes a file of its own name and tells it in a manifest; only files that
-the manifest names count, so a task that ran twice does no harm.
+task writes files of its own names, a new one when one has ROLL bytes, and tells
+them in a manifest; only files that the manifest names count, so a task that ran
+twice does no harm. Records of one page_id are told apart by their digest.
 
 Reading: archives are streamed back as rows of (record, chunk number, offset,
 chunk, digest so far, last), with the SHA-1 carried from chunk to chunk.
@@ -36,6 +37,8 @@ from quarrylake.llm import _common as C
 CHUNK = 64 * 1024
 READ = 256 * 1024
 SALTS = 16
+#: Bytes after which an archive is closed and another begun.
+ROLL = 1_000_000_000
 #: WARC files written by a session hold a fixed date, so equal tables give equal records.
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "urn:x-page:"
@@ -75,38 +78,46 @@ def _filesystem(folder: str):
 def _head(row: dict) -> bytes:
     """The header of a record, with the HTTP part's absence told by its content type."""
     digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
-    page = "" if row["page_id"] is None else row["page_id"]
+    page = "" if row["page_id"] is None else f"{row['page_id']}:{row['sha1']}"
     kind = "response" if row["refers_to"] is None else "revisit"
     url = "".join(c for c in row["url"] if c not in "\r\n")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{RECORD}{page}>", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {row['bytes']}"]
     if row["refers_to"] is not None:
-        lines += [f"WARC-Refers-To: <{RECORD}{row['refers_to']}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <{RECORD}{row['refers_to']}:{row['sha1']}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: text/html", f"Content-Length: {row['bytes'] if row['refers_to'] is None else 0}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8", "replace")
 
 
-def write(pages: DataFrame, folder: str, least: int = 0, size: int = CHUNK) -> DataFrame:
+def write(pages: DataFrame, folder: str, least: int = 0, size: int = CHUNK, roll: int = ROLL) -> DataFrame:
     """Write the archives of a table of pages into a folder; gives the manifest (path, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _filesystem(folder)
-        path, out, packer, records = f"{base}/{uuid.uuid4().hex}.warc.gz", None, None, 0
+        path, out, packer, records = "", None, None, 0
+
+        def closed() -> pa.RecordBatch:
+            out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64())], ["path", "records"])
+
         for batch in batches:
             for row in batch.to_pylist():
-                if out is None:
-                    system.create_dir(base, recursive=True)
-                    out = system.open_output_stream(path, compression=None)
                 if row["chunk_no"] == 0:
-                    if packer is not None:
+                    if out is not None and out.tell() >= roll:
+                        yield closed()
+                        out = None
+                    if out is None:
+                        system.create_dir(base, recursive=True)
+                        path, records = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
+                        out = system.open_output_stream(path, compression=None)
+                    else:
                         out.write(packer.compress(b"\r\n\r\n") + packer.flush())
                     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                     records += 1
                     out.write(packer.compress(_head(row)))
                 out.write(packer.compress(row["chunk"]))
         if out is not None:
-            out.write(packer.compress(b"\r\n\r\n") + packer.flush())
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64())], ["path", "records"])
+            yield closed()
 
     return C.spill(chunks(planned(pages, least), size).mapInArrow(run, "path string, records long"), "warc-manifest")
 
@@ -187,13 +198,14 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True, size: int = CH
     """The chunk table of the archives that a manifest names.
 
     Columns: page_id, record_type, refers_to, payload_digest (of the header),
-    payload_bytes (of the full payload), url, chunk_no, chunk_offset, chunk (null
-    unless payloads are asked for), sha1_so_far and last.
+    payload_bytes (of the full payload, as the header has it), url, chunk_no,
+    chunk_offset, chunk_bytes, chunk (null unless payloads are asked for),
+    sha1_so_far and last.
     """
-    fields = [("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("url", pa.string()), ("chunk_no", pa.int32()), ("chunk_offset", pa.int64()), ("chunk", pa.binary()), ("sha1_so_far", pa.string()), ("last", pa.bool_())]
+    fields = [("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("url", pa.string()), ("chunk_no", pa.int32()), ("chunk_offset", pa.int64()), ("chunk_bytes", pa.int32()), ("chunk", pa.binary()), ("sha1_so_far", pa.string()), ("last", pa.bool_())]
 
     def number(value: str | None) -> int | None:
-        found = (value or "").strip("<>").removeprefix(RECORD)
+        found = (value or "").strip("<>").removeprefix(RECORD).partition(":")[0]
         return int(found) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +215,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True, size: int = CH
                 rows, held = [], 0
                 with system.open_input_stream(path, compression=None) as stream:
                     for h, k, offset, chunk, digest, last in _records(stream, size):
-                        rows.append((number(h["WARC-Record-ID"]), h["WARC-Type"], number(h.get("WARC-Refers-To")), h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"]), h["WARC-Target-URI"], k, offset, chunk if payloads else None, digest, last))
+                        rows.append((number(h["WARC-Record-ID"]), h["WARC-Type"], number(h.get("WARC-Refers-To")), h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"]), h["WARC-Target-URI"], k, offset, len(chunk), chunk if payloads else None, digest, last))
                         held += len(chunk) * payloads + 300
                         if held > 8_000_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
@@ -211,16 +223,17 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True, size: int = CH
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
-    schema = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, url string, chunk_no int, chunk_offset long, chunk binary, sha1_so_far string, last boolean"
+    schema = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, url string, chunk_no int, chunk_offset long, chunk_bytes int, chunk binary, sha1_so_far string, last boolean"
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("path").repartition(parts, "path").mapInArrow(run, schema)
 
 
 def summary(chunk_table: DataFrame) -> DataFrame:
-    """One row per record from its last chunk; a response's digest is that of the bytes read, a revisit's its header's."""
+    """One row per record from its last chunk; a response's size and digest are those of the bytes read, a revisit's its header's."""
     carried = F.col("record_type") == "response"
     digest = F.when(carried, to_base32(F.col("sha1_so_far"))).otherwise(F.col("payload_digest"))
-    return chunk_table.where("last").select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    size = F.when(carried, F.col("chunk_offset") + F.col("chunk_bytes")).otherwise(F.col("payload_bytes"))
+    return chunk_table.where("last").select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def to_base32(digest):

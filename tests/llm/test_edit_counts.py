@@ -67,3 +67,11 @@ def test_null_edits_and_long_texts(spark):
     assert got[1]["edited_tokens"] == got[1]["n_tokens"] and got[2]["edited_chars"] == 2 and got[3]["edited_chars"] == 3
     assert got[4]["edited_tokens"] == count(text[:250_000] + "middle" + text[250_007:]) and got[4]["reencoded_chars"] < 2000
     assert got[5]["edited_tokens"] == count("x" * 9 + " " + "x" * 449_991)
+
+
+def test_clashing_names_in_any_case(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c", 7, 8)], "doc_id long, text string, N_Tokens int, LEAF_chars int")
+    got = E.edited_counts(docs, E.sample_edits(E.C.whole_text()))
+    got.write.parquet(str(tmp_path / "out"))
+    assert [c.lower() for c in got.columns].count("n_tokens") == 1 and spark.read.parquet(str(tmp_path / "out")).first()["n_tokens"] == 3
+    assert [c.lower() for c in E.trees(docs).columns].count("leaf_chars") == 1

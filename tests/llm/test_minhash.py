@@ -126,3 +126,10 @@ def test_two_texts_under_one_id(spark):
     assert [g[:2] for g in got] == [(3, 3), (5, 3), (5, 5), (5, 5), (7, 5), (7, 7), (8, 7)] and sum(k for _, _, k in got) == 3
     kept = sorted((r["doc_id"], r["text"] or "") for r in M.one_of_each(docs).collect())
     assert len(kept) == 3 and kept[0] == (3, b) and kept[1][0] == 5 and kept[1][1].startswith(a) and kept[2] == (7, "")
+
+
+def test_blocks_by_bytes_give_the_same(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = sorted(map(tuple, M.near_duplicates(docs).collect()))
+    monkeypatch.setattr(M, "BLOCK_BYTES", 3000)
+    assert sorted(map(tuple, M.near_duplicates(docs).collect())) == want

@@ -50,3 +50,23 @@ def test_frames(spark):
         assert by[r["doc_id"]]["n_tokens"] == len(r["ids"])
         assert by[r["doc_id"]]["ids_sha256"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
     assert P.round_trip_digest(docs.limit(0)).count() == 0
+
+
+def test_long_runs_are_not_kept():
+    import random
+    import resource
+
+    import sentencepiece
+
+    from quarrylake.llm import _common as C
+
+    draw = random.Random(2)
+    library = sentencepiece.SentencePieceProcessor(model_file=C.tokenizer_file(P.DEFAULT_MODEL))
+    segments = P.Segments(P.AgendaBpe(library), library)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for _ in range(30):
+        text = "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(20_000)) + " plain words"
+        assert segments.of(text) == library.encode(text)
+    text = "word " * 200_000
+    assert segments.of(text) == library.encode(text)
+    assert max(map(len, segments)) <= P.CACHED_CHARS and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000

@@ -144,6 +144,14 @@ def test_order_of_words_is_learnt(spark):
     assert abs(X.Evidence(model).of([text])[0] - want) < 1e-9
 
 
+def test_many_copies_of_one_id_are_one_labelled_row(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(5, 1), (5, 1), (6, 0)], "doc_id long, toxic int")
+    assert X.L.labelled_sample(docs, labels, "toxic", 1, 1).count() == 1
+
+
 def test_pairs():
     assert X.pairs("Kill you. You, kill me! kill you") == {"kill you": 2, "you kill": 1, "kill me": 1} and X.pairs("") == {}
 

@@ -58,3 +58,18 @@ def test_query(spark, small):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").collect()]
     assert Counter(map(tuple, op4_warc(spark, small).collect())) == expect(rows)
+
+
+def test_archives_are_rolled_and_sizes_counted(spark):
+    rows = [(k, f"http://a/{k}", f"page {k} " * 400) for k in range(40)] + [(7, "http://a/again", "another text"), (7, "http://b", "another text")]
+    folder = C.scratch_path(spark, "warc-roll")
+    pages = frame(spark, rows).coalesce(1)
+    manifest = W.write(pages, folder, roll=2000)
+    assert manifest.count() > 3 and sum(r["records"] for r in manifest.collect()) == len(rows)
+    table = W.read(manifest, folder)
+    assert Counter(map(tuple, W.summary(table).collect())) == expect(rows)
+    # A wrong length in a header does not reach the summary of a response.
+    wrong = table.withColumn("payload_bytes", table["payload_bytes"] + 5)
+    assert {r["payload_bytes"] for r in W.summary(wrong).where("page_id = 3").collect()} == {len(rows[3][2])}
+    ids = [line for f in Path(folder.removeprefix("file://")).glob("*.warc.gz") for line in gzip.decompress(f.read_bytes()).split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(set(ids)) == len(rows) - 1  # but for the row that repeats its id and payload
