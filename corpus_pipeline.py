@@ -3,7 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's documents. All stages but the last
 return the columns of ``documents``. Without labels of both kinds a classifier
-rejects nothing; an empty table gives an empty result.
+rejects nothing.
+
+Defined cases: a null text is the empty text in every stage; a row without an id
+is labelled by nothing, a copy of nothing, and stays unless it is rejected;
+repeated rows become one at the near-duplicates' stage; very long texts are read
+whole and packed in as many pieces as they need; extra columns of ``documents``
+are carried up to the packing, which leaves them out; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
