@@ -568,7 +568,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3
         yield pd.DataFrame({"sums": list(total), "n": range(4)})
 
     sums = np.zeros((4, size))
-    for r in aside.mapInPandas(histogram, "sums array<double>, n int").toLocalIterator():
+    for r in aside.mapInPandas(histogram, "sums array<double>, n int").collect():  # four rows a task
         sums[r["n"]] += np.array(r["sums"])
     model.worth, model.pair_worth = word_worth(sums[:2]), word_worth(sums[2:])
     model.harmless, model.harmless_pair = harmless_worth(sums[:2], model.worth), harmless_worth(sums[2:], model.pair_worth)
