@@ -37,6 +37,24 @@ def imports_of(edges: DataFrame, path: str) -> DataFrame:
     return edges.where(F.col("src") == path).select("dst").distinct().orderBy("dst")
 
 
+def importers(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, src): for every file at once, the other files whose imports equal a key of it or end in one, whatever the case of ASCII letters.
+
+    A suffix index: each distinct import is cut to its endings of those lengths
+    that keys have, and endings are joined to keys by equality, so no file is
+    compared with imports that do not mean it.
+    """
+    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    keys = files.select("path", F.explode(paths.neighbour_keys(F.col("path"))).alias("key")).select("path", low("key").alias("ending")).distinct()
+    # As many values as a path may have characters.
+    sizes = sorted(r["n"] for r in keys.select(F.char_length("ending").alias("n")).distinct().collect())
+    tokens = edges.select("dst").distinct()
+    fits = F.filter(F.array(*(F.lit(n) for n in sizes)) if sizes else F.array().cast("array<int>"), lambda n: n <= F.char_length("dst"))
+    endings = tokens.select("dst", F.explode(fits).alias("n")).select("dst", low(F.expr("right(dst, n)")).alias("ending"))
+    means = endings.join(keys, "ending").select("dst", "path").distinct()
+    return edges.select("src", "dst").distinct().join(means, "dst").where("src <> path").select("path", "src").distinct()
+
+
 def imported_by(edges: DataFrame, path: str, limit: int = 50) -> DataFrame:
     """Files whose imports equal a key of a file or end in it, whatever the case of ASCII letters.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.functions import paths, text
-from quarrylake.operators import outline, postings, retrieval, verify
+from quarrylake.operators import extents, outline, postings, retrieval, verify
 from quarrylake.plans import scratch
 from quarrylake.plans.registry import HEADINGS, TERMS, headings, query, read
 from quarrylake.sources import dump, tree
@@ -67,10 +67,8 @@ def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.digests(tree.read_tree(spark, root, MOST_BYTES)).select("path", "skipped", "sha256")
 
 
-@query("SELECT 'src' || (doc_id % 5) || '/d' || doc_id || '.txt' AS path, lower(sha256(text)) AS sha256, true AS listed FROM documents")
-def dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of packed dumps, some with line numbers and some with marks of stripped bodies, and the paths that the dumps list."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+def write_dumps(spark: SparkSession, sf_dir: str) -> str:
+    """Documents written as packed dumps into a folder, some with line numbers and some with marks of stripped bodies."""
     root = local(spark, "dumps")
     fence = "`" * 10
 
@@ -82,7 +80,7 @@ def dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             os.makedirs(root, exist_ok=True)
             path = f"{root}/{uuid.uuid4().hex}.txt"
             with open(path, "w", encoding="utf-8", newline="") as f:
-                f.write("A packed representation of some files.\n\n# Directory Structure\n```\n")
+                f.write("A packed representation of some files.\nLine numbers have been added to some.\n\n# Directory Structure\n```\n")
                 for k, some in batch.groupby(batch["doc_id"] % 5):
                     f.write(f"src{k}/\n" + "".join(f"  d{i}.txt\n" for i in some["doc_id"]))
                 f.write("```\n")
@@ -93,9 +91,16 @@ def dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     elif i % 4 == 1:
                         lines.insert(len(lines) // 2, "⋮----")
                     f.write(f"\n## File: src{i % 5}/d{i}.txt\n\n{fence}txt\n" + "\n".join(lines) + f"\n{fence}\n")
-            yield pd.DataFrame({"dump": [path]})
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    read(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+    return root
+
 
-    docs.mapInPandas(run, "dump string").agg(F.count("*")).collect()
+@query("SELECT 'src' || (doc_id % 5) || '/d' || doc_id || '.txt' AS path, lower(sha256(text)) AS sha256, true AS listed FROM documents")
+def dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of packed dumps, scanned by byte ranges, and the paths that the dumps list."""
+    root = write_dumps(spark, sf_dir)
     found = dump.read_dumps(spark, [root])
     listed = dump.read_listings(spark, [root]).select("path", F.lit(True).alias("listed"))
     return found.join(listed, "path", "left").select("path", F.sha2(text.clean_dump_text(F.col("text")), 256).alias("sha256"), F.coalesce("listed", F.lit(False)).alias("listed"))
@@ -148,6 +153,34 @@ def outline_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.outlines(source_files(spark, sf_dir)).select(F.col("path").alias("src"), F.explode("imports").alias("dst"))
 
 
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as source files of a brace language: a class with a function for each line, which says that line."""
+    each = F.transform(text.lines(F.col("text")), lambda x, i: F.concat(F.lit("  fun l"), (i + 1).cast("string"), F.lit('() {\n    say("'), F.translate(x, '"\\', ""), F.lit('")\n  }\n')))
+    code = F.concat(F.lit("class D"), F.col("doc_id").cast("string"), F.lit(" {\n"), F.array_join(each, ""), F.lit("}"))
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".kt")).alias("path"), F.lit("kotlin").alias("lang"), code.alias("text"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) AS i, len(str_split(text, chr(10))) AS n FROM documents),
+c AS (SELECT doc_id, i, n, '  fun l' || i || '() {' || chr(10) || '    say("' || translate(line, '"\\', '') || '")' || chr(10) || '  }' AS body FROM l)
+SELECT 'd' || doc_id || '.kt' AS path, 'l' || i AS name, CAST(3 * i - 1 AS INTEGER) AS start_line, CAST(3 * i + 1 AS INTEGER) AS last_line, 'D' || doc_id AS owner, CAST(length(body) AS INTEGER) AS chars FROM c
+UNION ALL SELECT 'd' || doc_id || '.kt', 'D' || doc_id, 1, CAST(3 * n + 2 AS INTEGER), NULL, CAST(length('class D' || doc_id || ' {') + 2 + sum(length(body) + 1) AS INTEGER) FROM c GROUP BY doc_id, n""")
+def symbol_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and functions of source files with what they lie in, and their bodies by extent."""
+    files = code_files(spark, sf_dir)
+    symbols = outline.outlines(files).select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.start_line")
+    found = extents.bodies(extents.brace_extents(symbols, files), files)
+    return found.select("path", "name", "start_line", F.col("last_line").cast("int").alias("last_line"), "owner", F.char_length("body").alias("chars"))
+
+
+@query("SELECT count(*) AS entries, count(*) AS listed, true AS dumps, 'line_numbers' AS transforms FROM documents")
+def dump_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packed dumps tell of themselves: that they are dumps, what was done to their files, how many entries they have and list."""
+    root = write_dumps(spark, sf_dir)
+    facts = dump.facts(spark, [root])
+    listed = dump.read_listings(spark, [root]).count()
+    return facts.agg(F.sum("entries").alias("entries"), F.lit(listed).cast("long").alias("listed"), F.bool_and("is_dump").alias("dumps"), F.array_join(F.array_distinct(F.flatten(F.collect_list("transforms"))), ",").alias("transforms"))
+
+
 #: Paths with the id in them, and what holds of each: entry point, readme, in docs, decision, pruned, test.
 PLACES = [("src/{id}/main.py", "100000"), ("readme{id}.md", "000000"), ("lib/{id}/README.rst", "010000"), ("docs/{id}.md", "001000"), ("Docs/adr-{id}.mdx", "001100"), ("a/spec/{id}.rst", "000101"), ("node_modules/{id}/x.js", "000010"), ("tests/{id}.py", "000001"), ("x/test_{id}.py", "000001"), ("doc/{id}/vision.txt", "001000"), ("b/{id}.spec.ts", "000001"), ("README", "010000")]
 

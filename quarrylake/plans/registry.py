@@ -13,7 +13,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylake.functions import paths, text
+from quarrylake.functions import embed, paths, text
 from quarrylake.operators import chunks, digest, graph, postings, retrieval, verify
 from quarrylake.plans import scratch
 
@@ -114,12 +114,12 @@ def verify_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.agg(F.count("*").alias("total"), F.count_if(F.col("state") == "ok").alias("verified"), F.count_if(F.col("state") != "ok").alias("failed"))
 
 
-@query("SELECT count(*) AS files, count(l.doc_id) AS labelled, round(100.0 * count(l.doc_id) / count(*), 1) AS percent FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+@query("SELECT count(*) FILTER (lang = 'en') AS code_files, count(l.doc_id) FILTER (lang = 'en') AS with_symbols, round(100.0 * count(l.doc_id) FILTER (lang = 'en') / count(*) FILTER (lang = 'en'), 1) AS percent FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def coverage_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of files that have an entry in another table."""
-    known = read(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has", F.lit(1))
-    rows = read(spark, sf_dir, "documents").select("doc_id").join(known, "doc_id", "left")
-    return rows.agg(F.count("*").alias("files"), F.count("has").alias("labelled")).withColumn("percent", F.round(100 * F.col("labelled") / F.col("files"), 1))
+    """Share of files of code languages (here English ones stand for them) that have a symbol (here a label)."""
+    path = F.col("doc_id").cast("string").alias("path")
+    docs = read(spark, sf_dir, "documents").select(path, F.when(F.col("lang") == "en", "python").otherwise("text").alias("lang"))
+    return verify.coverage(docs, read(spark, sf_dir, "labels").select(path))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -128,14 +128,16 @@ def missing_files_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.missing(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""SELECT d.lang, count(*) AS symbols, count(*) FILTER (p.h IS NOT NULL) AS reused, count(*) FILTER (p.h IS NULL) AS embedded
-FROM documents d LEFT JOIN (SELECT DISTINCT sha256(text) AS h FROM documents SEMI JOIN labels USING (doc_id)) p ON sha256(d.text) = p.h GROUP BY d.lang""")
+@query("""SELECT d.lang, count(DISTINCT d.text) AS symbols, count(DISTINCT d.text) FILTER (p.text IS NOT NULL) AS reused, count(DISTINCT d.text) FILTER (p.text IS NULL) AS embedded
+FROM documents d LEFT JOIN (SELECT DISTINCT text FROM documents SEMI JOIN labels USING (doc_id)) p ON d.text = p.text GROUP BY d.lang""")
 def reuse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts whose vector an earlier snapshot has, and those that must be embedded."""
-    docs = read(spark, sf_dir, "documents")
-    before = docs.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2("text", 256).alias("h")).distinct().withColumn("known", F.lit(1))
-    rows = docs.select("lang", F.sha2("text", 256).alias("h")).join(before, "h", "left")
-    return rows.groupBy("lang").agg(F.count("*").alias("symbols"), F.count("known").alias("reused"), F.count_if(F.col("known").isNull()).alias("embedded"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("embed_text"))
+    earlier = docs.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("embed_text").distinct()
+    snapshot = scratch.written(embed.vectors(earlier), "earlier-vectors")
+    found = embed.with_reuse(docs.select("embed_text").distinct(), snapshot).where(F.size("vector") == embed.DIMENSIONS)
+    rows = docs.select("lang", "embed_text").distinct().join(found.select("embed_text", "reused"), "embed_text")
+    return rows.groupBy("lang").agg(F.count("*").alias("symbols"), F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("embedded"))
 
 
 @query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS INTEGER) AS token_est, CAST(CASE WHEN text = '' THEN 0 ELSE len(str_split(text, chr(10))) END AS INTEGER) AS line_count FROM documents")
@@ -264,6 +266,26 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("times"))
 
 
+@query("""SELECT doc_id, substring(p, 1, 200) AS paragraph FROM (SELECT doc_id, list_filter(list_transform(str_split(t, chr(10) || chr(10)), lambda p: regexp_replace(regexp_replace(regexp_replace(p, '^\\s+|\\s+$', '', 'g'), '^#+', ''), '^\\s+|\\s+$', '', 'g')), lambda p: p <> '' AND NOT starts_with(p, '!'))[1] AS p FROM (
+SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_filter(str_split(text, chr(10)), lambda x: NOT regexp_matches(ltrim(x), '^(<|!\\[|\\[!\\[)')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents))""")
+def first_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first paragraph of each file without markup, as a purpose or a decision's summary shows it."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.first_paragraph(F.col("text")).alias("paragraph"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(f) > 240 THEN rtrim(left(f, 239)) || '…' WHEN f <> '' THEN f END AS doc FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)""")
+def clipped_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text on one line, cut with an ellipsis, as a docstring is kept."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.clip_doc(F.col("text")).alias("doc"))
+
+
+@query("SELECT event_type, CAST(props ->> '$.k' AS BIGINT) AS k, count(*) AS events FROM events GROUP BY 1, 2")
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value read by its path from JSON that is parsed once, as a variant."""
+    rows = read(spark, sf_dir, "events").select("event_type", F.try_parse_json("props").alias("v"))
+    return rows.groupBy("event_type", F.try_variant_get("v", "$.k", "long").alias("k")).agg(F.count("*").alias("events"))
+
+
 @query(f"WITH {LINKS} SELECT dst AS path, count(DISTINCT src) AS dependents FROM links WHERE src <> dst GROUP BY dst ORDER BY dependents DESC, path LIMIT 15")
 def key_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifteen targets that most pages link to."""
@@ -298,6 +320,34 @@ def internal_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dependents(edges, known)
 
 
+@query(f"WITH {IMPORTS} SELECT target AS path, count(DISTINCT src) AS dependents FROM r WHERE src <> target GROUP BY target ORDER BY dependents DESC, path LIMIT 15")
+def key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen files that most others import."""
+    edges, known = import_edges(spark, sf_dir)
+    return graph.key_files(edges, known)
+
+
+@query(f"""WITH {IMPORTS}, d AS (SELECT target, count(DISTINCT src) AS n FROM r WHERE src <> target GROUP BY target)
+SELECT split_part(e.src, '/', 1) AS name, count(*) AS files, CAST(coalesce(sum(d.n), 0) AS BIGINT) AS dependents FROM e LEFT JOIN d ON d.target = e.src GROUP BY 1""")
+def module_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules with the dependents of all their files."""
+    edges, known = import_edges(spark, sf_dir)
+    return digest.modules(known.withColumn("lang", F.lit("python")), graph.dependents(edges, known)).select("name", "files", "dependents")
+
+
+WORD_IMPORTS = """w AS (SELECT DISTINCT 'src/' || url AS src, dst FROM links JOIN (SELECT url FROM pages) ON src = url),
+f AS (SELECT doc_id, lower(regexp_extract(text, '[A-Za-z]+')) AS word FROM documents WHERE regexp_matches(text, '[A-Za-z]')),
+p AS (SELECT DISTINCT 'lib/' || word || '.py' AS path, word FROM f)"""
+
+
+@query(f"WITH {LINKS}, {WORD_IMPORTS} SELECT DISTINCT p.path, w.src FROM p JOIN w ON lower(w.dst) LIKE '%' || replace(p.word, '_', '') WHERE w.src <> p.path")
+def importers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every file who imports it; files are named by the first word of a text, imports are the targets of links."""
+    word = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
+    known = read(spark, sf_dir, "documents").where(F.col("text").rlike("[A-Za-z]")).select(F.concat(F.lit("lib/"), word, F.lit(".py")).alias("path")).distinct()
+    return graph.importers(links(spark, sf_dir).select(F.concat(F.lit("src/"), "src").alias("src"), "dst"), known)
+
+
 @query(f"WITH {IMPORTS} SELECT src FROM r WHERE target = 'pkg1/mod_22.py' ORDER BY src")
 def neighbors_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that import one file."""
@@ -308,8 +358,8 @@ def neighbors_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbors_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the page with the most links links to."""
     edges = links(spark, sf_dir)
-    most = edges.groupBy("src").agg(F.countDistinct("dst").alias("n")).orderBy(F.desc("n"), "src").first()
-    return graph.imports_of(edges, most["src"] if most else "")
+    most = edges.groupBy("src").agg(F.countDistinct("dst").alias("n")).orderBy(F.desc("n"), "src").limit(1).select("src")
+    return edges.join(most, "src", "left_semi").select("dst").distinct()
 
 
 # ---- retrieval ----
@@ -390,8 +440,9 @@ b AS (SELECT 1 AS list_no, query_id, unit_id, row_number() OVER (PARTITION BY qu
 def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rankings of the files that match a query: by BM25, and the shorter first."""
     found = scratch.written(index(spark, sf_dir).all(benchmark_queries(spark, sf_dir)).withColumn("score", F.round("score", 6)), "matches")
-    short = retrieval.top(found.select("query_id", "unit_id", (-F.col("dl")).alias("score")), 30)
-    best = retrieval.top(found, 30)
+    pool = retrieval.pool_size(10)
+    short = retrieval.top(found.select("query_id", "unit_id", (-F.col("dl")).alias("score")), pool)
+    best = retrieval.top(found, pool)
     return best.select(F.lit(0).alias("list_no"), "query_id", "unit_id", "rank").unionByName(short.select(F.lit(1).alias("list_no"), "query_id", "unit_id", "rank"))
 
 

@@ -212,6 +212,26 @@ def read_listings(spark: SparkSession, files: list[str]) -> DataFrame:
     return entries.select("*", *on).where(~F.col("name").endswith("/")).select("dump", F.concat_ws("/", *chain, "name").alias("path"))
 
 
+def facts(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(dump, is_dump, transforms, entries): whether each file is a packed dump, what its head says was done to its files, and its file headers."""
+    given = lines(spark, files).withColumn("id", F.monotonically_increasing_id())
+    size = F.char_length("value") + 1
+    above = Window.partitionBy("dump").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    # A head lies in a file's first range; lines that begin beyond the looked-at characters by their number alone are left out first.
+    early = given.where((F.col("block") == 0)).withColumn("place", F.row_number().over(Window.partitionBy("dump").orderBy("id"))).where(F.col("place") <= PEEK_CHARS)
+    early = early.withColumn("begins", F.coalesce(F.sum(size).over(above), F.lit(0)))
+    head = early.where(F.col("begins") < HEAD_CHARS).groupBy("dump").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]), "\n"), 1, HEAD_CHARS).alias("head"))
+    header = F.col("value").startswith(FILE_HEADER)
+    soon = early.where((F.col("begins") < PEEK_CHARS) & header).select("dump").distinct().withColumn("soon", F.lit(True))
+    entries = given.groupBy("dump").agg(F.count_if(header).alias("entries"))
+    marked = F.lit(False)
+    for m in MARKS:
+        marked = marked | F.contains("head", F.lit(m))
+    told = [F.when(F.contains(F.lower("head"), F.lit(needle)), F.lit(tag)) for needle, tag in TRANSFORMS.items()]
+    rows = entries.join(head, "dump", "left").join(soon, "dump", "left")
+    return rows.select("dump", (F.coalesce(marked, F.lit(False)) & F.coalesce("soon", F.lit(False))).alias("is_dump"), F.array_compact(F.array(*told)).alias("transforms"), "entries")
+
+
 def count_entries(spark: SparkSession, path: str) -> int:
     """File headers of a dump, counted without the parser."""
     return spark.read.text(path).where(F.col("value").startswith(FILE_HEADER)).count()

@@ -160,6 +160,9 @@ def test_dumps(spark, demo, tmp_path):
     assert C.classify(str(path)) == "dump" and dump.declared_transforms(str(path)) == ["line_numbers"]
     assert [r["path"] for r in dump.read_listings(spark, [str(path)]).collect()] == ["src/a.py", "src/deep/logo.png", "b.md"]
     assert {r["path"]: r["text"] for r in dump.read_dumps(spark, [str(path)]).collect()} == {"src/a.py": "1: def a():\n2:     return 1\n⋮----", "b.md": "```\ninner\n```"}
+    (tmp_path / "plain.txt").write_text("A packed representation of nothing.\n")
+    told = {r["dump"].rsplit("/")[-1]: (r["is_dump"], r["transforms"], r["entries"]) for r in dump.facts(spark, [str(path), str(tmp_path / "plain.txt")]).collect()}
+    assert told == {path.name: (True, ["line_numbers"], DUMP.count("\n## File: ")), "plain.txt": (False, [], 0)}
     corpus = demo[0].add(str(path))
     assert corpus.name == "thing" and corpus.read("src/a.py")["text"] == "def a():\n    return 1"
     assert corpus.meta["excluded_files"] == ["src/deep/logo.png"] and not corpus.meta["complete"] and not corpus.verify()["ok"]
