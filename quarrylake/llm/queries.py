@@ -105,7 +105,7 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
     "op12_conversation_repair": r"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations),
 harm AS (SELECT *, xor(list_reduce(flatten(list_transform(range(octet_length(k)), lambda i: list_transform(range(8), lambda b: (CAST('0x' || substr(hex(k), 2 * i + 1, 2) AS BIGINT) >> b) & 1))), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295), 4294967295) % 20 AS h FROM src),
 rows_ AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM harm, range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
-nth AS (SELECT *, row_number() OVER w AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy, lag(left(role, 1)) OVER w AS prior, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS i FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+nth AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS copy, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS prior, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM rows_)),
 faults AS (SELECT *, bare = '' AS blank, bare <> '' AND copy > 1 AS duplicate, bare <> '' AND copy = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS cut, prior IS NOT NULL AND prior || i NOT IN ('su', 'ua', 'au') AS illegal FROM nth),
 ids AS (SELECT DISTINCT conv_id FROM conversations),
 walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, {'c': 0, 'a': ''} AS p0, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS p1, {'c': 5, 'a': 'I'} AS p2, {'c': 10, 'a': 'II'} AS p3 FROM ids
