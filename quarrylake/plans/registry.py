@@ -462,9 +462,16 @@ def test_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("query_id", "unit_id", F.round(retrieval.demote_tests(F.col("raw"), path, F.lit(False)), 6).alias("score"))
 
 
-@query()
+@query(RANKED.replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT query_id, unit_id, round(sum(1.0 / (61 + rank)), 6) AS score, min({'l': list_no, 'r': rank}) AS first FROM (FROM a UNION ALL FROM b) GROUP BY ALL),
+w AS (SELECT query_id, unit_id, score, first, list_distinct(list_filter(regexp_extract_all(lower(left(CASE WHEN length(h) > 1000 THEN regexp_replace(left(h, 1000), '\\s+$', '') || '…' ELSE h END, 240)), '[a-z0-9]+'), lambda x: length(x) > 1)) AS t FROM g JOIN (SELECT doc_id, array_to_string(str_split(text, chr(10))[1:16], chr(10)) AS h FROM documents) ON doc_id = unit_id),
+pool AS (SELECT query_id, list(unit_id ORDER BY score DESC, first) AS u, list(score ORDER BY score DESC, first) AS s, list(t ORDER BY score DESC, first) AS t FROM w GROUP BY query_id),
+pick AS (SELECT query_id, [1] AS p FROM pool UNION ALL SELECT query_id, list_append(p, -best.i) FROM (
+  SELECT query_id, p, s, list_max(list_transform(list_filter(range(1, len(u) + 1), lambda i: NOT list_contains(p, i)), lambda i: {'v': 0.5 * (s[i] / s[1]) - 0.5 * list_max(list_transform(p, lambda j: CASE WHEN len(t[i]) = 0 OR len(t[j]) = 0 THEN 0.0 ELSE len(list_intersect(t[i], t[j])) / len(list_distinct(list_concat(t[i], t[j]))) END)), 'i': -i})) AS best
+  FROM pick JOIN pool USING (query_id) WHERE len(p) < 8 AND len(p) < len(u)) WHERE best.v > 0 AND s[-best.i] / s[1] >= 0.1),
+done AS (SELECT query_id, p FROM pick QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(p) DESC) = 1)
+SELECT query_id, u[i] AS unit_id, s[i] AS score, CAST(k - 1 AS INTEGER) AS pick FROM (SELECT query_id, unnest(p) AS i, generate_subscripts(p, 1) AS k FROM done) JOIN pool USING (query_id)""")
 def mmr_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's fused results without those that repeat what is picked (tested against a plain loop)."""
+    """Each query's fused results without those that repeat what is picked."""
     fused = retrieval.fuse(two_lists(spark, sf_dir), ["unit_id"])
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), text.snippet(F.col("text")).alias("snippet"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("raw", 6).desc(), "order"))
