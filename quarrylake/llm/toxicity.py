@@ -152,6 +152,13 @@ def pairs(text: str) -> Counter[str]:
     return out
 
 
+def contexts(text: str, known: frozenset[str]) -> set[str]:
+    """Known pairs of a text with the words before and after them."""
+    found = [w.strip(OUTER) or w for block in C.blocks(text) for w in block.lower().split()]
+    around = ["", *found, ""]
+    return {f"{a} {b}\0{around[k]}\0{around[k + 3]}" for k, (a, b) in enumerate(zip(found, found[1:], strict=False)) if f"{a} {b}" in known}
+
+
 def readings(word: str) -> list[str]:
     """A word as it stands, with its letters alone, and with stretched letters written once or twice."""
     out = [word]
@@ -453,7 +460,8 @@ def chosen_pairs(fit: DataFrame, toxic: int, other: int, common: list[str]) -> d
     """Pairs of common words, marked, with documents of either kind that have them, and again the toxic ones where the pair tells something; none if no pair does.
 
     A pair tells something if it is PAIR_RATIO times as common in toxic documents and this is no chance: by the
-    bound on a binomial's tail, over all pairs, PAIR_CHANCE at most.
+    bound on a binomial's tail, over all pairs, PAIR_CHANCE at most. Both must hold even if all toxic documents in
+    which it stands between the same words count as one, so that copies of one document do not make a pair.
     """
     shared = fit.sparkSession.sparkContext.broadcast(frozenset(common))
 
@@ -471,7 +479,12 @@ def chosen_pairs(fit: DataFrame, toxic: int, other: int, common: list[str]) -> d
         apart = share * np.log(share / base) + ((1 - share) * np.log((1 - share) / (1 - base)) if o else 0.0) if t else 0.0
         return t >= PAIR_TIMES and t / toxic >= PAIR_RATIO * o / other and (t + o) * apart > np.log(max(1, len(counts)) / PAIR_CHANCE)
 
-    told = {p for p, (t, o) in counts.items() if len(p) <= WINDOW and tells(t, o)}
+    likely = fit.sparkSession.sparkContext.broadcast(frozenset(p[1:-1] for p, (t, o) in counts.items() if len(p) <= WINDOW and tells(t, o)))
+    told: set[str] = set()
+    if likely.value:
+        around = _counted(fit.where("y = 1"), lambda b: ((c, 1, 0) for text in b["text"] for c in contexts(text, likely.value)), "context")
+        apart = {f"^{r['pair']}$": r["count"] for r in around.groupBy(F.substring_index("context", "\0", 1).alias("pair")).count().collect()}
+        told = {p for p, n in apart.items() if tells(min(n, counts[p][0]), counts[p][1])}
     plain = sorted((p for p, (_, o) in counts.items() if o and p not in told and len(p) <= WINDOW), key=lambda p: (-counts[p][1], p))[:MAX_WORDS]
     return {p: (*counts[p], counts[p][0] if p in told else 0) for p in [*sorted(told), *plain]} if told else {}
 

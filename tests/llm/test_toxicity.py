@@ -152,6 +152,17 @@ def test_many_copies_of_one_id_are_one_labelled_row(spark):
     assert X.L.labelled_sample(docs, labels, "toxic", 1, 1).count() == 1
 
 
+def test_copies_make_no_pair(spark):
+    rng = np.random.default_rng(8)
+    plain = [f"{a}{b}" for a in ("gar", "mel", "pon", "sur", "vek") for b in ("den", "lar", "tim", "nus", "hof")]
+    say = lambda *more: " ".join([*rng.choice(plain, 60), *more])
+    copied = say("idiot trash")
+    copies = [copied.replace("idiot", f"idiot x{k}") for k in range(40)]
+    (hit, miss), model = learnt(spark, copies + [say("idiot trash", "moron") for _ in range(160)], [say() for _ in range(600)])
+    assert hit >= 0.9 and miss <= 0.005 and not model.pair_worth.any()
+    assert X.contexts("a b c. a b", frozenset(["a b"])) == {"a b\0\0c", "a b\0c\0"}
+
+
 def test_pairs():
     assert X.pairs("Kill you. You, kill me! kill you") == {"kill you": 2, "you kill": 1, "kill me": 1} and X.pairs("") == {}
 
