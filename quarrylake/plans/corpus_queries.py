@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -9,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.functions import paths, text
-from quarrylake.operators import extents, outline, postings, retrieval, verify
+from quarrylake.functions import outliners, paths, text
+from quarrylake.operators import blobstore, extents, outline, postings, retrieval, verify
 from quarrylake.plans import scratch
 from quarrylake.plans.registry import HEADINGS, TERMS, headings, query, read
 from quarrylake.sources import dump, tree
@@ -115,6 +116,31 @@ def verify_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.check(files, kept).groupBy("state").agg(F.count("*").alias("files"), F.min(F.col("path").cast("long")).alias("first_id"))
 
 
+@query("SELECT CASE doc_id % 10 WHEN 0 THEN 'missing' WHEN 1 THEN 'corrupt' ELSE 'ok' END AS state, count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+def bucketed_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents in bucketed tables, checked where they lie; some were lost and some changed."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text").alias("content"), F.octet_length("text").cast("long").alias("bytes"))
+    root = scratch.fresh(spark, "blobs")
+    buckets = blobstore.buckets_for(docs)
+    files, blobs = blobstore.write(docs, root, buckets)
+    lot = F.col("path").cast("long") % 10
+    left = files.where(lot > 0).select("sha256", (lot == 1).alias("harmed"))
+    kept = blobs.join(left, "sha256").select("sha256", F.when(F.col("harmed"), F.concat("content", F.lit("x").cast("binary"))).otherwise(F.col("content")).alias("content"))
+    states = blobstore.checked(files, blobstore.bucketed(kept, f"{root}/kept", buckets))
+    return states.join(docs.select("path", "bytes"), "path").groupBy("state").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT item_id, d.doc_id, array_to_string(str_split(text, chr(10))[least(2, len(str_split(text, chr(10)))):greatest(least(2, len(str_split(text, chr(10)))), least(4, len(str_split(text, chr(10)))))], chr(10)) AS lines FROM (SELECT item_id, unnest([item_id * 3, -1 - item_id]) AS doc_id FROM benchmark) r LEFT JOIN documents d ON d.doc_id = r.doc_id WHERE d.doc_id IS NOT NULL OR r.doc_id < 0")
+def batch_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of many files read at once by their content's address; some of the files do not exist."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    files, blobs = blobstore.write(docs, scratch.fresh(spark, "blobs"))
+    asked = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array(F.col("item_id") * 3, -1 - F.col("item_id"))).alias("id")).select("item_id", F.col("id").cast("string").alias("path"), F.lit(2).alias("first"), F.lit(4).alias("last"))
+    found = blobstore.read_many(asked, files, blobs)
+    doc = F.col("path").cast("long")
+    return found.where(F.col("lines").isNotNull() | (doc < 0)).select("item_id", F.when(F.col("lines").isNotNull(), doc).alias("doc_id"), "lines")
+
+
 #: A source file of each language with the id in its names, and what it declares: kind, name before and after the id, line.
 SOURCES = [
     ("py", "python", '"""Note {id}."""\nimport pkg{id}.part\n\nLIMIT_{id} = 1\n\n\nclass Kind{id}(Base):\n    def act(self) -> int:\n        return 1\n', [("module", "d", "", 1), ("const", "LIMIT_", "", 4), ("class", "Kind", "", 7), ("method", None, "act", 8)], [("pkg", ".part")]),
@@ -172,6 +198,17 @@ def symbol_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "name", "start_line", F.col("last_line").cast("int").alias("last_line"), "owner", F.char_length("body").alias("chars"))
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS line, generate_subscripts(str_split(text, chr(10)), 1) AS i FROM documents)
+SELECT 'd' || doc_id || '.kt' AS path, 'function' AS kind, 'l' || i AS name, 'fun l' || i || '() {' AS signature, CAST(3 * i - 1 AS INTEGER) AS start_line FROM l
+UNION ALL SELECT 'd' || doc_id || '.kt', 'class', 'D' || doc_id, 'class D' || doc_id || ' {', 1 FROM documents""")
+def outline_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines by a registered table function, asked in SQL."""
+    name = f"outline_{uuid.uuid4().hex}"
+    outliners.register(spark, name)
+    code_files(spark, sf_dir).createOrReplaceTempView(f"{name}_files")
+    return spark.sql(f"SELECT f.path, s.kind, s.name, s.signature, s.start_line FROM {name}_files f, LATERAL {name}(f.path, f.text, f.lang) s")
+
+
 @query("SELECT count(*) AS entries, count(*) AS listed, true AS dumps, 'line_numbers' AS transforms FROM documents")
 def dump_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What packed dumps tell of themselves: that they are dumps, what was done to their files, how many entries they have and list."""
