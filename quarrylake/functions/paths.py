@@ -65,9 +65,10 @@ def is_test(path: Column) -> Column:
     return F.arrays_overlap(directories(low), F.array(*map(F.lit, TEST_DIRS))) | base_name(low).rlike(TEST_BASE)
 
 
-def asks_for_tests(query: str) -> bool:
+def asks_for_tests(query: Column) -> Column:
     """True if a query is about tests itself."""
-    return bool(set(re.sub("[-_]", " ", query.lower()).split()) & {"test", "tests", "spec", "specs", "testing"})
+    words = F.split(F.translate(F.lower(query), "-_", "  "), r"\s+")
+    return F.arrays_overlap(words, F.array(*map(F.lit, ("test", "tests", "spec", "specs", "testing"))))
 
 
 def is_readme(path: Column) -> Column:

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.functions import embed, paths, text
-from quarrylake.operators import chunks, digest, graph, outline, postings, retrieval, verify
+from quarrylake.operators import chunks, digest, graph, outline, postings, verify
+from quarrylake.plans import search
 from quarrylake.plans.ship import ship
 from quarrylake.sources import dump, tree
 
@@ -288,46 +289,21 @@ class Corpus:
         purpose = digest.purposes(self.texts(), self.table("symbols"))
         return digest.modules(self.table("files"), self.dependents()).join(purpose, "name", "left").orderBy(F.desc("files"), "name")
 
+    def searched(self) -> search.Searched:
+        """The tables that a search looks at; vectors only of the embedder in use."""
+        own = self.table("embeddings") if self.meta.get("fingerprint") == embed.FINGERPRINT else None
+        return search.Searched(self.table("chunks"), str(self.folder / "index-chunks"), self.table("symbols"), str(self.folder / "index-symbols"), own)
+
     def search(self, query: str, k: int = 10, mode: str = "auto", diversify: bool = False) -> DataFrame:
         """Results by words (chunks and symbols) and by meaning (symbols), fused by reciprocal ranks."""
-        schema = "path string, start int, end int, score double, snippet string, kind string, name string, source string"
-        lists, pool = [], retrieval.pool_size(k)
-        phrases = retrieval.query_table(self.spark, {"q": query})
-        lexical, semantic = mode in ("auto", "hybrid", "lexical"), mode in ("auto", "hybrid", "semantic")
-        units = self.table("chunks").select("path", "ord", "start_line", "end_line", F.col("text").alias("snippet"), F.lit("chunk").alias("kind"), F.lit(None).cast("string").alias("name"))
-        shown = F.concat(F.col("kind"), F.lit(" "), F.col("name"), F.lit(": "), F.col("signature"))
-        symbols = self.table("symbols").select("path", "ord", "start_line", "end_line", shown.alias("snippet"), "kind", "name", "signature", "docstring")
+        asked = self.spark.createDataFrame([("q", query)], "query_id string, question string")
         words = [w for phrase in text.phrases(query) for w in phrase]
-        if lexical and words:
-            for n, (name, rows) in enumerate((("chunks", units), ("symbols", symbols))):
-                named = rows.withColumn("unit_id", F.struct("path", "start_line", "ord"))
-                found = postings.Index(self.spark, str(self.folder / f"index-{name}")).top(phrases, pool, words)
-                lists.append(found.join(named, "unit_id").select(F.lit(n).alias("list_no"), "query_id", "rank", "path", "start_line", "end_line", text.snippet(F.col("snippet")).alias("snippet"), "kind", "name", F.lit("lexical").alias("source")))
-        if semantic and query.strip() and self.meta.get("fingerprint") == embed.FINGERPRINT:
-            known = self.table("embeddings")
-            vector = embed.of_texts([query])[0]
-            if any(vector):
-                dot = F.aggregate(F.zip_with("vector", F.array(*map(F.lit, vector)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-                texts = text.embed_text(F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring"))
-                scored = symbols.withColumn("embed_text", texts).join(known.select("embed_text", dot.alias("score")), "embed_text").withColumn("query_id", F.lit("q"))
-                best = scored.orderBy(F.desc("score"), "path", "start_line").limit(pool)
-                lists.append(retrieval.top(best.withColumn("at", F.struct("path", "start_line")), pool, "at").select(F.lit(2).alias("list_no"), "query_id", "rank", "path", "start_line", "end_line", "snippet", "kind", "name", F.lit("semantic").alias("source")))
-        if not lists:
-            return self.spark.createDataFrame([], schema)
-        ranked = lists[0]
-        for more in lists[1:]:
-            ranked = ranked.unionByName(more)
-        fused = retrieval.fuse(ranked, ["path", "start_line", "kind"], ["path", "start_line", "kind", "end_line", "snippet", "name"])
-        score = F.round(retrieval.demote_tests(F.col("raw"), F.col("path"), F.lit(paths.asks_for_tests(query))), 6)
-        source = F.when(F.array_contains("lists", 2), F.when(F.size("lists") > 1, "hybrid").otherwise("semantic")).otherwise("lexical")
-        rows = fused.select("query_id", "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), score.alias("score"), "snippet", "kind", "name", source.alias("source"), "order")
-        best = rows.orderBy(F.desc("score"), "order").limit(k if not diversify else 3 * pool)
-        if diversify:
-            from pyspark.sql import Window
-
-            placed = best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "order"))).drop("order")
-            best = retrieval.diversify(placed, k).orderBy("pick")
-        return best.select("path", "start", "end", "score", "snippet", "kind", "name", "source")
+        found = search.search_many(self.spark, self.searched(), asked, k, mode, diversify, words)
+        return found.orderBy("rank").drop("query_id", "rank")
+
+    def search_many(self, questions: DataFrame, k: int = 10, mode: str = "auto", diversify: bool = False) -> DataFrame:
+        """The same for many questions (query_id, question) at once, with query_id and rank."""
+        return search.search_many(self.spark, self.searched(), questions, k, mode, diversify)
 
     def read(self, target: str, start: int | None = None, end: int | None = None) -> dict:
         """Lines of a file, or the places and, if they are few, the bodies of a symbol."""

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.functions import outliners, paths, text
-from quarrylake.operators import blobstore, extents, outline, postings, retrieval, verify
-from quarrylake.plans import scratch
-from quarrylake.plans.registry import HEADINGS, TERMS, headings, query, read
+from quarrylake.operators import blobstore, chunks, extents, outline, postings, retrieval, verify
+from quarrylake.plans import scratch, search
+from quarrylake.plans.registry import HEADINGS, ORACLES, TERMS, headings, query, read
 from quarrylake.sources import dump, tree
 
 MOST_BYTES = 4000
@@ -232,6 +232,31 @@ def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", F.concat(*(f.cast("int").cast("string") for f in flags)).alias("flags"))
 
 
+@query("""WITH RECURSIVE d AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, str_split(text, chr(10)) AS lines FROM documents), cs AS (""" + ORACLES["chunk_documents"] + """),
+u AS (SELECT 0 AS list_no, d.path, start_line, end_line, 'chunk' AS kind, array_to_string(d.lines[start_line:end_line], chr(10)) AS body FROM cs JOIN d USING (doc_id)
+  UNION ALL SELECT 1, path, 1, len(lines), 'line', 'head ' || lines[1] FROM d WHERE lines[1] <> ''),
+t AS (SELECT list_no, path, start_line, end_line, kind, """ + TERMS.format("body") + """ AS t FROM u), st AS (SELECT list_no, count(*) AS n, avg(len(t)) AS mean FROM t GROUP BY list_no),
+bt AS (SELECT item_id AS query_id, """ + TERMS.format("text") + """ AS b FROM benchmark), q AS (SELECT query_id, unnest([0, 1]) AS phrase_no, unnest([b[2], b[4]]) AS term FROM bt WHERE len(b) >= 4),
+tok AS (SELECT list_no, path, start_line, len(t) AS dl, unnest(t) AS term FROM t), f AS (SELECT list_no, query_id, phrase_no, path, start_line, dl, count(*) AS tf FROM tok JOIN q USING (term) GROUP BY ALL), df AS (SELECT list_no, query_id, phrase_no, count(*) AS df FROM f GROUP BY ALL),
+s AS (SELECT list_no, query_id, path, start_line, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score, count(*) AS met FROM f JOIN df USING (list_no, query_id, phrase_no) JOIN st USING (list_no) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY list_no, query_id ORDER BY score DESC, path, start_line) - 1 AS rank FROM s WHERE met = 2 QUALIFY rank < 30),
+g AS (SELECT query_id, path, start_line, CASE list_no WHEN 0 THEN 'chunk' ELSE 'line' END AS kind, round(1.0 / (61 + rank), 6) AS score, {'l': list_no, 'r': rank} AS o FROM r)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) - 1 AS INTEGER) AS rank, path, CAST(start_line AS INTEGER) AS start, kind, score FROM g QUALIFY rank < 10""")
+def question_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions searched in chunks and symbols together; a file's first line stands for its symbol."""
+    root = scratch.fresh(spark, "question-search")
+    body = F.col("text")
+    docs = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    made = scratch.written(chunks.chunks(docs, ["path"]), "question-chunks")
+    heads = docs.select("path", F.lit(0).alias("ord"), F.lit(1).alias("start_line"), F.size(text.lines(body)).alias("end_line"), F.lit("line").alias("kind"), F.lit("head").alias("name"), F.get(text.lines(body), 0).alias("signature"), F.lit(None).cast("string").alias("docstring")).where("signature <> ''")
+    for name, rows, columns in (("chunks", made, ["text"]), ("symbols", heads, ["name", "signature", "docstring"])):
+        postings.write_index(rows.withColumn("at", F.struct("path", "start_line", "ord")), "at", columns, f"{root}/{name}")
+    terms = text.terms(F.col("text"))
+    asked = read(spark, sf_dir, "benchmark").where(F.size(terms) >= 4).select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.get(terms, 1), F.get(terms, 3)).alias("question"))
+    where = search.Searched(made, f"{root}/chunks", heads, f"{root}/symbols")
+    return search.search_many(spark, where, asked, 10, "lexical").select("query_id", "rank", "path", "start", "kind", "score")
+
+
 #: Queries of one word each; every word is a phrase.
 SYMBOL_QUERIES = {"a": "h2 the", "b": "h1 of", "c": "and", "d": "h3 to the"}
 _ASKED = ", ".join(f"('{q}', {n}, '{w}')" for q, given in SYMBOL_QUERIES.items() for n, w in enumerate(given.split()))

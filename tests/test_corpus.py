@@ -66,6 +66,12 @@ def test_end_to_end(spark, demo):
     assert corpus.search("CAFE", mode="lexical").first()["path"] == "README.md"
     assert corpus.search("   ").count() == 0 and corpus.search("- :", mode="lexical").count() == 0 and corpus.search("x", mode="odd").count() == 0
     assert 1 <= corpus.search("engine", diversify=True, k=3).count() <= 3
+    asked = {"a": "engine start", "b": "CAFE", "c": "   ", "d": None, "e": "helper"}
+    for mode in ("auto", "lexical", "semantic"):
+        many = corpus.search_many(spark.createDataFrame(list(asked.items()), "query_id string, question string"), k=5, mode=mode).collect()
+        for q, question in asked.items():
+            own = sorted((r for r in many if r["query_id"] == q), key=lambda r: r["rank"])
+            assert [(r["path"], r["start"], r["kind"], r["score"]) for r in own] == [(r["path"], r["start"], r["kind"], r["score"]) for r in corpus.search(question or "", k=5, mode=mode).collect()]
     text = corpus.map(2)
     for part in ("## Modules", "What pkg is for.", "## Key files", "app.py", "Use Spark", "async def start"):
         assert part in text

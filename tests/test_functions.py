@@ -55,7 +55,8 @@ def test_languages_and_tests(spark):
     names = ["tests/a.py", "a/test_x.py", "a/x.test.ts", "a/latest.py", "Spec/a.rb", "test", "a/test-x.js", "x_spec.rb", "contest.py"]
     assert column(spark, names, paths.is_test) == [True, True, True, False, True, False, True, True, False]
     assert column(spark, ["a/node_modules/x.js", "dist", "a/b.py"], paths.is_pruned) == [True, False, False]
-    assert paths.asks_for_tests("where are the unit-tests") and not paths.asks_for_tests("latest contest")
+    asked = spark.createDataFrame([("where are the unit-tests",), ("latest contest",), ("",), ("Spec of X",)], "q string")
+    assert [r[0] for r in asked.select(paths.asks_for_tests(asked["q"])).collect()] == [True, False, False, True]
 
 
 def test_import_keys(spark):
