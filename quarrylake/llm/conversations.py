@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarrylake.llm import _common as C
@@ -44,6 +44,8 @@ from quarrylake.llm import _common as C
 DELETE, REROLE, INSERT, CUT = 2, 1, 5, 5
 #: Rows and bytes of text up to which a conversation is mended in one pass.
 LONG_ROWS, LONG_BYTES = 2048, 16_000_000
+#: Bytes of text that one task reads, about.
+TASK_BYTES = 64_000_000
 #: Rows of a block of a long conversation; a power of two.
 BLOCK = 2048
 #: Conversations that a task gives out at once.
@@ -84,12 +86,15 @@ def repair(rows: DataFrame) -> DataFrame:
     """
     copies = F.col("copies") if "copies" in rows.columns else F.lit(1)
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), copies.cast("int").alias("copies"))
+    seen = Observation()
     sizes = rows.groupBy("conv_id").agg(F.sum("copies").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = sizes.observe(seen, F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
     long = C.spill(sizes.where((F.col("n") > LONG_ROWS) | (F.col("bytes") > LONG_BYTES)).select(F.col("conv_id").alias("long_id")), "conversations-long")
     same = F.col("conv_id").eqNullSafe(F.col("long_id"))
+    parts = C.partitions_for(rows.sparkSession, seen.get["bytes"], TASK_BYTES)
     if long.isEmpty():
-        return in_one_pass(rows)
-    return in_one_pass(rows.join(long, same, "left_anti")).unionByName(in_blocks(rows.join(long, same, "left_semi")))
+        return in_one_pass(rows, parts)
+    return in_one_pass(rows.join(long, same, "left_anti"), parts).unionByName(in_blocks(rows.join(long, same, "left_semi"), parts))
 
 
 # The grammar
@@ -140,10 +145,10 @@ def entered(state: int) -> Layer:
 # Conversations that fit a task
 
 
-def in_one_pass(rows: DataFrame) -> DataFrame:
+def in_one_pass(rows: DataFrame, parts: int) -> DataFrame:
     """Conversations of bounded length: sorted within tasks and mended one after another."""
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
-    given = rows.repartition("conv_id").sortWithinPartitions(*order)
+    given = rows.repartition(parts, "conv_id").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -204,12 +209,10 @@ def repaired(rows: list[tuple[str, str]], audit: str) -> list[tuple[str, str]]:
 # Longer conversations
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
+def in_blocks(rows: DataFrame, parts: int) -> DataFrame:
     """The same for conversations of any length, without any task that holds one's rows."""
-    spark = rows.sparkSession
     whole = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies")).where("copies > 0")
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bare = F.rtrim(F.col("text"), F.lit(WHITE))
     # Ranges follow the order, so the place of a row in its part also orders all rows.
     dealt = whole.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(

@@ -45,8 +45,10 @@ LEAST, MIN_PAGES, MIN_SHARED = 0.4, 5, 3
 DISCOUNT = 0.9
 #: Pages of one host that are dealt to one task, at least.
 HOST_PAGES = 1000
-#: Hosts with more pages than one in so many are dealt out, besides.
-HOST_SHARE = 1000
+#: Hosts with more pages than one in so many are dealt out, besides; so there are at most as many such hosts.
+HOST_SHARE = 100_000
+#: Pages that one task reads, about.
+TASK_PAGES = 5000
 NO_ARTICLE = frozenset("head nav footer aside form dialog menu select fieldset search".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption li dd dt td th".split())
 DECLARED = (frozenset(("articlebody",)), frozenset(("postcontent",)), frozenset(("entrycontent",)), frozenset(("articlecontent",)), frozenset(("storybody",)), frozenset(("postbody",)))
@@ -76,7 +78,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     rows = dealt(given.withColumn("h", F.xxhash64("host"))).select(
         "h", F.pmod(F.xxhash64("html", "page_id"), F.col("n")).cast("int").alias("salt"), F.lit(1).alias("page"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "page_id", "url", "host", "html"
     )
-    met = marks.unionByName(rows).repartition("h", "salt").sortWithinPartitions("h", "salt", "page")
+    parts = C.partitions_for(spark, total, TASK_PAGES)
+    met = marks.unionByName(rows).repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "page")
     return met.mapInArrow(_texts, RESULT)
 
 

@@ -100,7 +100,7 @@ def test_blocks_give_the_same(spark, monkeypatch):
     want = collected(V.repair(given))
     monkeypatch.setattr(V, "BLOCK", 2)
     left = spark.createDataFrame([r for r in rows if r[0] in {q[0] for q in rows if q[4]}], SCHEMA)
-    got = collected(V.in_blocks(left.fillna(" ", ["role", "text"])))
+    got = collected(V.in_blocks(left.fillna(" ", ["role", "text"]), 5))
     assert got == {c: w for c, w in want.items() if c in got} and len(got) > 90
     monkeypatch.setattr(V, "LONG_ROWS", 3)
     assert collected(V.repair(given)) == want
