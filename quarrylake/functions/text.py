@@ -13,6 +13,8 @@ CHARS_PER_TOKEN = 4
 CHUNK_TOKENS, CHUNK_OVERLAP, CHUNK_LINES = 400, 10, 600
 SNIPPET_LINES, SNIPPET_CHARS = 16, 1000
 DOC_CHARS, SIGNATURE_CHARS = 240, 200
+#: A letter that is not folded in spite of its decomposition.
+UNFOLDED = "ǡ"
 TERM = r"[\p{L}\p{N}\p{Co}]+"
 
 
@@ -55,17 +57,23 @@ def clip_doc(doc: Column) -> Column:
 
 @cache
 def folding() -> tuple[str, str]:
-    """Accented Latin letters and what they are folded to, made from their canonical decompositions."""
-    found = {}
+    """Accented Latin letters and what they are folded to, made from their canonical decompositions; last, with nothing to fold to, the marks in these."""
+    found, marks = {}, set()
     for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
         parts = unicodedata.normalize("NFD", chr(code).lower())
-        if len(parts) > 1 and parts[0].isascii() and parts[0].isalpha() and len(chr(code).lower()) == 1:
+        if len(parts) > 1 and parts[0].isascii() and parts[0].isalpha() and len(chr(code).lower()) == 1 and chr(code).lower() != UNFOLDED:
             found[chr(code).lower()] = parts[0]
-    return "".join(found), "".join(found.values())
+            marks |= set(parts[1:])
+    for code in range(0x80, 0x2000):  # letters that stand for another, such as a final sigma
+        low = chr(code).lower()
+        other = low.casefold()
+        if len(low) == len(other) == 1 and other != low:
+            found[low] = found.get(other, other)
+    return "".join(found) + "".join(sorted(marks)), "".join(found.values())
 
 
 def terms(text: Column) -> Column:
-    """The terms of a text in order: runs of letters and digits, in lower case, without accents on Latin letters."""
+    """The terms of a text in order: runs of letters and digits, in lower case, without accents on Latin letters, composed or not."""
     low = F.lower(text)
     plain = F.octet_length(low) == F.char_length(low)  # nothing to fold; folding looks every character up
     return F.regexp_extract_all(F.when(plain, low).otherwise(F.translate(low, *folding())), F.lit(TERM), F.lit(0))
@@ -79,7 +87,7 @@ def phrases(query: str) -> list[list[str]]:
     import regex
 
     source, target = folding()
-    table = str.maketrans(source, target)
+    table = str.maketrans(source[: len(target)], target, source[len(target) :])
     found = [regex.findall(TERM, word.lower().translate(table)) for word in query.replace("\n", " ").split(" ")]
     return [p for p in found if p]
 
