@@ -7,7 +7,8 @@ budget, and where they do not, a note that tells how many are left out and where
 to go on. The overview has one line for each module, the largest first, within a
 budget of its own, and the same kind of note.
 
-Digests are written by module, the overview beside them. A run of all modules
+Texts are read once, into a table of what is told of each file. It and the digests
+are written by module, the overview beside them. A run of all modules
 overwrites the tables; one that names some overwrites the partitions of those
 (dynamic partition overwrite) and leaves the others as they are. So a rerun gives
 the same rows. The overview is made of the heads of all modules, those left as
@@ -34,6 +35,8 @@ log = logging.getLogger("jobs.navigate")
 HEAD, FILE, NOTE = 0, 1, 2
 BEGINNING = 120
 LINES = "module string, part int, path string, block string, tokens long, used long"
+#: What is told of each file; texts are read once, to write this.
+FILES = "path string, lang string, lines long, tokens long, beginning string, module string"
 #: Numbers that the overview is made of, kept in the heads.
 HEADS = "module string, files long, lines long, tokens long, langs string"
 
@@ -42,14 +45,15 @@ def run(spark: SparkSession, documents: str, target: str, budget: int = 4000, ov
     """Write the digests of all modules, or of those named with commas between; returns the number of blocks."""
     ship(spark)
     files = described(spark.read.schema(DOCUMENTS).parquet(documents))
-    if modules:
-        files = files.where(F.col("module").isin(modules.split(",")))
+    chosen = F.col("module").isin(modules.split(",")) if modules else F.lit(True)
+    read = write(files.where(chosen), f"{target}/files", ["module"], bool(modules))
+    files = spark.read.schema(FILES).parquet(f"{target}/files").where(chosen)
     write(heads_of(files), f"{target}/heads", ["module"], bool(modules))
     heads = spark.read.schema(HEADS).parquet(f"{target}/heads")
     own = heads.join(files.select("module").distinct(), "module", "left_semi") if modules else heads
     blocks = write(digests(files, own, int(budget)), f"{target}/digests", ["module"], bool(modules))
     lines = write(overview(heads, int(overview_budget)), f"{target}/overview", [])
-    log.info("read %s, wrote %d blocks and an overview of %d lines to %s", documents, blocks, lines, target)
+    log.info("read %d documents of %s, wrote %d blocks and an overview of %d lines to %s", read, documents, blocks, lines, target)
     return blocks
 
 
