@@ -135,8 +135,10 @@ def reuse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("embed_text"))
     earlier = docs.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("embed_text").distinct()
     snapshot = scratch.written(embed.vectors(earlier), "earlier-vectors")
-    found = embed.with_reuse(docs.select("embed_text").distinct(), snapshot).where(F.size("vector") == embed.DIMENSIONS)
-    rows = docs.select("lang", "embed_text").distinct().join(found.select("embed_text", "reused"), "embed_text")
+    address = F.sha2("embed_text", 256).alias("address")
+    found = embed.with_reuse(docs.select("embed_text").distinct(), snapshot).select(address, "reused", F.size("vector").alias("dim"))
+    found = scratch.written(found, "vectors").where(F.col("dim") == embed.DIMENSIONS)
+    rows = docs.select("lang", address).distinct().join(found, "address")
     return rows.groupBy("lang").agg(F.count("*").alias("symbols"), F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("embedded"))
 
 
