@@ -83,8 +83,9 @@ def take_in(batch: DataFrame, number: int, target: str) -> int:
     )
     told = write(own.join(known, "path", "left").select("path", change.alias("change"), "batch"), f"{target}/changes", ["batch"])
 
-    fresh = own.where("sha256 is not null").select("sha256").distinct().join(before.select("sha256").distinct(), "sha256", "left_anti")
-    contents = docs.select("sha256", "text").join(fresh, "sha256", "left_semi").groupBy("sha256").agg(F.any_value("text").alias("text"))
+    # Of the copies of a content, the one with the least path gives the text, so that no task gets them all.
+    fresh = own.where("sha256 is not null").groupBy("sha256").agg(F.min("path").alias("path")).join(before.select("sha256").distinct(), "sha256", "left_anti")
+    contents = docs.select("sha256", "path", "text").join(fresh, ["sha256", "path"], "left_semi").groupBy("sha256").agg(F.any_value("text").alias("text"))
     made = chunks.chunks(contents, ["sha256"]).withColumn("batch", F.lit(number).cast("long"))
     cut = write(made, f"{target}/chunks", ["batch"])
     log.info("batch %d: read %d documents, wrote %d versions, %d changes, %d chunks", number, seen.get["n"], files, told, cut)
