@@ -135,6 +135,17 @@ class Index:
         found = self._phrases(queries, words)
         return self._scores(found, self._weights(found, queries), None)
 
+    def parts(self, queries: DataFrame, words: list[str] | None = None) -> DataFrame:
+        """(query_id, phrase_no, unit_id, dl, part): what each phrase adds to each unit that has it, whether the unit has the others or not.
+
+        Units that share an id keep their own rows, so that a caller can put them together by it.
+        """
+        found = scratch.written(self._phrases(queries, words), "phrases-met")
+        weights = self._each_weight(found)
+        each = found.join(self.heads, "block").select("query_id", "phrase_no", "units", "lengths", F.explode(F.arrays_zip("places", "counts")).alias("u"))
+        units = each.select("query_id", "phrase_no", F.get("units", F.col("u.places")).alias("unit_id"), F.get("lengths", F.col("u.places")).alias("dl"), F.col("u.counts").alias("tf"))
+        return units.join(weights, ["query_id", "phrase_no"]).select("query_id", "phrase_no", "unit_id", "dl", self._part(F.col("w"), F.col("tf"), F.col("dl")).alias("part"))
+
     def top(self, queries: DataFrame, k: int, words: list[str] | None = None) -> DataFrame:
         """(query_id, unit_id, dl, score, rank): the k best units of each query, scores to six digits."""
         found = self._phrases(queries, words)
@@ -177,14 +188,18 @@ class Index:
 
     def _weights(self, found: DataFrame, queries: DataFrame) -> DataFrame:
         """(query_id, idf): the weights of each query's phrases in order; a phrase that is nowhere has none, so its query has no result."""
-        n = F.lit(self.units)
-        idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(F.greatest(idf, F.lit(LEAST_IDF)))
-        each = found.groupBy("query_id", "phrase_no").agg(F.sum("n").alias("df")).select("query_id", "phrase_no", weight.alias("w"))
+        each = self._each_weight(found)
         whole = queries.groupBy("query_id").agg(F.count("*").alias("phrases"))
         known = each.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("phrase_no", "w"))).alias("p")).join(whole, "query_id").where(F.size("p") == F.col("phrases"))
         return scratch.written(known.select("query_id", F.transform("p", lambda x: x["w"]).alias("idf")), "weights")
 
+    def _each_weight(self, found: DataFrame) -> DataFrame:
+        """(query_id, phrase_no, w): the weight of each phrase that is somewhere."""
+        n = F.lit(self.units)
+        idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(F.greatest(idf, F.lit(LEAST_IDF)))
+        return found.groupBy("query_id", "phrase_no").agg(F.sum("n").alias("df")).select("query_id", "phrase_no", weight.alias("w"))
+
     def _scores(self, found: DataFrame, weights: DataFrame, blocks: DataFrame | None) -> DataFrame:
         """(query_id, unit_id, dl, score) of the units in some blocks, or in all."""
         if blocks is not None:

@@ -248,3 +248,19 @@ def test_coverage_counts_files_of_every_language(spark, tmp_path):
     spark.createDataFrame([(1, "en"), (2, "de"), (3, "fr"), (4, None)], "doc_id long, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1,), (2,), (2,), (9,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
     assert registry.coverage_pct(spark, str(tmp_path)).first().asDict() == {"files": 4, "labelled": 2, "percent": 50.0}
+
+
+def test_symbol_search_of_pages_that_share_a_url(spark, tmp_path):
+    import duckdb
+
+    from quarrylake.plans import corpus_queries, registry
+
+    rows = [(0, "u", "<h1>of the</h1>"), (1, "u", "<h1>of and</h1>\n<h2>the</h2>"), (2, "u", "<h1>other</h1>\n<h2>and the</h2>"), (3, "v", "<h2>the and</h2>"), (4, "v", "<h1>to of</h1>"), (5, "w", "<h1>plain of</h1>\n<h3>to the</h3>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.sql(registry.oracle_sql()["symbol_search"]).fetchall())
+    got = sorted(tuple(r) for r in corpus_queries.symbol_search(spark, str(tmp_path)).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 1e-6 for g, w in zip(got, want, strict=True))
+    assert got
