@@ -6,13 +6,14 @@ from collections.abc import Iterator
 from itertools import accumulate
 from bisect import bisect_left
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylake.functions import text as X
+from quarrylake.functions.batches import slices
 
-CHUNK = "array<struct<ord:int,start_line:int,end_line:int,text:string,token_est:int>>"
+CHUNK = ["ord int", "start_line int", "end_line int", "text string", "token_est int"]
 
 
 def spans(text: str, target: int = X.CHUNK_TOKENS, overlap: int = X.CHUNK_OVERLAP, most: int = X.CHUNK_LINES) -> list[tuple[int, int]]:
@@ -36,18 +37,24 @@ def spans(text: str, target: int = X.CHUNK_TOKENS, overlap: int = X.CHUNK_OVERLA
 
 def chunks(files: DataFrame, key: list[str], text: str = "text", target: int = X.CHUNK_TOKENS, overlap: int = X.CHUNK_OVERLAP) -> DataFrame:
     """(key, ord, start_line, end_line, text, token_est) of every chunk of every file."""
+    given = files.select(*key, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    names, kinds = [*key, *(c.split()[0] for c in CHUNK)], [given.schema[c].dataType.simpleString() for c in key]
 
-    @F.pandas_udf(CHUNK)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for t in batch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches):
+            rows, ords, starts, ends, bodies, tokens = [], [], [], [], [], []
+            for row, t in enumerate(some.column(len(key)).to_pylist()):
                 lines = t.split("\n")
-                made = []
                 for k, (a, b) in enumerate(spans(t, target, overlap)):
                     body = "\n".join(lines[a:b])
-                    made.append({"ord": k, "start_line": a + 1, "end_line": b, "text": body, "token_est": -(-len(body) // X.CHARS_PER_TOKEN)})
-                out.append(made)
-            yield pd.Series(out, dtype=object)
-
-    return files.select(*key, F.explode(run(F.coalesce(F.col(text), F.lit("")))).alias("__c")).select(*key, "__c.*")
+                    rows.append(row)
+                    ords.append(k)
+                    starts.append(a + 1)
+                    ends.append(b)
+                    bodies.append(body)
+                    tokens.append(-(-len(body) // X.CHARS_PER_TOKEN))
+            own = pa.array(rows, pa.int64())
+            made = [pa.array(v, t) for v, t in zip((ords, starts, ends, bodies, tokens), (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(some.column(k).take(own) for k in range(len(key))), *made], names)
+
+    return given.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in zip(key, kinds, strict=True)), *CHUNK]))

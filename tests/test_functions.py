@@ -125,3 +125,12 @@ def test_terms_are_folded_as_by_sqlite(spark):
     assert all(unicodedata.category(chr(c)) == "Mn" or c in (0x37F, 0x1E9E) for c in differ), [(hex(c), want[c], got[c]) for c in differ if unicodedata.category(chr(c)) != "Mn"][:40]
     assert not [c for c in range(0x300, 0x313) if c in differ and c not in (0x305, 0x30D, 0x30E, 0x310, 0x312)]
     assert text.phrases("Cafe\u0301 ΟΔΟΣ ſo") == [["cafe"], ["οδοσ"], ["so"]]
+
+
+def test_chunks_of_odd_texts_and_keys(spark):
+    texts = [(1, "a b", "x\n" * 3000), (2, "", ""), (3, None, None), (4, "ü", "é" * 5000 + "\n" + "z"), (5, "a b", "one\r\ntwo")]
+    made = chunks.chunks(spark.createDataFrame(texts, "id long, `the key` string, text string").coalesce(1), ["id", "the key"])
+    assert made.columns == ["id", "the key", "ord", "start_line", "end_line", "text", "token_est"]
+    want = [(i, k, n, a + 1, b, body := "\n".join(t.split("\n")[a:b]), -(-len(body) // 4)) for i, k, t in texts if t for n, (a, b) in enumerate(chunks.spans(t))]
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
