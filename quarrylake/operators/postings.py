@@ -18,7 +18,7 @@ that may still hold one of the k best. Ties go to the smaller unit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +27,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylake.functions import text
+from quarrylake.functions.batches import slices
 from quarrylake.plans import scratch
 
 # Fixed values of the ranking rules.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Units of a block; blocks that a query reads before it knows what the others must reach.
-BLOCK, FIRST_BLOCKS = 256, 4
+#: Units of a block, and bytes of their terms, beyond which it has fewer units; blocks that a query reads before it knows what the others must reach.
+BLOCK, BLOCK_BYTES, FIRST_BLOCKS = 1024, 8 << 20, 4
 #: Scores are told to so many digits; a bound this little below the k-th score is still looked into.
 DIGITS = 6
 
 
-def write_index(units: DataFrame, unit_id: str, columns: list[str], path: str) -> None:
+def write_index(units: DataFrame, unit_id: str, columns: list[str], path: str, phrases: bool = True) -> None:
     """Write the index of some text columns of units; texts are split once, as they are scanned.
 
     A null text has no terms. A phrase lies inside one column, so a gap is left between them.
+    Without ``phrases`` no positions are kept: such an index has all units and counts, and refuses phrases of several terms.
     """
     parts = [text.terms(F.coalesce(F.col(c), F.lit(""))) for c in columns]
     joined = parts[0]
@@ -49,35 +51,33 @@ def write_index(units: DataFrame, unit_id: str, columns: list[str], path: str) -
     given = units.select(F.col(unit_id).alias("unit_id"), joined.alias("terms"))
     kind = given.schema["unit_id"].dataType.simpleString()
     size = BLOCK
-    rows = given.mapInArrow(lambda batches: _blocks(batches, size, len(columns) - 1), f"term string, block long, n int, most int, least int, places array<int>, counts array<int>, steps array<int>, units array<{kind}>, lengths array<int>")
+    rows = given.mapInArrow(lambda batches: _blocks(batches, size, len(columns) - 1, phrases), f"term string, block long, n int, most int, least int, places array<int>, counts array<int>, steps array<int>, units array<{kind}>, lengths array<int>")
     rows.hint("rebalance", "term").sortWithinPartitions("term", "block").write.parquet(path)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int, gaps: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int, gaps: int, phrases: bool = True) -> Iterator[pa.RecordBatch]:
     """The rows of each block of units."""
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 32
-    for batch in batches:
-        for begin in range(0, batch.num_rows, size):
-            some = batch.slice(begin, size)
-            yield _block(some.column(0), some.column(1), number, gaps)
-            number += 1
+    for some in slices(batches, size, BLOCK_BYTES):
+        yield _block(some.column(0), some.column(1), number, gaps, phrases)
+        number += 1
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
 
-def _block(ids: pa.Array, terms: pa.ListArray, number: int, gaps: int) -> pa.RecordBatch:
+def _block(ids: pa.Array, terms: pa.ListArray, number: int, gaps: int, phrases: bool) -> pa.RecordBatch:
     """One block's rows: sorted by term, without a loop over terms or occurrences."""
     bounds = terms.offsets.to_numpy()
     flat, bounds = terms.flatten(), bounds - bounds[0]
     length = np.diff(bounds)
     coded = flat.dictionary_encode()
     names = coded.dictionary
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    unit = np.repeat(np.arange(len(ids)), length)
-    at = np.arange(len(flat)) - np.repeat(bounds[:-1], length)
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    unit = np.repeat(np.arange(len(ids), dtype=np.int32), length)
+    at = np.arange(len(flat), dtype=np.int32) - np.repeat(bounds[:-1].astype(np.int32), length)
     # A stable sort keeps units and positions in order within a term.
     order = np.argsort(code, kind="stable")
     code, unit, at = code[order], unit[order], at[order]
@@ -95,7 +95,7 @@ def _block(ids: pa.Array, terms: pa.ListArray, number: int, gaps: int) -> pa.Rec
     real = pa.compute.not_equal(term, "")
     columns = [
         term, pa.array(np.full(len(start), number), pa.int64()), pa.array(n, pa.int32()), pa.array(most, pa.int32()), pa.array(least, pa.int32()),
-        _lists(places, np.append(own, len(first))), _lists(counts, np.append(own, len(first))), _lists(steps, np.append(start, len(code))),
+        _lists(places, np.append(own, len(first))), _lists(counts, np.append(own, len(first))), _lists(steps, np.append(start, len(code))) if phrases else pa.nulls(len(start), pa.list_(pa.int32())),
         pa.nulls(len(start), pa.list_(ids.type)), pa.nulls(len(start), pa.list_(pa.int32())),
     ]
     names_ = ["term", "block", "n", "most", "least", "places", "counts", "steps", "units", "lengths"]
@@ -178,6 +178,8 @@ class Index:
         several = queries.where(F.size("phrase") > 1)
         if several.isEmpty():
             return out
+        if not rows.where("steps is not null").limit(1).count() and not rows.isEmpty():
+            raise ValueError("this index has no positions: write it with phrases to ask for several terms side by side")
         # A phrase that more queries have is looked for once.
         phrases = several.select("phrase").distinct()
         asked = phrases.select("phrase", F.posexplode("phrase").alias("at", "term"))
@@ -216,49 +218,79 @@ class Index:
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query by score to six digits, with rank from 0."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "unit_id")) - 1
-    return scored.withColumn("score", F.round("score", DIGITS)).withColumn("rank", rank).where(F.col("rank") < k)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "unit_id"))
+    # The bare row number is compared, so that Spark keeps k rows of a query in each task before it exchanges them.
+    return scored.withColumn("score", F.round("score", DIGITS)).withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
-def _positions(places: list[int], counts: list[int], steps: list[int]) -> np.ndarray:
+def _positions(places: np.ndarray, counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """(place, position) of each occurrence as one number."""
-    count, step = np.array(counts, np.int64), np.array(steps, np.int64)
+    count = counts.astype(np.int64)
     first = np.cumsum(count) - count
-    at = np.cumsum(step)
-    at -= np.repeat(at[first] - step[first], count)
-    return (np.repeat(np.array(places, np.int64), count) << 32) | at
+    at = np.cumsum(steps.astype(np.int64))
+    at -= np.repeat(at[first] - steps[first], count)
+    return (np.repeat(places.astype(np.int64), count) << 32) | at
+
+
+def _each(parts: pa.StructArray, name: str) -> Callable[[int], np.ndarray]:
+    """The list of each part in a field, as a view of Arrow's values: no number becomes an object."""
+    lists = parts.field(name)
+    bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return lambda k: values[bounds[k] : bounds[k + 1]]
+
+
+def _bounds(sizes: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]) if len(sizes) else np.zeros(1, np.int64)
+
+
+def _flat(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of phrases: positions of the first term at which all terms follow one another."""
-    for batch in batches:
-        out: list[tuple] = []
-        for phrase, block, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for batch in slices(batches):
+        bounds, parts = batch.column(2).offsets.to_numpy(), batch.column(2).values
+        at, least = parts.field("at").to_numpy(), parts.field("least").to_numpy()
+        places, counts, steps = (_each(parts, c) for c in ("places", "counts", "steps"))
+        keep, where, often, shortest = [], [], [], []
+        for row in range(batch.num_rows):
             start = None
-            for p in parts:
-                own = _positions(p["places"], p["counts"], p["steps"]) - p["at"]
+            for k in range(bounds[row], bounds[row + 1]):
+                own = _positions(places(k), counts(k), steps(k)) - at[k]
                 start = own if start is None else np.intersect1d(start, own, assume_unique=True)
                 if not len(start):
                     break
             if len(start):
-                places, counts = np.unique(start >> 32, return_counts=True)
-                out.append((phrase, block, len(places), int(counts.max()), max(p["least"] for p in parts), places.tolist(), counts.tolist()))
-        kinds = pa.list_(pa.string()), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["phrase", "block", "n", "most", "least", "places", "counts"])
+                found, n = np.unique(start >> 32, return_counts=True)
+                keep.append(row)
+                where.append(found)
+                often.append(n)
+                shortest.append(least[bounds[row] : bounds[row + 1]].max())
+        some, ends = pa.array(keep, pa.int64()), _bounds([len(w) for w in where])
+        columns = [
+            batch.column(0).take(some), batch.column(1).take(some), pa.array(np.diff(ends), pa.int32()), pa.array([int(n.max()) for n in often], pa.int32()), pa.array([int(n) for n in shortest], pa.int32()),
+            _lists(_flat(where), ends), _lists(_flat(often), ends),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["phrase", "block", "n", "most", "least", "places", "counts"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places that have all parts of a query, and how often each part is there."""
-    for batch in batches:
-        keep, places, counts = [], [], []
-        for k, parts in enumerate(batch.column(2).to_pylist()):
-            own = [(np.array(p["places"]), np.array(p["counts"])) for p in parts]
-            both = own[0][0]
-            for at, _ in own[1:]:
-                both = np.intersect1d(both, at, assume_unique=True)
+    for batch in slices(batches):
+        bounds, parts = batch.column(2).offsets.to_numpy(), batch.column(2).values
+        places, counts = _each(parts, "places"), _each(parts, "counts")
+        keep, where, often, width = [], [], [], []
+        for row in range(batch.num_rows):
+            own = range(bounds[row], bounds[row + 1])
+            both = places(own[0])
+            for k in own[1:]:
+                both = np.intersect1d(both, places(k), assume_unique=True)
             if len(both):
-                keep.append(k)
-                places.append(both.tolist())
-                counts.append(np.stack([c[np.searchsorted(at, both)] for at, c in own], 1).tolist())
-        some = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.list_(pa.int32())))], ["query_id", "block", "places", "counts"])
+                keep.append(row)
+                where.append(both)
+                often.append(np.stack([counts(k)[np.searchsorted(places(k), both)] for k in own], 1).ravel())
+                width.append(np.full(len(both), len(own)))
+        some, ends = pa.array(keep, pa.int64()), _bounds([len(w) for w in where])
+        each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _lists(_flat(often), _bounds(_flat(width))))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), _lists(_flat(where), ends), each], ["query_id", "block", "places", "counts"])

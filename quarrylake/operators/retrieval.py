@@ -75,8 +75,9 @@ def _scored(postings: DataFrame, rows: int, mean: float, queries: DataFrame) ->
 
 def top(scored: DataFrame, k: int, tie: str = "unit_id") -> DataFrame:
     """The k best rows of each query, with rank from 0; ties go to the smaller unit."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), tie)) - 1
-    return scored.withColumn("rank", rank).where(F.col("rank") < k)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), tie))
+    # The bare row number is compared, so that Spark keeps k rows of a query in each task before it exchanges them.
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def normalized(vector: Column) -> Column:

@@ -169,3 +169,46 @@ def test_vectors_in_many_blocks(spark, monkeypatch):
             continue
         want = sorted((-round(float(unit(v) @ unit(w)), 6), i) for i, w in vectors if w is not None and len(w) == len(v))[:5]
         assert [(i, s) for _, i, s in sorted(got[q])] == [(i, pytest.approx(-s, abs=2e-6)) for s, i in want]
+
+
+def test_slices_hold_all_rows_within_bounds():
+    import pyarrow as pa
+
+    from quarrylake.functions.batches import slices
+
+    sizes = [10, 5000, 1, 0, 900, 900, 900] + [3] * 40
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(["x" * n for n in sizes])], ["id", "t"])
+    got = list(slices([whole, whole.slice(2, 0)], rows=16, most=1500))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(len(sizes)))
+    assert all(b.num_rows <= 16 and (b.num_rows == 1 or b.nbytes <= 1500) for b in got)
+
+
+def test_python_steps_tell_their_rows_in_slices():
+    """What a worker holds as objects must not grow with its Arrow batch."""
+    import pyarrow as pa
+
+    part = {"phrase_no": 0, "places": [0, 2], "counts": [1, 3]}
+    other = {"phrase_no": 1, "places": [2, 3], "counts": [2, 2]}
+    kind = pa.list_(pa.struct([("phrase_no", pa.int32()), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(range(1000)), pa.array([[part, other]] * 1000, kind)], ["query_id", "block", "parts"])
+    got = list(P._met([batch]))
+    assert max(b.num_rows for b in got) <= 256 and sum(b.num_rows for b in got) == 1000
+    assert all(r == {"query_id": r["query_id"], "block": r["query_id"], "places": [2], "counts": [[3, 2]]} for b in got for r in b.to_pylist())
+
+
+def test_an_index_without_positions(spark, tmp_path):
+    units = spark.createDataFrame(UNITS, "id long, a string, b string, c string")
+    for name, phrases in (("with", True), ("without", False)):
+        P.write_index(units, "id", ["a", "b", "c"], str(tmp_path / name), phrases)
+    asked = R.query_table(spark, {q: q for q in ("run", "parse args", "the parser", "zzz")})
+    told = [sorted(tuple(r) for r in P.Index(spark, str(tmp_path / name)).top(asked, 3).collect()) for name in ("with", "without")]
+    assert told[0] == told[1] and told[0]
+    with pytest.raises(ValueError, match="no positions"):
+        P.Index(spark, str(tmp_path / "without")).top(R.query_table(spark, {"q": "parse_args"}), 3)
+
+
+def test_the_best_of_a_query_are_kept_before_they_are_exchanged(spark):
+    rows = spark.createDataFrame([("q", k, float(k % 7)) for k in range(50)], "query_id string, unit_id long, score double")
+    for found in (R.top(rows, 3), P.ranked(rows, 3)):
+        assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in found.orderBy("rank").select("unit_id", "rank").collect()] == [(6, 0), (13, 1), (20, 2)]
