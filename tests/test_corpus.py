@@ -264,3 +264,14 @@ def test_symbol_search_of_pages_that_share_a_url(spark, tmp_path):
     got = sorted(tuple(r) for r in corpus_queries.symbol_search(spark, str(tmp_path)).collect())
     assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 1e-6 for g, w in zip(got, want, strict=True))
     assert got
+
+
+def test_symbol_bodies_outline_each_file_once_and_only_code_goes_to_python(spark, small):
+    from quarrylake.operators import outline
+    from quarrylake.plans import corpus_queries
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan(corpus_queries.symbol_bodies(spark, small))
+    rows = spark.createDataFrame([("a.txt", "text", "class A {"), ("b.kt", "kotlin", "class B {"), ("c", None, "class C {")], "path string, lang string, text string")
+    assert "CASE WHEN lang" in plan(outline.outlines(rows))
+    assert {r["path"]: [s["name"] for s in r["symbols"]] for r in outline.outlines(rows).collect()} == {"a.txt": [], "b.kt": ["B"], "c": []}
