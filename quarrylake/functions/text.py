@@ -15,7 +15,8 @@ SNIPPET_LINES, SNIPPET_CHARS = 16, 1000
 DOC_CHARS, SIGNATURE_CHARS = 240, 200
 #: A letter that is not folded in spite of its decomposition.
 UNFOLDED = "ǡ"
-TERM = r"[\p{L}\p{N}\p{Co}]+"
+#: Most characters are ASCII, so these are looked for first; a text of ASCII alone has no others.
+TERM, ASCII_TERM = r"[a-z0-9\p{L}\p{N}\p{Co}]+", "[a-z0-9]+"
 
 
 def token_estimate(text: Column) -> Column:
@@ -30,7 +31,7 @@ def lines(text: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     """Lines of a text; none for the empty text."""
-    return F.when(F.length(text) == 0, 0).otherwise(F.size(lines(text)))
+    return F.when(F.length(text) == 0, 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
 
 
 def line_slice(text: Column, start: Column, end: Column) -> Column:
@@ -76,7 +77,8 @@ def terms(text: Column) -> Column:
     """The terms of a text in order: runs of letters and digits, in lower case, without accents on Latin letters, composed or not."""
     low = F.lower(text)
     plain = F.octet_length(low) == F.char_length(low)  # nothing to fold; folding looks every character up
-    return F.regexp_extract_all(F.when(plain, low).otherwise(F.translate(low, *folding())), F.lit(TERM), F.lit(0))
+    found = lambda s, term: F.regexp_extract_all(s, F.lit(term), F.lit(0))
+    return F.when(plain, found(low, ASCII_TERM)).otherwise(found(F.translate(low, *folding()), TERM))
 
 
 def phrases(query: str) -> list[list[str]]:

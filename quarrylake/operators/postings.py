@@ -3,7 +3,8 @@
 Units (files, chunks, symbols) are dealt to blocks of BLOCK as they are scanned.
 The index has one row for each term of a block: the units that have it, by their
 place in the block, how often each has it and where (as differences), and for
-the bound the highest count and the least length among them. Rows with the empty
+the bound the highest count and the least length among them. These lists are
+bytes, as Spark moves, sorts and writes lists number by number. Rows with the empty
 term hold a block's unit ids and lengths. A block is made inside one task, so a
 common term costs one row per block that has it, never a row per occurrence, and
 nothing is exchanged but finished rows, which Spark balances by size.
@@ -34,6 +35,8 @@ from quarrylake.plans import scratch
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Units of a block, and bytes of their terms, beyond which it has fewer units; blocks that a query reads before it knows what the others must reach.
 BLOCK, BLOCK_BYTES, FIRST_BLOCKS = 1024, 8 << 20, 4
+#: Packed lists are too many for a dictionary of them.
+PLAIN = {f"parquet.enable.dictionary#{c}": "false" for c in ("places", "steps")}
 #: Scores are told to so many digits; a bound this little below the k-th score is still looked into.
 DIGITS = 6
 
@@ -51,8 +54,8 @@ def write_index(units: DataFrame, unit_id: str, columns: list[str], path: str, p
     given = units.select(F.col(unit_id).alias("unit_id"), joined.alias("terms"))
     kind = given.schema["unit_id"].dataType.simpleString()
     size = BLOCK
-    rows = given.mapInArrow(lambda batches: _blocks(batches, size, len(columns) - 1, phrases), f"term string, block long, n int, most int, least int, places array<int>, counts array<int>, steps array<int>, units array<{kind}>, lengths array<int>")
-    rows.hint("rebalance", "term").sortWithinPartitions("term", "block").write.parquet(path)
+    rows = given.mapInArrow(lambda batches: _blocks(batches, size, len(columns) - 1, phrases), f"term string, block long, n int, occurrences int, most int, least int, places binary, counts binary, steps binary, units array<{kind}>, lengths array<int>")
+    rows.hint("rebalance", "term").sortWithinPartitions("term", "block").write.options(**PLAIN).parquet(path)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int, gaps: int, phrases: bool = True) -> Iterator[pa.RecordBatch]:
@@ -68,6 +71,17 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
 
+#: The numbers of a packed list: as narrow as the largest of its block allows. Its width is told by its bytes and how many numbers it has.
+WIDTHS = {1: np.dtype("<u1"), 2: np.dtype("<u2"), 4: np.dtype("<i4")}
+
+
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.BinaryArray:
+    """Lists of numbers from zero up as bytes."""
+    kind = next(t for t in WIDTHS.values() if values.max(initial=0) <= np.iinfo(t).max)
+    ends = (np.asarray(offsets, np.int64) * kind.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values, kind))])
+
+
 def _block(ids: pa.Array, terms: pa.ListArray, number: int, gaps: int, phrases: bool) -> pa.RecordBatch:
     """One block's rows: sorted by term, without a loop over terms or occurrences."""
     bounds = terms.offsets.to_numpy()
@@ -91,19 +105,20 @@ def _block(ids: pa.Array, terms: pa.ListArray, number: int, gaps: int, phrases:
     n = np.diff(np.append(own, len(first)))
     most = np.maximum.reduceat(counts, own) if len(own) else own
     least = np.minimum.reduceat(dl[places], own) if len(own) else own
+    occurrences = np.add.reduceat(counts, own) if len(own) else own
     term = names.take(pa.array(code[start])) if len(start) else pa.array([], pa.string())
     real = pa.compute.not_equal(term, "")
     columns = [
-        term, pa.array(np.full(len(start), number), pa.int64()), pa.array(n, pa.int32()), pa.array(most, pa.int32()), pa.array(least, pa.int32()),
-        _lists(places, np.append(own, len(first))), _lists(counts, np.append(own, len(first))), _lists(steps, np.append(start, len(code))) if phrases else pa.nulls(len(start), pa.list_(pa.int32())),
+        term, pa.array(np.full(len(start), number), pa.int64()), pa.array(n, pa.int32()), pa.array(occurrences, pa.int32()), pa.array(most, pa.int32()), pa.array(least, pa.int32()),
+        _packed(places, np.append(own, len(first))), _packed(counts, np.append(own, len(first))), _packed(steps, np.append(start, len(code))) if phrases else pa.nulls(len(start), pa.binary()),
         pa.nulls(len(start), pa.list_(ids.type)), pa.nulls(len(start), pa.list_(pa.int32())),
     ]
-    names_ = ["term", "block", "n", "most", "least", "places", "counts", "steps", "units", "lengths"]
+    names_ = ["term", "block", "n", "occurrences", "most", "least", "places", "counts", "steps", "units", "lengths"]
     rows = pa.RecordBatch.from_arrays(columns, names_).filter(real)
     whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-    none = pa.nulls(1, pa.list_(pa.int32()))
+    none = pa.nulls(1, pa.binary())
     head = pa.RecordBatch.from_arrays(
-        [pa.array([""]), pa.array([number], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), none, none, none, whole, _lists(dl, np.array([0, len(ids)]))], names_
+        [pa.array([""]), pa.array([number], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), none, none, none, whole, _lists(dl, np.array([0, len(ids)]))], names_
     )
     return pa.concat_batches([head, rows]) if rows.num_rows else head
 
@@ -124,8 +139,7 @@ class Index:
 
     def terms(self) -> DataFrame:
         """(term, units, occurrences) over all units."""
-        each = self.rows.where("term <> ''").select("term", "n", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("c"))
-        return each.groupBy("term").agg(F.sum("n").alias("units"), F.sum("c").alias("occurrences"))
+        return self.rows.where("term <> ''").groupBy("term").agg(F.sum("n").alias("units"), F.sum("occurrences").alias("occurrences"))
 
     def all(self, queries: DataFrame, words: list[str] | None = None) -> DataFrame:
         """(query_id, unit_id, dl, score) of every unit that has all phrases of a query.
@@ -142,7 +156,9 @@ class Index:
         """
         found = scratch.written(self._phrases(queries, words), "phrases-met")
         weights = self._each_weight(found)
-        each = found.join(self.heads, "block").select("query_id", "phrase_no", "units", "lengths", F.explode(F.arrays_zip("places", "counts")).alias("u"))
+        kinds = {f.name: f.dataType.simpleString() for f in found.schema}
+        lists = found.select("query_id", "phrase_no", "block", "n", "places", "counts").mapInArrow(_unpacked, f"query_id {kinds['query_id']}, phrase_no {kinds['phrase_no']}, block long, places array<int>, counts array<int>")
+        each = lists.join(self.heads, "block").select("query_id", "phrase_no", "units", "lengths", F.explode(F.arrays_zip("places", "counts")).alias("u"))
         units = each.select("query_id", "phrase_no", F.get("units", F.col("u.places")).alias("unit_id"), F.get("lengths", F.col("u.places")).alias("dl"), F.col("u.counts").alias("tf"))
         return units.join(weights, ["query_id", "phrase_no"]).select("query_id", "phrase_no", "unit_id", "dl", self._part(F.col("w"), F.col("tf"), F.col("dl")).alias("part"))
 
@@ -183,8 +199,8 @@ class Index:
         # A phrase that more queries have is looked for once.
         phrases = several.select("phrase").distinct()
         asked = phrases.select("phrase", F.posexplode("phrase").alias("at", "term"))
-        met = rows.join(asked, "term").groupBy("phrase", "block").agg(F.array_sort(F.collect_list(F.struct("at", "places", "counts", "steps", "least"))).alias("parts")).where(F.size("parts") == F.size("phrase"))
-        made = met.mapInArrow(_joined, "phrase array<string>, block long, n int, most int, least int, places array<int>, counts array<int>")
+        met = rows.join(asked, "term").groupBy("phrase", "block").agg(F.array_sort(F.collect_list(F.struct("at", "n", "places", "counts", "steps", "least"))).alias("parts")).where(F.size("parts") == F.size("phrase"))
+        made = met.mapInArrow(_joined, "phrase array<string>, block long, n int, most int, least int, places binary, counts binary")
         made = scratch.written(made, "phrases")
         return out.unionByName(made.join(several, "phrase").select(*out.columns))
 
@@ -206,7 +222,7 @@ class Index:
         """(query_id, unit_id, dl, score) of the units in some blocks, or in all."""
         if blocks is not None:
             found = found.join(blocks.select("query_id", "block"), ["query_id", "block"], "left_semi")
-        parts = found.groupBy("query_id", "block").agg(F.array_sort(F.collect_list(F.struct("phrase_no", "places", "counts"))).alias("parts"))
+        parts = found.groupBy("query_id", "block").agg(F.array_sort(F.collect_list(F.struct("phrase_no", "n", "places", "counts"))).alias("parts"))
         whole = parts.join(weights, "query_id").where(F.size("parts") == F.size("idf"))
         kind = whole.schema["query_id"].dataType.simpleString()
         both = whole.select("query_id", "block", "parts").mapInArrow(_met, f"query_id {kind}, block long, places array<int>, counts array<array<int>>")
@@ -227,7 +243,8 @@ def _positions(places: np.ndarray, counts: np.ndarray, steps: np.ndarray) -> np.
     """(place, position) of each occurrence as one number."""
     count = counts.astype(np.int64)
     first = np.cumsum(count) - count
-    at = np.cumsum(steps.astype(np.int64))
+    steps = steps.astype(np.int64)
+    at = np.cumsum(steps)
     at -= np.repeat(at[first] - steps[first], count)
     return (np.repeat(places.astype(np.int64), count) << 32) | at
 
@@ -235,10 +252,29 @@ def _positions(places: np.ndarray, counts: np.ndarray, steps: np.ndarray) -> np.
 def _each(parts: pa.StructArray, name: str) -> Callable[[int], np.ndarray]:
     """The list of each part in a field, as a view of Arrow's values: no number becomes an object."""
     lists = parts.field(name)
+    if not pa.types.is_nested(lists.type):
+        return _bytes(lists)
     bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
     return lambda k: values[bounds[k] : bounds[k + 1]]
 
 
+def _bytes(lists: pa.BinaryArray) -> Callable[[int, int], np.ndarray]:
+    """The packed list of each row, as a view, by the row and how many numbers it has."""
+    _, ends, data = lists.cast(pa.binary()).buffers()
+    bounds = np.frombuffer(ends, np.int32)[lists.offset : lists.offset + len(lists) + 1] if len(lists) else np.zeros(1, np.int32)
+    values = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return lambda k, n: values[bounds[k] : bounds[k + 1]].view(WIDTHS[(bounds[k + 1] - bounds[k]) // n])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed places and counts as lists; the rest as it is, but for their number."""
+    for batch in slices(batches):
+        sizes = batch.column("n").to_numpy()
+        flat = [_flat([get(k, n) for k, n in enumerate(sizes)]) for get in (_bytes(batch.column("places")), _bytes(batch.column("counts")))]
+        kept = [c for c in batch.schema.names if c not in ("n", "places", "counts")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(_lists(v, _bounds(sizes)) for v in flat)], [*kept, "places", "counts"])
+
+
 def _bounds(sizes: list[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)]) if len(sizes) else np.zeros(1, np.int64)
 
@@ -251,26 +287,27 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of phrases: positions of the first term at which all terms follow one another."""
     for batch in slices(batches):
         bounds, parts = batch.column(2).offsets.to_numpy(), batch.column(2).values
-        at, least = parts.field("at").to_numpy(), parts.field("least").to_numpy()
+        at, least, n = (parts.field(c).to_numpy() for c in ("at", "least", "n"))
         places, counts, steps = (_each(parts, c) for c in ("places", "counts", "steps"))
         keep, where, often, shortest = [], [], [], []
         for row in range(batch.num_rows):
             start = None
             for k in range(bounds[row], bounds[row + 1]):
-                own = _positions(places(k), counts(k), steps(k)) - at[k]
+                often_k = counts(k, n[k])
+                own = _positions(places(k, n[k]), often_k, steps(k, int(often_k.sum()))) - at[k]
                 start = own if start is None else np.intersect1d(start, own, assume_unique=True)
                 if not len(start):
                     break
             if len(start):
-                found, n = np.unique(start >> 32, return_counts=True)
+                found, times = np.unique(start >> 32, return_counts=True)
                 keep.append(row)
                 where.append(found)
-                often.append(n)
+                often.append(times)
                 shortest.append(least[bounds[row] : bounds[row + 1]].max())
         some, ends = pa.array(keep, pa.int64()), _bounds([len(w) for w in where])
         columns = [
             batch.column(0).take(some), batch.column(1).take(some), pa.array(np.diff(ends), pa.int32()), pa.array([int(n.max()) for n in often], pa.int32()), pa.array([int(n) for n in shortest], pa.int32()),
-            _lists(_flat(where), ends), _lists(_flat(often), ends),
+            _packed(_flat(where), ends), _packed(_flat(often), ends),
         ]
         yield pa.RecordBatch.from_arrays(columns, ["phrase", "block", "n", "most", "least", "places", "counts"])
 
@@ -279,7 +316,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places that have all parts of a query, and how often each part is there."""
     for batch in slices(batches):
         bounds, parts = batch.column(2).offsets.to_numpy(), batch.column(2).values
-        places, counts = _each(parts, "places"), _each(parts, "counts")
+        # Lists of parts are packed, and then their number is told, or are Arrow's own.
+        told = [parts.field("n").to_numpy()] if "n" in {f.name for f in parts.type} else []
+        places, counts = ((lambda k, get=_each(parts, c): get(k, *(n[k] for n in told))) for c in ("places", "counts"))
         keep, where, often, width = [], [], [], []
         for row in range(batch.num_rows):
             own = range(bounds[row], bounds[row + 1])

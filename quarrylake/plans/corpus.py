@@ -123,13 +123,14 @@ def take_in(raw: DataFrame, folder: str, declared: DataFrame | None = None, reus
     whole = read.where("skipped is null")
     decoded = F.make_valid_utf8(F.col("content").cast("string"))
     rows = whole.withColumn("text", decoded).withColumn("lang", paths.language(F.col("path")))
-    outlined = kept("outlined", outline.outlines(rows.select("path", "lang", "sha256", "size_bytes", text.line_count(F.col("text")).cast("long").alias("line_count"), "text")))
-    files = kept("files", outlined.select("path", "lang", "sha256", "size_bytes", "line_count"))
+    files = kept("files", rows.select("path", "lang", "sha256", "size_bytes", text.line_count(F.col("text")).cast("long").alias("line_count")))
+    # Other files have no outline: they neither go to Python nor are written once more.
+    outlined = kept("outlined", outline.outlines(rows.where(F.col("lang").isin(*outline.LANGUAGES)).select("path", "lang", "text")).select("path", "lang", "symbols", "imports"))
     # Contents lie in order of their address, so that one is found without reading the others.
     kept("blobs", verify.blobs(whole).repartitionByRange("sha256").sortWithinPartitions("sha256"))
     symbols = kept("symbols", outlined.select("path", "lang", F.posexplode("symbols").alias("ord", "s")).select("path", "lang", "ord", "s.*"))
     kept("edges", outlined.select(F.col("path").alias("src"), F.explode("imports").alias("dst")).where("dst <> ''"))
-    made = kept("chunks", chunks.chunks(outlined.select("path", "text"), ["path"]))
+    made = kept("chunks", chunks.chunks(rows.select("path", "text"), ["path"]))
     kept("declared", declared.select("path") if declared is not None else files.select("path"))
     texts = symbols.select(text.embed_text(F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring")).alias("embed_text")).distinct()
     kept("embeddings", embed.with_reuse(texts, reuse) if semantic else texts.limit(0).select("embed_text", F.lit(None).cast("array<float>").alias("vector"), F.lit(False).alias("reused")))
@@ -362,7 +363,8 @@ class Corpus:
         files = self.table("files")
         bad = verify.check(files, self.table("blobs"))
         n = bad.agg(F.count("*").alias("total"), F.count_if(F.col("state") == "ok").alias("verified")).first()
-        failed = [r["path"] for r in bad.where("state <> 'ok'").select("path").orderBy("path").limit(SHOWN).collect()]
+        # Every content is hashed once more only to name those that failed.
+        failed = [r["path"] for r in bad.where("state <> 'ok'").select("path").orderBy("path").limit(SHOWN).collect()] if n["verified"] < n["total"] else []
         cover = verify.coverage(files, self.table("symbols")).first()
         drift = None
         if self.meta.get("source_kind") == "repomix" and os.path.exists(self.meta["source_ref"]):

@@ -7,6 +7,7 @@ underscore; this one returns every file, or the reason why it is skipped.
 from __future__ import annotations
 
 import os
+import stat
 import subprocess
 from collections.abc import Iterator
 from pathlib import Path
@@ -47,14 +48,18 @@ def listing(root: str) -> list[tuple[str, bool]]:
 
 def read_file(root: str, name: str, max_bytes: int, binary: bool) -> tuple[str, bytes | None, str | None]:
     """A file's bytes, or the reason for which they are left out."""
-    full = Path(root) / name
-    if full.is_symlink() or not full.is_file():
+    full = os.path.join(root, name)
+    try:
+        told = os.lstat(full)
+    except (OSError, ValueError):
+        told = None
+    if told is None or not stat.S_ISREG(told.st_mode):
         return name, None, "not-a-regular-file"
     try:
-        size = full.stat().st_size
-        if size > max_bytes:
-            return name, None, f"too-large ({size} bytes)"
-        data = full.read_bytes()
+        if told.st_size > max_bytes:
+            return name, None, f"too-large ({told.st_size} bytes)"
+        with open(full, "rb") as f:
+            data = f.read()
     except OSError as error:
         return name, None, f"read-error: {error}"
     if not binary and b"\0" in data[:BINARY_HEAD]:

@@ -275,3 +275,28 @@ def test_symbol_bodies_outline_each_file_once_and_only_code_goes_to_python(spark
     rows = spark.createDataFrame([("a.txt", "text", "class A {"), ("b.kt", "kotlin", "class B {"), ("c", None, "class C {")], "path string, lang string, text string")
     assert "CASE WHEN lang" in plan(outline.outlines(rows))
     assert {r["path"]: [s["name"] for s in r["symbols"]] for r in outline.outlines(rows).collect()} == {"a.txt": [], "b.kt": ["B"], "c": []}
+
+
+def test_only_files_with_an_outline_are_outlined_and_contents_are_hashed_once(spark, demo, tmp_path, monkeypatch):
+    """Plain text went to Python and was written once more; a whole corpus was hashed again to name no failure."""
+    told, looked = [], []
+    outlines, check = C.outline.outlines, C.verify.check
+    monkeypatch.setattr(C.outline, "outlines", lambda files: told.extend(files.select("path", "lang").collect()) or outlines(files))
+    corpus = C.Store(spark, str(tmp_path / "home")).add(str(demo[1]), "again", semantic=False)
+    assert {r["path"] for r in told} == {p for p in FILES if not p.startswith(("node_modules", "notes"))}
+    assert {"notes.txt", "pkg/core.py"} <= {r["path"] for r in corpus.files().collect()} & {r["path"] for r in corpus.table("chunks").collect()}
+
+    class Looked:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def agg(self, *given):
+            looked.append("agg")
+            return self.rows.agg(*given)
+
+        def where(self, given):
+            looked.append("where")
+            return self.rows.where(given)
+
+    monkeypatch.setattr(C.verify, "check", lambda *given: Looked(check(*given)))
+    assert corpus.verify()["ok"] and looked == ["agg"]
